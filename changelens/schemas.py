@@ -107,11 +107,12 @@ NODE_LABELS = {
     "impl": "impl",
     "trait": "trait",
     "interface": "interface",
-    "module": "mod",
+    "module": "module",
     "test_decl": "test",
     "other": "block",
 }
 CHANGE_SYMBOLS = {"added": "+", "modified": "~", "deleted": "-"}
+CATEGORY_SYMBOLS = {"comment": "💬", "whitespace": "⎵", "rename": "≈", "moved": "→", "semantic": "•"}
 COMMENT_LABELS = {
     "line": "line comment",
     "doc": "doc comment",
