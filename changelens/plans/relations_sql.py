@@ -98,3 +98,109 @@ cte(
 select *, row_number() over (partition by path order by chunk_idx, entry_rank) - 1 pos from d_entries2
 """,
 )
+
+# --- unified rows -----------------------------------------------------------------------------------
+
+cte("d_new_count", "select path, max(line) n_new from d_new group by path")
+cte(
+    "d_bounds",
+    """
+select *, greatest(first_new - 3, 1) start, greatest(first_old - 3, 1) old_start,
+  case when last_new is not null then greatest(least(last_new + 3, n_new), last_new) end reach
+from (
+  select path, chunk_idx, min(new_line) first_new, max(new_line) last_new, min(old_line) first_old
+  from d_entries group by path, chunk_idx
+) left join d_new_count using (path)
+""",
+)
+cte(
+    "d_shown",
+    """
+select *, coalesce(max(reach) over (partition by path order by chunk_idx rows between unbounded preceding and 1 preceding), 0) shown
+from d_bounds
+""",
+)
+cte(
+    "d_context",
+    """
+select path, chunk_idx, line, start, first_new, last_new
+from (select *, unnest(generate_series(start, reach)) line from d_shown where first_new is not null)
+where line > shown
+""",
+)
+cte(
+    "d_placed",
+    """
+select c.path, c.chunk_idx, c.line,
+  case when c.line < c.first_new then 0 when c.line > c.last_new then 1000000
+    else (select min(e.entry_rank) from d_entries e where e.path = c.path and e.chunk_idx = c.chunk_idx and e.new_line > c.line) end rank
+from d_context c
+where not exists (select 1 from d_entries e where e.path = c.path and e.chunk_idx = c.chunk_idx and e.new_line = c.line)
+""",
+)
+cte(
+    "d_stream",
+    """
+select path, chunk_idx, rank, 0 kind, line, cast(null as bigint) old_line, line new_line, 0 step, cast(null as bigint) jump, false same from d_placed
+union all
+select path, chunk_idx, entry_rank, 1, 0, old_line, new_line,
+  case when old_line is null then 1 when new_line is null then -1 else 0 end,
+  case when old_line is not null and new_line is not null and not same then new_line - old_line end, same
+from d_entries
+""",
+)
+cte(
+    "d_offsets",
+    """
+select *, coalesce(first_value(jump) over (partition by path, seg order by chunk_idx, rank, kind, line), 0)
+   + sum(step) over (partition by path, seg order by chunk_idx, rank, kind, line rows unbounded preceding) shift
+from (select *, count(jump) over (partition by path order by chunk_idx, rank, kind, line rows unbounded preceding) seg from d_stream)
+""",
+)
+cte(
+    "d_numbered",
+    """
+select path, chunk_idx, rank, kind, line, same,
+  case when kind = 0 then greatest(line - shift, 0) else old_line end old_line, new_line
+from d_offsets
+""",
+)
+cte(
+    "d_old_marks",
+    """
+select b.path, b.chunk_idx, (select max(r.old_line) from d_numbered r where r.path = b.path and r.chunk_idx < b.chunk_idx) mark
+from d_bounds b where b.first_new is null
+""",
+)
+cte(
+    "d_rows",
+    """
+select r.path, r.chunk_idx, r.rank, r.kind, r.line, 'context' line_type, r.old_line, r.new_line, w.c content,
+  cast(null as varchar) old_content, 'semantic' category, false bare, true selectable
+from d_numbered r join d_new w on r.path = w.path and r.new_line = w.line where r.kind = 0
+union all
+select path, chunk_idx, entry_rank, 1, 0,
+  case when new_line is null then 'deletion' when old_line is null then 'addition' else 'modification' end,
+  old_line, new_line, coalesce(new_text, old_text),
+  case when old_line is not null and new_line is not null then old_text end, category, bare, true
+from d_entries where not same
+union all
+select path, chunk_idx, -1, 0, 0, 'context', null, null, '...', null, 'semantic', false, false
+from d_shown where first_new is not null and shown > 0 and start > shown + 1
+union all
+select path, chunk_idx, -1, 0, 0, 'context', null, null, '...', null, 'semantic', false, false
+from d_bounds join d_old_marks using (path, chunk_idx) where mark > 0 and old_start > mark + 1
+""",
+)
+cte(
+    "d_diff_lines",
+    """
+select path, row_number() over (partition by path order by chunk_idx, rank, kind, line) - 1 ord,
+  line_type, cast(old_line as bigint) old_line, cast(new_line as bigint) new_line, content, old_content, category, bare, selectable
+from d_rows
+union all
+select path, n - 1, case status when 'removed' then 'deletion' when 'added' then 'addition' else 'context' end,
+  case when status <> 'added' then n end, case when status <> 'removed' then n end, c, null, 'semantic', false, true
+from d_lines where status <> 'changed'
+""",
+)
