@@ -23,25 +23,36 @@ def bucket_of(line: Column | str) -> Column:
     return whole(line, SPAN)
 
 
+def _shift(bits: Column, by: Column) -> Column:
+    # The Python function takes only a literal shift.
+    return F.call_function("shiftleft", bits, by)
+
+
 def _bit(line: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("bigint"), F.pmod(line, F.lit(SPAN)).cast("int"))
+    return _shift(F.lit(1).cast("bigint"), F.pmod(line, F.lit(SPAN)).cast("int"))
 
 
 def _low_bits(count: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("bigint"), count.cast("int")) - 1
+    return _shift(F.lit(1).cast("bigint"), count.cast("int")) - 1
+
 
+def spread(df: DataFrame, low: Column, high: Column, keep_empty: bool = False) -> DataFrame:
+    """One row per bucket a closed range touches: ``_bucket``, ``_low``, ``_high`` (clipped) and ``_cover`` (bitmap).
 
-def spread(df: DataFrame, low: Column, high: Column) -> DataFrame:
-    """One row per bucket a closed range touches, with the range clipped to it as ``_low``/``_high`` and ``_cover``."""
+    An empty range has no row, or one with an empty cover if ``keep_empty``.
+    """
     rows = df.withColumn("_from", low.cast("bigint")).withColumn("_to", high.cast("bigint"))
-    rows = rows.filter("_from <= _to").withColumn(
-        "_bucket", F.explode(F.sequence(bucket_of("_from"), bucket_of("_to")))
-    )
+    empty = F.col("_from") > F.col("_to")
+    if not keep_empty:
+        rows = rows.filter(~empty)
+    last = F.greatest(bucket_of("_to"), bucket_of("_from"))
+    rows = rows.withColumn("_bucket", F.explode(F.sequence(bucket_of("_from"), last)))
     rows = rows.withColumn("_low", F.greatest("_from", F.col("_bucket") * SPAN)).withColumn(
         "_high", F.least("_to", F.col("_bucket") * SPAN + (SPAN - 1))
     )
-    cover = F.shiftleft(
-        _low_bits(F.col("_high") - F.col("_low") + 1), F.pmod(F.col("_low"), F.lit(SPAN)).cast("int")
+    cover = _shift(
+        _low_bits(F.greatest(F.col("_high") - F.col("_low") + 1, F.lit(0).cast("bigint"))),
+        F.pmod(F.col("_low"), F.lit(SPAN)).cast("int"),
     )
     return rows.withColumn("_cover", cover).drop("_from", "_to")
 

@@ -204,3 +204,93 @@ select path, n - 1, case status when 'removed' then 'deletion' when 'added' then
 from d_lines where status <> 'changed'
 """,
 )
+
+# --- regions and constructs ----------------------------------------------------------------------------
+
+cte(
+    "d_regions",
+    """
+select path, side, ix * 5 + 1 start_line, least(ix * 5 + 5, n) end_line, ix * 5 + 1 header_end_line,
+  (['function','struct_','enum_','union_','test_decl','class'])[ix % 6 + 1] node_type,
+  concat('r', case when length(path) % 2 = 1 then ix % 3 else ix end) name,
+  (length(path) + ix) % 2 = 0 collapsed, 1 + ix % 3 level
+from (
+  select path, side, n, unnest(generate_series(0, (n - 1) // 5)) ix
+  from (
+    select path, 'old' side, greatest((select count(*) from d_old o where o.path = d.path), 1) n from d_docs d where status = 'changed'
+    union all
+    select path, 'new', greatest((select count(*) from d_new w where w.path = d.path), 1) from d_docs d where status = 'changed'
+  )
+)
+""",
+)
+cte("d_new_top", "select * from d_regions where side = 'new' and level = 1 and name <> ''")
+cte("d_old_top", "select * from d_regions where side = 'old' and level = 1 and name <> ''")
+cte(
+    "d_matched",
+    """
+select n.path, n.name, n.node_type, case when o.path is null then 'added' else 'modified' end change_type,
+  n.start_line line_start, n.end_line line_end, o.old_size
+from d_new_top n left join (
+  select path, name, arg_max(end_line - start_line, start_line) old_size from d_old_top group by path, name
+) o on o.path = n.path and o.name = n.name
+union all
+select path, name, node_type, 'deleted', start_line, end_line, null from d_old_top o
+where not exists (select 1 from d_new_top n where n.path = o.path and n.name = o.name)
+""",
+)
+cte("d_changed_lines", "select path, new_line line, category from d_entries where new_line is not null")
+cte(
+    "d_construct_lines",
+    """
+select m.path, m.name, m.node_type, m.change_type, m.line_start, m.line_end, m.old_size,
+  count(l.line) changes, coalesce(bool_and(l.category <> 'semantic'), true) all_cosmetic,
+  arg_min(l.category, l.line) filter (l.category <> 'semantic') first_cosmetic
+from d_matched m left join d_changed_lines l on l.path = m.path and l.line between m.line_start and m.line_end
+group by all
+""",
+)
+cte(
+    "d_constructs",
+    """
+select path, name, node_type, change_type, cast(line_start as bigint) line_start, cast(line_end as bigint) line_end,
+  cast(case when change_type = 'modified' then changes else line_end - line_start + 1 end as bigint) lines_changed,
+  case when change_type <> 'modified' or not all_cosmetic then 'semantic'
+       when line_end - line_start <> old_size then 'whitespace'
+       else coalesce(first_cosmetic, 'semantic') end category
+from d_construct_lines
+where change_type <> 'modified' or changes > 0 or line_end - line_start <> old_size
+""",
+)
+_COUNTED = ",\n  ".join(
+    f"count(*) filter (node_type in ({kinds}) and change_type = '{t}') {bucket}_{t}"
+    for bucket, kinds in {
+        "functions": "'function'",
+        "structs": "'struct_'",
+        "enums": "'enum_'",
+        "unions": "'union_'",
+        "tests": "'test_decl'",
+        "other": "'class', 'impl', 'trait', 'interface', 'module', 'other'",
+    }.items()
+    for t in ("added", "modified", "deleted")
+)
+COUNTERS = [f"{b}_{t}" for b in ("functions", "structs", "enums", "unions", "tests", "other") for t in ("added", "modified", "deleted")]
+cte(
+    "d_construct_counts",
+    f"""
+select path, {_COUNTED},
+  count(*) filter (category <> 'semantic') cosmetic_changes, count(*) filter (category = 'semantic') semantic_changes
+from d_constructs where path not like '%.md' group by path
+""",
+)
+ALL_COUNTERS = [*COUNTERS, "lines_added", "lines_deleted", "lines_modified", "cosmetic_changes", "semantic_changes"]
+cte(
+    "d_stats",
+    "select path, " + ", ".join(f"cast(coalesce({c}, 0) as bigint) {c}" for c in ALL_COUNTERS) + """
+from d_docs left join (
+  select path, count(*) filter (old_line is null) lines_added, count(*) filter (new_line is null) lines_deleted,
+    count(*) filter (old_line is not null and new_line is not null) lines_modified
+  from d_entries group by path
+) using (path) left join d_construct_counts using (path)
+""",
+)
