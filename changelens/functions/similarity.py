@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from changelens.functions.text import column, non_whitespace_bytes, strip_whitespace
 
@@ -26,7 +27,7 @@ def subsequence_length(a: bytes, b: bytes) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _subsequence_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [subsequence_length(x.encode(), y.encode()) for x, y in zip(left, right)], dtype="int64"
