@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelens.functions import text as X
+from changelens.functions.spans import change_ranges
+from changelens.functions.spans import inline_segments as inline
 from changelens.operators import difflines as D
+from changelens.operators import navigation as N
+from changelens.operators import regions as R
 from changelens.plans.registry import cte, query
-from changelens.plans.revisions import files
+from changelens.plans.revisions import files, line_regions
+from changelens.plans.session import numbered_lines
 
 
 @query(
@@ -98,3 +104,240 @@ from (
 )
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.line_offsets(files(spark, sf_dir), "new")
+
+
+# --- visibility ---------------------------------------------------------------------------------------
+
+cte(
+    "d_flagged",
+    """
+select l.*, not exists (
+    select 1 from d_regions r where r.path = l.path and r.collapsed and (
+      (r.side = 'new' and l.new_line > r.header_end_line and l.new_line <= r.end_line)
+      or (r.side = 'old' and l.line_type = 'deletion' and l.old_line > r.header_end_line and l.old_line <= r.end_line))
+  ) visible
+from d_diff_lines l
+""",
+)
+
+
+def rows_and_regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = files(spark, sf_dir)
+    return D.diff_lines(pairs), line_regions(pairs)
+
+
+@query("row_flags", "select path, cast(ord as bigint) ord, visible, visible and selectable navigable from d_flagged")
+def row_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.flag_rows(*rows_and_regions(spark, sf_dir)).select("path", "ord", "visible", "navigable")
+
+
+@query("hidden_semi", "select path, cast(ord as bigint) ord from d_flagged where not visible")
+def hidden_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.flag_rows(*rows_and_regions(spark, sf_dir)).filter("not visible").select("path", "ord")
+
+
+@query(
+    "visible_lines",
+    "select path, cast(ord as bigint) ord, line_type, category from d_flagged where visible and not (line_type <> 'context' and category <> 'semantic')",
+)
+def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = R.visible_lines(*rows_and_regions(spark, sf_dir), folded=True, drop_cosmetic=True)
+    return shown.select("path", "ord", "line_type", "category")
+
+
+@query(
+    "visible_split",
+    """
+select path, ord from d_split_rows s
+where not exists (select 1 from d_regions r where r.path = s.path and r.collapsed and (
+    (r.side = 'old' and s.left_line > r.header_end_line and s.left_line <= r.end_line)
+    or (r.side = 'new' and s.right_line > r.header_end_line and s.right_line <= r.end_line)))
+  and not ((left_line is not null or right_line is not null)
+    and not ((left_line is null or left_type = 'context') and (right_line is null or right_type = 'context'))
+    and (left_line is null or (left_type <> 'context' and left_category <> 'semantic'))
+    and (right_line is null or (right_type <> 'context' and right_category <> 'semantic')))
+""",
+)
+def visible_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, regions = rows_and_regions(spark, sf_dir)
+    return R.visible_split_rows(D.split_rows(rows), regions, folded=True, drop_cosmetic=True).select("path", "ord")
+
+
+@query(
+    "nearest_navigable",
+    """
+select path, cast(ord as bigint) ord, cast(case when visible then ord else coalesce(
+  max(case when visible and selectable then ord end) over (partition by path order by ord),
+  min(case when visible and selectable then ord end) over (partition by path order by ord desc), 0) end as bigint) cursor
+from d_flagged
+""",
+)
+def nearest_navigable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.nearest_navigable(N.flag_rows(*rows_and_regions(spark, sf_dir)))
+
+
+@query(
+    "scroll_to_line",
+    """
+select t.path, cast(t.line as bigint) line, (select min(ord) from d_diff_lines l where l.path = t.path and l.new_line >= t.line) ord
+from (select path, unnest([1, 12, 30, 90]) line from d_docs) t
+""",
+)
+def scroll_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = files(spark, sf_dir)
+    targets = pairs.select("path", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (1, 12, 30, 90)])).alias("line"))
+    return N.scroll_to_line(D.diff_lines(pairs), targets)
+
+
+_VIEWED = "src/0.rs"
+
+
+@query(
+    "viewport",
+    f"select ord, line_type, content from d_diff_lines where path = '{_VIEWED}' order by ord offset 2 limit 4",
+)
+def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.diff_lines(files(spark, sf_dir))
+    return N.viewport(rows, _VIEWED, 2, 4).select("ord", "line_type", "content")
+
+
+@query(
+    "viewports",
+    """
+select path, cast(shown_at as bigint) shown_at, cast(ord as bigint) ord from (
+  select *, row_number() over (partition by path order by ord) - 1 shown_at from d_flagged where visible
+) where shown_at between 3 and 9
+""",
+)
+def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven visible rows of every file after the first three."""
+    shown = R.visible_lines(*rows_and_regions(spark, sf_dir)).select("path", "ord")
+    return N.numbered(shown).filter(F.col("shown_at").between(3, 9)).select("path", "shown_at", "ord")
+
+
+@query(
+    "page_move",
+    """
+select path, cast(ord as bigint) ord, least(ord + 20, last) down, greatest(ord - 20, 0) up
+from (select path, ord, max(ord) over (partition by path) last from d_diff_lines)
+""",
+)
+def page_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.diff_lines(files(spark, sf_dir)).select("path", "ord")
+    ends = rows.groupBy("path").agg(F.max("ord").alias("last"))
+    cursor, last = F.col("ord"), F.col("last")
+    return rows.join(ends, "path").select(
+        "path", "ord",
+        N.page_move(cursor, last).alias("down"),
+        N.page_move(cursor, last, down=False).alias("up"),
+    )
+
+
+_EXCERPT = """
+select path, string_agg(concat(case line_type when 'addition' then '+' when 'deletion' then '-' when 'modification' then '~' else ' ' end, ' ',
+    case when line_type = 'modification' then concat(old_content, ' → ') else '' end, content, chr(10)), '' order by ord) code
+from d_diff_lines where coalesce(new_line, old_line) between 4 and 9 group by path
+"""
+
+
+@query("select_range", f"select path, cast(0 as bigint) part, code from ({_EXCERPT})")
+def select_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.excerpt(D.diff_lines(files(spark, sf_dir)), F.lit(4), F.lit(9))
+
+
+@query(
+    "ask_prompt",
+    f"""
+select path, concat('Context: Code review in project "demo"', chr(10), 'File: ', path, chr(10), 'Selected lines 4-9:', chr(10), '```', chr(10), code,
+  '```', chr(10), chr(10), 'Question: why?', chr(10), chr(10), 'Please provide a concise response.') prompt from ({_EXCERPT})
+""",
+)
+def ask_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = N.excerpt(D.diff_lines(files(spark, sf_dir)), F.lit(4), F.lit(9)).filter("part = 0")
+    prompt = X.ask_prompt(F.lit("demo"), F.col("path"), F.lit(4), F.lit(9), F.col("code"), F.lit("why?"))
+    return code.select("path", prompt.alias("prompt"))
+
+
+_FOUND = "cast(start_line as bigint) start_line, cast(level as bigint) level, name"
+
+
+@query(
+    "find_region_for_line",
+    f"""
+select path, line, {_FOUND} from (
+  select l.path, l.line, r.start_line, r.level, r.name, row_number() over (partition by l.path, l.line order by r.start_line, r.level) k
+  from c_lines l left join d_regions r on r.path = l.path and r.side = 'new' and l.line between r.start_line and r.end_line
+  where l.side = 'new'
+) where k = 1
+""",
+)
+def find_region_for_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = line_regions(files(spark, sf_dir))
+    lines = numbered_lines(spark, sf_dir).filter("side = 'new'")
+    return R.region_at(lines, regions).select("path", "line", "region.start_line", "region.level", "region.name")
+
+
+@query(
+    "innermost_header",
+    f"""
+select path, line, {_FOUND} from (
+  select l.path, l.line, r.start_line, r.level, r.name, row_number() over (partition by l.path, l.line order by r.level desc, r.start_line) k
+  from c_lines l left join (
+    select path, start_line, header_end_line + 6 header_end_line, level, name from d_regions where side = 'old') r
+    on r.path = l.path and l.line between r.start_line and r.header_end_line
+  where l.side = 'old'
+) where k = 1
+""",
+)
+def innermost_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers are stretched by six lines here, so that several cover a line."""
+    regions = line_regions(files(spark, sf_dir)).withColumn("header_end_line", F.col("header_end_line") + 6)
+    lines = numbered_lines(spark, sf_dir).filter("side = 'old'")
+    return R.header_at(lines, regions).select("path", "line", "region.start_line", "region.level", "region.name")
+
+
+@query(
+    "inline_segments",
+    """
+select path, pos, m.prefix, x.old_content[m.p + 1:length(x.old_content) - m.s] deleted, x.content[m.p + 1:length(x.content) - m.s] added, m.suffix from (
+  select path, cast(ord as bigint) pos, old_content, content, p, old_content[1:p] prefix, s, right(content, s) suffix from (
+    select *, list_max(list_filter(generate_series(0, least(length(old_content), length(content)) - p), lambda k: right(old_content, k) = right(content, k))) s
+    from (
+      select *, list_max(list_filter(generate_series(0, least(length(old_content), length(content))), lambda k: old_content[1:k] = content[1:k])) p
+      from d_diff_lines where line_type = 'modification'
+    )
+  )
+) m join d_diff_lines x using (path) where x.ord = m.pos
+""",
+)
+def inline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.diff_lines(files(spark, sf_dir)).filter("line_type = 'modification'")
+    cut = rows.select("path", F.col("ord").alias("pos"), inline("old_content", "content").alias("s"))
+    return cut.select("path", "pos", "s.*")
+
+
+@query(
+    "change_range",
+    """
+select path, cast(ord as bigint) ord, cast(p as bigint) start, cast(len(a) - s as bigint) old_end, cast(len(b) - s as bigint) new_end from (
+  select *, list_max(list_filter(generate_series(0, least(len(a), len(b)) - p), lambda k: k = 0 or a[len(a) - k + 1:] = b[len(b) - k + 1:])) s
+  from (
+    select *, list_max(list_filter(generate_series(0, least(len(a), len(b))), lambda k: a[1:k] = b[1:k])) p
+    from (
+      select path, ord, regexp_extract_all(hex(encode(old_content)), '..') a, regexp_extract_all(hex(encode(content)), '..') b
+      from d_diff_lines where line_type = 'modification' and bare
+    )
+  )
+)
+""",
+)
+def change_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte spans computed for modified pairs whose record carries no token spans."""
+    rows = D.diff_lines(files(spark, sf_dir)).filter("line_type = 'modification' and get(changes, 0).content = '' and get(changes, 0).end > 0")
+    ranges = change_ranges("old_content", "content")
+    return rows.select("path", "ord", ranges.alias("r")).select(
+        "path", "ord",
+        F.col("r.old_start").cast("bigint").alias("start"),
+        F.col("r.old_end").cast("bigint").alias("old_end"),
+        F.col("r.new_end").cast("bigint").alias("new_end"),
+    )

@@ -29,7 +29,7 @@ def _plain(value):
 
 
 def _kind(type_name: str) -> str:
-    return {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}.get(type_name, type_name)
+    return {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}.get(type_name, type_name)
 
 
 def rows_of(names, rows):
