@@ -132,6 +132,11 @@ def json_unescape(c: Column | str) -> Column:
     return F.from_json(F.concat(F.lit('{"v":"'), column(c), F.lit('"}')), "v string")["v"]
 
 
+def base64_text(c: Column | str) -> Column:
+    """Standard alphabet on one line (the built-in breaks lines at 76 characters)."""
+    return F.translate(F.base64(F.to_binary(column(c), F.lit("utf-8"))), "\r\n", "")
+
+
 # --- unified diff headers and line references ------------------------------------------------
 
 
