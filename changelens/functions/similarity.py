@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,28 +12,37 @@ from pyspark.sql.types import LongType
 from changelens.functions.text import column, non_whitespace_bytes, strip_whitespace
 
 
-def subsequence_length(a: bytes, b: bytes) -> int:
-    """Length of the longest common subsequence by the bit-vector method (one big-integer step per byte)."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
-    where: dict[int, int] = {}
-    for i, byte in enumerate(a):
-        where[byte] = where.get(byte, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for byte in b:
-        hit = row & where.get(byte, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(LongType())
-def _subsequence_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [subsequence_length(x.encode(), y.encode()) for x, y in zip(left, right)], dtype="int64"
-    )
+def _subsequence_function() -> Callable[[bytes, bytes], int]:
+    # Nested, so that workers get the code itself and need no copy of this package.
+    def subsequence_length(a: bytes, b: bytes) -> int:
+        """Length of the longest common subsequence by the bit-vector method (one big-integer step per byte)."""
+        if len(a) > len(b):
+            a, b = b, a
+        if not a:
+            return 0
+        where: dict[int, int] = {}
+        for i, byte in enumerate(a):
+            where[byte] = where.get(byte, 0) | (1 << i)
+        full = (1 << len(a)) - 1
+        row = full
+        for byte in b:
+            hit = row & where.get(byte, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(a) - row.bit_count()
+
+    return subsequence_length
+
+
+subsequence_length = _subsequence_function()
+
+
+def _subsequence_udf(left: Column, right: Column) -> Column:
+    length = subsequence_length
+
+    def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([length(x.encode(), y.encode()) for x, y in zip(left, right)], dtype="int64")
+
+    return F.pandas_udf(lengths, LongType())(left, right)
 
 
 def lcs_length(a: Column | str, b: Column | str, byte_limit: int | None = None) -> Column:

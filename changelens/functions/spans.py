@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from changelens.functions.text import column
 
 # Probe widths of the binary search for a common prefix: 2^30 … 1 covers any string cell.
-_PROBES = [1 << b for b in range(30, -1, -1)]
+_PROBES = "array(" + ", ".join(str(1 << b) for b in range(30, -1, -1)) + ")"
 
 
 def _common_length(room: Column, same_at: Callable[[Column], Column]) -> Column:
     """Largest n <= room for which ``same_at(n)`` holds, by binary search over an expression."""
-    probes = F.filter(F.array(*[F.lit(p) for p in _PROBES]), lambda p: p <= room)
+    probes = F.filter(F.expr(_PROBES), lambda p: p <= room)
     return F.aggregate(
         probes,
         F.lit(0),

@@ -20,8 +20,8 @@ def column(c: Column | str) -> Column:
 def mapped(c: Column | str, table: dict[str, str], default: Column | None = None) -> Column:
     """Look a value up in a small fixed table; anything else gives ``default`` (null when not given)."""
     c = column(c)
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    hit = F.when(c.isNull(), F.lit(None)).otherwise(pairs[c])
+    pairs = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in table.items()) + ")")
+    hit = F.when(c.isNotNull(), pairs[c])
     return hit if default is None else F.coalesce(hit, default)
 
 

@@ -6,15 +6,9 @@ own lines or entries is computed in the row: no shuffle, and no key to be skewed
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 1, 2, 4, … 2^30: more steps than any array cell has doublings.
-_STRIDES = [1 << b for b in range(31)]
-
-
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns through a one-row generator.
 
@@ -25,23 +19,23 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(made))
 
 
-def prefix(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """Running value of an associative ``op`` along an array, each element's own included.
+def _prefix(values: str, op: str) -> Column:
+    """Running value of an associative ``op`` along the (bound) array column ``values``.
 
     Doubling: after the step of stride k every element covers the 2k elements up to it, so the
-    cost is n log n for an array of n (bound) values.
+    cost is n log n for an array of n.
     """
-    strides = F.filter(F.array(*[F.lit(k) for k in _STRIDES]), lambda k: k < F.size(values))
-
-    def step(acc: Column, k: Column) -> Column:
-        return F.transform(acc, lambda x, i: F.when(i >= k, op(F.get(acc, i - k), x)).otherwise(x))
-
-    return F.aggregate(strides, values, step)
+    strides = ", ".join(str(1 << b) for b in range(31))
+    combined = op.format(a="acc[i - k]", b="x")
+    return F.expr(
+        f"aggregate(filter(array({strides}), k -> k < size({values})), {values},"
+        f" (acc, k) -> transform(acc, (x, i) -> if(i >= k, {combined}, x)))"
+    )
 
 
-def prefix_sum(values: Column) -> Column:
-    return prefix(values, lambda a, b: a + b)
+def prefix_sum(values: str) -> Column:
+    return _prefix(values, "{a} + {b}")
 
 
-def prefix_max(values: Column) -> Column:
-    return prefix(values, lambda a, b: F.greatest(a, b))
+def prefix_max(values: str) -> Column:
+    return _prefix(values, "greatest({a}, {b})")

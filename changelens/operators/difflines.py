@@ -37,7 +37,7 @@ def with_running_state(files: DataFrame) -> DataFrame:
         # Position of the last shown modification up to each entry, -1 before the first.
         jumps=F.transform("entries", lambda x, i: F.when(both(x) & ~_same(x), i).otherwise(F.lit(-1))),
     )
-    df = bind(df, steps=prefix_sum(F.col("steps")), jumps=prefix_max(F.col("jumps")))
+    df = bind(df, steps=prefix_sum("steps"), jumps=prefix_max("jumps"))
 
     def offset(jump: Column, i: Column) -> Column:
         at = F.get("entries", jump)
@@ -60,13 +60,13 @@ def with_running_state(files: DataFrame) -> DataFrame:
 
     df = bind(df, marks=F.transform("entries", mark))
     df = bind(df, set_at=F.transform("marks", lambda m: m["set_at"]))
-    df = bind(df, set_at=prefix_max(F.col("set_at")))
+    df = bind(df, set_at=prefix_max("set_at"))
     # The running maximum of (when last set, value) is the largest value since the last set.
     df = bind(
         df,
         marks=F.transform("marks", lambda m, i: F.struct(F.get("set_at", i).alias("at"), m["value"].alias("value"))),
     )
-    df = bind(df, marks=prefix_max(F.col("marks")))
+    df = bind(df, marks=prefix_max("marks"))
 
     def gap_after(x: Column, i: Column) -> Column:
         shown = F.get("marks", i)["value"]
@@ -273,7 +273,7 @@ def line_offsets(files: DataFrame, side: str = "new") -> DataFrame:
     """Every line with its number and the byte offset at which it starts."""
     lined = bind(files.select("path", f"{side}_content"), lines=text_lines(f"{side}_content"))
     lined = bind(lined, ends=F.transform("lines", lambda c: (F.octet_length(c) + 1).cast("bigint")))
-    lined = bind(lined, ends=prefix_sum(F.col("ends")))
+    lined = bind(lined, ends=prefix_sum("ends"))
     rows = lined.select("path", F.posexplode(F.arrays_zip("lines", "ends")).alias("_p", "x"))
     return rows.select(
         "path",

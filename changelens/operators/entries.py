@@ -73,7 +73,7 @@ def with_entry_array(files: DataFrame) -> DataFrame:
     )
     lined = bind(lined, bounds=F.transform("chunks", _bounds))
     lined = bind(lined, reach=F.transform("bounds", lambda b: F.coalesce(b["reach"], F.lit(0).cast("bigint"))))
-    lined = bind(lined, reach=prefix_max(F.col("reach")))
+    lined = bind(lined, reach=prefix_max("reach"))
     return lined.select("path", F.flatten(F.transform("chunks", _ranked_chunk)).alias("entries"))
 
 

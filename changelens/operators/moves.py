@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.similarity import body_similarity, similarity_bound, similarity_fast_path
@@ -15,10 +14,6 @@ from changelens.operators.entries import CosmeticConfig
 from changelens.operators.scan import Fold, running, whole
 
 ROUND = 64
-MOVED = (
-    "path string, name string, node_type string, old_start_line bigint, old_end_line bigint, "
-    "new_start_line bigint, new_end_line bigint, similarity double"
-)
 
 
 def region_bodies(files: DataFrame, regions: DataFrame) -> DataFrame:
@@ -61,104 +56,82 @@ def move_candidates(bodies: DataFrame, threshold: float = CosmeticConfig().move_
     The length of the bodies limits the similarity, so only neighbouring length bands meet, and
     the subsequence is computed for what still stands after that.
     """
-    old, new = _sides(bodies)
-    return _edges(old, new, threshold)
-
-
-def _sides(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old and new regions with ``nth``, their place among the regions of the same name and kind."""
-    keys = ["path", "side", "name", "node_type"]
-    place = F.col("start_line") * 16 + F.col("level")
-    ranked = running(
-        bodies.withColumn("_place", place), keys, "_place", [Fold("nth", F.lit(1).cast("bigint"))], tie=["end_line"]
-    )
-    keep = ["path", "name", "node_type", "start_line", "end_line", "body", "nth"]
-    return ranked.filter("side = 'old'").select(*keep), ranked.filter("side = 'new'").select(*keep)
+    keys = ["path", "name", "node_type"]
 
+    def one(side: str) -> DataFrame:
+        rows = _banded(bodies.filter(F.col("side") == side), threshold)
+        place = F.struct("start_line", "level", "end_line").alias(f"{side}_place")
+        return rows.select(*keys, place, F.col("body").alias(f"{side}_body"), "_band")
 
-def _edges(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
-    keys = ["path", "name", "node_type"]
-    left = _banded(old, threshold).select(
-        *keys,
-        F.col("start_line").alias("old_start_line"),
-        F.col("end_line").alias("old_end_line"),
-        F.col("body").alias("old_body"),
-        F.col("nth").alias("old_nth"),
-        F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"),
-    )
-    right = _banded(new, threshold).select(
-        *keys,
-        F.col("start_line").alias("new_start_line"),
-        F.col("end_line").alias("new_end_line"),
-        F.col("body").alias("new_body"),
-        F.col("nth").alias("new_nth"),
-        "_band",
-    )
-    pairs = left.join(right, [*keys, "_band"]).filter(
-        (F.col("old_start_line") != F.col("new_start_line")) | (F.col("old_end_line") != F.col("new_end_line"))
+    near = one("old").withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+    pairs = near.join(one("new"), [*keys, "_band"])
+    moved = (F.col("old_place.start_line") != F.col("new_place.start_line")) | (
+        F.col("old_place.end_line") != F.col("new_place.end_line")
     )
     # A UDF runs for every row it is given, so hopeless pairs go first.
-    pairs = pairs.filter(
-        similarity_fast_path("old_body", "new_body").isNotNull() | (similarity_bound("old_body", "new_body") >= threshold)
+    able = similarity_fast_path("old_body", "new_body").isNotNull() | (
+        similarity_bound("old_body", "new_body") >= threshold
     )
-    scored = pairs.withColumn("similarity", body_similarity("old_body", "new_body"))
-    return scored.filter(F.col("similarity") >= threshold).drop("old_body", "new_body", "_band")
+    scored = pairs.filter(moved & able).withColumn("similarity", body_similarity("old_body", "new_body"))
+    return scored.filter(F.col("similarity") >= threshold).select(*keys, "old_place", "new_place", "similarity")
 
 
 def moved_constructs(
     files: DataFrame, regions: DataFrame, threshold: float = CosmeticConfig().move_similarity, round_size: int = ROUND
 ) -> DataFrame:
-    """Old regions paired one to one with the new region they moved to (see MOVED).
+    """Old regions paired one to one with the new region they moved to.
 
     Old regions choose in order: the most similar new region of their name and kind that is
     still free, the first on ties. Each round lets the next ``round_size`` old regions of every
     name choose. An old region then needs no more than its ``round_size`` best candidates, since
-    at most that many are taken before it, so no group handed to Python exceeds round_size².
-    Names seldom repeat, and one round does; repeated ones are cut between rounds by a checkpoint.
+    fewer are taken before it in the round, so a name's candidates stay below round_size² rows.
+    Names seldom repeat, and then one round does; further rounds are separated by checkpoints.
     """
-    old, new = _sides(region_bodies(files, regions))
-    spark = files.sparkSession
-    rounds = old.agg(F.max(whole(F.col("nth") - 1, round_size))).first()[0]
-    if rounds is None:
-        return spark.createDataFrame([], MOVED)
+    keys = ["path", "name", "node_type"]
+    most = regions.filter("side = 'old'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    bodies = region_bodies(files, regions)
+    if (most or 0) <= round_size:
+        return _choose(move_candidates(bodies, threshold), round_size)
+
+    # Number the old regions of a name; new ones take no part in the numbering.
+    old = bodies.filter("side = 'old'").withColumn("_place", F.col("start_line") * 16 + F.col("level"))
+    old = running(old, keys, "_place", [Fold("_nth", F.lit(1).cast("bigint"))], tie=["end_line"]).drop("_place")
+    old = old.checkpoint()
+    new = bodies.filter("side = 'new'").checkpoint()
     found = None
-    for r in range(rounds + 1):
-        turn = old.filter(whole(F.col("nth") - 1, round_size) == r)
+    for r in range((most - 1) // round_size + 1):
+        turn = old.filter(whole(F.col("_nth") - 1, round_size) == r).drop("_nth")
         free = new
         if found is not None:
-            taken = found.select("path", "name", "node_type", F.col("new_nth").alias("nth"))
-            free = new.join(taken, ["path", "name", "node_type", "nth"], "left_anti")
-        chosen = _choose(_edges(turn, free, threshold), round_size)
-        found = chosen if found is None else found.unionByName(chosen)
-        if rounds:
-            found = _cut(spark, found)
-    return found.drop("new_nth")
-
-
-def _choose(edges: DataFrame, round_size: int) -> DataFrame:
-    best = Window.partitionBy("path", "name", "node_type", "old_nth").orderBy(F.desc("similarity"), "new_nth")
-    short = edges.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= round_size).drop("_k")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        kept = []
-        for row in group.sort_values(["old_nth", "similarity", "new_nth"], ascending=[True, False, True]).itertuples():
-            if ("old", row.old_nth) in taken or ("new", row.new_nth) in taken:
-                continue
-            taken.update([("old", row.old_nth), ("new", row.new_nth)])
-            kept.append(row.Index)
-        return group.loc[kept].drop(columns=["old_nth"])
-
-    columns = MOVED + ", new_nth bigint"
-    names = [c.split()[0] for c in columns.split(", ")]
-    return short.select(*names, "old_nth").groupBy("path", "name", "node_type").applyInPandas(pick, columns)
-
-
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return df.checkpoint()
+            taken = found.select(*keys, F.col("new_start_line").alias("start_line"), F.col("new_end_line").alias("end_line"))
+            free = new.join(taken, [*keys, "start_line", "end_line"], "left_anti").select(*turn.columns)
+        chosen = _choose(move_candidates(turn.unionByName(free), threshold), round_size)
+        found = (chosen if found is None else found.unionByName(chosen)).checkpoint()
+    return found
+
+
+def _choose(candidates: DataFrame, round_size: int) -> DataFrame:
+    """Let the old regions of each name choose in order, from their best candidates."""
+    keys = ["path", "name", "node_type"]
+    best = Window.partitionBy(*keys, "old_place").orderBy(F.desc("similarity"), "new_place")
+    short = candidates.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= round_size)
+    order = F.struct("old_place", "_k", "new_place", "similarity")
+    lists = short.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("edges"))
+
+    # Each step keeps an edge whose two ends are both still free.
+    def step(kept: Column, e: Column) -> Column:
+        used = F.exists(kept, lambda k: (k["old_place"] == e["old_place"]) | (k["new_place"] == e["new_place"]))
+        return F.when(used, kept).otherwise(F.concat(kept, F.array(e)))
+
+    pairs = F.aggregate("edges", F.filter("edges", lambda _: F.lit(False)), step)
+    return lists.select(*keys, F.explode(pairs).alias("e")).select(
+        *keys,
+        F.col("e.old_place.start_line").alias("old_start_line"),
+        F.col("e.old_place.end_line").alias("old_end_line"),
+        F.col("e.new_place.start_line").alias("new_start_line"),
+        F.col("e.new_place.end_line").alias("new_end_line"),
+        F.col("e.similarity").alias("similarity"),
+    )
 
 
 def moved_line(points: DataFrame, moved: DataFrame, side: str = "old", line: str = "line") -> DataFrame:

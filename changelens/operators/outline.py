@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.operators.barrier import bind, prefix_sum
-from changelens.operators.scan import Fold, last_known, running, whole
+from changelens.operators.barrier import bind, prefix_max, prefix_sum
+from changelens.operators.scan import whole
 from changelens.operators.source_code import FAMILIES, is_comment, is_string, tokens
 
 MAX_LEVEL = 3
@@ -64,15 +64,15 @@ HEADERS = {
 }
 
 
-def _header(text: Column, language: Column) -> Column:
-    """struct(kind, name) of a header line, else null."""
-    found = None
-    for lang, patterns in HEADERS.items():
-        for kind, pattern in patterns:
-            value = F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("name"))
-            hit = (language == lang) & text.rlike(pattern)
-            found = F.when(hit, value) if found is None else found.when(hit, value)
-    return found
+def _headers() -> Column:
+    """For each line of ``text``: struct(kind, name) of a header line, else null."""
+    cases = " ".join(
+        f"when language = '{lang}' and c rlike r'{pattern}'"
+        f" then named_struct('kind', '{kind}', 'name', regexp_extract(c, r'{pattern}', 1))"
+        for lang, patterns in HEADERS.items()
+        for kind, pattern in patterns
+    )
+    return F.expr(f"transform(text, c -> case {cases} end)")
 
 
 def _nesting(braces: Column) -> Column:
@@ -86,8 +86,8 @@ def _nesting(braces: Column) -> Column:
     return F.aggregate(F.split(braces, ""), start, step)
 
 
-def code_lines(files: DataFrame, side: str) -> DataFrame:
-    """Lines without comments and the inside of strings, with the levels that close and open on them.
+def _with_code_lines(files: DataFrame, side: str) -> DataFrame:
+    """(path, language, code): lines without comments and the inside of strings, with the levels they open and close.
 
     ``closes``/``opens`` are [from, to) level ranges and ``close_end`` is the line on which a
     region closed here ends. Blank lines are left out.
@@ -101,11 +101,10 @@ def code_lines(files: DataFrame, side: str) -> DataFrame:
         breaks = F.regexp_replace(t, r"[^\n]+", "")
         return F.when(is_comment(t, F.col("language")), breaks).when(is_string(t), F.concat(F.lit('"'), breaks)).otherwise(t)
 
-    quiet = F.array_join(F.transform("tok", blanked), "")
-    df = bind(df, text=F.split(quiet, "\n", -1))
-    df = bind(df, nest=F.transform("text", lambda c: _nesting(F.regexp_replace(c, r"[^{}]", ""))))
+    df = bind(df, text=F.split(F.array_join(F.transform("tok", blanked), ""), "\n", -1)).drop("tok", content)
+    df = bind(df, header=_headers(), nest=F.transform("text", lambda c: _nesting(F.regexp_replace(c, r"[^{}]", ""))))
     df = bind(df, depth=F.transform("nest", lambda n: n["cur"].cast("bigint")))
-    df = bind(df, depth=prefix_sum(F.col("depth")))
+    df = bind(df, depth=prefix_sum("depth"))
 
     def brace_line(c: Column, i: Column) -> Column:
         nest = F.get("nest", i)
@@ -114,6 +113,7 @@ def code_lines(files: DataFrame, side: str) -> DataFrame:
         return F.struct(
             (i + 1).cast("bigint").alias("line"),
             c.alias("text"),
+            F.get("header", i).alias("header"),
             before.alias("depth"),
             low.alias("close_from"),
             before.alias("close_to"),
@@ -125,12 +125,20 @@ def code_lines(files: DataFrame, side: str) -> DataFrame:
 
     def indented(c: Column, i: Column) -> Column:
         wide = F.replace(F.regexp_extract(c, r"^[ \t]*", 0), F.lit("\t"), F.lit(" " * INDENT))
-        return F.struct((i + 1).cast("bigint").alias("line"), c.alias("text"), whole(F.length(wide), INDENT).alias("depth"))
+        return F.struct(
+            (i + 1).cast("bigint").alias("line"),
+            c.alias("text"),
+            F.get("header", i).alias("header"),
+            whole(F.length(wide), INDENT).alias("depth"),
+        )
 
     filled = F.filter(F.transform("text", indented), lambda x: ~F.trim(x["text"], F.lit(" \t\r\f")).isin(""))
     # A line after the end closes whatever is still open.
     ending = F.struct(
-        (F.size("text") + 1).cast("bigint").alias("line"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("depth")
+        (F.size("text") + 1).cast("bigint").alias("line"),
+        F.lit("").alias("text"),
+        F.get("header", F.lit(-1)).alias("header"),
+        F.lit(0).cast("bigint").alias("depth"),
     )
     df = bind(df, filled=F.concat(filled, F.array(ending)))
 
@@ -140,6 +148,7 @@ def code_lines(files: DataFrame, side: str) -> DataFrame:
         return F.struct(
             x["line"].alias("line"),
             x["text"].alias("text"),
+            x["header"].alias("header"),
             x["depth"].alias("depth"),
             F.least(x["depth"], level).alias("close_from"),
             level.alias("close_to"),
@@ -151,117 +160,113 @@ def code_lines(files: DataFrame, side: str) -> DataFrame:
 
     by_indent = F.transform("filled", indent_line)
     by_brace = F.filter(F.transform("text", brace_line), lambda x: x["text"] != "")
-    lines = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
-    return df.select("path", "language", F.lit(side).alias("side"), F.explode(lines).alias("x")).select(
-        "path", "language", "side", "x.*"
-    )
+    code = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
+    return bind(df, code=code).select("path", "language", "code")
+
+
+_MARK = (
+    "struct<depth:bigint,up:bigint,step:int,line:bigint,opens:bigint,at_start:boolean,closes:bigint,"
+    "kind:string,name:string,next_line:bigint>"
+)
+
+
+def _mark(x: Column, depth: Column, step: int, **more: Column) -> Column:
+    """An opening (step 0), header (1) or closing (2) of a level. Ordered from the last line up."""
+    names = {"opens": "bigint", "at_start": "boolean", "closes": "bigint", "kind": "string", "name": "string", "next_line": "bigint"}
+    return F.struct(
+        depth.cast("bigint").alias("depth"),
+        (-x["line"]).alias("up"),
+        F.lit(step).alias("step"),
+        x["line"].alias("line"),
+        *[(more.get(n, F.lit(None))).cast(t).alias(n) for n, t in names.items()],
+    ).cast(_MARK)
+
+
+def _levels(start: Column, end: Column) -> Column:
+    return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def find_regions(files: DataFrame, side: str = "new") -> DataFrame:
     """Regions of one version of each file (see schemas.REGIONS), all collapsed.
 
     Only constructs directly inside other constructs nest, down to three levels, and those on a
-    single line are left out.
+    single line are left out. A file is worked on in its row, so this needs no shuffle.
     """
-    lines = code_lines(files, side)
-    keys = ["path", "language", "side"]
-    header = _header(F.col("text"), F.col("language"))
-    braces = F.contains(F.col("text"), F.lit("{"))
-    complete = (braces & (F.col("open_from") == F.col("open_to"))) | (
-        ~braces & F.regexp_replace("text", r"\s+$", "").endswith(";")
-    )
-    marks = lines.select(
-        *keys,
-        F.inline(
-            F.concat(
-                # Scanned from the last line up: on one line an opening is met first, then the
-                # header, and a closing only by headers above it.
-                F.transform(
-                    F.when(F.col("open_to") > F.col("open_from"), F.sequence(F.col("open_from"), F.col("open_to") - 1)).otherwise(
-                        F.array().cast("array<bigint>")
-                    ),
-                    lambda v: _mark(v, F.lit(0), opens=_opening()),
-                ),
-                F.filter(
-                    F.array(
-                        _mark(F.col("depth"), F.lit(1), kind=header["kind"], name=header["name"], next_line=F.col("next_line"))
-                    ),
-                    lambda _: header.isNotNull() & ~((F.col("language") != "python") & complete),
-                ),
-                F.transform(
-                    F.when(
-                        F.col("close_to") > F.col("close_from"), F.sequence(F.col("close_from"), F.col("close_to") - 1)
-                    ).otherwise(F.array().cast("array<bigint>")),
-                    lambda v: _mark(v, F.lit(2), closes=F.col("close_end")),
-                ),
-            )
-        ),
-    )
-    ends = running(
-        marks.withColumn("_up", -F.col("line")),
-        [*keys, "depth"],
-        "_up",
-        [last_known("_open", F.col("opens")), last_known("_end", F.col("closes"))],
-        tie=["step"],
-    ).filter("step = 1")
-    # Two numbers in one: the line that opens, and whether its brace starts the line.
-    open_line = whole(F.col("_open"), 2)
-    at_start = F.pmod("_open", F.lit(2)) == 1
     python = F.col("language") == "python"
-    header_end = F.greatest(F.when(python | at_start, open_line - 1).otherwise(open_line), F.col("line"))
-    spans = ends.withColumn("end_line", F.col("_end")).withColumn("header_end_line", header_end)
-    spans = spans.filter(
-        (F.col("end_line") > F.col("line"))
-        & F.col("_open").isNotNull()
-        & (open_line <= F.col("end_line"))
-        & (~python | (open_line == F.col("next_line")))
-    ).select(*keys, "depth", "line", "end_line", "header_end_line", "kind", "name")
 
-    # How many regions enclose a header: starts above it minus ends above it.
-    visits = spans.withColumn(
-        "_v",
-        F.explode(
-            F.array(
-                F.struct(F.col("line").alias("at"), F.lit(0).alias("tie"), F.lit(0).cast("bigint").alias("n")),
-                F.struct(F.col("line").alias("at"), F.lit(1).alias("tie"), F.lit(1).cast("bigint").alias("n")),
-                F.struct(F.col("end_line").alias("at"), F.lit(2).alias("tie"), F.lit(-1).cast("bigint").alias("n")),
-            )
-        ),
-    ).select(*spans.columns, "_v.*")
-    counted = running(visits, keys, "at", [Fold("_inside", F.col("n"))], tie=["tie"]).filter("tie = 0")
-    direct = counted.filter((F.col("_inside") == F.col("depth")) & (F.col("depth") < MAX_LEVEL))
-    return direct.select(
-        "path",
-        "side",
-        F.col("line").alias("start_line"),
-        "end_line",
-        "header_end_line",
-        F.col("kind").alias("node_type"),
-        "name",
-        F.lit(True).alias("collapsed"),
-        (F.col("depth") + 1).alias("level"),
+    def marks_of(x: Column) -> Column:
+        header = x["header"]
+        braces = F.contains(x["text"], F.lit("{"))
+        # A body that closes on the header's own line, or a declaration without one.
+        complete = (braces & (x["open_from"] == x["open_to"])) | (
+            ~braces & F.regexp_replace(x["text"], r"\s+$", "").endswith(";")
+        )
+        is_header = header.isNotNull() & (python | ~complete)
+        return F.concat(
+            F.transform(
+                _levels(x["open_from"], x["open_to"]),
+                lambda v: _mark(x, v, 0, opens=x["line"], at_start=x["text"].startswith("{")),
+            ),
+            F.filter(
+                F.array(_mark(x, x["depth"], 1, kind=header["kind"], name=header["name"], next_line=x["next_line"])),
+                lambda _: is_header,
+            ),
+            F.transform(_levels(x["close_from"], x["close_to"]), lambda v: _mark(x, v, 2, closes=x["close_end"])),
+        )
+
+    df = _with_code_lines(files, side)
+    # Sorted by level and then from the last line up, the nearest opening and closing at or below
+    # a header are the latest ones before it in the array.
+    df = bind(df, marks=F.array_sort(F.flatten(F.transform("code", marks_of)))).drop("code")
+    df = bind(
+        df,
+        open_at=F.transform("marks", lambda m, i: F.when(m["step"] == 0, i).otherwise(-1)),
+        close_at=F.transform("marks", lambda m, i: F.when(m["step"] == 2, i).otherwise(-1)),
     )
+    df = bind(df, open_at=prefix_max("open_at"), close_at=prefix_max("close_at"))
 
+    def span(m: Column, i: Column) -> Column:
+        opening, closing = F.get("marks", F.get("open_at", i)), F.get("marks", F.get("close_at", i))
+        first = F.when(opening["depth"] == m["depth"], opening["opens"])
+        last = F.when(closing["depth"] == m["depth"], closing["closes"])
+        header_end = F.greatest(F.when(python | opening["at_start"], first - 1).otherwise(first), m["line"])
+        whole_body = (m["step"] == 1) & (last > m["line"]) & (first <= last) & (~python | (first == m["next_line"]))
+        return F.when(
+            whole_body,
+            F.struct(
+                m["line"].alias("start_line"), last.alias("end_line"), header_end.alias("header_end_line"),
+                m["kind"].alias("node_type"), m["name"].alias("name"), m["depth"].alias("depth"),
+            ),
+        )
 
-def _opening() -> Column:
-    brace_first = F.col("text").startswith("{")
-    return F.col("line") * 2 + F.when(brace_first, 1).otherwise(0)
+    df = bind(df, spans=F.array_compact(F.transform("marks", span))).drop("marks", "open_at", "close_at")
 
+    # How many regions enclose a header: starts above it minus ends above it.
+    def visits(s: Column) -> Column:
+        def visit(at: Column, tie: int, n: int) -> Column:
+            return F.struct(at.alias("at"), F.lit(tie).alias("tie"), F.lit(n).cast("bigint").alias("n"), s.alias("span"))
 
-def _mark(
-    depth: Column, step: Column, opens: Column | None = None, closes: Column | None = None,
-    kind: Column | None = None, name: Column | None = None, next_line: Column | None = None,
-) -> Column:
-    def value(c: Column | None, kind_: str) -> Column:
-        return (F.lit(None) if c is None else c).cast(kind_)
+        return F.array(visit(s["start_line"], 0, 0), visit(s["start_line"], 1, 1), visit(s["end_line"], 2, -1))
 
-    return F.struct(
-        depth.cast("bigint").alias("depth"),
-        F.col("line").alias("line"),
-        step.alias("step"),
-        value(opens, "bigint").alias("opens"),
-        value(closes, "bigint").alias("closes"),
-        value(kind, "string").alias("kind"),
-        value(name, "string").alias("name"),
-        value(next_line, "bigint").alias("next_line"),
+    df = bind(df, visits=F.array_sort(F.flatten(F.transform("spans", visits))))
+    df = bind(df, inside=F.transform("visits", lambda v: v["n"]))
+    df = bind(df, inside=prefix_sum("inside"))
+    direct = F.filter(
+        F.transform(
+            "visits",
+            lambda v, i: F.struct(v["tie"].alias("tie"), v["span"].alias("span"), F.get("inside", i).alias("inside")),
+        ),
+        lambda v: (v["tie"] == 0) & (v["inside"] == v["span"]["depth"]) & (v["inside"] < MAX_LEVEL),
+    )
+    rows = df.select("path", F.explode(direct).alias("v"))
+    return rows.select(
+        "path",
+        F.lit(side).alias("side"),
+        "v.span.start_line",
+        "v.span.end_line",
+        "v.span.header_end_line",
+        "v.span.node_type",
+        "v.span.name",
+        F.lit(True).alias("collapsed"),
+        (F.col("v.span.depth") + 1).alias("level"),
     )

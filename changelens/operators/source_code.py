@@ -49,6 +49,11 @@ PRIMITIVES = (
     "u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f16 f32 f64 f128 bool boolean byte char str void int "
     "long short float double unsigned signed size_t anyerror anytype noreturn comptime_int type"
 ).split()
+# Reserved words without a highlight of their own; they are no identifiers either.
+RESERVED = (
+    "function elif except pass raise global nonlocal assert del extends implements instanceof delete throws "
+    "typedef namespace template operator virtual friend using register auto final abstract synchronized fallthrough map"
+).split()
 _WORDS_THAT_ARE_NODES = ("null_literal", "boolean")
 
 
@@ -84,8 +89,8 @@ def is_word(token: Column) -> Column:
 
 
 def is_identifier(token: Column) -> Column:
-    """A word that is no keyword, constant or built-in type."""
-    return is_word(token) & ~token.isin(*schemas.KEYWORDS, *schemas.CONSTANTS, *PRIMITIVES)
+    """A word that is no keyword, constant, reserved word or built-in type."""
+    return is_word(token) & ~token.isin(*schemas.KEYWORDS, *schemas.CONSTANTS, *PRIMITIVES, *RESERVED)
 
 
 def token_highlight(token: Column, language: Column) -> Column:
@@ -113,7 +118,7 @@ def token_rows(files: DataFrame, side: str = "new") -> DataFrame:
         ends=F.transform("tok", lambda t: F.octet_length(t).cast("bigint")),
         breaks=F.transform("tok", lambda t: (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("bigint")),
     )
-    df = bind(df, ends=prefix_sum(F.col("ends")), breaks=prefix_sum(F.col("breaks")))
+    df = bind(df, ends=prefix_sum("ends"), breaks=prefix_sum("breaks"))
     rows = df.select("path", "language", F.posexplode(F.arrays_zip("tok", "ends", "breaks")).alias("pos", "x"))
     token = F.col("x.tok")
     inner = F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))

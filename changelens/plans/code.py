@@ -236,7 +236,7 @@ cte(
     """
 select side, path, end_byte - strlen(token) start_byte, end_byte, case
   when token[1] = '"' then 'string' when token[1:2] = '//' or token[1] = '#' then 'comment'
-  when token in ('fn', 'mod', 'pub', 'def', 'class', 'async', 'self', 'function', 'const', 'struct', 'test') then 'keyword'
+  when token in ('fn', 'mod', 'pub', 'def', 'class', 'async', 'self', 'const', 'struct', 'test') then 'keyword'
   when token = 'void' then 'type_' when token in ('=') then 'operator'
   when token in ('(', ')', '{', '}', ':', ';') then 'punctuation' end highlight
 from k_tokens
@@ -258,20 +258,20 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "syntax_span_at",
     """
-select p.path, p.at, (select arg_min(s.highlight, s.start_byte) from k_spans s
-  where s.side = 'new' and s.path = p.path and s.highlight is not null and s.start_byte <= p.at and p.at < s.end_byte) highlight
-from (select path, cast(unnest([0, 7, 25, 60, 200]) as bigint) at from k_docs) p
+select p.path, p.byte_at, (select arg_min(s.highlight, s.start_byte) from k_spans s
+  where s.side = 'new' and s.path = p.path and s.highlight is not null and s.start_byte <= p.byte_at and p.byte_at < s.end_byte) highlight
+from (select path, cast(unnest([0, 7, 25, 60, 200]) as bigint) byte_at from k_docs) p
 """,
 )
 def syntax_span_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highlight class at chosen bytes of each file."""
     pairs = code_files(spark, sf_dir)
-    points = pairs.select("path", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (0, 7, 25, 60, 200)])).alias("at"))
+    points = pairs.select("path", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (0, 7, 25, 60, 200)])).alias("byte_at"))
     found = B.best_interval(
-        points, K.highlight_spans(pairs, "new"), ["path"], "at", F.col("start_byte"), F.col("end_byte") - 1,
+        points, K.highlight_spans(pairs, "new"), ["path"], "byte_at", F.col("start_byte"), F.col("end_byte") - 1,
         [F.col("start_byte")], ["highlight"], "span",
     )
-    return found.select("path", "at", "span.highlight")
+    return found.select("path", "byte_at", "span.highlight")
 
 
 @query(
@@ -352,7 +352,7 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.replace(a, F.lit("v_"), F.lit("u_")))
         .when(k == 1, F.replace(a, F.lit(" = "), F.lit("  =  ")))
         .when(k == 2, F.replace(a, F.lit(", other"), F.lit("")))
-        .when(k == 3, F.replace(a, F.lit("other"), F.concat(F.lit("v_"), word)))
+        .when(k == 3, F.replace(a, F.lit(", other)"), F.concat(F.lit(", v_"), word, F.lit(")"))))
         .otherwise("")
     )
     return docs.select("doc_id", n.alias("n"), a.alias("a"), b.alias("b"), word.alias("word"))

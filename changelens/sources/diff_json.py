@@ -23,7 +23,7 @@ def split_objects(df: DataFrame, text: str) -> DataFrame:
     cut = bind(df, pieces=F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0)))
     step = F.transform("pieces", lambda p: F.when(p == "{", 1).when(p == "}", -1).otherwise(0))
     cut = bind(cut, depth=step)
-    cut = bind(cut, depth=prefix_sum(F.col("depth")))
+    cut = bind(cut, depth=prefix_sum("depth"))
     places = F.when(F.size("pieces") > 0, F.sequence(F.lit(0), F.size("pieces") - 1)).otherwise(
         F.array().cast("array<int>")
     )

@@ -18,7 +18,7 @@ def with_hunk_lines(diffs: DataFrame, start: Column, end: Column) -> DataFrame:
     """
     df = bind(diffs, text=text_lines("diff"), start=start.cast("bigint"), end=end.cast("bigint"))
     df = bind(df, hunk=F.transform("text", lambda c, i: F.when(c.startswith("@@"), i).otherwise(-1)))
-    df = bind(df, hunk=prefix_max(F.col("hunk")))
+    df = bind(df, hunk=prefix_max("hunk"))
 
     def kind(c: Column, i: Column) -> Column:
         first, at = F.substring(c, 1, 1), F.get("hunk", i)
@@ -30,7 +30,7 @@ def with_hunk_lines(diffs: DataFrame, start: Column, end: Column) -> DataFrame:
         old_seen=F.transform("kinds", lambda k: F.when(k.isin("-", " "), 1).otherwise(0).cast("bigint")),
         new_seen=F.transform("kinds", lambda k: F.when(k.isin("+", " "), 1).otherwise(0).cast("bigint")),
     )
-    df = bind(df, old_seen=prefix_sum(F.col("old_seen")), new_seen=prefix_sum(F.col("new_seen")))
+    df = bind(df, old_seen=prefix_sum("old_seen"), new_seen=prefix_sum("new_seen"))
 
     def numbered(k: Column, i: Column) -> Column:
         at = F.get("hunk", i)
@@ -54,7 +54,7 @@ def with_hunk_lines(diffs: DataFrame, start: Column, end: Column) -> DataFrame:
         return (x["kind"].isin("+", " ") & no.between(first, last)) | ((x["kind"] == "-") & no.between(first, last + 1))
 
     df = bind(df, kept=F.transform("numbered", lambda x: F.coalesce(in_range(x), F.lit(False)).cast("int")))
-    df = bind(df, kept_upto=prefix_sum(F.col("kept")))
+    df = bind(df, kept_upto=prefix_sum("kept"))
 
     def line(x: Column, i: Column) -> Column:
         some_before = F.get("kept_upto", i) - F.get("kept_upto", x["hunk"]) > 0
