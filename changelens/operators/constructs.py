@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from changelens import schemas
 from changelens.functions.text import language_of, mapped
 from changelens.operators import bitmaps as B
-from changelens.operators.entries import changed_lines, classify, diff_entries, is_cosmetic, line_counts
+from changelens.operators.entries import changed_lines, file_line_counts, is_cosmetic, plain_entries
 from changelens.operators.joins import salted_lookup
 
 _PLACE = ("start_line", "level", "end_line")
@@ -147,12 +147,10 @@ def file_summary(files: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataF
 
     Files whose path gives no language have line counts only.
     """
-    entries = classify(diff_entries(files))
     known = regions.filter(language_of("path").isNotNull())
-    constructs = changed_constructs(known, changed_lines(entries))
+    constructs = changed_constructs(known, changed_lines(plain_entries(files)))
     stats = (
-        files.select("path")
-        .join(line_counts(entries), "path", "left")
+        file_line_counts(files)
         .join(construct_counts(constructs), "path", "left")
         .na.fill(0, COUNTERS)
         .select("path", *COUNTERS)

@@ -43,7 +43,7 @@ def diff_entries(files: DataFrame) -> DataFrame:
     this needs no shuffle. ``pos`` counts entries in display order over the whole file:
     chunk by chunk, each sorted by new line (old line where there is none), ties as recorded.
     """
-    rows = with_entry_array(files).select("path", F.posexplode("entries").alias("pos", "x"))
+    rows = with_entry_array(files, context=False).select("path", F.posexplode("entries").alias("pos", "x"))
     return rows.select(
         "path",
         F.col("pos").cast("bigint").alias("pos"),
@@ -59,10 +59,25 @@ def diff_entries(files: DataFrame) -> DataFrame:
     )
 
 
-def with_entry_array(files: DataFrame) -> DataFrame:
+def plain_entries(files: DataFrame) -> DataFrame:
+    """One row per entry as recorded, without line texts: contents are not read, nothing is sorted."""
+    chunks = files.select("path", F.posexplode("chunks").alias("c", "chunk"))
+    rows = chunks.select("path", "c", F.posexplode("chunk").alias("i", "e"))
+    return rows.select(
+        "path",
+        F.col("c").cast("bigint").alias("chunk_idx"),
+        F.col("i").cast("bigint").alias("entry_idx"),
+        (F.col("e.lhs.line_number") + 1).cast("bigint").alias("old_line"),
+        (F.col("e.rhs.line_number") + 1).cast("bigint").alias("new_line"),
+        F.coalesce("e.lhs.changes", F.array().cast(_CHANGES)).alias("old_changes"),
+        F.coalesce("e.rhs.changes", F.array().cast(_CHANGES)).alias("new_changes"),
+    )
+
+
+def with_entry_array(files: DataFrame, context: bool = True) -> DataFrame:
     """(path, entries): the entries of each file in display order, with what the views need around them.
 
-    Each entry carries the unchanged new lines that may be shown next to it and were not shown by
+    With ``context`` each entry carries the unchanged new lines that may be shown next to it and were not shown by
     an earlier chunk: ``lead`` before a chunk's first entry, ``gap`` since the chunk's previous
     new-side entry, ``trail`` after the chunk's last entry, each with the number of its first line.
     """
@@ -71,10 +86,13 @@ def with_entry_array(files: DataFrame) -> DataFrame:
         old_lines=text_lines("old_content"),
         new_lines=text_lines("new_content"),
     )
+    if not context:
+        ranked = F.transform("chunks", lambda c, i: _ranked_chunk(c, i, context=False))
+        return lined.select("path", F.flatten(ranked).alias("entries"))
     lined = bind(lined, bounds=F.transform("chunks", _bounds))
     lined = bind(lined, reach=F.transform("bounds", lambda b: F.coalesce(b["reach"], F.lit(0).cast("bigint"))))
     lined = bind(lined, reach=prefix_max("reach"))
-    return lined.select("path", F.flatten(F.transform("chunks", _ranked_chunk)).alias("entries"))
+    return lined.select("path", F.flatten(F.transform("chunks", lambda c, i: _ranked_chunk(c, i))).alias("entries"))
 
 
 def _bounds(chunk: Column) -> Column:
@@ -93,11 +111,8 @@ def _bounds(chunk: Column) -> Column:
     )
 
 
-def _ranked_chunk(chunk: Column, chunk_idx: Column) -> Column:
+def _ranked_chunk(chunk: Column, chunk_idx: Column, context: bool = True) -> Column:
     """A chunk's entries in display order, with line texts and surrounding unchanged lines."""
-    bounds = F.get("bounds", chunk_idx)
-    # Last new line that earlier chunks have shown, their trailing context included.
-    shown = F.coalesce(F.get("reach", chunk_idx - 1), F.lit(0).cast("bigint"))
     keyed = F.transform(
         chunk,
         lambda e, i: F.struct(
@@ -106,6 +121,29 @@ def _ranked_chunk(chunk: Column, chunk_idx: Column) -> Column:
             e.alias("e"),
         ),
     )
+
+    def texts(x: Column, rank: Column) -> list[Column]:
+        lhs, rhs = x["e"]["lhs"], x["e"]["rhs"]
+        old_text = F.when(lhs.isNotNull(), F.coalesce(F.get("old_lines", lhs["line_number"]), F.lit("")))
+        new_text = F.when(rhs.isNotNull(), F.coalesce(F.get("new_lines", rhs["line_number"]), F.lit("")))
+        return [
+            chunk_idx.cast("bigint").alias("chunk_idx"),
+            x["i"].cast("bigint").alias("entry_idx"),
+            (rank + 1).cast("bigint").alias("entry_rank"),
+            (lhs["line_number"] + 1).cast("bigint").alias("old_line"),
+            (rhs["line_number"] + 1).cast("bigint").alias("new_line"),
+            F.coalesce(lhs["changes"], F.array().cast(_CHANGES)).alias("old_changes"),
+            F.coalesce(rhs["changes"], F.array().cast(_CHANGES)).alias("new_changes"),
+            old_text.alias("old_text"),
+            new_text.alias("new_text"),
+        ]
+
+    if not context:
+        return F.transform(F.array_sort(keyed), lambda x, rank: F.struct(*texts(x, rank)))
+
+    bounds = F.get("bounds", chunk_idx)
+    # Last new line that earlier chunks have shown, their trailing context included.
+    shown = F.coalesce(F.get("reach", chunk_idx - 1), F.lit(0).cast("bigint"))
     # New-side entries know the new-side entry before them; the chunk's first one has no gap.
     on_new = F.array_sort(F.filter(keyed, lambda x: x["e"]["rhs"].isNotNull()))
     with_gap = F.transform(
@@ -138,21 +176,11 @@ def _ranked_chunk(chunk: Column, chunk_idx: Column) -> Column:
         )
 
     def shown_entry(x: Column, rank: Column) -> Column:
-        lhs, rhs = x["e"]["lhs"], x["e"]["rhs"]
-        old_text = F.when(lhs.isNotNull(), F.coalesce(F.get("old_lines", lhs["line_number"]), F.lit("")))
-        new_text = F.when(rhs.isNotNull(), F.coalesce(F.get("new_lines", rhs["line_number"]), F.lit("")))
+        rhs = x["e"]["rhs"]
         first, last = rank == 0, rank + 1 == bounds["entries"]
         none = F.lit(None).cast("bigint")
         return F.struct(
-            chunk_idx.cast("bigint").alias("chunk_idx"),
-            x["i"].cast("bigint").alias("entry_idx"),
-            (rank + 1).cast("bigint").alias("entry_rank"),
-            (lhs["line_number"] + 1).cast("bigint").alias("old_line"),
-            (rhs["line_number"] + 1).cast("bigint").alias("new_line"),
-            F.coalesce(lhs["changes"], F.array().cast(_CHANGES)).alias("old_changes"),
-            F.coalesce(rhs["changes"], F.array().cast(_CHANGES)).alias("new_changes"),
-            old_text.alias("old_text"),
-            new_text.alias("new_text"),
+            *texts(x, rank),
             F.coalesce(first & (shown > 0) & (bounds["start"] > shown + 1), F.lit(False)).alias("gap_before"),
             unchanged(F.when(first, bounds["start"]).otherwise(none), bounds["first_new"] - 1).alias("lead"),
             unchanged(x["gap_from"], rhs["line_number"]).alias("gap"),
@@ -248,9 +276,8 @@ def _analysis(kind: str, details: Column) -> Column:
 
 def classify(entries: DataFrame, config: CosmeticConfig = CosmeticConfig()) -> DataFrame:
     """Add ``category`` and ``same`` (a pair whose full lines are equal, which the views skip)."""
-    return entries.withColumn("category", category(config=config)).withColumn(
-        "same", F.coalesce(F.col("old_text") == F.col("new_text"), F.lit(False))
-    )
+    same = F.coalesce(F.col("old_text") == F.col("new_text"), F.lit(False))
+    return entries.select("*", category(config=config).alias("category"), same.alias("same"))
 
 
 # --- counts -----------------------------------------------------------------------------------------
@@ -266,6 +293,22 @@ def line_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def file_line_counts(files: DataFrame) -> DataFrame:
+    """The counts of ``line_counts`` for every file, taken from the file's row."""
+    none = F.array().cast(f"array<{schemas.ENTRY}>")
+    flat = bind(files.select("path", "chunks"), entries=F.coalesce(F.flatten("chunks"), none))
+
+    def count(condition: str) -> Column:
+        return F.expr(f"cast(size(filter(entries, e -> {condition})) as bigint)")
+
+    return flat.select(
+        "path",
+        count("e.lhs is null and e.rhs is not null").alias("lines_added"),
+        count("e.lhs is not null and e.rhs is null").alias("lines_deleted"),
+        count("e.lhs is not null and e.rhs is not null").alias("lines_modified"),
+    )
+
+
 def cosmetic_counts(classified: DataFrame) -> DataFrame:
     """Changed lines per cosmetic class and file, among those a view shows."""
     shown = classified.filter(~F.col("same"))
@@ -284,10 +327,12 @@ def chunk_bounds(entries: DataFrame) -> DataFrame:
     )
 
 
-def changed_lines(classified: DataFrame) -> DataFrame:
+def changed_lines(entries: DataFrame, config: CosmeticConfig = CosmeticConfig()) -> DataFrame:
     """Distinct changed new lines with the category written last."""
+    if "category" not in entries.columns:
+        entries = entries.withColumn("category", category(config=config))
     return (
-        classified.filter(F.col("new_line").isNotNull())
+        entries.filter(F.col("new_line").isNotNull())
         .groupBy("path", F.col("new_line").alias("line"))
         .agg(F.max_by("category", F.struct("chunk_idx", "entry_idx")).alias("category"))
     )

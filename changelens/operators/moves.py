@@ -21,14 +21,10 @@ def region_bodies(files: DataFrame, regions: DataFrame) -> DataFrame:
 
     Lines meet regions by 60-line bucket; a body is a piece of one file, so gathering it is bounded.
     """
-    sides = []
-    for side in ("old", "new"):
-        lines = files.select("path", text_lines(f"{side}_content").alias("l"))
-        rows = lines.select(
-            "path", F.lit(side).alias("side"), F.size("l").alias("n"), F.posexplode("l").alias("p", "text")
-        )
-        sides.append(rows)
-    lines = sides[0].unionByName(sides[1]).select(
+    versions = [F.struct(F.lit(v).alias("side"), text_lines(f"{v}_content").alias("l")) for v in ("old", "new")]
+    rows = files.select("path", F.inline(F.array(*versions)))
+    rows = rows.select("path", "side", F.size("l").alias("n"), F.posexplode("l").alias("p", "text"))
+    lines = rows.select(
         "path",
         "side",
         (F.col("p") + 1).cast("bigint").alias("line"),
@@ -44,6 +40,17 @@ def region_bodies(files: DataFrame, regions: DataFrame) -> DataFrame:
     return bodies.filter("body <> ''")
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Store a result that is read several times, where the session names a shared checkpoint folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _banded(rows: DataFrame, threshold: float) -> DataFrame:
     """Add ``_band``: bodies whose lengths allow the threshold are at most one band apart."""
     unit = max(-math.log(threshold), 1e-6) * 1.0001
@@ -85,19 +92,20 @@ def moved_constructs(
     still free, the first on ties. Each round lets the next ``round_size`` old regions of every
     name choose. An old region then needs no more than its ``round_size`` best candidates, since
     fewer are taken before it in the round, so a name's candidates stay below round_size² rows.
-    Names seldom repeat, and then one round does; further rounds are separated by checkpoints.
+    Names seldom repeat, and then one round does.
     """
     keys = ["path", "name", "node_type"]
+    regions = materialised(regions)
     most = regions.filter("side = 'old'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    bodies = region_bodies(files, regions)
+    bodies = materialised(region_bodies(files, regions))
     if (most or 0) <= round_size:
         return _choose(move_candidates(bodies, threshold), round_size)
 
     # Number the old regions of a name; new ones take no part in the numbering.
     old = bodies.filter("side = 'old'").withColumn("_place", F.col("start_line") * 16 + F.col("level"))
     old = running(old, keys, "_place", [Fold("_nth", F.lit(1).cast("bigint"))], tie=["end_line"]).drop("_place")
-    old = old.checkpoint()
-    new = bodies.filter("side = 'new'").checkpoint()
+    old = materialised(old)
+    new = bodies.filter("side = 'new'")
     found = None
     for r in range((most - 1) // round_size + 1):
         turn = old.filter(whole(F.col("_nth") - 1, round_size) == r).drop("_nth")
@@ -106,7 +114,7 @@ def moved_constructs(
             taken = found.select(*keys, F.col("new_start_line").alias("start_line"), F.col("new_end_line").alias("end_line"))
             free = new.join(taken, [*keys, "start_line", "end_line"], "left_anti").select(*turn.columns)
         chosen = _choose(move_candidates(turn.unionByName(free), threshold), round_size)
-        found = (chosen if found is None else found.unionByName(chosen)).checkpoint()
+        found = materialised(chosen if found is None else found.unionByName(chosen))
     return found
 
 

@@ -43,23 +43,28 @@ def page_move(cursor: Column, last: Column, down: bool = True, rows: int = PAGE_
 def scroll_to_line(rows: DataFrame, targets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each (path, line): ``ord`` of the first row whose new line is at or after it, null when none is."""
     asked = targets.select("path", "line").distinct()
+    # Scanned from the last line up, so a question comes before the rows of its own line.
     points = (
         rows.filter("new_line is not null")
-        .select("path", (-F.col("new_line")).alias("_at"), F.lit(0).alias("_ask"), "ord")
-        .unionByName(
-            asked.select("path", (-F.col("line")).alias("_at"), F.lit(1).alias("_ask"), F.lit(None).cast("bigint").alias("ord"))
-        )
+        .select("path", F.col("new_line").alias("line"), F.lit(1).alias("_tie"), "ord")
+        .unionByName(asked.select("path", "line", F.lit(0).alias("_tie"), F.lit(None).cast("bigint").alias("ord")))
     )
-    best = running(points, ["path"], "_at", [Fold("best", F.col("ord"), "min")], tie=["_ask"], block_rows=block_rows)
-    return best.filter("_ask = 1").select("path", (-F.col("_at")).alias("line"), F.col("best").alias("ord"))
+    best = running(
+        points, ["path"], "line", [Fold("best", F.col("ord"), "min", backward=True)], tie=["_tie"], block_rows=block_rows
+    )
+    return best.filter("_tie = 0").select("path", "line", F.col("best").alias("ord"))
 
 
 def nearest_navigable(flagged: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Where the cursor goes from each row that a collapse has hidden: up, else down, else to the top."""
     stop = F.when(F.col("navigable"), F.col("ord"))
-    back = running(flagged, ["path"], "ord", [Fold("_up", stop, "max")], block_rows=block_rows)
-    turned = back.withColumn("_rev", -F.col("ord"))
-    both = running(turned, ["path"], "_rev", [Fold("_down", stop, "min")], block_rows=block_rows)
+    both = running(
+        flagged.select("path", "ord", "visible", "navigable"),
+        ["path"],
+        "ord",
+        [Fold("_up", stop, "max"), Fold("_down", stop, "min", backward=True)],
+        block_rows=block_rows,
+    )
     moved = F.when(F.col("visible"), F.col("ord")).otherwise(F.coalesce("_up", "_down", F.lit(0).cast("bigint")))
     return both.select("path", "ord", moved.alias("cursor"))
 

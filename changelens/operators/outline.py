@@ -8,12 +8,14 @@ node boundaries of a parser; languages without header patterns have no regions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.operators.barrier import bind, prefix_max, prefix_sum
 from changelens.operators.scan import whole
-from changelens.operators.source_code import FAMILIES, is_comment, is_string, tokens
+from changelens.operators.source_code import FAMILIES, by_side, is_comment, is_string, tokens
 
 MAX_LEVEL = 3
 INDENT = 4
@@ -86,22 +88,21 @@ def _nesting(braces: Column) -> Column:
     return F.aggregate(F.split(braces, ""), start, step)
 
 
-def _with_code_lines(files: DataFrame, side: str) -> DataFrame:
-    """(path, language, code): lines without comments and the inside of strings, with the levels they open and close.
+def _with_code_lines(files: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """(path, side, language, code): lines without comments and the inside of strings, with the levels they open and close.
 
     ``closes``/``opens`` are [from, to) level ranges and ``close_end`` is the line on which a
     region closed here ends. Blank lines are left out.
     """
-    content = f"{side}_content"
-    df = files.select("path", "language", content).filter(F.col("language").isin(*FAMILIES))
-    df = bind(df, tok=tokens(content, "language"))
+    df = by_side(files.filter(F.col("language").isin(*FAMILIES)), sides)
+    df = bind(df, tok=tokens("content", "language"))
 
     # Line breaks inside comments and strings stay, so that line numbers do; a string leaves its quote.
     def blanked(t: Column) -> Column:
         breaks = F.regexp_replace(t, r"[^\n]+", "")
         return F.when(is_comment(t, F.col("language")), breaks).when(is_string(t), F.concat(F.lit('"'), breaks)).otherwise(t)
 
-    df = bind(df, text=F.split(F.array_join(F.transform("tok", blanked), ""), "\n", -1)).drop("tok", content)
+    df = bind(df, text=F.split(F.array_join(F.transform("tok", blanked), ""), "\n", -1)).drop("tok", "content")
     df = bind(df, header=_headers(), nest=F.transform("text", lambda c: _nesting(F.regexp_replace(c, r"[^{}]", ""))))
     df = bind(df, depth=F.transform("nest", lambda n: n["cur"].cast("bigint")))
     df = bind(df, depth=prefix_sum("depth"))
@@ -161,7 +162,7 @@ def _with_code_lines(files: DataFrame, side: str) -> DataFrame:
     by_indent = F.transform("filled", indent_line)
     by_brace = F.filter(F.transform("text", brace_line), lambda x: x["text"] != "")
     code = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
-    return bind(df, code=code).select("path", "language", "code")
+    return bind(df, code=code).select("path", "side", "language", "code")
 
 
 _MARK = (
@@ -186,8 +187,8 @@ def _levels(start: Column, end: Column) -> Column:
     return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def find_regions(files: DataFrame, side: str = "new") -> DataFrame:
-    """Regions of one version of each file (see schemas.REGIONS), all collapsed.
+def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> DataFrame:
+    """Regions of the versions of each file (see schemas.REGIONS), all collapsed.
 
     Only constructs directly inside other constructs nest, down to three levels, and those on a
     single line are left out. A file is worked on in its row, so this needs no shuffle.
@@ -214,7 +215,7 @@ def find_regions(files: DataFrame, side: str = "new") -> DataFrame:
             F.transform(_levels(x["close_from"], x["close_to"]), lambda v: _mark(x, v, 2, closes=x["close_end"])),
         )
 
-    df = _with_code_lines(files, side)
+    df = _with_code_lines(files, sides)
     # Sorted by level and then from the last line up, the nearest opening and closing at or below
     # a header are the latest ones before it in the array.
     df = bind(df, marks=F.array_sort(F.flatten(F.transform("code", marks_of)))).drop("code")
@@ -258,10 +259,10 @@ def find_regions(files: DataFrame, side: str = "new") -> DataFrame:
         ),
         lambda v: (v["tie"] == 0) & (v["inside"] == v["span"]["depth"]) & (v["inside"] < MAX_LEVEL),
     )
-    rows = df.select("path", F.explode(direct).alias("v"))
+    rows = df.select("path", "side", F.explode(direct).alias("v"))
     return rows.select(
         "path",
-        F.lit(side).alias("side"),
+        "side",
         "v.span.start_line",
         "v.span.end_line",
         "v.span.header_end_line",

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 BLOCK_ROWS = 65536
 
@@ -34,12 +35,16 @@ def _combine(op: str, a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fold:
-    """A running value: ``reset`` (where not null) replaces it, then ``value`` (where not null) is folded in."""
+    """A running value: ``reset`` (where not null) replaces it, then ``value`` (where not null) is folded in.
+
+    ``backward`` runs from the last row to the first.
+    """
 
     name: str
     value: Column
     op: str = "sum"
     reset: Column | None = None
+    backward: bool = False
 
 
 def last_known(name: str, value: Column) -> Fold:
@@ -58,27 +63,26 @@ def running(
 ) -> DataFrame:
     """Add each fold's value, its own row included, along ``pos`` (then ``tie``) within ``keys``.
 
-    ``pos`` is a number, unique or nearly so per key; scan backwards by passing its negative.
+    ``pos`` is a number, unique or nearly so per key.
     With ``keep_block`` the result keeps its block column, and a further scan over the same
     ``pos`` finds its rows already in place and does not shuffle them again.
     """
     blk = "_block"
     order = [F.col(pos), *map(F.col, tie)]
-    in_block = Window.partitionBy(*keys, blk).orderBy(*order)
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df if blk in df.columns else df.withColumn(blk, whole(F.col(pos), block_rows))
 
+    def along(fold: Fold, *segment: str) -> WindowSpec:
+        steps = [c.desc() for c in order] if fold.backward else order
+        w = Window.partitionBy(*keys, blk, *segment).orderBy(*steps)
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     for i, fold in enumerate(folds):
         rows = rows.withColumn(f"_v{i}", fold.value)
         if fold.reset is None:
-            rows = rows.withColumn(f"_t{i}", _AGGREGATE[fold.op](f"_v{i}").over(upto))
+            rows = rows.withColumn(f"_t{i}", _AGGREGATE[fold.op](f"_v{i}").over(along(fold)))
             continue
-        rows = rows.withColumn(f"_r{i}", fold.reset).withColumn(f"_s{i}", F.count(f"_r{i}").over(upto))
-        segment = (
-            Window.partitionBy(*keys, blk, f"_s{i}")
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
+        rows = rows.withColumn(f"_r{i}", fold.reset).withColumn(f"_s{i}", F.count(f"_r{i}").over(along(fold)))
+        segment = along(fold, f"_s{i}")
         rows = rows.withColumn(
             f"_t{i}",
             _combine(fold.op, F.first(f"_r{i}").over(segment), _AGGREGATE[fold.op](f"_v{i}").over(segment)),
@@ -86,7 +90,10 @@ def running(
 
     place = F.struct(*order) if tie else F.col(pos)
     totals = rows.groupBy(*keys, blk).agg(
-        *[F.max_by(f"_t{i}", place).alias(f"_b{i}") for i in range(len(folds))],
+        *[
+            (F.min_by if fold.backward else F.max_by)(f"_t{i}", place).alias(f"_b{i}")
+            for i, fold in enumerate(folds)
+        ],
         *[
             F.max((F.col(f"_s{i}") > 0).cast("int")).alias(f"_f{i}")
             for i, fold in enumerate(folds)
@@ -96,34 +103,34 @@ def running(
     carry = _carry(totals, keys, blk, folds)
 
     out = rows.join(carry, [*keys, blk])
+    made = {}
     for i, fold in enumerate(folds):
         total = _combine(fold.op, F.col(f"_c{i}"), F.col(f"_t{i}"))
         if fold.reset is not None:
             total = F.when(F.col(f"_s{i}") > 0, F.col(f"_t{i}")).otherwise(total)
-        out = out.withColumn(fold.name, total)
-    made = [f.name for f in folds]
+        made[fold.name] = total
     kept = [c for c in df.columns if c not in {*made, blk}]
-    return out.select(*kept, *made, *([blk] if keep_block else []))
+    return out.select(*kept, *[c.alias(n) for n, c in made.items()], *([blk] if keep_block else []))
 
 
 def _carry(totals: DataFrame, keys: Sequence[str], blk: str, folds: Sequence[Fold]) -> DataFrame:
-    """Value of each fold at the end of the previous block of the same key."""
-    by_block = Window.partitionBy(*keys).orderBy(blk)
-    upto = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Value of each fold at the end of the block before, in its direction, of the same key."""
+
+    def along(fold: Fold, *segment: str) -> WindowSpec:
+        return Window.partitionBy(*keys, *segment).orderBy(F.col(blk).desc() if fold.backward else F.col(blk))
+
+    def upto(w: WindowSpec) -> WindowSpec:
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     for i, fold in enumerate(folds):
         if fold.reset is None:
-            reached = _AGGREGATE[fold.op](f"_b{i}").over(upto)
+            reached = _AGGREGATE[fold.op](f"_b{i}").over(upto(along(fold)))
         else:
-            totals = totals.withColumn(f"_g{i}", F.sum(f"_f{i}").over(upto))
-            segment = (
-                Window.partitionBy(*keys, f"_g{i}")
-                .orderBy(blk)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            reached = _AGGREGATE[fold.op](f"_b{i}").over(segment)
+            totals = totals.withColumn(f"_g{i}", F.sum(f"_f{i}").over(upto(along(fold))))
+            reached = _AGGREGATE[fold.op](f"_b{i}").over(upto(along(fold, f"_g{i}")))
         totals = totals.withColumn(f"_e{i}", reached)
     return totals.select(
-        *keys, blk, *[F.lag(f"_e{i}").over(by_block).alias(f"_c{i}") for i in range(len(folds))]
+        *keys, blk, *[F.lag(f"_e{i}").over(along(fold)).alias(f"_c{i}") for i, fold in enumerate(folds)]
     )
 
 

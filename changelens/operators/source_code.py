@@ -7,6 +7,8 @@ so byte positions are running lengths, computed in the file's row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,12 @@ def token_highlight(token: Column, language: Column) -> Column:
     )
 
 
+def by_side(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> DataFrame:
+    """(path, language, side, content): one row per version of each file."""
+    cells = [F.struct(F.lit(s).alias("side"), F.col(f"{s}_content").alias("content")) for s in sides]
+    return files.select("path", "language", F.inline(F.array(*cells)))
+
+
 def token_rows(files: DataFrame, side: str = "new") -> DataFrame:
     """(path, language, side, pos, token, start_byte, end_byte, line) of every token of one version."""
     content = f"{side}_content"

@@ -79,7 +79,7 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("line_counts", _LINE_COUNTS.rstrip().rstrip(",") + " from d_entries group by path")
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.line_counts(classified(spark, sf_dir))
+    return E.line_counts(E.plain_entries(files(spark, sf_dir)))
 
 
 @query(
@@ -106,7 +106,7 @@ from d_entries group by path, chunk_idx
 """,
 )
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.chunk_bounds(E.diff_entries(files(spark, sf_dir)))
+    return E.chunk_bounds(E.plain_entries(files(spark, sf_dir)))
 
 
 @query(
@@ -117,4 +117,4 @@ from d_entries where new_line is not null group by path, new_line
 """,
 )
 def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.changed_lines(classified(spark, sf_dir))
+    return E.changed_lines(E.plain_entries(files(spark, sf_dir)))

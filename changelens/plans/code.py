@@ -157,7 +157,7 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_regions(pairs: DataFrame) -> DataFrame:
-    return O.find_regions(pairs, "old").unionByName(O.find_regions(pairs, "new"))
+    return O.find_regions(pairs)
 
 
 # What the generator put there: regions follow from its parts, not from reading the text.

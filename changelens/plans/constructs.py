@@ -20,7 +20,7 @@ def regions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constructs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = files(spark, sf_dir)
-    lines = E.changed_lines(E.classify(E.diff_entries(pairs)))
+    lines = E.changed_lines(E.plain_entries(pairs))
     return C.changed_constructs(line_regions(pairs), lines)
 
 
@@ -73,7 +73,7 @@ from d_regions r
 )
 def uncollapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = files(spark, sf_dir)
-    opened = R.uncollapse_changed(line_regions(pairs), E.diff_entries(pairs))
+    opened = R.uncollapse_changed(line_regions(pairs), E.plain_entries(pairs))
     return opened.select("path", "side", "start_line", "collapsed")
 
 
@@ -97,7 +97,7 @@ select path, name, change_type, cast(line_start as bigint) line_start, cast(chan
 )
 def lines_in_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = files(spark, sf_dir)
-    lines = E.changed_lines(E.classify(E.diff_entries(pairs)))
+    lines = E.changed_lines(E.plain_entries(pairs))
     seen = C.lines_in_constructs(C.match_constructs(line_regions(pairs)), lines)
     return seen.select("path", "name", "change_type", "line_start", "lines_changed", "all_cosmetic", "first_cosmetic")
 
@@ -212,7 +212,7 @@ def summary_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def files_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = files(spark, sf_dir)
-    lines = E.changed_lines(E.classify(E.diff_entries(pairs)))
+    lines = E.changed_lines(E.plain_entries(pairs))
     return C.files_with_items(pairs.select("path"), C.changed_constructs(line_regions(pairs), lines))
 
 

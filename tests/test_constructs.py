@@ -63,7 +63,7 @@ def test_summary_of_a_small_source(spark):
         [("a.rs", "rust", "changed", False, OLD, NEW, chunks), ("a.md", None, "changed", False, OLD, NEW, chunks)], schemas.FILES
     )
     known = frame.filter("path = 'a.rs'")
-    found = O.find_regions(known, "old").unionByName(O.find_regions(known, "new"))
+    found = O.find_regions(known)
     constructs, stats = C.file_summary(frame, found)
     assert {(r.name, r.change_type, r.lines_changed, r.category) for r in constructs.collect()} == {
         ("oldFunc", "deleted", 3, "semantic"), ("newFunc", "added", 3, "semantic"), ("keepFunc", "modified", 1, "semantic"),
@@ -124,11 +124,11 @@ SNIPPETS = {
 def test_outline(spark):
     frame = spark.createDataFrame([(k, k, "", v[0]) for k, v in SNIPPETS.items()], "path string, language string, old_content string, new_content string")
     got = {}
-    for r in O.find_regions(frame).orderBy("path", "start_line").collect():
+    for r in O.find_regions(frame, ["new"]).orderBy("path", "start_line").collect():
         got.setdefault(r.path, []).append((r.name, r.start_line, r.end_line, r.header_end_line, r.level))
     for language, (_, expected) in SNIPPETS.items():
         assert got.get(language, []) == expected, language
-    assert O.find_regions(frame, "old").count() == 0
+    assert O.find_regions(frame, ["old"]).count() == 0
 
 
 def content_and_regions(bodies):
