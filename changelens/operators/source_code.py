@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from changelens import schemas
 from changelens.functions.text import column, equal_ignoring_whitespace, infer_highlight, is_blank
-from changelens.operators.barrier import bind, prefix_sum
-from changelens.operators.joins import PART_BYTES, ordered_concat, salted_lookup
+from changelens.operators.barrier import bind, prefix_max, prefix_sum
 from changelens.operators.scan import Fold, running
 
 # Families with their own comment and string syntax. Possessive repeats keep long literals off the stack.
@@ -231,10 +230,58 @@ def placeholder_ids(files: DataFrame, side: str = "new") -> DataFrame:
     return ranked.select("path", "name", (F.col("id") - 1).alias("id"))
 
 
-def normalized_files(files: DataFrame, side: str = "new", part_bytes: int = PART_BYTES) -> DataFrame:
-    """(path, part, normalized): whole files with identifiers replaced, in parts of bounded size."""
-    rows = token_rows(files, side)
-    name = F.when(is_identifier(F.col("token")), F.col("token"))
-    numbered = salted_lookup(rows.withColumn("name", name), placeholder_ids(files, side), ["path", "name"], ["pos"])
-    text = F.coalesce(F.concat(F.lit("_id"), F.col("id").cast("string")), F.col("token"))
-    return ordered_concat(numbered, ["path"], "pos", text, "normalized", part_bytes)
+def normalized_files(files: DataFrame, side: str = "new") -> DataFrame:
+    """(path, normalized): whole files with each identifier replaced by its number.
+
+    Numbers are found by sorting inside the row: by name to reach each name's first place, by
+    first place to count names, and back by place.
+    """
+    df = bind(by_side(files, [side]), tok=tokens("content", "language")).drop("content")
+    df = bind(df, word=F.transform("tok", lambda t: F.when(is_identifier(t), 1).otherwise(0)))
+    df = bind(
+        df,
+        nth=prefix_sum("word"),
+        used=F.array_sort(
+            F.filter(
+                F.zip_with(
+                    "word",
+                    F.transform("tok", lambda t, i: F.struct(t.alias("name"), i.alias("at"))),
+                    lambda w, x: F.struct(x["name"].alias("name"), x["at"].alias("at"), w.alias("w")),
+                ),
+                lambda x: x["w"] == 1,
+            )
+        ),
+    )
+    df = bind(
+        df,
+        head=F.transform(
+            "used", lambda x, i: F.when((i == 0) | (x["name"] != F.get("used", i - 1)["name"]), i).otherwise(-1)
+        ),
+    )
+    df = bind(df, head=prefix_max("head"))
+    df = bind(
+        df,
+        used=F.array_sort(
+            F.transform("used", lambda x, i: F.struct(F.get("used", F.get("head", i))["at"].alias("first"), x["at"].alias("at")))
+        ),
+    )
+    df = bind(
+        df,
+        number=F.transform(
+            "used", lambda x, i: F.when((i == 0) | (x["first"] != F.get("used", i - 1)["first"]), 1).otherwise(0)
+        ),
+    )
+    df = bind(df, number=prefix_sum("number"))
+    df = bind(
+        df,
+        used=F.array_sort(
+            F.transform("used", lambda x, i: F.struct(x["at"].alias("at"), (F.get("number", i) - 1).alias("id")))
+        ),
+    )
+    text = F.transform(
+        "tok",
+        lambda t, i: F.when(
+            F.get("word", i) == 1, F.concat(F.lit("_id"), F.get("used", F.get("nth", i) - 1)["id"].cast("string"))
+        ).otherwise(t),
+    )
+    return df.select("path", F.array_join(text, "").alias("normalized"))

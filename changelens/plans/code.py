@@ -319,7 +319,7 @@ def placeholder_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "normalized_files",
     """
-select t.path, cast(0 as bigint) part, string_agg(coalesce('_id' || i.id, t.token), '' order by t.pos) normalized
+select t.path, string_agg(coalesce('_id' || i.id, t.token), '' order by t.pos) normalized
 from k_tokens t left join k_names n using (side, path, pos) left join k_ids i on i.side = n.side and i.path = n.path and i.name = n.name
 where t.side = 'new' group by t.path
 """,

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.text import json_unescape
 from changelens.operators.joins import PART_BYTES, ordered_concat
-from changelens.operators.scan import Fold, running
 
 PREVIEW_BYTES = 500
 
@@ -36,40 +35,51 @@ def responses(
     shows the first bytes of its raw lines.
     """
     events = parse_events(lines)
-    size = (F.octet_length("line") + 1).cast("bigint")
     facts = events.groupBy("log").agg(
         F.max("failed").alias("failed"),
         F.max_by(F.col("error"), F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"),
         F.coalesce(F.sum(F.octet_length("delta")), F.lit(0)).alias("text_bytes"),
-        (F.sum(size) - 1).alias("raw_bytes"),
+        (F.sum(F.octet_length("line") + 1) - 1).alias("raw_bytes"),
     )
-    errors = facts.filter("failed").select(
+    texts = ordered_concat(events.filter("delta is not null"), ["log"], "pos", F.col("delta"), "said", part_bytes)
+    rows = facts.join(texts, "log", "left").join(_openings(events), "log", "left")
+
+    failed, spoke = F.col("failed"), F.col("text_bytes") > 0
+    # An error or an empty answer is one row, whatever parts its text has.
+    rows = rows.withColumn("part", F.coalesce("part", F.lit(0).cast("bigint"))).filter((~failed & spoke) | (F.col("part") == 0))
+    error = F.when(F.col("error").isNotNull(), F.concat(F.lit(error_prefix + ":\n"), F.col("error"))).otherwise(
+        error_prefix + " (unknown)"
+    )
+    preview = F.concat(
+        F.format_string("No text response found.\n\nRaw output preview (%d bytes total):\n", "raw_bytes"),
+        F.col("opening"),
+        F.when(F.col("raw_bytes") > PREVIEW_BYTES, "\n...").otherwise(""),
+    )
+    return rows.select(
         "log",
-        F.lit("error").alias("outcome"),
-        F.lit(0).cast("bigint").alias("part"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit(error_prefix + ":\n"), F.col("error")))
-        .otherwise(error_prefix + " (unknown)")
-        .alias("text"),
+        F.when(failed, "error").when(spoke, "text").otherwise("empty").alias("outcome"),
+        "part",
+        F.when(failed, error).when(spoke, F.col("said")).otherwise(preview).alias("text"),
     )
-    said = facts.filter("not failed and text_bytes > 0").select("log")
-    texts = ordered_concat(
-        events.filter("delta is not null").join(said, "log", "left_semi"), ["log"], "pos", F.col("delta"), "text", part_bytes
-    ).select("log", F.lit("text").alias("outcome"), "part", "text")
 
-    silent = facts.filter("not failed and text_bytes = 0").select("log", "raw_bytes")
-    raw = running(events.join(silent, "log").select("log", "pos", "line", "raw_bytes"), ["log"], "pos", [Fold("_end", size)])
-    # Only the lines the preview shows are gathered.
-    shown = raw.filter(F.col("_end") - size < PREVIEW_BYTES)
-    joined = ordered_concat(shown, ["log", "raw_bytes"], "pos", F.concat("line", F.lit("\n")), "raw").filter("part = 0")
-    raw_text = F.substring(F.to_binary(F.col("raw"), F.lit("utf-8")), F.lit(1), F.least(F.col("raw_bytes"), F.lit(PREVIEW_BYTES)).cast("int"))
-    previews = joined.select(
-        "log",
-        F.lit("empty").alias("outcome"),
-        F.lit(0).cast("bigint").alias("part"),
-        F.concat(
-            F.format_string("No text response found.\n\nRaw output preview (%d bytes total):\n", "raw_bytes"),
-            raw_text.cast("string"),
-            F.when(F.col("raw_bytes") > PREVIEW_BYTES, "\n...").otherwise(""),
-        ).alias("text"),
+
+def _openings(events: DataFrame) -> DataFrame:
+    """(log, opening): the first bytes of each log's lines.
+
+    A line takes a byte at least, so as many lines as bytes are enough, each cut to that length;
+    the row limit is applied before the shuffle.
+    """
+    first = Window.partitionBy("log").orderBy("pos")
+    head = F.substring(F.to_binary(F.col("line"), F.lit("utf-8")), 1, PREVIEW_BYTES)
+    rows = events.select("log", "pos", head.alias("head")).withColumn("_n", F.row_number().over(first))
+    rows = rows.filter(F.col("_n") <= PREVIEW_BYTES)
+    pieces = F.array_sort(F.collect_list(F.struct("pos", "head")))
+    newline = F.to_binary(F.lit("\n"), F.lit("utf-8"))
+    text = F.aggregate(
+        pieces,
+        F.lit(None).cast("binary"),
+        lambda acc, x: F.when(acc.isNull(), x["head"])
+        .when(F.length(acc) >= PREVIEW_BYTES, acc)
+        .otherwise(F.concat(acc, newline, x["head"])),
     )
-    return errors.unionByName(texts).unionByName(previews)
+    return rows.groupBy("log").agg(F.substring(text, 1, PREVIEW_BYTES).cast("string").alias("opening"))
