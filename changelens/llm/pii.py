@@ -100,7 +100,7 @@ def base_spans(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return rows.select("id", "digest", "spans", F.when(F.size("spans") > 0, terms).alias("terms"))
 
 
-def disclosing_terms(base: DataFrame, docs: DataFrame, text: str, disclosure: float, least_contexts: int) -> DataFrame:
+def disclosing_terms(base: DataFrame, base_rows: int, docs: DataFrame, text: str, disclosure: float, least_contexts: int) -> DataFrame:
     """(kind, value, term) of the terms that disclose an entity.
 
     p(term, entity) counts the entity's different contexts with the term (copies count once),
@@ -114,19 +114,21 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text: str, disclosure: fl
     contexts = met.select("s.kind", "s.value", around.alias("around"))
     contexts = contexts.select(*entity, "around").distinct()
     together = contexts.select(*entity, F.explode(F.array_distinct("around")).alias("term")).groupBy(*entity, "term").agg(F.count(F.lit(1)).alias("both"))
-    together = stored(together.filter(F.col("both") >= least_contexts))
-    wanted = stored(together.select("term").distinct())
-    body = F.coalesce(docs[text], F.lit(""))
-    plain = F.regexp_replace(F.lower(body), r"[^\p{L}]+", " ")
-    held = docs.select(F.explode(F.array_distinct(words_of(plain))).alias("term")).join(wanted, "term")
+    total = float(max(base_rows, 1))
+    distinct_entities = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    of_entity = base.select(F.explode(distinct_entities).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("with_entity"))
+    # mutual >= disclosure * own information, solved for the number of documents with the term.
+    share = F.pow(F.lit(total) / F.col("with_entity"), F.lit(1.0 - disclosure))
+    together = together.filter(F.col("both") >= least_contexts).join(of_entity, entity).filter(F.col("with_entity") < total)
+    together = stored(together.select(*entity, "term", (F.col("both") * share).alias("most")))
+    # A term in more documents than that among those with entities is in more among all: it needs no count over the corpus.
+    near = base.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
+    near = near.join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rare = stored(together.join(near, "term").filter(F.col("n") <= F.col("most")).drop("n"))
+    plain = F.regexp_replace(F.lower(F.coalesce(docs[text], F.lit(""))), r"[^\p{L}]+", " ")
+    held = docs.select(F.explode(F.array_distinct(words_of(plain))).alias("term")).join(rare.select("term").distinct(), "term", "left_semi")
     of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    of_entity = base.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
-    of_entity = of_entity.groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = base.count()
-    counted = together.join(of_term, "term").join(of_entity, entity)
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity"))
-    mutual = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
-    return counted.filter((information > 0) & (mutual >= F.lit(disclosure) * information)).select(*entity, "term")
+    return rare.join(of_term, "term").filter(F.col("with_term") <= F.col("most")).select(*entity, "term")
 
 
 def personal_data(
@@ -140,17 +142,15 @@ def personal_data(
     """
     base = stored(base_spans(docs, text, id_col))
     found = base.filter(F.size("spans") > 0)
-    telling = stored(disclosing_terms(found, docs, text, disclosure, least_contexts))
+    telling = stored(disclosing_terms(found, base.count(), docs, text, disclosure, least_contexts))
     entities = found.select("id", "digest", F.explode("spans").alias("s")).select("id", "digest", "s.kind", "s.value").distinct()
-    of_doc = entities.join(telling, ["kind", "value"]).select("id", "digest", "term").distinct()
-    terms = found.select("id", "digest", F.explode("terms").alias("x")).select("id", "digest", "x.start", "x.end", "x.term").distinct()
-    same = terms["id"].eqNullSafe(of_doc["id"]) & (terms["digest"] == of_doc["digest"]) & (terms["term"] == of_doc["term"])
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("ord"), "end", F.lit("term").alias("kind"))
-    added = terms.join(of_doc, same, "left_semi").groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_list(span).alias("added"))
-    added = stored(added)
-    joined = base.join(added, base["id"].eqNullSafe(added["_id"]) & (base["digest"] == added["_digest"]), "left")
+    of_doc = entities.join(telling, ["kind", "value"]).groupBy("id", "digest").agg(F.collect_set("term").alias("telling"))
+    of_doc = stored(of_doc.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "telling"))
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("ord"), x["end"].alias("end"), F.lit("term").alias("kind"))
+    added = F.transform(F.filter("terms", lambda x: F.array_contains("telling", x["term"])), span)
+    joined = base.join(of_doc, base["id"].eqNullSafe(of_doc["_id"]) & (base["digest"] == of_doc["_digest"]), "left")
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
-    every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast(added.schema["added"].dataType))))
+    every = F.array_sort(F.concat(plain, F.coalesce(added, F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>"))))
     return joined.select(F.col("id").alias(id_col), "digest", plain.alias("base"), every.alias("all"))
 
 
