@@ -72,7 +72,8 @@ def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run_wo
     again = stored(made.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
     repeated = stored(made.join(again, "h1", "left_semi"))
     rank = F.struct("id", "digest", "start")
-    first = repeated.groupBy("h1", "h2").agg(F.min(rank).alias("first"))
+    # Stored, so that the join below is of two plain inputs and a hot unit's rows can be split.
+    first = stored(repeated.groupBy("h1", "h2").agg(F.min(rank).alias("first")))
     later = repeated.join(first, ["h1", "h2"]).filter(~rank.eqNullSafe(F.col("first")))
     later = later.select("id", "digest", "unit", "start", "end", "words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")).distinct()
     of_doc = W.partitionBy("id", "digest")
