@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import let, lower_ascii, stored, words_of
+from changelens.llm.common import let, stored
 from changelens.operators.barrier import bind
 
 # Labelled documents that the classifier learns from at most: those with the smallest hash of their id.
 SAMPLE = 20_000
-# Features besides the words that a text has: many symbols, mostly capitals, few words.
+# Features besides the words of a text: many symbols, mostly capitals, few words.
 MARKS = ["<symbols>", "<capitals>", "<short>"]
 # A feature has a weight for a domain only if its share there is this many standard errors from its share overall,
 # and it is in this share of the domain's documents: what one group of copies has in common is no mark of a domain.
@@ -29,19 +29,22 @@ LEAST_SHARE = 0.1
 LEAST_RATIO = math.log(2)
 STEPS = 30
 TOLERANCE = 1e-4
+# Steps end when one lowers the error by a smaller share than this.
+STALLED = 0.01
 # A rate this close to a whole number is taken as that number of copies.
 SNAP = 0.1
 SEED = "mix-1"
 
 
-def features_of(text: Column) -> Column:
-    """The distinct words of a text, without punctuation and in lower case, and its marks."""
-    words = F.array_distinct(words_of(F.translate(lower_ascii(text), ".,;:!?()<>\"'", "")))
-    n_words, n_chars = F.size(words_of(text)), F.char_length(text)
-    capitals = n_chars - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    symbols = n_chars - F.char_length(F.translate(text, "#*$%&|<>", ""))
-    marked = [symbols * 5 > n_words, capitals * 3 > n_chars, n_words < 20]
-    return F.concat(words, F.array_compact(F.array(*[F.when(is_so, F.lit(name)) for is_so, name in zip(marked, MARKS)])))
+def words_in(text: Column) -> Column:
+    """A text's words in lower case, without punctuation."""
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?()<>\"']+"), "")
+
+
+def marks_of(text: Column, n_words: Column) -> Column:
+    without = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+    marked = [without("[#*$%&|<>]+") * 5 > n_words, without("[A-Z]+") * 3 > F.char_length(text), n_words < 20]
+    return F.array_compact(F.array(*[F.when(is_so, F.lit(name)) for is_so, name in zip(marked, MARKS)]))
 
 
 @dataclass
@@ -56,7 +59,7 @@ class Classifier:
     priors: list[float]
     weights: dict[str, list[float]]
 
-    def posteriors(self, text: Column) -> Column:
+    def posteriors(self, words: Column, marks: Column) -> Column:
         """The posterior of each domain, in order; the priors for a text without features."""
 
         def soft(scores: Column) -> Column:
@@ -69,7 +72,7 @@ class Classifier:
             return soft(priors)
         known = F.array(*map(F.lit, self.weights))
         rows = F.array(*[F.array(*map(F.lit, row)) for row in self.weights.values()])
-        hits = F.array_intersect(features_of(F.coalesce(text, F.lit(""))), known)
+        hits = F.concat(F.array_intersect(words, known), F.array_intersect(marks, known))
         added = F.aggregate(
             hits, priors, lambda acc, w: F.zip_with(acc, F.element_at(rows, F.array_position(known, w).cast("int")), lambda a, b: a + b)
         )
@@ -84,8 +87,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id:
     """
     given = labels.select(labels[label_id].alias("_id"), labels[domain].cast("string").alias("domain")).filter("_id is not null and domain is not null")
     chosen = given.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "domain").limit(sample)
-    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("t")).join(chosen, "_id")
-    rows = stored(rows.select("domain", features_of(F.col("t")).alias("features")))
+    # At most ``sample`` rows, so they go to the documents; no text is shuffled.
+    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("t")).join(F.broadcast(chosen), "_id")
+    rows = bind(rows, words=words_in(F.col("t")))
+    features = F.concat(F.array_distinct("words"), marks_of(F.col("t"), F.size("words")))
+    rows = stored(rows.select("domain", features.alias("features")))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Classifier(["all"], [0.0], {})
@@ -108,41 +114,40 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id:
 
 def memberships(docs: DataFrame, model: Classifier, text: str, id_col: str) -> DataFrame:
     """(id, digest, tokens, p) of every row: p holds the posteriors in the order of the model's domains."""
-    body = F.coalesce(docs[text], F.lit(""))
-    return docs.select(
-        docs[id_col].alias("id"), F.xxhash64(body).alias("digest"),
-        F.size(words_of(body)).cast("bigint").alias("tokens"), model.posteriors(docs[text]).alias("p"),
-    )
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    rows = bind(rows, words=words_in(F.col("t")))
+    p = model.posteriors(F.col("words"), marks_of(F.col("t"), F.size("words")))
+    return rows.select("id", F.xxhash64("t").alias("digest"), F.size("words").cast("bigint").alias("tokens"), p.alias("p"))
 
 
 def fit_rates(rows: DataFrame, goals: list[float]) -> list[np.ndarray]:
     """The steps of the projected gradient: rate = 1, then rate = max(0, rate - p . step) for each step.
 
-    Every step sums, over all rows, the expected tokens at the present rates and the matrix
-    sum(tokens p p') of the rows with a positive rate. The residual, scaled by that matrix, is the
-    step; without the bound at zero the first one is exact. Sums are of domains by domains only.
+    With the expected tokens e = sum(tokens rate p) and G = sum(tokens p p'), the steps lower
+    (e - goals)' G^-1 (e - goals). In the norm that weighs a rate by its document's tokens this has a
+    gradient p . G^-1 (e - goals) of slope at most one, so a full step never raises it; without the
+    bound at zero the first one is exact. Every pass over the rows gives sums of domains by domains.
     """
     k = len(goals)
     goals = np.array(goals)
-    steps: list[np.ndarray] = []
     p = [F.get("p", i) for i in range(k)]
+    square = rows.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    gram = np.zeros((k, k))
+    gram[np.triu_indices(k)] = [x or 0.0 for x in square]
+    gram = gram + np.triu(gram, 1).T
+    gram += np.eye(k) * max(1e-12, 1e-9 * np.trace(gram))
+    steps: list[np.ndarray] = []
     scale, before = max(1.0, float(np.abs(goals).sum())), math.inf
     for _ in range(STEPS):
         rated = bind(rows.select("tokens", "p"), rate=rate_of(steps, k))
-        live = F.col("tokens") * F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
-        sums = [F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(k)]
-        sums += [F.sum(live * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        found = np.array([x or 0.0 for x in rated.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()])
-        residual = found[:k] - goals
-        off = float(np.abs(residual).max())
-        if off <= TOLERANCE * scale or off > (1 - TOLERANCE) * before:
-            break  # met, or as near as nonnegative rates come
-        before = off
-        gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = found[k:]
-        gram = gram + np.triu(gram, 1).T
-        gram += np.eye(k) * max(1e-12, 1e-9 * np.trace(gram))
-        steps.append(np.linalg.solve(gram, residual))
+        found = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(k)]).first()
+        residual = np.array([x or 0.0 for x in found]) - goals
+        step = np.linalg.solve(gram, residual)
+        error = float(residual @ step)
+        if np.abs(residual).max() <= TOLERANCE * scale or error > (1 - STALLED) * before:
+            break
+        before = error
+        steps.append(step)
     return steps
 
 
