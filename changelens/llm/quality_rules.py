@@ -61,8 +61,9 @@ def normalised(line: Column) -> Column:
 
 
 def document_rows(docs: DataFrame, text: str, id_col: str, host: str) -> DataFrame:
-    """One row per row of ``docs``: id, host, digest, the base measures, and its lines as (hash, words)."""
-    rows = docs.select(docs[id_col].alias("id"), docs[host].cast("string").alias("host"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    """One row per row of ``docs``: id, host, digest, the base measures, its lines as (hash, words), and ``row``, all of it."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(docs[id_col].alias("id"), docs[host].cast("string").alias("host"), F.coalesce(docs[text], F.lit("")).alias("t"), row)
     rows = bind(rows, lines=F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != ""), words=words_of(F.col("t")))
     words = F.transform("words", lambda w: F.xxhash64(w))
     line = lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n"))
@@ -74,7 +75,7 @@ def document_rows(docs: DataFrame, text: str, id_col: str, host: str) -> DataFra
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         let(words, repeated_words).alias("n_repeat_words"),
-        F.transform("lines", line).alias("lines"),
+        F.transform("lines", line).alias("lines"), "row",
     )
 
 
@@ -94,6 +95,23 @@ def frequent_lines(rows: DataFrame, host_share: float, least_docs: int) -> DataF
     return joined.filter(F.col("docs") > limit).groupBy(F.col("l.host").alias("host")).agg(F.collect_list("h").alias("frequent"))
 
 
+def judged(rows: DataFrame, host_share: float, least_docs: int, least_words: int, least_left: float, repeated_percent: int) -> DataFrame:
+    """Stored document rows with base_failed, n_removed and kept."""
+    frequent = stored(frequent_lines(rows, host_share, least_docs))
+    r, f = rows.alias("r"), frequent.alias("f")
+    joined = r.join(f, F.col("r.host").eqNullSafe(F.col("f.host")), "left").drop(F.col("f.host"))
+    gone = F.aggregate(
+        F.filter("lines", lambda x: F.array_contains("frequent", x["h"])),
+        F.lit(0).cast("bigint"),
+        lambda acc, x: acc + x["n"],
+    )
+    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeated_percent)
+    removed = F.when(F.col("frequent").isNull(), F.lit(0).cast("bigint")).otherwise(gone)
+    left = F.col("n_words") - F.col("n_removed")
+    kept = ~F.col("base_failed") & (left >= least_words) & (left >= F.col("n_words") * F.lit(least_left))
+    return joined.withColumns({"base_failed": failed, "n_removed": removed}).withColumn("kept", kept)
+
+
 def quality(
     docs: DataFrame,
     text: str = "text",
@@ -112,36 +130,27 @@ def quality(
     A null text counts as empty and fails; rows without a host form one host; repeated rows stay
     and get equal verdicts; an empty table gives an empty result; other columns are ignored.
     """
-    rows = stored(document_rows(docs, text, id_col, host))
-    frequent = stored(frequent_lines(rows, host_share, least_docs))
-    r, f = rows.alias("r"), frequent.alias("f")
-    joined = r.join(f, F.col("r.host").eqNullSafe(F.col("f.host")), "left")
-    gone = F.aggregate(
-        F.filter("lines", lambda x: F.array_contains("frequent", x["h"])),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc + x["n"],
+    rows = stored(document_rows(docs, text, id_col, host).drop("row"))
+    verdicts = judged(rows, host_share, least_docs, least_words, least_left, repeated_percent)
+    return verdicts.select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept"
     )
-    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeated_percent)
-    removed = F.when(F.col("frequent").isNull(), F.lit(0).cast("bigint")).otherwise(gone)
-    left = F.col("n_words") - F.col("n_removed")
-    measured = joined.select(F.col("r.id").alias(id_col), F.col("r.host").alias("host"), F.col("r.digest").alias("digest"),
-                             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                             failed.alias("base_failed"), removed.alias("n_removed"))
-    kept = ~F.col("base_failed") & (left >= least_words) & (left >= F.col("n_words") * F.lit(least_left))
-    return measured.withColumn("kept", kept)
 
 
-def kept_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", host: str = "source", **limits) -> DataFrame:
+def kept_documents(
+    docs: DataFrame,
+    text: str = "text",
+    id_col: str = "doc_id",
+    host: str = "source",
+    host_share: float = 0.05,
+    least_docs: int = 50,
+    least_words: int = 20,
+    least_left: float = 0.2,
+    repeated_percent: int = 30,
+) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Verdicts are joined by id, host and text digest, so rows that share an id are judged each by
-    its own text. Only the rejected keys are joined, once each.
+    The rows are stored once with their measures, so no text is shuffled to meet its verdict.
     """
-    verdicts = quality(docs, text, id_col, host, **limits)
-    bad = stored(verdicts.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).distinct())
-    same = (
-        docs[id_col].eqNullSafe(bad["_id"])
-        & docs[host].cast("string").eqNullSafe(bad["_host"])
-        & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_digest"])
-    )
-    return docs.join(bad, same, "left_anti")
+    rows = stored(document_rows(docs, text, id_col, host))
+    return judged(rows, host_share, least_docs, least_words, least_left, repeated_percent).filter("kept").select("row.*")
