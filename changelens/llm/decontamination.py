@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,6 +27,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 # Bits of the n-gram filter sent to all tasks; 2 MB whatever the number of items, as an exact join follows.
 FILTER_BITS = 24
+FILTER_SHIFTS = (0, 20, 40)
 ALIGNED_ROWS = 256
 
 
@@ -46,10 +47,17 @@ def item_grams(items: DataFrame, text: str, id_col: str) -> DataFrame:
     return source.mapInArrow(run, f"item {dict(source.dtypes)['item']}, place bigint, gram bigint")
 
 
+def filter_places(gram: Column) -> list[Column]:
+    """The bits that stand for a hash in the filter: three parts of it."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    return [F.shiftrightunsigned(gram, shift).bitwiseAND(mask) for shift in FILTER_SHIFTS]
+
+
 def gram_filter(grams: DataFrame) -> np.ndarray:
-    """A bit for the low ``FILTER_BITS`` bits of each hash. Combined by Spark; at most 2^18 words come back."""
-    low = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = grams.groupBy(F.shiftright(low, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(gram & 63 as int)))").alias("bits"))
+    """Three bits of each hash in a table of fixed size, combined by Spark; at most 2^18 words come back."""
+    places = grams.select(F.explode(F.array(*filter_places(F.col("gram")))).alias("place"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for row in rows.toLocalIterator():
         bits[row["at"]] = np.uint64(row["bits"] & (2**64 - 1))
@@ -57,8 +65,12 @@ def gram_filter(grams: DataFrame) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    low = grams.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+    """Whether each hash may be in the filter; a false one is dropped by the join that follows."""
+    ok = np.ones(len(grams), bool)
+    for shift in FILTER_SHIFTS:
+        place = (grams.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        ok &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
 
 def gram_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
@@ -200,8 +212,7 @@ def contaminated(
     half = F.greatest(F.lit(1), F.floor(n_words / 2))
     spots = hits.join(placed, "gram").select("id", "digest", "item", "item_text", F.floor((F.col("place") - F.col("item_place")) / half).alias("block"))
     spots = spots.distinct().groupBy("id", "digest").agg(F.collect_list(F.struct("item", "item_text", "block")).alias("spots"))
-    f = found.select("id", "digest", "text").dropDuplicates(["id", "digest"]).alias("f")
-    s = spots.alias("s")
+    f, s = found.alias("f"), spots.alias("s")
     candidates = f.join(s, F.col("f.id").eqNullSafe(F.col("s.id")) & (F.col("f.digest") == F.col("s.digest"))).select("f.id", "f.digest", "f.text", "s.spots")
     kinds = dict(candidates.dtypes)
     rows = scored(candidates, kinds["id"], dict(items.dtypes)["item"]).filter(F.col("score") >= threshold)
