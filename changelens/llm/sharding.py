@@ -24,11 +24,12 @@ def _numbered(rows: DataFrame, keys: list[str], block: str, order: list[Column])
     Rows are numbered inside their block only; blocks are counted with map-side combination, and
     the counts of earlier blocks are carried over them.
     """
+    # Dealt out by block as well: an earlier partitioning by the keys alone would put a hot key into one task.
+    rows = rows.repartition(*keys, block)
     sizes = rows.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"))
     upto = W.orderBy(block) if not keys else W.partitionBy(*keys).orderBy(block)
     sizes = sizes.withColumn("_before", F.sum("_n").over(upto.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"))
-    # Dealt out by block as well, as an earlier partitioning by the keys alone would do for the window.
-    inside = rows.repartition(*keys, block).withColumn("_in", F.row_number().over(W.partitionBy(*keys, block).orderBy(*order)))
+    inside = rows.withColumn("_in", F.row_number().over(W.partitionBy(*keys, block).orderBy(*order)))
     return inside.join(sizes, [*keys, block]).withColumn("_place", F.col("_before") + F.col("_in")).drop("_in", "_n", "_before")
 
 
