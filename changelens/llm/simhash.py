@@ -172,10 +172,8 @@ def members(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     roots = components(links(nodes.select("fp")))
     # A fingerprint of one row without a link needs no join: its component is that row.
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce(F.col("root"), F.col("fp")))
-    groups = named.filter((F.col("fp") != F.col("root")) | (F.col("n") > 1)).select("root").distinct()
-    grouped = named.join(groups, "root", "left_semi")
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    known = stored(grouped.join(ids, "root").select("fp", "component"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("rows")).filter(F.col("rows") > 1).drop("rows")
+    known = stored(named.join(ids, "root").select("fp", "component"))
     return prints.join(known, "fp", "left").select("id", "digest", "fp", F.coalesce("component", "id").alias("component"))
 
 
