@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. The n-grams of the test items are counted over all documents.
-2. Of every few consecutive n-grams of an item the rarest is a seed.
+2. Of every two consecutive n-grams of an item the rarest is a seed.
 3. Documents are scanned for seeds; a seed places its item at one diagonal of the document.
 4. The passage around each diagonal is aligned with the item, word by word; the best score counts.
 """
@@ -20,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from changelens.llm.common import slices, stored, word_grams
 
 GRAM = 5
-# A seed is the rarest of this many n-grams in a row, so GRAM + RARE_OF - 1 equal words always hold one.
-RARE_OF = 3
+# A seed is the rarest of this many n-grams in a row, so GRAM + RARE_OF - 1 (six) equal words always hold one.
+RARE_OF = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Of the score of a whole, unchanged item.
 THRESHOLD = 0.6

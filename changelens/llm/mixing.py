@@ -21,9 +21,9 @@ from changelens.operators.barrier import bind
 SAMPLE = 20_000
 # Features besides the words of a text: many symbols, mostly capitals, few words.
 MARKS = ["<symbols>", "<capitals>", "<short>"]
-# A feature has a weight for a domain only if its share there is this many standard errors from its share overall,
+# A feature is a mark of a domain only if its share there is this many standard errors above its share overall,
 # and it is in this share of the domain's documents: what one group of copies has in common is no mark of a domain.
-# The share must also differ by a factor: many faint marks of, say, one language would add up.
+# The share must also be higher by a factor: many faint marks of, say, one language would add up.
 STANDARD_ERRORS = 4.0
 LEAST_SHARE = 0.1
 LEAST_RATIO = math.log(2)
@@ -49,7 +49,7 @@ def marks_of(text: Column, n_words: Column) -> Column:
 
 @dataclass
 class Classifier:
-    """Domains with their log priors, and the weight of each feature for each domain.
+    """Domains with their log priors (of a text without any feature), and the weight of each feature for each domain.
 
     A feature is in ``LEAST_SHARE`` of some domain's documents, so there are at most
     domains / LEAST_SHARE times the mean number of features of a document.
@@ -99,17 +99,20 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id:
     held = rows.select("domain", F.explode("features").alias("f")).groupBy("f")
     counts = held.agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
     wide = [F.col(f"n{i}") >= LEAST_SHARE * sizes[d] for i, d in enumerate(domains)]
-    weights = {}
+    weights, absent = {}, np.zeros(len(domains))
     for row in counts.filter(F.array_contains(F.array(*wide), True)).orderBy("f").collect():
         n = np.array(row[1:], float)
         size = np.array([sizes[d] for d in domains], float)
         overall = (n.sum() + 1.0) / (total + 2.0)
         share = (n + 2.0 * overall) / (size + 2.0)
         error = np.sqrt(overall * (1 - overall) / size)
-        clear = (np.abs(share - overall) > STANDARD_ERRORS * error) & (np.abs(np.log(share / overall)) >= LEAST_RATIO)
+        clear = (share - overall > STANDARD_ERRORS * error) & (np.log(share / overall) >= LEAST_RATIO)
         if clear.any():
-            weights[row["f"]] = np.where(clear, np.log(share / overall), 0.0).tolist()
-    return Classifier(domains, [math.log(sizes[d] / total) for d in domains], weights)
+            # What a missing feature says goes into the priors, and a present one takes it back.
+            missing = np.where(clear, np.log((1 - np.minimum(share, 0.99)) / (1 - min(overall, 0.99))), 0.0)
+            weights[row["f"]] = (np.where(clear, np.log(share / overall), 0.0) - missing).tolist()
+            absent += missing
+    return Classifier(domains, [math.log(sizes[d] / total) + float(a) for d, a in zip(domains, absent)], weights)
 
 
 def memberships(docs: DataFrame, model: Classifier, text: str, id_col: str) -> DataFrame:

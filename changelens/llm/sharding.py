@@ -60,7 +60,8 @@ def shards(
     )
     rows = stored(rows)
     total = rows.count()
-    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("rows_of_source"))
+    # Stored, so that its size is known when the join is planned: the rows of a hot source then stay where they are.
+    counts = stored(rows.groupBy("s").agg(F.count(F.lit(1)).alias("rows_of_source")))
     part = F.conv(F.substring("h", 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     placed = rows.join(counts, "s").withColumn("block", F.floor(part * F.ceil(F.col("rows_of_source") / block_rows)))
     order = [F.col("h"), F.col("id"), F.col("text_crc32"), F.col("size")]
