@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8) and BENCH_RUNS (default 2, after one warm-up).
+BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8) and BENCH_RUNS (default 3, after one warm-up).
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -40,7 +39,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("changelens-bench")
@@ -49,7 +48,6 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-checkpoints-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

@@ -45,15 +45,9 @@ def _subsequence_udf(left: Column, right: Column) -> Column:
     return F.pandas_udf(lengths, LongType())(left, right)
 
 
-def lcs_length(a: Column | str, b: Column | str, byte_limit: int | None = None) -> Column:
-    """Common subsequence length of the whitespace-free texts.
-
-    Whole texts by default. ``byte_limit=4096`` gives the older capped count (ASCII texts).
-    """
-    a, b = strip_whitespace(a), strip_whitespace(b)
-    if byte_limit is not None:
-        a, b = F.substring(a, 1, byte_limit), F.substring(b, 1, byte_limit)
-    return _subsequence_udf(a, b)
+def lcs_length(a: Column | str, b: Column | str) -> Column:
+    """Common subsequence length of the whole whitespace-free texts."""
+    return _subsequence_udf(strip_whitespace(a), strip_whitespace(b))
 
 
 def similarity_fast_path(a: Column | str, b: Column | str) -> Column:
@@ -70,7 +64,7 @@ def similarity_bound(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.least(size_a, size_b) / F.nullif(F.greatest(size_a, size_b), F.lit(0)), F.lit(1.0))
 
 
-def body_similarity(a: Column | str, b: Column | str, byte_limit: int | None = None) -> Column:
+def body_similarity(a: Column | str, b: Column | str) -> Column:
     """Similarity of two bodies in [0, 1].
 
     A UDF inside a CASE runs for every row, so rows settled by the fast path hand it empty texts.
@@ -80,4 +74,4 @@ def body_similarity(a: Column | str, b: Column | str, byte_limit: int | None = N
     slow_a = F.when(fast.isNull(), a).otherwise(F.lit(""))
     slow_b = F.when(fast.isNull(), b).otherwise(F.lit(""))
     longest = F.greatest(non_whitespace_bytes(a), non_whitespace_bytes(b))
-    return F.coalesce(fast, lcs_length(slow_a, slow_b, byte_limit) / F.nullif(longest, F.lit(0)))
+    return F.coalesce(fast, lcs_length(slow_a, slow_b) / F.nullif(longest, F.lit(0)))

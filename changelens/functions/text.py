@@ -181,16 +181,16 @@ def line_change_summary(added: Column | str, deleted: Column | str) -> Column:
     return F.format_string("+%d -%d", column(added), column(deleted))
 
 
-def ask_prompt(project: Column, path: Column, start: Column, end: Column, code: Column, question: Column) -> Column:
-    """Fixed prompt text around a code excerpt."""
+def ask_prompt(
+    project: Column, path: Column, start: Column, end: Column, code: Column, question: Column, first: Column, last: Column
+) -> Column:
+    """A question about a code excerpt; of a long excerpt's parts the first has the heading and the last the question."""
     span = F.when(start == end, F.format_string("line %d", start)).otherwise(
         F.format_string("lines %d-%d", start, end)
     )
-    return F.concat(
-        F.lit('Context: Code review in project "'), project, F.lit('"\nFile: '), path,
-        F.lit("\nSelected "), span, F.lit(":\n```\n"), code, F.lit("```\n\nQuestion: "), question,
-        F.lit("\n\nPlease provide a concise response."),
-    )
+    heading = F.concat(F.lit("Review of "), project, F.lit(", "), path, F.lit(", "), span, F.lit("\n```\n"))
+    ending = F.concat(F.lit("```\n\n"), question, F.lit("\n\nKeep the answer short."))
+    return F.concat(F.when(first, heading).otherwise(""), code, F.when(last, ending).otherwise(""))
 
 
 # --- lines and regions ------------------------------------------------------------------------

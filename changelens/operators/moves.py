@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from changelens.functions.similarity import body_similarity, similarity_bound, similarity_fast_path
 from changelens.functions.text import non_whitespace_bytes, text_lines
 from changelens.operators import bitmaps as B
+from changelens.operators.barrier import bind
 from changelens.operators.entries import CosmeticConfig
-from changelens.operators.scan import Fold, running, whole
+from changelens.operators.scan import Fold, running, stored, whole
 
 ROUND = 64
 
@@ -40,17 +41,6 @@ def region_bodies(files: DataFrame, regions: DataFrame) -> DataFrame:
     return bodies.filter("body <> ''")
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Store a result that is read several times, where the session names a shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _banded(rows: DataFrame, threshold: float) -> DataFrame:
     """Add ``_band``: bodies whose lengths allow the threshold are at most one band apart."""
     unit = max(-math.log(threshold), 1e-6) * 1.0001
@@ -79,7 +69,9 @@ def move_candidates(bodies: DataFrame, threshold: float = CosmeticConfig().move_
     able = similarity_fast_path("old_body", "new_body").isNotNull() | (
         similarity_bound("old_body", "new_body") >= threshold
     )
-    scored = pairs.filter(moved & able).withColumn("similarity", body_similarity("old_body", "new_body"))
+    scored = pairs.filter(moved & able).withColumn("_s", body_similarity("old_body", "new_body"))
+    # Bound through a generator, or the filter would run the UDF a second time.
+    scored = bind(scored, similarity=F.col("_s"))
     return scored.filter(F.col("similarity") >= threshold).select(*keys, "old_place", "new_place", "similarity")
 
 
@@ -95,16 +87,16 @@ def moved_constructs(
     Names seldom repeat, and then one round does.
     """
     keys = ["path", "name", "node_type"]
-    regions = materialised(regions)
+    regions = stored(regions)
     most = regions.filter("side = 'old'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    bodies = materialised(region_bodies(files, regions))
+    bodies = stored(region_bodies(files, regions))
     if (most or 0) <= round_size:
         return _choose(move_candidates(bodies, threshold), round_size)
 
     # Number the old regions of a name; new ones take no part in the numbering.
     old = bodies.filter("side = 'old'").withColumn("_place", F.col("start_line") * 16 + F.col("level"))
     old = running(old, keys, "_place", [Fold("_nth", F.lit(1).cast("bigint"))], tie=["end_line"]).drop("_place")
-    old = materialised(old)
+    old = stored(old)
     new = bodies.filter("side = 'new'")
     found = None
     for r in range((most - 1) // round_size + 1):
@@ -114,7 +106,7 @@ def moved_constructs(
             taken = found.select(*keys, F.col("new_start_line").alias("start_line"), F.col("new_end_line").alias("end_line"))
             free = new.join(taken, [*keys, "start_line", "end_line"], "left_anti").select(*turn.columns)
         chosen = _choose(move_candidates(turn.unionByName(free), threshold), round_size)
-        found = materialised(chosen if found is None else found.unionByName(chosen))
+        found = stored(chosen if found is None else found.unionByName(chosen))
     return found
 
 

@@ -160,3 +160,29 @@ def neighbours(
     for name, source in after.items():
         rows = rows.withColumn(name, F.lead(source).over(w))
     return rows.filter("_block = _home").drop("_block", "_home")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A result that is read several times, checkpointed in the session's shared folder.
+
+    Where spark.checkpoint.dir is unset, the folder is one beside the warehouse.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        own = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{own}/_checkpoints")
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the place from 1 of every row in the order of all rows.
+
+    The rows are dealt into ranges and stored, so that the ranges hold still; each is numbered by
+    itself, and the sizes of the ranges before it, one row each, are added.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranged.withColumn("_in", inside).join(sizes.withColumn("_before", before), "_range")
+    return placed.withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_range", "_in", "_n", "_before")

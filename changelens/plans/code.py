@@ -7,7 +7,7 @@ edits others, drops some constructs and moves the odd ones to the front.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import similarity
@@ -490,11 +490,13 @@ def code_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similar_bodies")
 def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every construct's two bodies."""
+    """Similarity of every construct's two bodies; constructs of one name pair by their order in the file."""
     pairs = code_files(spark, sf_dir)
     bodies = M.region_bodies(pairs, code_regions(pairs).filter("name <> ''"))
     keys = ["path", "name", "node_type", "level"]
-    old = bodies.filter("side = 'old'").groupBy(*keys).agg(F.max_by("body", "start_line").alias("old_body"))
-    new = bodies.filter("side = 'new'").groupBy(*keys).agg(F.max_by("body", "start_line").alias("new_body"))
-    both = old.join(new, keys)
-    return both.select(*keys, F.round(similarity.body_similarity("old_body", "new_body"), 6).alias("similarity"))
+    nth = F.row_number().over(Window.partitionBy("side", *keys).orderBy("start_line", "end_line")).cast("bigint")
+    bodies = bodies.withColumn("nth", nth)
+    old = bodies.filter("side = 'old'").select(*keys, "nth", F.col("body").alias("old_body"))
+    new = bodies.filter("side = 'new'").select(*keys, "nth", F.col("body").alias("new_body"))
+    both = old.join(new, [*keys, "nth"])
+    return both.select(*keys, "nth", F.round(similarity.body_similarity("old_body", "new_body"), 6).alias("similarity"))

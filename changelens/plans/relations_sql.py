@@ -217,9 +217,12 @@ select path, side, ix * 5 + 1 start_line, least(ix * 5 + 5, n) end_line, ix * 5
 from (
   select path, side, n, unnest(generate_series(0, (n - 1) // 5)) ix
   from (
-    select path, 'old' side, greatest((select count(*) from d_old o where o.path = d.path), 1) n from d_docs d where status = 'changed'
-    union all
-    select path, 'new', greatest((select count(*) from d_new w where w.path = d.path), 1) from d_docs d where status = 'changed'
+    select path, side, count(*) n from (
+      select path, 'old' side, c from d_old
+      union all select path, 'new', c from d_new
+      union all select path, 'old', c from d_lines where status in ('removed', 'unchanged')
+      union all select path, 'new', c from d_lines where status in ('added', 'unchanged')
+    ) group by path, side having count(*) > 1 or max(length(c)) > 0
   )
 )
 """,

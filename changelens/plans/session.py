@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions import text as X
 from changelens.operators import session as S
-from changelens.operators.scan import Fold, running
+from changelens.operators.scan import Fold, numbered, running
 from changelens.plans.registry import cte, query
 from changelens.plans.revisions import files, session, table
 from changelens.sources import report as M
@@ -127,17 +127,13 @@ def sink_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sorted_comments",
     """
-select path, line_start, pos, row_number() over (order by path, line_start, pos) place
-from c_comments order by path, line_start, pos limit 100
+select path, line_start, pos, row_number() over (order by path, line_start, pos) place from c_comments
 """,
 )
 def sorted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred comments in report order, numbered."""
-    ordered = comments_of(spark, sf_dir).select("path", "line_start", "pos").orderBy("path", "line_start", "pos")
-    top = ordered.limit(100).withColumn("one", F.lit(1).cast("bigint"))
-    return top.agg(F.array_sort(F.collect_list(F.struct("path", "line_start", "pos"))).alias("all")).select(
-        F.posexplode("all").alias("i", "c")
-    ).select("c.*", (F.col("i") + 1).cast("bigint").alias("place"))
+    """All comments in report order, numbered."""
+    order = ["path", "line_start", "pos"]
+    return numbered(comments_of(spark, sf_dir).select(*order), order, "place")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import text as X
@@ -248,14 +248,16 @@ def select_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ask_prompt",
     f"""
-select path, concat('Context: Code review in project "demo"', chr(10), 'File: ', path, chr(10), 'Selected lines 4-9:', chr(10), '```', chr(10), code,
-  '```', chr(10), chr(10), 'Question: why?', chr(10), chr(10), 'Please provide a concise response.') prompt from ({_EXCERPT})
+select path, cast(0 as bigint) part, concat('Review of demo, ', path, ', lines 4-9', chr(10), '```', chr(10), code,
+  '```', chr(10), chr(10), 'why?', chr(10), chr(10), 'Keep the answer short.') prompt from ({_EXCERPT})
 """,
 )
 def ask_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = N.excerpt(D.diff_lines(files(spark, sf_dir)), F.lit(4), F.lit(9)).filter("part = 0")
-    prompt = X.ask_prompt(F.lit("demo"), F.col("path"), F.lit(4), F.lit(9), F.col("code"), F.lit("why?"))
-    return code.select("path", prompt.alias("prompt"))
+    code = N.excerpt(D.diff_lines(files(spark, sf_dir)), F.lit(4), F.lit(9))
+    code = code.withColumn("last", F.max("part").over(Window.partitionBy("path")))
+    first, last = F.col("part") == 0, F.col("part") == F.col("last")
+    prompt = X.ask_prompt(F.lit("demo"), F.col("path"), F.lit(4), F.lit(9), F.col("code"), F.lit("why?"), first, last)
+    return code.select("path", "part", prompt.alias("prompt"))
 
 
 _FOUND = "cast(start_line as bigint) start_line, cast(level as bigint) level, name"
