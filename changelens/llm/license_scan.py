@@ -94,13 +94,14 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> DataFrame
     rows = shingled(given.select("template", compared_words(F.col("t")).alias("words")))
     cut = windows(rows).filter((F.col("pos") % STRIDE == 0) & (F.size("h") > 0))
     bands = F.array(*[F.struct(F.lit(k).alias("k"), band(k).alias("value")) for k in range(BANDS)])
-    return cut.select("template", F.col("pos").alias("place"), grams_of(F.col("words")).alias("grams"), F.size("words").alias("n_words"), F.inline(bands))
+    return cut.select("template", F.col("pos").alias("place"), F.array_distinct(grams_of(F.col("words"))).alias("grams"), F.size("words").alias("n_words"), F.inline(bands))
 
 
 def grams_of(words: Column) -> Column:
+    """The shingles of some words, in order."""
     last = F.size(words) - SHINGLE + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))
 
 
 def licenses(
@@ -110,7 +111,8 @@ def licenses(
     text: str = "text",
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """(id, digest, license, containment, word) for each template that a row holds; word is where it first starts.
+    """(id, digest, license, containment, word) for each template that a row holds; word is where
+    its first shingle is found, from 0.
 
     Containment is the share of the template's shingles found around the place where it was
     retrieved. Case and punctuation do not count. A null, empty or short text holds none, nor does a
@@ -134,8 +136,9 @@ def licenses(
     slack = F.ceil(F.col("n_words") / 4).cast("int")
     first = F.greatest(F.col("pos") - F.col("place") - slack, F.lit(0))
     region = F.slice("words", first + 1, F.col("n_words") + 2 * slack)
-    share = F.size(F.array_intersect("grams", grams_of(region))) / F.size("grams")
-    start = F.greatest(F.col("pos") - F.col("place"), F.lit(0)).cast("bigint")
-    scored = pairs.select("id", "digest", "template", start.alias("word"), share.alias("share"))
+    pairs = bind(pairs, first=first, found=grams_of(region))
+    met = F.array_intersect("found", "grams")
+    place = F.col("first") + F.array_position("found", F.get(met, F.lit(0))) - 1
+    scored = pairs.select("id", "digest", "template", place.cast("bigint").alias("word"), (F.size(met) / F.size("grams")).alias("share"))
     best = scored.filter(F.col("share") >= containment).groupBy("id", "digest", "template").agg(F.max("share").alias("containment"), F.min("word").alias("word"))
     return best.select(F.col("id").alias(id_col), "digest", F.col("template").alias("license"), "containment", "word")

@@ -68,4 +68,95 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPLIT = r"string_split_regex({0}, '[\x20\x09-\x0D]+')"
+_WORDS = "list_filter(" + _SPLIT + ", lambda w: w <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    """Exact containment of each template's five-word shingles in the whole text."""
+    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.TEMPLATES.items())
+    plain = f"translate(translate(t, '{_UPPER}', '{_LOWER}'), {_quoted(license_scan.PUNCTUATION)}, '')"
+    grams = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
+    return f"""
+with given(license, t) as (values {values}),
+templates as (select license, {grams} g from (select license, {_WORDS.format(plain)} w from given)),
+docs as (select doc_id, {grams} g from (select doc_id, {_WORDS.format(plain)} w from (select doc_id, coalesce(text, '') t from documents)))
+select doc_id, license, containment, cast(list_position(dg, tg[1]) - 1 as bigint) word from (
+  select doc_id, license, d.g dg, t.g tg, len(list_intersect(list_distinct(t.g), d.g)) / len(list_distinct(t.g)) containment
+  from docs d, templates t where list_has_any(t.g, d.g)
+) where containment >= {license_scan.CONTAINMENT}
+"""
+
+
+def quality_sql() -> str:
+    letters = f"translate(translate(l, '{_UPPER}', '{_LOWER}'), '123456789', '000000000')"
+    return f"""
+with docs as (
+  select doc_id, source, t, {_WORDS.format("t")} w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls
+  from (select doc_id, source, coalesce(text, '') t from documents)
+),
+windows as (
+  select doc_id, i, array_to_string(w[i:i+7], ' ') v from (select doc_id, w, unnest(range(1, len(w) - 6)) i from docs)
+),
+repeated as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, v) n from windows) where n > 1
+),
+covered as (
+  select doc_id, cast(sum(least(8, coalesce(after - i, 8))) as bigint) n from (
+    select doc_id, i, lead(i) over (partition by doc_id order by i) after from repeated
+  ) group by doc_id
+),
+lines as (
+  select doc_id, source, t, array_to_string({_WORDS.format(letters)}, ' ') v, len({_WORDS.format("l")}) n
+  from (select doc_id, source, t, unnest(ls) l from docs)
+),
+hosts as (select source, count(distinct t) all_docs from docs group by source),
+frequent as (
+  select source, v from (select source, v, count(distinct t) n from lines group by source, v) join hosts using (source)
+  where n > greatest(50, 0.05 * all_docs)
+),
+gone as (select doc_id, cast(sum(n) as bigint) n from lines semi join frequent using (source, v) group by doc_id),
+measured as (
+  select doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+    cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines,
+    coalesce(c.n, 0) n_repeat_words, coalesce(g.n, 0) n_removed
+  from docs left join covered c using (doc_id) left join gone g using (doc_id)
+),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from measured)
+select *, not base_failed and n_words - n_removed >= 20 and n_words - n_removed >= 0.2 * n_words kept from judged
+"""
+
+
+SHARDING_SQL = f"""
+with crc as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) tab
+  from range(256) r(i)
+),
+docs as (
+  select doc_id, 's' || coalesce(source, chr(0)) s, cast(strlen(t) + 1 as bigint) size, md5('{sharding.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) h,
+    list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: cast('0x' || x as bigint))) bytes
+  from (select doc_id, source, coalesce(text, '') t from documents)
+),
+summed as (
+  select doc_id, s, size, h, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) text_crc32 from docs, crc
+),
+ranked as (
+  select *, row_number() over (partition by s order by h, doc_id, text_crc32, size) r, count(*) over (partition by s) n, count(*) over () total from summed
+),
+placed as (select *, row_number() over (order by (2 * r - 1) / (2 * n), s, r) - 1 place from ranked)
+select doc_id, size, text_crc32, cast(place * 8 // total as int) shard,
+  cast(place - (place * 8 // total * total + 7) // 8 as bigint) slot, 'rows' law, cast(null as int) grown_shard
+from placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_sql(),
+    "op3_quality_rules": quality_sql(),
+    "op6_sharding": SHARDING_SQL,
+}
