@@ -33,6 +33,9 @@ HEADLINE = [
     "rename_map",
     "normalized_files",
     "moved_constructs",
+    "viewports",
+    "collapsed_info",
+    "lcs_length",
 ]
 
 
