@@ -452,22 +452,34 @@ def moved_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.filter("similarity = 1").drop("similarity")
 
 
-@query(
-    "moved_lines",
-    """
+def _moved_lines_sql(side: str) -> str:
+    return f"""
 select l.path, cast(l.line as bigint) line, exists (
-  select 1 from k_same_moves m where m.path = l.path and l.line between m.old_start_line and m.old_end_line) moved
-from k_lines l where l.side = 'old'
-""",
-)
-def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+  select 1 from k_same_moves m where m.path = l.path and l.line between m.{side}_start_line and m.{side}_end_line) moved
+from k_lines l where l.side = '{side}'
+"""
+
+
+def _moved_lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     pairs = code_files(spark, sf_dir)
     regions = code_regions(pairs).filter("name <> ''")
     moved = M.moved_constructs(pairs, regions, threshold=0.999999).filter("similarity = 1")
-    lines = pairs.select("path", F.posexplode(text_lines("old_content")).alias("p", "c")).select(
+    lines = pairs.select("path", F.posexplode(text_lines(f"{side}_content")).alias("p", "c")).select(
         "path", (F.col("p") + 1).cast("bigint").alias("line")
     )
-    return M.moved_line(lines, moved, "old").select("path", "line", F.col("moved").isNotNull().alias("moved"))
+    return M.moved_line(lines, moved, side).select("path", "line", F.col("moved").isNotNull().alias("moved"))
+
+
+@query("moved_lines", _moved_lines_sql("old"))
+def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the old version that went elsewhere."""
+    return _moved_lines(spark, sf_dir, "old")
+
+
+@query("moved_lines_new", _moved_lines_sql("new"))
+def moved_lines_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the new version that came from elsewhere."""
+    return _moved_lines(spark, sf_dir, "new")
 
 
 @query(

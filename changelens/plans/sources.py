@@ -10,7 +10,7 @@ from changelens.operators import entries as E
 from changelens.operators.barrier import bind
 from changelens.operators.scan import whole
 from changelens.plans.registry import cte, query
-from changelens.plans.revisions import diff_records, files, path_of, spread_table, table
+from changelens.plans.revisions import diff_records, path_of, spread_table, table
 from changelens.sources import diff_json, event_log, listing, patch
 
 # --- listings -----------------------------------------------------------------------------------------
