@@ -14,21 +14,38 @@ from changelens.functions.text import column, non_whitespace_bytes, strip_whites
 
 def _subsequence_function() -> Callable[[bytes, bytes], int]:
     # Nested, so that workers get the code itself and need no copy of this package.
-    def subsequence_length(a: bytes, b: bytes) -> int:
-        """Length of the longest common subsequence by the bit-vector method (one big-integer step per byte)."""
+    def subsequence_length(a: bytes, b: bytes, least: int = 0) -> int:
+        """Length of the longest common subsequence by the bit-vector method (one big-integer step per byte).
+
+        -1 as soon as it is known to be below ``least``.
+        """
         if len(a) > len(b):
             a, b = b, a
+        # What both begin and end with belongs to some longest one.
+        ends = 0
+        for turned in (False, True):
+            x, y = (a[::-1], b[::-1]) if turned else (a, b)
+            low, high = 0, len(x)
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+            ends += low
+            a, b = (a[: len(a) - low], b[: len(b) - low]) if turned else (a[low:], b[low:])
         if not a:
-            return 0
+            return ends
         where: dict[int, int] = {}
         for i, byte in enumerate(a):
             where[byte] = where.get(byte, 0) | (1 << i)
         full = (1 << len(a)) - 1
         row = full
-        for byte in b:
-            hit = row & where.get(byte, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(a) - row.bit_count()
+        for at in range(0, len(b), 256):
+            for byte in b[at : at + 256]:
+                hit = row & where.get(byte, 0)
+                row = ((row + hit) | (row - hit)) & full
+            length = ends + len(a) - row.bit_count()
+            if length + max(0, len(b) - at - 256) < least:
+                return -1
+        return length
 
     return subsequence_length
 
@@ -58,12 +75,6 @@ def similarity_fast_path(a: Column | str, b: Column | str) -> Column:
     )
 
 
-def similarity_bound(a: Column | str, b: Column | str) -> Column:
-    """Upper bound of the similarity from the two lengths alone."""
-    size_a, size_b = non_whitespace_bytes(a), non_whitespace_bytes(b)
-    return F.coalesce(F.least(size_a, size_b) / F.nullif(F.greatest(size_a, size_b), F.lit(0)), F.lit(1.0))
-
-
 def body_similarity(a: Column | str, b: Column | str) -> Column:
     """Similarity of two bodies in [0, 1].
 

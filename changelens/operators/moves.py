@@ -1,135 +1,141 @@
-"""Constructs that moved within their file, and identical or similar bodies."""
+"""Constructs that moved within their file, and the bodies that are compared for it."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.similarity import body_similarity, similarity_bound, similarity_fast_path
-from changelens.functions.text import non_whitespace_bytes, text_lines
+from changelens.functions.similarity import subsequence_length
+from changelens.functions.text import strip_whitespace, text_lines
 from changelens.operators import bitmaps as B
 from changelens.operators.barrier import bind
 from changelens.operators.entries import CosmeticConfig
-from changelens.operators.scan import Fold, running, stored, whole
-
-ROUND = 64
+from changelens.operators.outline import body_of
 
 
 def region_bodies(files: DataFrame, regions: DataFrame) -> DataFrame:
     """Regions with ``body``: the lines after the header, each with its newline. Regions without any are dropped.
 
-    Lines meet regions by 60-line bucket; a body is a piece of one file, so gathering it is bounded.
+    For regions that come from elsewhere; ``find_regions(files, bodies=True)`` cuts its own in the
+    row. A version's regions meet its text as one array, so no line is shuffled by itself.
     """
-    versions = [F.struct(F.lit(v).alias("side"), text_lines(f"{v}_content").alias("l")) for v in ("old", "new")]
-    rows = files.select("path", F.inline(F.array(*versions)))
-    rows = rows.select("path", "side", F.size("l").alias("n"), F.posexplode("l").alias("p", "text"))
-    lines = rows.select(
-        "path",
-        "side",
-        (F.col("p") + 1).cast("bigint").alias("line"),
-        F.when(F.col("p") + 1 < F.col("n"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"),
-    )
-    parts = B.spread(regions, F.col("header_end_line") + 1, F.col("end_line"))
-    joined = parts.join(lines.withColumn("_bucket", B.bucket_of("line")), ["path", "side", "_bucket"])
-    inside = joined.filter(F.col("line").between(F.col("_low"), F.col("_high")))
-    pieces = F.array_sort(F.collect_list(F.struct("line", "text")))
-    bodies = inside.groupBy(*regions.columns).agg(
-        F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("body")
-    )
-    return bodies.filter("body <> ''")
-
-
-def _banded(rows: DataFrame, threshold: float) -> DataFrame:
-    """Add ``_band``: bodies whose lengths allow the threshold are at most one band apart."""
-    unit = max(-math.log(threshold), 1e-6) * 1.0001
-    return rows.withColumn("_band", F.floor(F.log(non_whitespace_bytes("body") + 1) / F.lit(unit)).cast("bigint"))
-
-
-def move_candidates(bodies: DataFrame, threshold: float = CosmeticConfig().move_similarity) -> DataFrame:
-    """Pairs of an old and a new region of one name and kind, at another place, similar enough.
-
-    The length of the bodies limits the similarity, so only neighbouring length bands meet, and
-    the subsequence is computed for what still stands after that.
+    keys = ["path", "side"]
+    others = [c for c in regions.columns if c not in keys]
+    lists = regions.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("_regions"))
+    versions = [F.struct(F.lit(v).alias("side"), text_lines(f"{v}_content").alias("_lines")) for v in ("old", "new")]
+    rows = files.select("path", F.inline(F.array(*versions))).join(lists, keys)
+
+    # In the array, so that a row never carries the whole text once per region.
+    def with_body(r: Column) -> Column:
+        return F.struct(*[r[c].alias(c) for c in others], body_of("_lines", r["header_end_line"], r["end_line"]).alias("body"))
+
+    bodies = rows.select(*keys, F.inline(F.transform("_regions", with_body)))
+    return bodies.select(*regions.columns, "body").filter("body <> ''")
+
+
+def _chooser(threshold: float) -> Callable:
+    # Nested, so that workers get the code itself and need no copy of this package.
+    length = subsequence_length
+
+    def choose(old: list[tuple[int, int, bytes]], new: list[tuple[int, int, bytes]]) -> list[dict]:
+        """Let the old regions of one name choose in order among the new ones that are still free."""
+        same: dict[bytes, list[int]] = {}
+        for j, (_, _, text) in enumerate(new):
+            same.setdefault(text, []).append(j)
+        sizes = np.array([len(text) for _, _, text in new])
+        free = np.ones(len(new), bool)
+        bytes_of: np.ndarray | None = None
+        out = []
+        for i, (start, end, a) in enumerate(old):
+            # Nothing beats an equal body, and an empty one is like no other one.
+            j = next((j for j in same.get(a, ()) if new[j][:2] != (start, end)), None)
+            best = (1.0, j)
+            if j is None and a:
+                # The lengths, then the bytes in common, limit the similarity.
+                able = np.flatnonzero(free & (np.minimum(sizes, len(a)) / np.maximum(sizes, len(a)) >= threshold))
+                if bytes_of is None:
+                    bytes_of = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for _, _, t in new]).astype(np.int32)
+                shared = np.bincount(np.frombuffer(a, np.uint8), minlength=256)
+                bound = np.minimum(bytes_of[able], shared).sum(axis=1) / np.maximum(sizes[able], len(a))
+                best = (threshold, None)
+                for k in np.argsort(-bound, kind="stable"):
+                    j = int(able[k])
+                    if bound[k] < best[0]:
+                        break
+                    if new[j][:2] == (start, end):
+                        continue
+                    longest = max(len(a), len(new[j][2]))
+                    score = length(a, new[j][2], int(best[0] * longest)) / longest
+                    if score > best[0] or (score == best[0] and (best[1] is None or j < best[1])):
+                        best = (score, j)
+            if best[1] is not None:
+                free[best[1]] = False
+                same[new[best[1]][2]].remove(best[1])
+                out.append({"o": i, "n": best[1], "similarity": float(best[0])})
+        return out
+
+    return choose
+
+
+def _chosen(old: str, new: str, threshold: float) -> Column:
+    """Pairs (o, n, similarity) by place in two arrays of (start_line, level, end_line, text)."""
+    choose = _chooser(threshold)
+
+    def pairs(
+        old_start: pd.Series, old_end: pd.Series, old_text: pd.Series, new_start: pd.Series, new_end: pd.Series, new_text: pd.Series
+    ) -> pd.Series:
+        def listed(starts, ends, texts):
+            return [(int(s), int(e), t.encode()) for s, e, t in zip(starts, ends, texts)]
+
+        columns = zip(old_start, old_end, old_text, new_start, new_end, new_text)
+        return pd.Series([choose(listed(*c[:3]), listed(*c[3:])) for c in columns], dtype=object)
+
+    parts = [F.col(side)[field] for side in (old, new) for field in ("start_line", "end_line", "text")]
+    return F.pandas_udf(pairs, "array<struct<o:int,n:int,similarity:double>>")(*parts)
+
+
+def moved_constructs(bodies: DataFrame, threshold: float = CosmeticConfig().move_similarity) -> DataFrame:
+    """Old regions paired one to one with the new region of their file, name and kind that they moved to.
+
+    Old regions choose in order: the most similar new region at another place that is still free,
+    the first on ties. A choice depends on all earlier ones of its name, so these meet as one group:
+    a piece of one file, which is a row already. Equal bodies meet by value, and a subsequence is
+    computed only where lengths and bytes allow more than the best so far. A single region with an
+    equal body is settled without the UDF. Regions with an empty ``body`` take no part.
     """
     keys = ["path", "name", "node_type"]
-
-    def one(side: str) -> DataFrame:
-        rows = _banded(bodies.filter(F.col("side") == side), threshold)
-        place = F.struct("start_line", "level", "end_line").alias(f"{side}_place")
-        return rows.select(*keys, place, F.col("body").alias(f"{side}_body"), "_band")
-
-    near = one("old").withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
-    pairs = near.join(one("new"), [*keys, "_band"])
-    moved = (F.col("old_place.start_line") != F.col("new_place.start_line")) | (
-        F.col("old_place.end_line") != F.col("new_place.end_line")
-    )
-    # A UDF runs for every row it is given, so hopeless pairs go first.
-    able = similarity_fast_path("old_body", "new_body").isNotNull() | (
-        similarity_bound("old_body", "new_body") >= threshold
+    region = F.struct("start_line", "level", "end_line", strip_whitespace("body").alias("text"))
+
+    def of(side: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, region)))
+
+    groups = bodies.filter("body <> ''").groupBy(*keys).agg(of("old").alias("old"), of("new").alias("new"))
+    groups = groups.filter((F.size("old") > 0) & (F.size("new") > 0))
+    o, n = F.get("old", F.lit(0)), F.get("new", F.lit(0))
+    single = (F.size("old") == 1) & (F.size("new") == 1) & (o["text"] == n["text"])
+    moved = (o["start_line"] != n["start_line"]) | (o["end_line"] != n["end_line"])
+    one = F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("n"), F.lit(1.0).alias("similarity")))
+    none = F.filter(one, lambda _: F.lit(False))
+    groups = bind(groups, settled=F.when(single, F.when(moved, one).otherwise(none)))
+    # A UDF inside a CASE runs for every row, so settled groups hand it no regions.
+    left = bind(
+        groups,
+        old_left=F.filter("old", lambda _: F.col("settled").isNull()),
+        new_left=F.filter("new", lambda _: F.col("settled").isNull()),
     )
-    scored = pairs.filter(moved & able).withColumn("_s", body_similarity("old_body", "new_body"))
-    # Bound through a generator, or the filter would run the UDF a second time.
-    scored = bind(scored, similarity=F.col("_s"))
-    return scored.filter(F.col("similarity") >= threshold).select(*keys, "old_place", "new_place", "similarity")
-
-
-def moved_constructs(
-    files: DataFrame, regions: DataFrame, threshold: float = CosmeticConfig().move_similarity, round_size: int = ROUND
-) -> DataFrame:
-    """Old regions paired one to one with the new region they moved to.
-
-    Old regions choose in order: the most similar new region of their name and kind that is
-    still free, the first on ties. Each round lets the next ``round_size`` old regions of every
-    name choose. An old region then needs no more than its ``round_size`` best candidates, since
-    fewer are taken before it in the round, so a name's candidates stay below round_size² rows.
-    Names seldom repeat, and then one round does.
-    """
-    keys = ["path", "name", "node_type"]
-    regions = stored(regions)
-    most = regions.filter("side = 'old'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    bodies = stored(region_bodies(files, regions))
-    if (most or 0) <= round_size:
-        return _choose(move_candidates(bodies, threshold), round_size)
-
-    # Number the old regions of a name; new ones take no part in the numbering.
-    old = bodies.filter("side = 'old'").withColumn("_place", F.col("start_line") * 16 + F.col("level"))
-    old = running(old, keys, "_place", [Fold("_nth", F.lit(1).cast("bigint"))], tie=["end_line"]).drop("_place")
-    old = stored(old)
-    new = bodies.filter("side = 'new'")
-    found = None
-    for r in range((most - 1) // round_size + 1):
-        turn = old.filter(whole(F.col("_nth") - 1, round_size) == r).drop("_nth")
-        free = new
-        if found is not None:
-            taken = found.select(*keys, F.col("new_start_line").alias("start_line"), F.col("new_end_line").alias("end_line"))
-            free = new.join(taken, [*keys, "start_line", "end_line"], "left_anti").select(*turn.columns)
-        chosen = _choose(move_candidates(turn.unionByName(free), threshold), round_size)
-        found = stored(chosen if found is None else found.unionByName(chosen))
-    return found
-
-
-def _choose(candidates: DataFrame, round_size: int) -> DataFrame:
-    """Let the old regions of each name choose in order, from their best candidates."""
-    keys = ["path", "name", "node_type"]
-    best = Window.partitionBy(*keys, "old_place").orderBy(F.desc("similarity"), "new_place")
-    short = candidates.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= round_size)
-    order = F.struct("old_place", "_k", "new_place", "similarity")
-    lists = short.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("edges"))
-
-    # Each step keeps an edge whose two ends are both still free.
-    def step(kept: Column, e: Column) -> Column:
-        used = F.exists(kept, lambda k: (k["old_place"] == e["old_place"]) | (k["new_place"] == e["new_place"]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(e)))
-
-    pairs = F.aggregate("edges", F.filter("edges", lambda _: F.lit(False)), step)
-    return lists.select(*keys, F.explode(pairs).alias("e")).select(
+    pairs = left.withColumn("_chosen", _chosen("old_left", "new_left", threshold))
+    pairs = bind(pairs, e=F.coalesce("settled", "_chosen")).select(*keys, "old", "new", F.explode("e").alias("e"))
+    place = lambda side, end: F.get(F.col(side), F.col("e")[end])
+    return pairs.select(
         *keys,
-        F.col("e.old_place.start_line").alias("old_start_line"),
-        F.col("e.old_place.end_line").alias("old_end_line"),
-        F.col("e.new_place.start_line").alias("new_start_line"),
-        F.col("e.new_place.end_line").alias("new_end_line"),
+        place("old", "o")["start_line"].alias("old_start_line"),
+        place("old", "o")["end_line"].alias("old_end_line"),
+        place("new", "n")["start_line"].alias("new_start_line"),
+        place("new", "n")["end_line"].alias("new_end_line"),
         F.col("e.similarity").alias("similarity"),
     )
 

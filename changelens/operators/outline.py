@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.functions.text import column, text_lines
 from changelens.operators.barrier import bind, prefix_max, prefix_sum
 from changelens.operators.scan import whole
 from changelens.operators.source_code import FAMILIES, by_side, is_comment, is_string, tokens
@@ -88,14 +89,15 @@ def _nesting(braces: Column) -> Column:
     return F.aggregate(F.split(braces, ""), start, step)
 
 
-def _with_code_lines(files: DataFrame, sides: Sequence[str]) -> DataFrame:
-    """(path, side, language, code): lines without comments and the inside of strings, with the levels they open and close.
+def _with_code_lines(files: DataFrame, sides: Sequence[str], bodies: bool) -> DataFrame:
+    """(path, side, language, code, and the text's lines with ``bodies``): lines without comments and the inside of strings, with the levels they open and close.
 
     ``closes``/``opens`` are [from, to) level ranges and ``close_end`` is the line on which a
     region closed here ends. Blank lines are left out.
     """
     df = by_side(files.filter(F.col("language").isin(*FAMILIES)), sides)
-    df = bind(df, tok=tokens("content", "language"))
+    whole_lines = {"lines": text_lines("content")} if bodies else {}
+    df = bind(df, tok=tokens("content", "language"), **whole_lines)
 
     # Line breaks inside comments and strings stay, so that line numbers do; a string leaves its quote.
     def blanked(t: Column) -> Column:
@@ -162,7 +164,7 @@ def _with_code_lines(files: DataFrame, sides: Sequence[str]) -> DataFrame:
     by_indent = F.transform("filled", indent_line)
     by_brace = F.filter(F.transform("text", brace_line), lambda x: x["text"] != "")
     code = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
-    return bind(df, code=code).select("path", "side", "language", "code")
+    return bind(df, code=code).select("path", "side", "language", "code", *whole_lines)
 
 
 _MARK = (
@@ -187,11 +189,19 @@ def _levels(start: Column, end: Column) -> Column:
     return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> DataFrame:
+def body_of(lines: Column | str, header_end: Column, end: Column) -> Column:
+    """The lines after a header up to ``end``, each with its newline (which the last line of a text lacks)."""
+    lines = column(lines)
+    piece = F.array_join(F.slice(lines, (header_end + 1).cast("int"), (end - header_end).cast("int")), "\n")
+    return F.when(end > header_end, F.concat(piece, F.when(end < F.size(lines), "\n").otherwise(""))).otherwise("")
+
+
+def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new"), bodies: bool = False) -> DataFrame:
     """Regions of the versions of each file (see schemas.REGIONS), all collapsed.
 
     Only constructs directly inside other constructs nest, down to three levels, and those on a
-    single line are left out. A file is worked on in its row, so this needs no shuffle.
+    single line are left out. A file is worked on in its row, so this needs no shuffle. With
+    ``bodies`` there is a column ``body``, the text after the header, cut from the row as well.
     """
     python = F.col("language") == "python"
 
@@ -215,7 +225,7 @@ def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> Dat
             F.transform(_levels(x["close_from"], x["close_to"]), lambda v: _mark(x, v, 2, closes=x["close_end"])),
         )
 
-    df = _with_code_lines(files, sides)
+    df = _with_code_lines(files, sides, bodies)
     # Sorted by level and then from the last line up, the nearest opening and closing at or below
     # a header are the latest ones before it in the array.
     df = bind(df, marks=F.array_sort(F.flatten(F.transform("code", marks_of)))).drop("code")
@@ -259,6 +269,13 @@ def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> Dat
         ),
         lambda v: (v["tie"] == 0) & (v["inside"] == v["span"]["depth"]) & (v["inside"] < MAX_LEVEL),
     )
+    if bodies:
+
+        def with_body(v: Column) -> Column:
+            span = v["span"]
+            return F.struct(span.alias("span"), body_of("lines", span["header_end_line"], span["end_line"]).alias("body"))
+
+        direct = F.transform(direct, with_body)
     rows = df.select("path", "side", F.explode(direct).alias("v"))
     return rows.select(
         "path",
@@ -270,4 +287,5 @@ def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new")) -> Dat
         "v.span.name",
         F.lit(True).alias("collapsed"),
         (F.col("v.span.depth") + 1).alias("level"),
+        *([F.col("v.body").alias("body")] if bodies else []),
     )

@@ -74,7 +74,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             name = F.lit("item")
             text = c
             if new:
-                name = F.when(F.pmod(g, F.lit(4)) == 1, "thing").otherwise("item")
+                name = F.when(F.pmod(g, F.lit(4)) == 1, "node").otherwise("item")
                 text = F.when((F.pmod(g, F.lit(4)) == 3) & (i == 0), F.concat(c, F.lit("?"))).otherwise(c)
             return F.concat(pad, name, F.lit(' = "'), text, F.lit('" '), mark, F.lit(" "), g.cast("string"))
 
@@ -129,7 +129,7 @@ select side, path, language, g, place, 0 seq, {_case(_OPEN, 0)} text, 'open' par
 union all select side, path, language, g, place, 1, {_case(_OPEN, 1)}, 'open2' from k_groups
 union all
 select side, path, language, g, place, 10 + i,
-  concat(case when g % 3 = 1 then '        ' else '    ' end, case when side = 'new' and g % 4 = 1 then 'thing' else 'item' end, ' = "',
+  concat(case when g % 3 = 1 then '        ' else '    ' end, case when side = 'new' and g % 4 = 1 then 'node' else 'item' end, ' = "',
     translate(l[g * 5 + i], '"\\', ''), case when side = 'new' and g % 4 = 3 and i = 1 then '?' else '' end, '" ',
     case language when 'python' then '#' else '//' end, ' ', g), 'body'
 from (select *, unnest(generate_series(1, least(5, len(l) - g * 5))) i from k_groups)
@@ -160,6 +160,10 @@ def code_regions(pairs: DataFrame) -> DataFrame:
     return O.find_regions(pairs)
 
 
+def code_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.find_regions(code_files(spark, sf_dir), bodies=True)
+
+
 # What the generator put there: regions follow from its parts, not from reading the text.
 cte(
     "k_regions",
@@ -407,6 +411,29 @@ where o.name <> '' and (o.start_line <> n.start_line or o.end_line <> n.end_line
 )
 
 
+# A construct of g % 4 = 1 has "node" for "item" on each of its lines. The two words share one letter, at
+# whatever place, so no alignment keeps more than one of the four, and keeping the rest keeps one. Where
+# g % 4 = 3 the new version has one more mark.
+cte(
+    "k_sizes",
+    r"""
+select r.path, r.name, r.node_type, r.level, r.start_line, r.end_line,
+  (select min(l.g) from k_lines l where l.side = r.side and l.path = r.path and l.line = r.start_line) g,
+  (select sum(strlen(regexp_replace(l.text, '[ \t\n\r\x0B\f]', '', 'g'))) from k_lines l
+   where l.side = r.side and l.path = r.path and l.line > r.header_end_line and l.line <= r.end_line) size,
+  (select count(*) from k_lines l where l.side = r.side and l.path = r.path and l.line > r.header_end_line and l.line <= r.end_line and l.part = 'body') n
+from k_regions r where r.side = 'old' and r.name <> ''
+""",
+)
+cte(
+    "k_similar",
+    """
+select *, round(case g % 4 when 1 then cast(size - 3 * n as double) / size when 3 then cast(size as double) / (size + 1) else 1 end, 6) similarity
+from k_sizes
+""",
+)
+
+
 @query(
     "region_bodies",
     """
@@ -417,16 +444,20 @@ group by r.side, r.path, r.name, r.start_line, r.end_line
 """,
 )
 def region_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = code_files(spark, sf_dir)
-    bodies = M.region_bodies(pairs, code_regions(pairs))
-    return bodies.select("side", "path", "name", "start_line", "body")
+    bodies = code_bodies(spark, sf_dir)
+    return bodies.select("side", "path", "name", "start_line", "body").filter("body <> ''")
 
 
-@query("moved_constructs")
+@query(
+    "moved_constructs",
+    """
+select path, name, node_type, cast(m.old_start_line as bigint) old_start_line, cast(m.old_end_line as bigint) old_end_line,
+  cast(m.new_start_line as bigint) new_start_line, cast(m.new_end_line as bigint) new_end_line, s.similarity
+from k_moves m join k_similar s using (path, name, node_type) where s.similarity >= 0.9
+""",
+)
 def moved_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = code_files(spark, sf_dir)
-    regions = code_regions(pairs).filter("name <> ''")
-    moved = M.moved_constructs(pairs, regions)
+    moved = M.moved_constructs(code_bodies(spark, sf_dir).filter("name <> ''"))
     return moved.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -446,9 +477,7 @@ _MOVE = "path, name, node_type, " + ", ".join(
 @query("moved_unchanged", f"select {_MOVE} from k_same_moves")
 def moved_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constructs that moved with the same body up to whitespace."""
-    pairs = code_files(spark, sf_dir)
-    regions = code_regions(pairs).filter("name <> ''")
-    moved = M.moved_constructs(pairs, regions, threshold=0.999999)
+    moved = M.moved_constructs(code_bodies(spark, sf_dir).filter("name <> ''"), threshold=0.999999)
     return moved.filter("similarity = 1").drop("similarity")
 
 
@@ -461,10 +490,8 @@ from k_lines l where l.side = '{side}'
 
 
 def _moved_lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    pairs = code_files(spark, sf_dir)
-    regions = code_regions(pairs).filter("name <> ''")
-    moved = M.moved_constructs(pairs, regions, threshold=0.999999).filter("similarity = 1")
-    lines = pairs.select("path", F.posexplode(text_lines(f"{side}_content")).alias("p", "c")).select(
+    moved = M.moved_constructs(code_bodies(spark, sf_dir).filter("name <> ''"), threshold=0.999999).filter("similarity = 1")
+    lines = code_files(spark, sf_dir).select("path", F.posexplode(text_lines(f"{side}_content")).alias("p", "c")).select(
         "path", (F.col("p") + 1).cast("bigint").alias("line")
     )
     return M.moved_line(lines, moved, side).select("path", "line", F.col("moved").isNotNull().alias("moved"))
@@ -500,11 +527,16 @@ def code_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_constructs(code_regions(code_files(spark, sf_dir))).drop("old_size")
 
 
-@query("similar_bodies")
+@query(
+    "similar_bodies",
+    """
+select path, name, node_type, cast(level as bigint) level, cast(1 as bigint) nth, s.similarity
+from k_similar s join (select path, name, node_type from k_regions where side = 'new') n using (path, name, node_type)
+""",
+)
 def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of every construct's two bodies; constructs of one name pair by their order in the file."""
-    pairs = code_files(spark, sf_dir)
-    bodies = M.region_bodies(pairs, code_regions(pairs).filter("name <> ''"))
+    bodies = code_bodies(spark, sf_dir).filter("name <> '' and body <> ''")
     keys = ["path", "name", "node_type", "level"]
     nth = F.row_number().over(Window.partitionBy("side", *keys).orderBy("start_line", "end_line")).cast("bigint")
     bodies = bodies.withColumn("nth", nth)

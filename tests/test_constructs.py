@@ -168,7 +168,7 @@ def moved(spark, old_bodies, new_bodies, **options):
     new, new_found = content_and_regions(new_bodies)
     frame = spark.createDataFrame([("a", old, new)], "path string, old_content string, new_content string")
     rows = [("a", side, s, e, h, kind, name, True, 1) for side, found in (("old", old_found), ("new", new_found)) for s, e, h, kind, name in found]
-    result = M.moved_constructs(frame, regions(spark, rows), **options)
+    result = M.moved_constructs(M.region_bodies(frame, regions(spark, rows)), **options)
     got = sorted((r.name, r.old_start_line, r.new_start_line, round(r.similarity, 9)) for r in result.collect())
     return got, greedy(old_found, new_found, old.split("\n"), new.split("\n"), options.get("threshold", 0.9))
 
@@ -180,7 +180,7 @@ def test_swapped_functions_moved(spark):
 
 
 def test_moves_of_a_repeated_name(spark):
-    """One name holds most regions; rounds of three must pair like one pass over all."""
+    """One name holds most regions, and many bodies are equal or tie."""
     rng = random.Random(5)
 
     def made(count):
@@ -193,10 +193,30 @@ def test_moves_of_a_repeated_name(spark):
         return rows
 
     old, new = made(18), made(16)
-    for size in (3, 64):
-        got, expected = moved(spark, old, new, round_size=size)
-        assert got == expected
-        assert len(got) > 8
+    got, expected = moved(spark, old, new)
+    assert got == expected
+    assert len(got) > 8
+
+
+def test_moves_of_ten_thousand_regions_of_one_name(spark):
+    """Every tenth body is edited; each region must find its own counterpart, without one job per so many names."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(40, 200))) + f"#{i}" for i in range(10_000)]
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = [("a", "old", 2 * i + 1, 2 * i + 2, 2 * i + 1, "function", "init", True, 1, t) for i, t in enumerate(texts)]
+    edited = [t + "!" if i % 10 == 0 else t for i, t in enumerate(texts)]
+    rows += [("a", "new", 2 * k + 1, 2 * k + 2, 2 * k + 1, "function", "init", True, 1, edited[i]) for k, i in enumerate(order)]
+    moved = M.moved_constructs(spark.createDataFrame(rows, schemas.REGIONS + ", body string")).collect()
+    at = {i: 2 * k + 1 for k, i in enumerate(order)}
+    still = sum(at[i] == 2 * i + 1 for i in range(len(texts)))
+    assert len(moved) == len(texts) - still
+    assert all(r.new_start_line == at[(r.old_start_line - 1) // 2] for r in moved)
+
+
+def test_moves_run_one_python_step(spark):
+    rows = [("a", s, 1, 3, 1, "function", "f", True, 1, "x") for s in ("old", "new")]
+    plan = M.moved_constructs(spark.createDataFrame(rows, schemas.REGIONS + ", body string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
 
 
 def test_asof_and_ranges(spark):

@@ -6,7 +6,7 @@ import oracle
 from changelens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"lcs_length", "moved_constructs", "similar_bodies"}
+ROWS_ONLY = {"lcs_length"}
 
 
 @pytest.fixture(scope="module")
