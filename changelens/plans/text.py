@@ -390,7 +390,39 @@ def similarity_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(spark, sf_dir).select("doc_id", "n", similarity.similarity_fast_path("a", "b").alias("similarity"))
 
 
-@query("lcs_length")
+# Row by row of the table: after i bytes of the shorter text, ends[k] is the least place in the other at which
+# a common subsequence of length k can end. A further byte extends one of length k - 1 to its next occurrence.
+_LCS_SQL = r"""
+with recursive l_pairs as (
+  select doc_id, n, case when strlen(a) < strlen(b) then a else b end s, case when strlen(a) < strlen(b) then b else a end t
+  from (select doc_id, cast(n - 1 as bigint) n, regexp_replace(l[n], '[ \t\n\r\x0B\f]', '', 'g') a, regexp_replace(l[n + 1], '[ \t\n\r\x0B\f]', '', 'g') b
+    from (select doc_id, l, unnest(range(1, len(l))) n from (select doc_id, string_split(text, chr(10)) l from documents)))
+),
+l_texts as materialized (
+  select row_number() over () id, s, t, regexp_extract_all(hex(encode(s)), '..') sb, regexp_extract_all(hex(encode(t)), '..') tb
+  from (select distinct s, t from l_pairs where s <> '' and s <> t)
+),
+l_places as (
+  select id, c, len(tb) m, list_append(list_prepend(0, list_filter(range(1, len(tb) + 1), lambda p: tb[p] = c)), len(tb) + 1) q
+  from (select id, tb, unnest(list_distinct(sb)) c from l_texts)
+),
+l_next as materialized (
+  select id, c, list_append(flatten(list_transform(range(2, len(q) + 1), lambda k: list_resize([q[k]], q[k] - q[k - 1], q[k]))), m + 1) nx
+  from l_places
+),
+l_ends as (
+  select id, 0 i, cast([] as bigint[]) ends from l_texts
+  union all
+  select e.id, e.i + 1, list_filter(list_transform(range(1, len(e.ends) + 2), lambda k: least(coalesce(e.ends[k], len(x.tb) + 1), n.nx[coalesce(e.ends[k - 1], 0) + 1])), lambda p: p <= len(x.tb))
+  from l_ends e join l_texts x on x.id = e.id join l_next n on n.id = e.id and n.c = x.sb[e.i + 1]
+  where e.i < len(x.sb)
+)
+select p.doc_id, p.n, cast(case when p.s = p.t then strlen(p.s) when p.s = '' then 0 else len(e.ends) end as bigint) lcs
+from l_pairs p left join l_texts x on x.s = p.s and x.t = p.t left join l_ends e on e.id = x.id and e.i = len(x.sb)
+"""
+
+
+@query("lcs_length", _LCS_SQL)
 def lcs_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common subsequence of each line with the next one of its document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.text_lines("text").alias("l"))
