@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from changelens.operators.scan import BLOCK_ROWS, neighbours
 _CHANGES = f"array<{schemas.CHANGE}>"
 
 
-def with_running_state(files: DataFrame) -> DataFrame:
+def with_running_state(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(path, entries, offset, gap_after): entries with the state carried from one to the next.
 
     * ``offset`` after each entry: new minus old line number. A shown modification sets it, a
@@ -32,7 +34,7 @@ def with_running_state(files: DataFrame) -> DataFrame:
         return one.cast("bigint")
 
     df = bind(
-        with_entry_array(files),
+        with_entry_array(files, keep=keep),
         steps=F.transform("entries", step),
         # Position of the last shown modification up to each entry, -1 before the first.
         jumps=F.transform("entries", lambda x, i: F.when(both(x) & ~_same(x), i).otherwise(F.lit(-1))),
@@ -72,7 +74,7 @@ def with_running_state(files: DataFrame) -> DataFrame:
         shown = F.get("marks", i)["value"]
         return F.coalesce((shown > 0) & (x["next_deletion"] > shown + 1), F.lit(False))
 
-    return bind(df, gap_after=F.transform("entries", gap_after)).select("path", "entries", "offset", "gap_after")
+    return bind(df, gap_after=F.transform("entries", gap_after)).select("path", "entries", "offset", "gap_after", *keep)
 
 
 def _same(x: Column) -> Column:
@@ -102,8 +104,11 @@ def _row(
     ).cast(_ROW)
 
 
-def with_row_array(files: DataFrame) -> DataFrame:
-    """(path, rows): the unified rows of each file that has chunks, as one array in display order."""
+def file_rows(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, listed, rows): the unified rows of each file as one array in display order.
+
+    Files added, removed or unchanged as a whole are ``listed`` line by line; binary files are left out.
+    """
     nothing = F.lit(None).cast("bigint")
     separator = F.array(_row(F.lit("context"), nothing, nothing, F.lit("..."), False))
     none = F.filter(separator, lambda _: F.lit(False))
@@ -136,7 +141,20 @@ def with_row_array(files: DataFrame) -> DataFrame:
             F.when(F.get("gap_after", i), separator).otherwise(none),
         )
 
-    return with_running_state(files).select("path", F.flatten(F.transform("entries", rows_of)).alias("rows"))
+    removed, added = F.col("status") == "removed", F.col("status") == "added"
+    listed = (F.coalesce(F.size("chunks"), F.lit(0)) <= 0) & F.col("status").isin("added", "removed", "unchanged")
+    lines = text_lines(F.when(removed, F.col("old_content")).otherwise(F.col("new_content")))
+    listing = F.when(listed, lines).otherwise(F.array().cast("array<string>"))
+    text = bind(files.filter(~F.col("is_binary")), listing=listing)
+    kind = F.when(removed, "deletion").when(added, "addition").otherwise("context")
+
+    def listed_row(c: Column, i: Column) -> Column:
+        return _row(kind, F.when(~added, i + 1), F.when(~removed, i + 1), c, True)
+
+    whole = F.transform("listing", listed_row)
+    rows = with_running_state(text, ["status", "listing", *keep])
+    rows = bind(rows, rows=F.concat(F.flatten(F.transform("entries", rows_of)), whole), listed=F.size("listing") > 0)
+    return rows.select("path", "listed", "rows", *keep)
 
 
 def diff_lines(files: DataFrame) -> DataFrame:
@@ -146,19 +164,21 @@ def diff_lines(files: DataFrame) -> DataFrame:
     chunk, gaps inside a chunk filled, and a separator row where unchanged lines are left out.
     Files added, removed or unchanged as a whole list every line. Binary files have no rows.
     """
-    text = files.filter(~F.col("is_binary"))
-    return _chunk_rows(text).unionByName(_whole_file_rows(text))
+    return row_table(file_rows(files))
 
 
-def _chunk_rows(files: DataFrame) -> DataFrame:
-    rows = with_row_array(files).select("path", F.posexplode("rows").alias("ord", "row"))
-    rows = rows.select("path", F.col("ord").cast("bigint").alias("ord"), "row.*")
+def row_table(df: DataFrame, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The rows of ``file_rows`` one by one, or those that ``keep`` of a row and its place holds for."""
+    placed = F.transform("rows", lambda x, i: F.struct(i.cast("bigint").alias("ord"), x.alias("row")))
+    if keep is not None:
+        placed = F.filter(placed, lambda x: keep(x["row"], x["ord"].cast("int")))
+    rows = df.select("path", "listed", F.explode(placed).alias("x")).select("path", "listed", "x.ord", "x.row.*")
     changed, pair = F.col("line_type") != "context", F.col("line_type") == "modification"
     # The category follows the recorded spans. Where a pair has none, the computed difference is shown.
     old_recorded = F.when(pair, F.col("old_changes")).when(F.col("line_type") == "deletion", F.col("changes"))
     new_recorded = F.when(F.col("line_type") == "deletion", F.col("old_changes")).otherwise(F.col("changes"))
     kind = category(F.coalesce(old_recorded, F.array().cast(_CHANGES)), new_recorded)
-    rows = rows.withColumn("category", F.when(changed, kind).otherwise("semantic"))
+    rows = rows.withColumn("category", F.when(changed & ~F.col("listed"), kind).otherwise("semantic"))
     bare = pair & ((F.size("old_changes") == 0) | (F.size("changes") == 0))
     rows = rows.withColumn("_r", F.when(bare, change_ranges("old_content", "content")))
     rows = rows.withColumn(
@@ -179,29 +199,6 @@ def _chunk_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def _whole_file_rows(files: DataFrame) -> DataFrame:
-    whole = files.filter((F.coalesce(F.size("chunks"), F.lit(0)) <= 0) & F.col("status").isin("added", "removed", "unchanged"))
-    removed, added = F.col("status") == "removed", F.col("status") == "added"
-    source = F.when(removed, F.col("old_content")).otherwise(F.col("new_content"))
-    rows = whole.select("path", "status", F.posexplode(text_lines(source)).alias("ord", "content"))
-    number = (F.col("ord") + 1).cast("bigint")
-    no_changes = F.array().cast(_CHANGES)
-    return rows.select(
-        "path",
-        F.col("ord").cast("bigint").alias("ord"),
-        F.when(removed, "deletion").when(added, "addition").otherwise("context").alias("line_type"),
-        F.when(~added, number).alias("old_line"),
-        F.when(~removed, number).alias("new_line"),
-        "content",
-        F.lit(None).cast("string").alias("old_content"),
-        no_changes.alias("changes"),
-        no_changes.alias("old_changes"),
-        F.lit("semantic").alias("category"),
-        F.lit(False).alias("is_partial_change"),
-        F.lit(True).alias("selectable"),
-    )
-
-
 _CELL = f"struct<line:bigint,content:string,changes:{_CHANGES},line_type:string,category:string>"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,25 +75,29 @@ def plain_entries(files: DataFrame) -> DataFrame:
     )
 
 
-def with_entry_array(files: DataFrame, context: bool = True) -> DataFrame:
+def with_entry_array(files: DataFrame, context: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """(path, entries): the entries of each file in display order, with what the views need around them.
 
+    Files without chunks are left out, unless columns to ``keep`` are named.
+
     With ``context`` each entry carries the unchanged new lines that may be shown next to it and were not shown by
     an earlier chunk: ``lead`` before a chunk's first entry, ``gap`` since the chunk's previous
     new-side entry, ``trail`` after the chunk's last entry, each with the number of its first line.
     """
+    chunks = F.coalesce("chunks", F.array().cast(schemas.CHUNKS))
+    given = files.select("path", "old_content", "new_content", chunks.alias("chunks"), *keep)
     lined = bind(
-        files.select("path", "old_content", "new_content", "chunks").filter(F.size("chunks") > 0),
+        given if keep else given.filter(F.size("chunks") > 0),
         old_lines=text_lines("old_content"),
         new_lines=text_lines("new_content"),
     )
     if not context:
         ranked = F.transform("chunks", lambda c, i: _ranked_chunk(c, i, context=False))
-        return lined.select("path", F.flatten(ranked).alias("entries"))
+        return lined.select("path", F.flatten(ranked).alias("entries"), *keep)
     lined = bind(lined, bounds=F.transform("chunks", _bounds))
     lined = bind(lined, reach=F.transform("bounds", lambda b: F.coalesce(b["reach"], F.lit(0).cast("bigint"))))
     lined = bind(lined, reach=prefix_max("reach"))
-    return lined.select("path", F.flatten(F.transform("chunks", lambda c, i: _ranked_chunk(c, i))).alias("entries"))
+    return lined.select("path", F.flatten(F.transform("chunks", lambda c, i: _ranked_chunk(c, i))).alias("entries"), *keep)
 
 
 def _bounds(chunk: Column) -> Column:

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.operators.barrier import bind, prefix_max
 from changelens.operators.joins import PART_BYTES, ordered_concat
-from changelens.operators.regions import hidden_lines
-from changelens.operators.bitmaps import flag_lines
+from changelens.operators.regions import with_hidden
 from changelens.operators.scan import BLOCK_ROWS, Fold, running
 
 PAGE_ROWS = 20
 
 
-def flag_rows(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Add ``visible`` (not in a collapsed body) and ``navigable`` (visible and selectable) to unified rows."""
-    rows = lines
-    for side, line in (("old", "old_line"), ("new", "new_line")):
-        bitmap = hidden_lines(regions, side).withColumnRenamed("hidden", f"_hidden_{side}")
-        rows = flag_lines(rows, bitmap, ["path"], line, f"_hidden_{side}")
-    hidden = F.col("_hidden_new") | (F.col("_hidden_old") & (F.col("line_type") == "deletion"))
-    return rows.select(*lines.columns, (~hidden).alias("visible"), (F.col("selectable") & ~hidden).alias("navigable"))
+def flag_rows(df: DataFrame) -> DataFrame:
+    """(path, ord, visible, navigable) of the rows of ``file_rows`` with its ``regions``: not folded, and selectable as well."""
+    flags = F.transform(
+        "rows",
+        lambda x, i: F.struct(
+            i.cast("bigint").alias("ord"), (~F.get("hidden", i)).alias("visible"), (x["selectable"] & ~F.get("hidden", i)).alias("navigable")
+        ),
+    )
+    return with_hidden(df).select("path", F.inline(flags))
 
 
 def viewport(rows: DataFrame, path: str, scroll: int, height: int) -> DataFrame:
@@ -55,18 +56,19 @@ def scroll_to_line(rows: DataFrame, targets: DataFrame, block_rows: int = BLOCK_
     return best.filter("_tie = 0").select("path", "line", F.col("best").alias("ord"))
 
 
-def nearest_navigable(flagged: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Where the cursor goes from each row that a collapse has hidden: up, else down, else to the top."""
-    stop = F.when(F.col("navigable"), F.col("ord"))
-    both = running(
-        flagged.select("path", "ord", "visible", "navigable"),
-        ["path"],
-        "ord",
-        [Fold("_up", stop, "max"), Fold("_down", stop, "min", backward=True)],
-        block_rows=block_rows,
-    )
-    moved = F.when(F.col("visible"), F.col("ord")).otherwise(F.coalesce("_up", "_down", F.lit(0).cast("bigint")))
-    return both.select("path", "ord", moved.alias("cursor"))
+def nearest_navigable(df: DataFrame) -> DataFrame:
+    """(path, ord, cursor): where the cursor goes from each row that a collapse has hidden: up, else down, else to the top."""
+    df = bind(with_hidden(df), up=F.transform("rows", lambda x, i: F.when(x["selectable"] & ~F.get("hidden", i), i)))
+    # Downwards is upwards in the reversed array, with the places negative.
+    df = bind(df, down=F.transform(F.reverse("up"), lambda i: -i))
+    df = bind(df, up=prefix_max("up"), down=prefix_max("down"))
+    df = bind(df, down=F.reverse("down"))
+
+    def cursor(hidden: Column, i: Column) -> Column:
+        at = F.when(hidden, F.coalesce(F.get("up", i), -F.get("down", i), F.lit(0))).otherwise(i)
+        return F.struct(i.cast("bigint").alias("ord"), at.cast("bigint").alias("cursor"))
+
+    return df.select("path", F.inline(F.transform("hidden", cursor)))
 
 
 def rows_in_range(rows: DataFrame, start: Column, end: Column) -> DataFrame:

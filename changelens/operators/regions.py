@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import column
 from changelens.operators import bitmaps as B
+from changelens.operators.barrier import bind, prefix_sum
+from changelens.operators.difflines import row_table
 from changelens.operators.entries import is_cosmetic
 
 # --- predicates of one region --------------------------------------------------------------------
@@ -77,21 +79,46 @@ def _flagged(rows: DataFrame, regions: DataFrame, old: str, new: str) -> DataFra
     return rows
 
 
-def visible_lines(lines: DataFrame, regions: DataFrame, folded: bool = True, drop_cosmetic: bool = False) -> DataFrame:
-    """Unified rows that stay on screen.
+def with_hidden(df: DataFrame) -> DataFrame:
+    """Add ``hidden``, one flag for each of a file's ``rows``, from its ``regions`` (both arrays).
 
-    ``folded`` hides rows whose new line lies in a collapsed body of the new version, and
-    deletions whose old line lies in one of the old version. ``drop_cosmetic`` hides changed
-    rows that are cosmetic.
+    A row is hidden whose new line lies in a collapsed body of the new version, or a deletion
+    whose old line lies in one of the old version. The ends of the bodies and the rows, sorted by
+    line, carry how many bodies are open.
     """
-    rows = lines
-    if folded:
-        rows = _flagged(rows, regions, "old_line", "new_line")
-        hidden = F.col("hidden_new") | (F.col("hidden_old") & (F.col("line_type") == "deletion"))
-        rows = rows.filter(~hidden)
+    for side in ("old", "new"):
+        folded = F.filter("regions", lambda r: r["collapsed"] & (r["side"] == side) & (r["end_line"] > r["header_end_line"]))
+
+        def event(at: Column, tie: int, n: int, i: Column) -> Column:
+            parts = (at.cast("bigint").alias("at"), F.lit(tie).alias("tie"), i.cast("int").alias("i"), F.lit(n).cast("bigint").alias("n"))
+            return F.struct(*parts)
+
+        ends = F.transform(
+            folded, lambda r: F.array(event(r["header_end_line"] + 1, 0, 1, F.lit(-1)), event(r["end_line"] + 1, 0, -1, F.lit(-1)))
+        )
+        lines = F.transform("rows", lambda x, i: event(F.coalesce(x[f"{side}_line"], F.lit(0)), 1, 0, i))
+        df = bind(df, _events=F.array_sort(F.concat(F.flatten(ends), lines)))
+        df = bind(df, _open=F.transform("_events", lambda e: e["n"]))
+        df = bind(df, _open=prefix_sum("_open"))
+        inside = F.transform("_events", lambda e, k: F.struct(e["i"].alias("i"), (F.get("_open", k) > 0).alias("inside")))
+        df = bind(df, **{f"_{side}": F.array_sort(F.filter(inside, lambda x: x["i"] >= 0))}).drop("_events", "_open")
+    hidden = F.transform(
+        "rows",
+        lambda x, i: F.get("_new", i)["inside"] | (F.get("_old", i)["inside"] & (x["line_type"] == "deletion")),
+    )
+    return bind(df, hidden=hidden).drop("_old", "_new")
+
+
+def visible_lines(df: DataFrame, folded: bool = True, drop_cosmetic: bool = False) -> DataFrame:
+    """Unified rows of ``file_rows`` that stay on screen, one by one.
+
+    ``folded`` hides what lies in a collapsed body of the file's ``regions``; ``drop_cosmetic``
+    hides changed rows that are cosmetic.
+    """
+    rows = row_table(with_hidden(df), lambda _, i: ~F.get("hidden", i)) if folded else row_table(df)
     if drop_cosmetic:
         rows = rows.filter(~((F.col("line_type") != "context") & is_cosmetic("category")))
-    return rows.select(*lines.columns)
+    return rows
 
 
 def visible_split_rows(

@@ -177,35 +177,39 @@ def diff_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGION_KINDS = ("function", "struct_", "enum_", "union_", "test_decl", "class")
 
 
-def line_regions(pairs: DataFrame) -> DataFrame:
-    """Five-line blocks of every version that has a text, as stand-in constructs (see schemas.REGIONS).
+def with_line_regions(pairs: DataFrame) -> DataFrame:
+    """Add ``regions``: five-line blocks of every version that has a text, as stand-in constructs (see schemas.REGIONS).
 
     Odd-numbered files (by length of the path) repeat three names, so duplicate names occur.
     """
-    version = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"{side}_content").alias("content"))
-    versions = pairs.select("path", F.inline(F.array(version("old"), version("new")))).filter("content <> ''")
-    count = F.size(text_lines("content"))
-    blocks = versions.select(
-        "path",
-        "side",
-        count.cast("bigint").alias("n_lines"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), whole(count - 1, 5))).alias("ix"),
-    )
-    ix = F.col("ix")
     repeated = F.pmod(F.length("path"), F.lit(2)) == 1
-    kind = F.get(F.array(*[F.lit(k) for k in REGION_KINDS]), F.pmod(ix, F.lit(len(REGION_KINDS))).cast("int"))
-    start = ix * 5 + 1
-    return blocks.select(
-        "path",
-        "side",
-        start.alias("start_line"),
-        F.least(start + 4, F.col("n_lines")).alias("end_line"),
-        start.alias("header_end_line"),
-        kind.alias("node_type"),
-        F.concat(F.lit("r"), F.when(repeated, F.pmod(ix, F.lit(3))).otherwise(ix).cast("string")).alias("name"),
-        (F.pmod(F.length("path") + ix, F.lit(2)) == 0).alias("collapsed"),
-        (F.lit(1) + F.pmod(ix, F.lit(3))).cast("bigint").alias("level"),
-    )
+
+    def block(side: str, n_lines: Column, ix: Column) -> Column:
+        kind = F.get(F.array(*[F.lit(k) for k in REGION_KINDS]), F.pmod(ix, F.lit(len(REGION_KINDS))).cast("int"))
+        start = ix * 5 + 1
+        return F.struct(
+            F.lit(side).alias("side"),
+            start.alias("start_line"),
+            F.least(start + 4, n_lines).alias("end_line"),
+            start.alias("header_end_line"),
+            kind.alias("node_type"),
+            F.concat(F.lit("r"), F.when(repeated, F.pmod(ix, F.lit(3))).otherwise(ix).cast("string")).alias("name"),
+            (F.pmod(F.length("path") + ix, F.lit(2)) == 0).alias("collapsed"),
+            (F.lit(1) + F.pmod(ix, F.lit(3))).cast("bigint").alias("level"),
+        )
+
+    def blocks(side: str) -> Column:
+        count = F.col(f"{side}_lines")
+        every = F.transform(F.sequence(F.lit(0).cast("bigint"), whole(count - 1, 5)), lambda ix: block(side, count, ix))
+        return F.when(F.col(f"{side}_content") != "", every)
+
+    counts = {f"{side}_lines": F.size(text_lines(f"{side}_content")).cast("bigint") for side in ("old", "new")}
+    counted = bind(pairs, **counts)
+    return bind(counted, regions=F.flatten(F.array_compact(F.array(blocks("old"), blocks("new"))))).drop(*counts)
+
+
+def line_regions(pairs: DataFrame) -> DataFrame:
+    return with_line_regions(pairs).select("path", F.inline("regions"))
 
 
 def session(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from changelens.operators import difflines as D
 from changelens.operators import navigation as N
 from changelens.operators import regions as R
 from changelens.plans.registry import cte, query
-from changelens.plans.revisions import files, line_regions
+from changelens.plans.revisions import files, line_regions, with_line_regions
 from changelens.plans.session import numbered_lines
 
 
@@ -121,19 +121,19 @@ from d_diff_lines l
 )
 
 
-def rows_and_regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = files(spark, sf_dir)
-    return D.diff_lines(pairs), line_regions(pairs)
+def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows and the regions of each file, both in its row."""
+    return D.file_rows(with_line_regions(files(spark, sf_dir)), keep=["regions"])
 
 
 @query("row_flags", "select path, cast(ord as bigint) ord, visible, visible and selectable navigable from d_flagged")
 def row_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.flag_rows(*rows_and_regions(spark, sf_dir)).select("path", "ord", "visible", "navigable")
+    return N.flag_rows(viewed(spark, sf_dir))
 
 
 @query("hidden_semi", "select path, cast(ord as bigint) ord from d_flagged where not visible")
 def hidden_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.flag_rows(*rows_and_regions(spark, sf_dir)).filter("not visible").select("path", "ord")
+    return N.flag_rows(viewed(spark, sf_dir)).filter("not visible").select("path", "ord")
 
 
 @query(
@@ -141,7 +141,7 @@ def hidden_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select path, cast(ord as bigint) ord, line_type, category from d_flagged where visible and not (line_type <> 'context' and category <> 'semantic')",
 )
 def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = R.visible_lines(*rows_and_regions(spark, sf_dir), folded=True, drop_cosmetic=True)
+    shown = R.visible_lines(viewed(spark, sf_dir), folded=True, drop_cosmetic=True)
     return shown.select("path", "ord", "line_type", "category")
 
 
@@ -159,8 +159,8 @@ where not exists (select 1 from d_regions r where r.path = s.path and r.collapse
 """,
 )
 def visible_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, regions = rows_and_regions(spark, sf_dir)
-    return R.visible_split_rows(D.split_rows(rows), regions, folded=True, drop_cosmetic=True).select("path", "ord")
+    pairs = files(spark, sf_dir)
+    return R.visible_split_rows(D.split_rows(D.diff_lines(pairs)), line_regions(pairs), folded=True, drop_cosmetic=True).select("path", "ord")
 
 
 @query(
@@ -173,7 +173,7 @@ from d_flagged
 """,
 )
 def nearest_navigable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.nearest_navigable(N.flag_rows(*rows_and_regions(spark, sf_dir)))
+    return N.nearest_navigable(viewed(spark, sf_dir))
 
 
 @query(
@@ -211,7 +211,7 @@ select path, cast(shown_at as bigint) shown_at, cast(ord as bigint) ord from (
 )
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven visible rows of every file after the first three."""
-    shown = R.visible_lines(*rows_and_regions(spark, sf_dir)).select("path", "ord")
+    shown = R.visible_lines(viewed(spark, sf_dir)).select("path", "ord")
     return N.numbered(shown).filter(F.col("shown_at").between(3, 9)).select("path", "shown_at", "ord")
 
 

@@ -17,24 +17,38 @@ def regions(spark, rows):
     return spark.createDataFrame(rows, schemas.REGIONS)
 
 
+def file_rows(spark, rows, found):
+    """One file's rows (type, old line, new line, spans of the new side) and regions, as ``file_rows`` gives them."""
+    made = [(t, o, n, "x", None, changes, [], True) for t, o, n, changes in rows]
+    kind = "array<struct<line_type:string,old_line:bigint,new_line:bigint,content:string,old_content:string,changes:array<%s>,old_changes:array<%s>,selectable:boolean>>"
+    region = schemas.REGIONS.split(", ", 1)[1].replace(" ", ":").replace(",:", ",")
+    schema = f"path string, listed boolean, rows {kind % (schemas.CHANGE, schemas.CHANGE)}, regions array<struct<{region}>>"
+    return spark.createDataFrame([("a", False, made, found)], schema)
+
+
 def test_hidden_lines(spark):
-    made = regions(spark, [("a", "new", 1, 10, 2, "function", "f", True, 1), ("a", "new", 20, 30, 20, "function", "g", False, 1)])
-    lines = spark.createDataFrame(
-        [("a", i, "context", n, n, "x", "semantic", True) for i, n in enumerate((1, 2, 3, 10, 11, 25))],
-        "path string, ord bigint, line_type string, old_line bigint, new_line bigint, content string, category string, selectable boolean",
-    )
-    assert [r.new_line for r in R.visible_lines(lines, made).orderBy("ord").collect()] == [1, 2, 11, 25]
-    moved = N.nearest_navigable(N.flag_rows(lines, made)).orderBy("ord").collect()
-    assert [r.cursor for r in moved] == [0, 1, 1, 1, 4, 5]
+    made = [("new", 1, 10, 2, "function", "f", True, 1), ("new", 20, 30, 20, "function", "g", False, 1), ("old", 1, 40, 1, "class", "h", True, 1)]
+    rows = file_rows(spark, [("context", n, n, []) for n in (1, 2, 3, 10, 11, 25)] + [("deletion", 26, None, []), ("deletion", 41, None, [])], made)
+    assert [r.ord for r in R.visible_lines(rows).orderBy("ord").collect()] == [0, 1, 4, 5, 7]
+    moved = N.nearest_navigable(rows).orderBy("ord").collect()
+    assert [r.cursor for r in moved] == [0, 1, 1, 1, 4, 5, 5, 7]
+    flags = N.flag_rows(rows).orderBy("ord").collect()
+    assert [r.visible for r in flags] == [True, True, False, False, True, True, False, True]
+
+
+def test_cursor_goes_down_or_to_the_top(spark):
+    hidden_top = [("new", 1, 3, 1, "function", "f", True, 1)]
+    rows = file_rows(spark, [("context", 2, 2, []), ("context", 3, 3, []), ("context", 4, 4, [])], hidden_top)
+    assert [r.cursor for r in N.nearest_navigable(rows).orderBy("ord").collect()] == [2, 2, 2]
+    rows = file_rows(spark, [("context", 2, 2, []), ("context", 3, 3, [])], hidden_top)
+    assert [r.cursor for r in N.nearest_navigable(rows).orderBy("ord").collect()] == [0, 0]
+    assert N.nearest_navigable(file_rows(spark, [], hidden_top)).count() == 0
 
 
 def test_cosmetic_rows_are_hidden(spark):
-    lines = spark.createDataFrame(
-        [("a", 0, "context", 1, 1, "x", "semantic", True), ("a", 1, "addition", None, 2, "x", "comment", True),
-         ("a", 2, "deletion", 2, None, "x", "semantic", True)],
-        "path string, ord bigint, line_type string, old_line bigint, new_line bigint, content string, category string, selectable boolean",
-    )
-    shown = R.visible_lines(lines, regions(spark, []), folded=False, drop_cosmetic=True)
+    comment = [(0, 1, "x", "comment")]
+    rows = file_rows(spark, [("context", 1, 1, []), ("addition", None, 2, comment), ("deletion", 2, None, [(0, 1, "x", "novel")])], [])
+    shown = R.visible_lines(rows, folded=False, drop_cosmetic=True)
     assert [r.ord for r in shown.orderBy("ord").collect()] == [0, 2]
 
 
