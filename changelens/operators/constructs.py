@@ -16,34 +16,24 @@ from changelens.operators.joins import salted_lookup
 _PLACE = ("start_line", "level", "end_line")
 
 
-def top_level(regions: DataFrame, side: str) -> DataFrame:
-    """Named first-level regions of one side."""
-    return regions.filter((F.col("side") == side) & (F.col("level") == 1) & (F.col("name") != ""))
-
-
 def match_constructs(regions: DataFrame) -> DataFrame:
     """Constructs in both versions (modified candidates), only in the new (added), only in the old (deleted).
 
     Names match per file. An old name that occurs twice stands for its last region, every new
     region of a name is matched, and every old region of an unmatched name is a deletion.
     """
-    old, new = top_level(regions, "old"), top_level(regions, "new")
-    last_old = old.groupBy("path", "name").agg(
-        F.max_by(F.col("end_line") - F.col("start_line"), F.struct(*_PLACE)).alias("old_size")
+    top = regions.filter((F.col("level") == 1) & (F.col("name") != ""))
+    old, new = F.col("side") == "old", F.col("side") == "new"
+    size = F.col("end_line") - F.col("start_line")
+    names = top.groupBy("path", "name").agg(
+        F.max_by(F.when(old, size), F.when(old, F.struct(*_PLACE))).alias("old_size"), F.max(new).alias("_in_new")
     )
-    # A file may repeat one name many times, so both joins spread the rows of a name.
-    matched = salted_lookup(new, last_old, ["path", "name"], _PLACE)
-    names = new.groupBy("path", "name").agg(F.lit(1).alias("_seen"))
-    deleted = salted_lookup(old, names, ["path", "name"], _PLACE, how="left_anti")
-    return _constructs(
-        matched, F.when(F.col("old_size").isNull(), "added").otherwise("modified"), F.col("old_size")
-    ).unionByName(_constructs(deleted, F.lit("deleted"), F.lit(None).cast("bigint")))
-
-
-def _constructs(rows: DataFrame, change_type: Column, old_size: Column) -> DataFrame:
-    return rows.select(
-        "path", "name", "node_type", change_type.alias("change_type"),
-        F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), old_size.alias("old_size"),
+    # A file may repeat one name many times, so the join spreads the rows of a name.
+    seen = salted_lookup(top, names, ["path", "name"], [*_PLACE, "side"], how="inner").filter(new | ~F.col("_in_new"))
+    change = F.when(old, "deleted").when(F.col("old_size").isNull(), "added").otherwise("modified")
+    return seen.select(
+        "path", "name", "node_type", change.alias("change_type"),
+        F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.when(new, F.col("old_size")).alias("old_size"),
     )
 
 

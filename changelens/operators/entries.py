@@ -37,16 +37,17 @@ CONTEXT_LINES = 3
 _CHANGES = f"array<{schemas.CHANGE}>"
 
 
-def diff_entries(files: DataFrame) -> DataFrame:
-    """One row per entry, with the text of the lines it points to.
+def diff_entries(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per entry, with the text of the lines it points to, and columns of the file to ``keep``.
 
     Numbering, the order within a chunk and the line lookup happen inside the file's row, so
     this needs no shuffle. ``pos`` counts entries in display order over the whole file:
     chunk by chunk, each sorted by new line (old line where there is none), ties as recorded.
     """
-    rows = with_entry_array(files, context=False).select("path", F.posexplode("entries").alias("pos", "x"))
+    rows = with_entry_array(files, context=False, keep=keep).select("path", *keep, F.posexplode("entries").alias("pos", "x"))
     return rows.select(
         "path",
+        *keep,
         F.col("pos").cast("bigint").alias("pos"),
         "x.chunk_idx",
         "x.entry_idx",

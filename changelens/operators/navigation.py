@@ -29,10 +29,12 @@ def viewport(rows: DataFrame, path: str, scroll: int, height: int) -> DataFrame:
     return rows.filter(F.col("path") == path).orderBy("ord").offset(scroll).limit(height)
 
 
-def numbered(rows: DataFrame, name: str = "shown_at", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number filtered rows 0, 1, 2, … per file, in display order."""
-    counted = running(rows, ["path"], "ord", [Fold(name, F.lit(1).cast("bigint"))], block_rows=block_rows)
-    return counted.withColumn(name, F.col(name) - 1)
+def viewports(df: DataFrame, scroll: int, height: int) -> DataFrame:
+    """(path, shown_at, ord): of every file the ``height`` visible rows of ``file_rows`` that follow the first ``scroll``."""
+    places = F.transform("rows", lambda _, i: i.cast("bigint"))
+    shown = F.slice(F.filter(places, lambda i: ~F.get("hidden", i.cast("int"))), F.lit(scroll + 1), F.lit(height))
+    rows = with_hidden(df).select("path", F.posexplode(shown).alias("shown_at", "ord"))
+    return rows.select("path", (F.col("shown_at") + scroll).cast("bigint").alias("shown_at"), "ord")
 
 
 def page_move(cursor: Column, last: Column, down: bool = True, rows: int = PAGE_ROWS) -> Column:

@@ -10,6 +10,7 @@ from changelens.operators import bitmaps as B
 from changelens.operators.barrier import bind, prefix_sum
 from changelens.operators.difflines import row_table
 from changelens.operators.entries import is_cosmetic
+from changelens.operators.joins import salted_lookup
 
 # --- predicates of one region --------------------------------------------------------------------
 
@@ -176,5 +177,7 @@ def collapsed_info(regions: DataFrame, constructs: DataFrame) -> DataFrame:
     listed = constructs.groupBy("path", "name").agg(
         F.min_by("lines_changed", F.struct("line_start", "line_end")).alias("changes")
     )
-    rows = first.select("path", "side", "header_end_line", "r.*").join(listed, ["path", "name"], "left")
+    # Names repeat, and one may head most regions of a large file.
+    rows = first.select("path", "side", "header_end_line", "r.*")
+    rows = salted_lookup(rows, listed, ["path", "name"], ["side", "header_end_line"])
     return rows.withColumn("changes", F.coalesce("changes", F.lit(0).cast("bigint")))

@@ -151,9 +151,7 @@ cte(
 
 @query("code_files", "select side, path, language, content from k_contents")
 def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = code_files(spark, sf_dir)
-    sides = [pairs.select(F.lit(s).alias("side"), "path", "language", F.col(f"{s}_content").alias("content")) for s in ("old", "new")]
-    return sides[0].unionByName(sides[1])
+    return K.by_side(code_files(spark, sf_dir))
 
 
 def code_regions(pairs: DataFrame) -> DataFrame:
@@ -540,7 +538,6 @@ def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["path", "name", "node_type", "level"]
     nth = F.row_number().over(Window.partitionBy("side", *keys).orderBy("start_line", "end_line")).cast("bigint")
     bodies = bodies.withColumn("nth", nth)
-    old = bodies.filter("side = 'old'").select(*keys, "nth", F.col("body").alias("old_body"))
-    new = bodies.filter("side = 'new'").select(*keys, "nth", F.col("body").alias("new_body"))
-    both = old.join(new, [*keys, "nth"])
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("body"))).alias(f"{side}_body")
+    both = bodies.groupBy(*keys, "nth").agg(of("old"), of("new")).filter("old_body is not null and new_body is not null")
     return both.select(*keys, "nth", F.round(similarity.body_similarity("old_body", "new_body"), 6).alias("similarity"))

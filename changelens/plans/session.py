@@ -40,12 +40,9 @@ def ranges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, side, line) of both versions of every file."""
-    pairs = files(spark, sf_dir)
-    sides = [
-        pairs.select("path", F.lit(side).alias("side"), F.posexplode(X.text_lines(f"{side}_content")).alias("p", "c"))
-        for side in ("old", "new")
-    ]
-    return sides[0].unionByName(sides[1]).select("path", "side", (F.col("p") + 1).cast("bigint").alias("line"))
+    counts = [F.struct(F.lit(s).alias("side"), F.size(X.text_lines(f"{s}_content")).cast("bigint").alias("n")) for s in ("old", "new")]
+    sides = files(spark, sf_dir).select("path", F.inline(F.array(*counts)))
+    return sides.select("path", "side", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("line"))
 
 
 cte(

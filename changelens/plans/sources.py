@@ -192,7 +192,7 @@ def src_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of records read back from their JSON text."""
     records = diff_json.parse_records(diff_records(spark, sf_dir))
     contents = records.withColumn("old_content", F.lit("")).withColumn("new_content", F.lit(""))
-    rows = E.diff_entries(contents).join(records.select("path", "language", "status"), "path")
+    rows = E.diff_entries(contents, keep=["language", "status"])
     spans = F.concat("old_changes", "new_changes")
     return rows.select(
         "path", "language", "status", "pos", "old_line", "new_line",

@@ -211,8 +211,7 @@ select path, cast(shown_at as bigint) shown_at, cast(ord as bigint) ord from (
 )
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven visible rows of every file after the first three."""
-    shown = R.visible_lines(viewed(spark, sf_dir)).select("path", "ord")
-    return N.numbered(shown).filter(F.col("shown_at").between(3, 9)).select("path", "shown_at", "ord")
+    return N.viewports(viewed(spark, sf_dir), 3, 7)
 
 
 @query(
