@@ -31,8 +31,8 @@ STEPS = 30
 TOLERANCE = 1e-4
 # Steps end when one lowers the error by a smaller share than this.
 STALLED = 0.01
-# A rate this close to a whole number is taken as that number of copies.
-SNAP = 0.1
+# A rate this close to a whole number is that number but for rounding.
+ROUNDING = 1e-9
 SEED = "mix-1"
 
 
@@ -123,13 +123,13 @@ def memberships(docs: DataFrame, model: Classifier, text: str, id_col: str) -> D
     return rows.select("id", F.xxhash64("t").alias("digest"), F.size("words").cast("bigint").alias("tokens"), p.alias("p"))
 
 
-def fit_rates(rows: DataFrame, goals: list[float]) -> list[np.ndarray]:
-    """The steps of the projected gradient: rate = 1, then rate = max(0, rate - p . step) for each step.
+def fit_rates(rows: DataFrame, goals: list[float], least: float = 0.0, most: float = math.inf) -> list[np.ndarray]:
+    """The steps of the projected gradient: rate = 1, then rate - p . step within ``least`` and ``most`` for each step.
 
     With the expected tokens e = sum(tokens rate p) and G = sum(tokens p p'), the steps lower
     (e - goals)' G^-1 (e - goals). In the norm that weighs a rate by its document's tokens this has a
     gradient p . G^-1 (e - goals) of slope at most one, so a full step never raises it; without the
-    bound at zero the first one is exact. Every pass over the rows gives sums of domains by domains.
+    bounds the first one is exact. Every pass over the rows gives sums of domains by domains.
     """
     k = len(goals)
     goals = np.array(goals)
@@ -142,7 +142,7 @@ def fit_rates(rows: DataFrame, goals: list[float]) -> list[np.ndarray]:
     steps: list[np.ndarray] = []
     scale, before = max(1.0, float(np.abs(goals).sum())), math.inf
     for _ in range(STEPS):
-        rated = bind(rows.select("tokens", "p"), rate=rate_of(steps, k))
+        rated = bind(rows.select("tokens", "p"), rate=rate_of(steps, k, least, most))
         found = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(k)]).first()
         residual = np.array([x or 0.0 for x in found]) - goals
         step = np.linalg.solve(gram, residual)
@@ -154,7 +154,7 @@ def fit_rates(rows: DataFrame, goals: list[float]) -> list[np.ndarray]:
     return steps
 
 
-def rate_of(steps: list[np.ndarray], k: int) -> Column:
+def rate_of(steps: list[np.ndarray], k: int, least: float = 0.0, most: float = math.inf) -> Column:
     if not steps:
         return F.lit(1.0)
 
@@ -162,17 +162,17 @@ def rate_of(steps: list[np.ndarray], k: int) -> Column:
         change = F.lit(0.0)
         for i in range(k):
             change = change + F.get("p", F.lit(i)) * F.get(step, F.lit(i))
-        return F.greatest(F.lit(0.0), rate - change)
+        return F.least(F.lit(most), F.greatest(F.lit(least), rate - change))
 
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
     return F.aggregate(taken, F.lit(1.0), moved)
 
 
 def copies_of(rate: Column, id_: Column, digest: Column, seed: str) -> Column:
-    """A whole number of copies whose expectation is the rate (but for ``SNAP``), by a hash of the row's id and text."""
+    """A whole number of copies whose expectation is the rate, by a hash of the row's id and text."""
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_.cast("string"), digest), 11) / F.lit(float(1 << 53))
     near = F.round(rate)
-    return F.when(F.abs(rate - near) <= SNAP, near).otherwise(F.floor(rate + draw)).cast("bigint")
+    return F.when(F.abs(rate - near) <= ROUNDING, near).otherwise(F.floor(rate + draw)).cast("bigint")
 
 
 def mixed(
@@ -190,7 +190,8 @@ def mixed(
     """(id, digest, tokens, domain, posterior, rate, copies) of every row; domain is the likeliest one.
 
     Targets are the domains' shares of all tokens (``weights``), or multiples of what they are
-    expected to have (``multiples``); a domain not named keeps what it has. Null and empty texts have
+    expected to have (``multiples``); a domain not named keeps what it has. With multiples no rate
+    leaves the range from the least to the greatest of them, so that clear documents keep theirs. Null and empty texts have
     no tokens, the prior as posterior and the rate that this gives. Repeated rows get equal rates;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -199,11 +200,13 @@ def mixed(
     k = len(model.domains)
     first = rows.agg(*[F.sum(F.col("tokens") * F.get("p", i)).alias(f"s{i}") for i in range(k)]).first()
     own = dict(zip(model.domains, (x or 0.0 for x in first)))
+    asked = [(multiples or {}).get(d, 1.0) for d in model.domains]
     if weights:
         goals = [weights[d] * sum(own.values()) if d in weights else own[d] for d in model.domains]
     else:
-        goals = [(multiples or {}).get(d, 1.0) * own[d] for d in model.domains]
-    rate = rate_of(fit_rates(rows, goals), k)
+        goals = [m * own[d] for m, d in zip(asked, model.domains)]
+    least, most = (0.0, math.inf) if weights else (min(asked), max(asked))
+    rate = rate_of(fit_rates(rows, goals, least, most), k, least, most)
     names = F.array(*map(F.lit, model.domains))
     likeliest = F.array_position("p", F.array_max("p")).cast("int")
     out = rows.select(

@@ -10,6 +10,7 @@ import oracle
 import pytest
 import xxhash
 from llm_texts import prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from changelens.llm import decontamination, line_dedup, mixing, sharding, simhash
@@ -242,6 +243,24 @@ def test_rates_meet_the_targets(spark):
     assert sorted(r.doc_id for r in out.collect()) == [i for i in range(300) if i % 6]
 
 
+def test_copies_meet_the_targets(spark):
+    rows = spark.range(20_000).selectExpr("id", "id * 7 digest", "id % 90 + 10 tokens", "element_at(array(0.04D, 0.083D, 0.93D, 1.08D), cast(id % 4 + 1 as int)) rate")
+    copies = mixing.copies_of(rows["rate"], rows["id"], rows["digest"], "seed")
+    for r in rows.withColumn("copies", copies).groupBy("rate").agg(F.sum(F.col("tokens") * F.col("copies")).alias("made"), F.sum("tokens").alias("own")).collect():
+        assert r.made / r.own == pytest.approx(r.rate, abs=0.02)
+
+
+def test_copies_of_a_small_share_are_made(spark):
+    rows = [(i, prose(i, 40) + (" idiot clown" if i % 6 == 0 else " good news")) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "toxic" if i % 6 == 0 else "good") for i in range(0, 2400, 2)], "doc_id bigint, domain string")
+    rows = mixing.mixed(docs, labels, "domain", weights={"good": 0.99, "toxic": 0.01}).collect()
+    total = sum(r.tokens for r in rows)
+    for name, share in (("good", 0.99), ("toxic", 0.01)):
+        made = sum(r.tokens * r.copies for r in rows if r.domain == name)
+        assert made == pytest.approx(share * total, rel=0.5 if name == "toxic" else 0.02) and made > 0
+
+
 def test_steps_solve_the_bounded_least_squares(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
