@@ -1,13 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. The n-grams of the test items are counted over all documents.
-2. Of every two consecutive n-grams of an item the rarest is a seed.
+2. The n-grams that documents hold are seeds, but for as many of an item's commonest as no copy can do with alone.
 3. Documents are scanned for seeds; a seed places its item at one diagonal of the document.
 4. The passage around each diagonal is aligned with the item, word by word; the best score counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from changelens.llm.common import slices, stored, word_grams
 
-GRAM = 5
-# A seed is the rarest of this many n-grams in a row, so GRAM + RARE_OF - 1 (six) equal words always hold one.
-RARE_OF = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Of the score of a whole, unchanged item.
 THRESHOLD = 0.6
@@ -31,20 +29,36 @@ FILTER_SHIFTS = (0, 20, 40)
 ALIGNED_ROWS = 256
 
 
-def item_grams(items: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(item, place, gram) of the items' n-grams; an item under ``GRAM`` words has none."""
+def seed_plan(n_words: int, threshold: float) -> tuple[int, int]:
+    """(width, shared): a passage that reaches ``threshold`` of an item has ``shared`` of its places of ``width`` words at least.
+
+    With M equal words and E edits the score is 2 M - E, and the equal words stand in at most E + 1 runs, so at
+    least M - E - 1 of the item's pairs of words are whole: not under (2 threshold - 1) n - 1. Where that may be
+    none, single words are taken; at least threshold n of them are equal.
+    """
+    pairs = (2 * threshold - 1) * n_words - 1
+    if pairs > 1e-9:
+        return 2, math.ceil(pairs - 1e-9)
+    return 1, max(1, math.ceil(threshold * n_words - 1e-9))
+
+
+def item_grams(items: DataFrame, text: str, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, place, gram, width, shared) of the items' n-grams by ``seed_plan``; an item without a word has none."""
     source = items.select(items[id_col].alias("item"), items[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column("text")):
-                grams = [word_grams(t, GRAM)[0] for t in part]
-                row = np.repeat(np.arange(first, first + len(part)), [len(g) for g in grams])
-                place = [np.arange(len(g)) for g in grams]
-                columns = [batch.column("item").take(pa.array(row)), pa.array(np.concatenate(place)), pa.array(np.concatenate(grams))]
-                yield pa.RecordBatch.from_arrays(columns, ["item", "place", "gram"])
+                plans = [seed_plan(len(t.encode().split()), threshold) for t in part]
+                grams = [word_grams(t, width)[0] for t, (width, _) in zip(part, plans)]
+                sizes = [len(g) for g in grams]
+                row = np.repeat(np.arange(first, first + len(part)), sizes)
+                place = [np.arange(n) for n in sizes]
+                plan = np.repeat(np.array(plans, np.int64), sizes, axis=0)
+                made = [pa.array(np.concatenate(place)), pa.array(np.concatenate(grams)), pa.array(plan[:, 0]), pa.array(plan[:, 1])]
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row)), *made], ["item", "place", "gram", "width", "shared"])
 
-    return source.mapInArrow(run, f"item {dict(source.dtypes)['item']}, place bigint, gram bigint")
+    return source.mapInArrow(run, f"item {dict(source.dtypes)['item']}, place bigint, gram bigint, width bigint, shared bigint")
 
 
 def filter_places(gram: Column) -> list[Column]:
@@ -73,14 +87,21 @@ def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return ok
 
 
-def gram_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
+def found_grams(text: str, widths: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the n-grams of a text that pass the filter, for all ``widths``."""
+    made = [word_grams(text, width)[0] for width in widths]
+    at = [np.flatnonzero(passes(bits, g)) for g in made]
+    return np.concatenate(at), np.concatenate([g[k] for g, k in zip(made, at)])
+
+
+def gram_counts(docs: DataFrame, text: str, widths: list[int], bits: np.ndarray) -> DataFrame:
     """(gram, n) over all documents for n-grams in the filter; summed per batch before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in slices(batch.column("text")):
-                found = [g[passes(shared.value, g)] for g in (word_grams(t, GRAM)[0] for t in part)]
+                found = [found_grams(t, widths, shared.value)[1] for t in part]
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
@@ -88,17 +109,15 @@ def gram_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, place, gram): the rarest of each ``RARE_OF`` n-grams in a row of an item, the first of equals."""
-    counted = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    ahead = W.partitionBy("item").orderBy("place").rowsBetween(0, RARE_OF - 1)
-    of_item = W.partitionBy("item")
-    rarest = counted.withColumn("least", F.min(F.struct("n", "place", "gram")).over(ahead)).withColumn("last", F.max("place").over(of_item))
-    # The last windows are short; they count only where the item has no full one.
-    full = rarest.filter((F.col("place") + RARE_OF - 1 <= F.col("last")) | (F.col("place") == 0))
-    return full.select("item", F.col("least.place").alias("place"), F.col("least.gram").alias("gram")).distinct()
+    """(item, place, gram): the n-grams of an item that some document holds, without its ``shared`` - 1 commonest places.
+
+    A passage that reaches the threshold has ``shared`` of the places, so one of the others at least.
+    """
+    ranked = grams.join(counts, "gram").withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("n"), "place")))
+    return ranked.filter(F.col("rank") >= F.col("shared")).select("item", "place", "gram").distinct()
 
 
-def seeded_documents(docs: DataFrame, text: str, id_col: str, bits: np.ndarray) -> DataFrame:
+def seeded_documents(docs: DataFrame, text: str, id_col: str, widths: list[int], bits: np.ndarray) -> DataFrame:
     """(id, digest, text, hits) of the documents with an n-gram in the filter; hits are (place, gram)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     source = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("digest"), docs[text].alias("text"))
@@ -109,11 +128,10 @@ def seeded_documents(docs: DataFrame, text: str, id_col: str, bits: np.ndarray)
             for first, part in slices(batch.column("text")):
                 rows, found = [], []
                 for k, t in enumerate(part):
-                    grams = word_grams(t, GRAM)[0]
-                    at = np.flatnonzero(passes(shared.value, grams))
-                    if len(at):
+                    places, grams = found_grams(t, widths, shared.value)
+                    if len(places):
                         rows.append(first + k)
-                        found.append([{"place": int(p), "gram": int(g)} for p, g in zip(at, grams[at])])
+                        found.append([{"place": p, "gram": g} for p, g in zip(places.tolist(), grams.tolist())])
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "digest", "text")), pa.array(found, hits)], ["id", "digest", "text", "hits"])
 
@@ -148,7 +166,7 @@ def align(items: list[list[bytes]], passages: list[list[bytes]]) -> np.ndarray:
     return best
 
 
-def scored(candidates: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
+def scored(candidates: DataFrame, id_kind: str, item_kind: str, threshold: float = THRESHOLD) -> DataFrame:
     """Best score of each (id, digest, item): candidates are (id, digest, text, spots) with spots (item, item_text, block)."""
     schema = f"id {id_kind}, digest bigint, item {item_kind}, score double, word_start bigint, word_end bigint"
     spot = candidates.schema["spots"].dataType.elementType
@@ -170,10 +188,16 @@ def scored(candidates: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
                 words = row["text"].as_py().encode().lower().split()
                 for spot in row["spots"].as_py():
                     item = spot["item_text"].encode().lower().split()
-                    # Diagonals are grouped by the half of an item; a passage covers its whole group.
+                    # Diagonals are grouped by the half of an item; a passage covers its whole group, and on
+                    # either side as many words more as can be inserted into a copy that reaches the threshold.
                     half = max(1, len(item) // 2)
-                    start = max(0, spot["block"] * half - half)
-                    passage = words[start : (spot["block"] + 2) * half + len(item)]
+                    slack = max(half, math.ceil(2 * (1 - threshold) * len(item)))
+                    start = max(0, spot["block"] * half - slack)
+                    passage = words[start : (spot["block"] + 1) * half + slack + len(item)]
+                    # So many words of the item must be equal for the score; most chance hits have fewer.
+                    inside = set(passage)
+                    if sum(w in inside for w in item) < threshold * len(item) - 1e-9:
+                        continue
                     pending.append((row["id"].as_py(), row["digest"].as_py(), spot["item"], item, passage, start))
                     if len(pending) == ALIGNED_ROWS:
                         yield aligned(sorted(pending, key=lambda p: len(p[4])))
@@ -196,16 +220,17 @@ def contaminated(
     """One row per document and item whose alignment reaches ``threshold``: id, digest, item, score, word bounds.
 
     Words are what the six ASCII blanks separate, with A-Z lowered. The score is that of the best
-    local alignment over that of the whole item. A null text, an empty one or one under five words
+    local alignment over that of the whole item. A null text or one without a word
     holds no seed, and neither does such an item. Rows that repeat an id and its text give one row
     per item; an empty table on either side gives an empty result; other columns are ignored.
     """
     items = items.select(items[item_id].alias("item"), items[item_text].alias("text")).filter(F.col("text").isNotNull())
-    grams = stored(item_grams(items, "text", "item"))
-    counts = gram_counts(docs, text, gram_filter(grams)).join(grams.select("gram").distinct(), "gram", "left_semi")
+    grams = stored(item_grams(items, "text", "item", threshold))
+    widths = sorted(r["width"] for r in grams.select("width").distinct().collect()) or [2]
+    counts = gram_counts(docs, text, widths, gram_filter(grams)).join(grams.select("gram").distinct(), "gram", "left_semi")
     seeds = stored(rare_seeds(grams, counts))
     # The texts of documents with seeds are kept; the join below drops what only the filter let pass.
-    found = stored(seeded_documents(docs, text, id_col, gram_filter(seeds)))
+    found = stored(seeded_documents(docs, text, id_col, widths, gram_filter(seeds)))
     hits = found.select("id", "digest", F.explode(F.array_distinct("hits")).alias("hit")).select("id", "digest", "hit.place", "hit.gram")
     placed = seeds.join(items, "item").select("item", "gram", F.col("place").alias("item_place"), F.col("text").alias("item_text"))
     n_words = F.size(F.split(F.trim(F.regexp_replace("item_text", r"[\x20\x09-\x0D]+", " ")), " "))
@@ -215,7 +240,7 @@ def contaminated(
     f, s = found.alias("f"), spots.alias("s")
     candidates = f.join(s, F.col("f.id").eqNullSafe(F.col("s.id")) & (F.col("f.digest") == F.col("s.digest"))).select("f.id", "f.digest", "f.text", "s.spots")
     kinds = dict(candidates.dtypes)
-    rows = scored(candidates, kinds["id"], dict(items.dtypes)["item"]).filter(F.col("score") >= threshold)
+    rows = scored(candidates, kinds["id"], dict(items.dtypes)["item"], threshold).filter(F.col("score") >= threshold)
     best = rows.groupBy("id", "digest", "item").agg(F.max(F.struct("score", "word_start", "word_end")).alias("b"))
     return best.select(F.col("id").alias(id_col), "digest", F.col("item").alias(item_id), "b.score", "b.word_start", "b.word_end")
 

@@ -218,6 +218,30 @@ def test_contamination(spark, corpus, awkward, empty):
     assert decontamination.clean_documents(awkward, bench).count() == awkward.count()
 
 
+def test_edited_copies_that_reach_the_threshold_are_found(spark):
+    """A word changed in every four, five and six, one put in after every two, and short items; with and without the plain copy."""
+    items = [(i, prose(5000 + i, 36)) for i in range(8)] + [(8, "zeta eta theta iota"), (9, "alpha beta gamma delta epsilon kappa lam mu")]
+    rows, expected = [(k, prose(9000 + k, 60)) for k in range(20)], {}
+    for i, text in items:
+        for kind in (2, 4, 5, 6, 0):
+            words = text.split()
+            if kind == 2:
+                words = [x for k, w in enumerate(words) for x in ([w, f"in{k}"] if k % 2 else [w])]
+            elif kind:
+                words[kind - 1 :: kind] = [f"changed{k}" for k in range(len(words) // kind)]
+            if kind == 0 and i % 2:
+                continue
+            d = 100 + 10 * i + kind
+            rows.append((d, prose(7000 + d, 40) + " " + " ".join(words) + " " + prose(8000 + d, 30)))
+            score = plain_score(text.split(), rows[-1][1].split()) / (2 * len(text.split()))
+            if score >= 0.6:
+                expected[d, i] = score
+    assert {d % 10 for d, _ in expected} == {0, 2, 4, 5, 6}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == pytest.approx(expected)
+
+
 def labelled(spark, n=300):
     rnd, rows, labels = random.Random(6), [], []
     for i in range(n):
