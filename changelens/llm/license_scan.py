@@ -4,7 +4,8 @@ Shingles are five words. A window is ``WINDOW`` shingles from every place of a t
 are cut into windows of the same size. Two windows meet where one of ``BANDS`` minimum hashes, each
 a band of one row, is equal. A window that shares a third of its shingles (a one-shingle template
 inside it) meets its template with probability 1 - (2/3)^12 > 0.992 and is tried at each of three
-places; an unchanged stretch of seven words always meets.
+places; an unchanged stretch of seven words always meets. A retrieved template is scored once for each
+text, over all shingles of the text.
 """
 
 from __future__ import annotations
@@ -87,21 +88,14 @@ def windows(rows: DataFrame) -> DataFrame:
 
 
 def template_tables(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(template, place, k, value, grams, n_words): a row for each band of each template window."""
+    """(template, grams, k, value): a row for each band of each template window; grams are all shingles of the template."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MOST_TEMPLATES} can be sent to every task")
     given = spark.createDataFrame(sorted(templates.items()), "template string, t string")
     rows = shingled(given.select("template", compared_words(F.col("t")).alias("words")))
     cut = windows(rows).filter((F.col("pos") % STRIDE == 0) & (F.size("h") > 0))
     bands = F.array(*[F.struct(F.lit(k).alias("k"), band(k).alias("value")) for k in range(BANDS)])
-    return cut.select("template", F.col("pos").alias("place"), F.array_distinct(grams_of(F.col("words"))).alias("grams"), F.size("words").alias("n_words"), F.inline(bands))
-
-
-def grams_of(words: Column) -> Column:
-    """The shingles of some words, in order."""
-    last = F.size(words) - SHINGLE + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))
+    return cut.select("template", F.col("h").alias("grams"), F.inline(bands))
 
 
 def licenses(
@@ -114,8 +108,8 @@ def licenses(
     """(id, digest, license, containment, word) for each template that a row holds; word is where
     its first shingle is found, from 0.
 
-    Containment is the share of the template's shingles found around the place where it was
-    retrieved. Case and punctuation do not count. A null, empty or short text holds none, nor does a
+    Containment is the share of the template's shingles found in the whole text, wherever they are;
+    a template whose first shingle is not in the text has no word. Case and punctuation do not count. A null, empty or short text holds none, nor does a
     template under five words; rows that repeat an id and its text give one row per template; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -123,22 +117,26 @@ def licenses(
     table = template_tables(spark, TEMPLATES if templates is None else templates)
     known = table.select("k", "value").distinct().collect()  # BANDS values for each template window
     values = {k: sorted(r["value"] for r in known if r["k"] == k) for k in range(BANDS)}
+    whole = table.select("template", "grams").distinct().collect()
+    shingles, firsts = sorted({x for r in whole for x in r["grams"]}), sorted({r["grams"][0] for r in whole})
     body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(body).alias("digest"), compared_words(body).alias("words"))
+    rows = shingled(docs.select(docs[id_col].alias("id"), F.xxhash64(body).alias("digest"), compared_words(body).alias("words")))
+    # Of a text only the shingles that some template has go on, and where the templates' first ones are.
+    shared = F.filter(F.array_distinct("h"), lambda x: x.isin(shingles))
+    rows = bind(rows.select("id", "digest", "h"), shared=shared).filter(F.size("shared") > 0)
+    starts = F.transform(F.filter("shared", lambda x: x.isin(firsts)), lambda x: F.struct(x.alias("h"), F.array_position("h", x).alias("at")))
+    rows = bind(rows, starts=starts)
     met = F.lit(False)
     for k in range(BANDS):
         met = met | band(k).isin(values[k])
-    found = windows(shingled(rows)).filter(met)
+    found = windows(rows).filter(met)
     bands = F.array(*[F.struct(F.lit(k).alias("k"), band(k).alias("value")) for k in range(BANDS)])
-    found = found.select("id", "digest", "words", "pos", F.inline(bands))
+    found = found.select("id", "digest", "shared", "starts", F.inline(bands))
     # The template table is bounded by MOST_TEMPLATES, so it goes to every task and texts stay where they are.
-    pairs = found.join(F.broadcast(table), ["k", "value"])
-    slack = F.ceil(F.col("n_words") / 4).cast("int")
-    first = F.greatest(F.col("pos") - F.col("place") - slack, F.lit(0))
-    region = F.slice("words", first + 1, F.col("n_words") + 2 * slack)
-    pairs = bind(pairs, first=first, found=grams_of(region))
-    met = F.array_intersect("found", "grams")
-    place = F.col("first") + F.array_position("found", F.get(met, F.lit(0))) - 1
-    scored = pairs.select("id", "digest", "template", place.cast("bigint").alias("word"), (F.size(met) / F.size("grams")).alias("share"))
-    best = scored.filter(F.col("share") >= containment).groupBy("id", "digest", "template").agg(F.max("share").alias("containment"), F.min("word").alias("word"))
+    pairs = found.join(F.broadcast(table.select("template", "k", "value").distinct()), ["k", "value"])
+    pairs = pairs.groupBy("id", "digest", "template").agg(F.first("shared").alias("shared"), F.first("starts").alias("starts"))
+    pairs = pairs.join(F.broadcast(table.select("template", "grams").distinct()), "template")
+    share = F.size(F.array_intersect("shared", "grams")) / F.size(F.array_distinct("grams"))
+    first = F.get(F.filter("starts", lambda x: x["h"] == F.get("grams", F.lit(0))), F.lit(0))["at"] - 1
+    best = pairs.select("id", "digest", "template", share.alias("containment"), first.cast("bigint").alias("word")).filter(F.col("containment") >= containment)
     return best.select(F.col("id").alias(id_col), "digest", F.col("template").alias("license"), "containment", "word")

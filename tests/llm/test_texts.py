@@ -114,6 +114,20 @@ def test_licenses_equal_exact_containment(spark, awkward, empty):
     assert license_scan.licenses(frame, {"short": "too few words"}).collect() == []
 
 
+@pytest.mark.parametrize("inserted", [20, 30, 40])
+def test_a_broken_notice_is_scored_whole(spark, inserted):
+    template = license_scan.TEMPLATES["MIT-text"]
+    words = template.split()
+    words[30:30] = [f"footer{k}" for k in range(inserted)]
+    text = prose(1, 50) + " " + " ".join(words) + " " + prose(2, 300)
+    far = " ".join(template.split()[:34]) + " " + prose(3, 900) + " " + " ".join(template.split()[30:])
+    frame = spark.createDataFrame([(0, text), (1, far), (1, far)], "doc_id int, text string")
+    found = {(r.doc_id, r.license): (r.containment, r.word) for r in license_scan.licenses(frame).collect()}
+    share = lambda t: len(shingles(template) & shingles(t)) / len(shingles(template))
+    assert share(text) > 0.93
+    assert found == {(0, "MIT-text"): (share(text), 50), (1, "MIT-text"): (share(far), 0)}
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
