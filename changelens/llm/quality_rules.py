@@ -148,9 +148,14 @@ def kept_documents(
     least_left: float = 0.2,
     repeated_percent: int = 30,
 ) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, with all their columns; their texts go without the frequent lines of the host.
 
-    The rows are stored once with their measures, so no text is shuffled to meet its verdict.
+    Blank lines stay. The rows are stored once with their measures, so no text is shuffled to meet its verdict.
     """
     rows = stored(document_rows(docs, text, id_col, host))
-    return judged(rows, host_share, least_docs, least_words, least_left, repeated_percent).filter("kept").select("row.*")
+    kept = judged(rows, host_share, least_docs, least_words, least_left, repeated_percent).filter("kept")
+    held = lambda x: F.array_contains("frequent", F.xxhash64(normalised(x)))
+    own = F.col("row").getField(text)
+    left = F.array_join(F.filter(F.split(own, "\n"), lambda x: ~held(x)), "\n")
+    cleaned = F.when(F.col("n_removed") > 0, left).otherwise(own)
+    return kept.select(*[(cleaned if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -86,6 +86,20 @@ def test_boilerplate_depletes_a_document_but_copies_do_not(spark):
     assert sorted(r.doc_id for r in quality_rules.kept_documents(frame).collect()) == sorted(i for i in rows if rows[i].kept)
 
 
+def test_frequent_lines_are_cut_out_of_kept_documents(spark):
+    menu = "Menu 12 home about contact terms privacy"
+    texts = [f"{prose(i, 30, 2)}\n\n{menu.replace('12', str(i))}\n{prose(500 + i, 10, 1)}" for i in range(80)] + [prose(i, 40) for i in range(900, 910)]
+    frame = spark.createDataFrame([(i, t, "s", i * 2) for i, t in enumerate(texts)], "doc_id int, text string, source string, other int")
+    made = {r.doc_id: r for r in quality_rules.kept_documents(frame).collect()}
+    assert set(made) == set(range(90)) and all(r.other == 2 * d for d, r in made.items())
+    two = {i: re.sub("[0-9]+", lambda m: "0" * len(m[0]), menu.replace("12", str(i))) for i in range(80)}
+    often = {x for x, n in collections.Counter(two.values()).items() if n > 50}
+    assert len(often) == 1
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if re.sub("[0-9]", "0", x) not in often]
+        assert made[i].text == "\n".join(lines) and (i not in two or (len(lines) < len(t.split("\n"))) == (two[i] in often))
+
+
 def shingles(text):
     words = "".join(c for c in re.sub("[A-Z]", lambda m: m[0].lower(), text) if c not in license_scan.PUNCTUATION).split()
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
