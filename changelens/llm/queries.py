@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import decontamination, language_id, license_scan, line_dedup, mixing, pii, quality_rules, sharding, simhash, token_counts
+from changelens.llm import (
+    decontamination, fill_in_middle, language_id, license_scan, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spelling,
+    token_counts,
+)
 from changelens.llm.common import table
 
 # Shares of all tokens after mixing.
@@ -60,11 +63,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.drop("digest", "base", "all")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.filled_in_middle(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256)}
+    return made.withColumns(digests).drop("output")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_license_scan, op3_quality_rules, op4_line_dedup, op5_simhash,
         op6_sharding, op7_decontamination, op8_mixing, op9_language_id, op10_personal_data,
+        op11_fill_in_middle, op12_spelling_variants, op13_packing,
     )
 }
 
@@ -155,8 +173,81 @@ select doc_id, size, text_crc32, cast(place * 8 // total as int) shard,
 from placed
 """
 
+MIDDLE_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(cast(doc_id as varchar), 'null')) h from documents
+),
+lines as (select doc_id, t, h, regexp_extract_all(t, '[^\n]*\n|[^\n]+') us from docs),
+drawn as (
+  select *, cast(len(us) as bigint) n, cast('0x' || h[1:8] as bigint) % (len(us) + 1) a, cast('0x' || h[9:16] as bigint) % (len(us) + 1) b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || h[17:24] as bigint) % 100 >= 100 then 'plain'
+      when cast('0x' || h[25:32] as bigint) % 100 < 50 then 'spm' else 'psm' end form
+  from lines
+),
+cut as (
+  select doc_id, t, n, form, coalesce(array_to_string(us[1:least(a, b)], ''), '') p,
+    coalesce(array_to_string(us[least(a, b) + 1:greatest(a, b)], ''), '') m, coalesce(array_to_string(us[greatest(a, b) + 1:n], ''), '') s
+  from drawn
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256
+from cut
+"""
+
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_BYTES = "".join(map(chr, range(33, 97)))
+
+SPELLING_SQL = f"""
+with recursive crc as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) tab
+  from range(256) r(i)
+),
+runs as (
+  select id, run, count(*) n from (
+    select coalesce(cast(doc_id as varchar), 'null') id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) run from documents
+  ) where length(run) >= 5 group by id, run
+),
+summed as (
+  select run, n, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+    list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda x: cast('0x' || x as bigint))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) h
+  from runs, crc
+),
+words as (
+  select word, cast(sum(n) as bigint) n from (
+    select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end word, n from summed
+  ) where length(word) >= 5 group by word having sum(n) >= 3
+),
+-- One byte for each letter, as distances are counted over bytes.
+single as materialized (select word, n, translate(word, '{_LATIN}', {_quoted(_BYTES)}) w, length(word) l from words),
+roles as (select *, unnest([0, 1]) longer from single),
+-- An edit leaves the first or the last half of the shorter length as it is.
+sides as (select *, l - longer base, unnest([0, 1]) side from roles),
+halves as (select *, case side when 0 then w[:base // 2] else w[-(base // 2):] end half from sides),
+near as materialized (
+  select distinct a.word, a.n, b.word other, b.n m from halves a join halves b on a.base = b.base and a.side = b.side and a.half = b.half
+  where a.longer + b.longer < 2 and a.w <> b.w and levenshtein(a.w, b.w) = 1
+),
+best as (
+  select word, count(*) n_near, first(other order by m desc, other) form, max(m) form_n, max(n) n from near group by word
+),
+formed as materialized (
+  select s.word, s.n, coalesce(n_near, 0) n_near, case when form_n >= 2 * s.n then form end form, case when form_n >= 2 * s.n then form_n end form_n
+  from single s left join best b on b.word = s.word
+),
+chain as (
+  select word, word here, 0 step from formed
+  union all
+  select c.word, f.form, step + 1 from chain c join formed f on f.word = c.here where f.form is not null
+)
+select f.word, n, n_near, form, form_n, arg_max(here, step) root from formed f join chain c on c.word = f.word group by f.word, n, n_near, form, form_n
+"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_sql(),
     "op3_quality_rules": quality_sql(),
     "op6_sharding": SHARDING_SQL,
+    "op11_fill_in_middle": MIDDLE_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
