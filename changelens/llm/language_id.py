@@ -2,27 +2,28 @@
 
 The network reads the bytes of each run of letters in both directions and labels every byte with
 probabilities over the languages; a document's probabilities are the mean over all its bytes. Runs
-are read one by one, so equal runs are labelled alike and a worker computes each once.
+are read one by one, so equal runs are labelled alike and a worker computes each once; a long run is
+read in overlapping windows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changelens.llm.common import slices, stored
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 NO_LANGUAGE = "und"
 HIDDEN = 16
-# Bytes of a run that are read at once; a longer run goes on from an empty state.
-LONGEST = 32
+# Bytes of a run that are labelled at once. Around each such stretch of a longer run, this many more are read for the states.
+STRETCH, CONTEXT = 32, 16
 # Labelled documents, and different runs of letters of them, that are learnt from for each language.
 DOCS_PER_LANGUAGE = 400
 RUNS_PER_LANGUAGE = 6000
@@ -136,17 +137,19 @@ class Network:
                 v += 0.001 * (g * g - v)
                 p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
-    def totals(self, runs: list[bytes]) -> np.ndarray:
-        """For each run the sum of its bytes' probabilities, and their number last."""
-        out = np.zeros((len(runs), len(self.languages) + 1), np.float32)
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+    def totals(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """For each window the sum of the probabilities of its labelled bytes, and their number last."""
+        out = np.zeros((len(windows), len(self.languages) + 1), np.float32)
+        order = sorted(range(len(windows)), key=lambda i: len(windows[i][0]))
         for at in range(0, len(order), 4096):
             part = order[at : at + 4096]
-            grid, lengths = padded([runs[i] for i in part])
+            grid, lengths = padded([windows[i][0] for i in part])
             p, _ = self.label(grid, lengths)
-            inside = np.arange(grid.shape[1]) < lengths[:, None]
+            low, high = np.array([windows[i][1:] for i in part]).T
+            place = np.arange(grid.shape[1])
+            inside = (place >= low[:, None]) & (place < high[:, None])
             out[part, :-1] = (p * inside[:, :, None]).sum(axis=1)
-            out[part, -1] = lengths
+            out[part, -1] = high - low
         return out
 
 
@@ -155,9 +158,24 @@ def runs_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def pieces(run: str) -> list[bytes]:
+def windows_of(run: str) -> list[tuple[bytes, int, int]]:
+    """(bytes, first, end) of windows over a run: every byte is labelled in one of them, and no character is cut."""
     raw = run.encode("utf-8", "surrogatepass")
-    return [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
+    if len(raw) <= STRETCH:
+        return [(raw, 0, len(raw))]
+
+    def start(at: int) -> int:
+        at = min(max(at, 0), len(raw))
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    cuts = [start(i) for i in range(0, len(raw), STRETCH)] + [len(raw)]
+    found = []
+    for a, b in zip(cuts, cuts[1:]):
+        low = start(a - CONTEXT)
+        found.append((raw[low : start(b + CONTEXT)], a - low, b - low))
+    return found
 
 
 class Reader:
@@ -169,8 +187,8 @@ class Reader:
         self.rows = np.zeros((0, len(network.languages) + 1), np.float32)
 
     def learn(self, runs: list[str]) -> np.ndarray:
-        cut = [pieces(r) for r in runs]
-        totals = self.network.totals([p for ps in cut for p in ps])
+        cut = [windows_of(r) for r in runs]
+        totals = self.network.totals([w for ws in cut for w in ws])
         starts = np.cumsum([0, *map(len, cut[:-1])])
         return np.add.reduceat(totals, starts, axis=0)
 
@@ -219,7 +237,7 @@ def trained(docs: DataFrame, text: str, id_col: str, lang: str) -> Network | Non
     if not rows:
         return None
     network = Network(sorted({r["lang"] for r in rows}))
-    made = [(p, network.languages.index(r["lang"])) for r in rows for p in pieces(r["run"])]
+    made = [(w[0], network.languages.index(r["lang"])) for r in rows for w in windows_of(r["run"])]
     network.train([p for p, _ in made], np.array([k for _, k in made]))
     return network
 
