@@ -1,6 +1,6 @@
 """Mixing to target weights by soft membership, with DataFrame functions only.
 
-A naive Bayes classifier learnt from a labelled table gives each document a posterior over domains.
+Logistic regression learnt from a labelled table gives each document a posterior over domains.
 Document rates start at one and follow projected gradient steps of a least-squares problem: the
 expected tokens of each domain, summed over documents by rate and posterior, shall meet the targets.
 """
@@ -19,14 +19,15 @@ from changelens.operators.barrier import bind
 
 # Labelled documents that the classifier learns from at most: those with the smallest hash of their id.
 SAMPLE = 20_000
-# Features besides the words of a text: many symbols, mostly capitals, few words.
-MARKS = ["<symbols>", "<capitals>", "<short>"]
-# A feature is a mark of a domain only if its share there is this many standard errors above its share overall,
+# Features besides the words of a text: symbols, mostly capitals, few words, mostly repeated words.
+MARKS = ["<some symbols>", "<many symbols>", "<capitals>", "<short>", "<repeats>"]
+# A feature is used if its share of a domain's documents is this many standard errors from its share overall,
 # and it is in this share of the domain's documents: what one group of copies has in common is no mark of a domain.
-# The share must also be higher by a factor: many faint marks of, say, one language would add up.
 STANDARD_ERRORS = 4.0
 LEAST_SHARE = 0.1
-LEAST_RATIO = math.log(2)
+FEATURES = 200
+# Weight of the squared weights in the fit, against one document each.
+RIDGE = 1.0
 STEPS = 30
 TOLERANCE = 1e-4
 # Steps end when one lowers the error by a smaller share than this.
@@ -37,23 +38,20 @@ SEED = "mix-1"
 
 
 def words_in(text: Column) -> Column:
-    """A text's words in lower case, without punctuation."""
-    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?()<>\"']+"), "")
+    """A text's words in lower case, without punctuation and symbols."""
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?()<>\"'#*$%&|]+"), "")
 
 
-def marks_of(text: Column, n_words: Column) -> Column:
+def marks_of(text: Column, words: Column) -> Column:
     without = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
-    marked = [without("[#*$%&|<>]+") * 5 > n_words, without("[A-Z]+") * 3 > F.char_length(text), n_words < 20]
+    symbols, n = without("[#*$%&|<>]+"), F.size(words)
+    marked = [symbols * 20 > n, symbols * 2 > n, without("[A-Z]+") * 5 > F.char_length(text), n < 20, F.size(F.array_distinct(words)) * 10 < n * 3]
     return F.array_compact(F.array(*[F.when(is_so, F.lit(name)) for is_so, name in zip(marked, MARKS)]))
 
 
 @dataclass
 class Classifier:
-    """Domains with their log priors (of a text without any feature), and the weight of each feature for each domain.
-
-    A feature is in ``LEAST_SHARE`` of some domain's documents, so there are at most
-    domains / LEAST_SHARE times the mean number of features of a document.
-    """
+    """Domains with their scores for a text without any feature, and what each feature adds to each domain's score."""
 
     domains: list[str]
     priors: list[float]
@@ -79,9 +77,49 @@ class Classifier:
         return let(added, soft)
 
 
+def logistic(held: np.ndarray, domain: np.ndarray, k: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (features + 1, k) of multinomial logistic regression by Newton steps; the last row are the scores without a feature.
+
+    Those are not penalised, so the posteriors' mean over the given documents is each domain's share of them.
+    """
+    x = np.column_stack((held.astype(float), np.ones(len(held))))
+    n, f = x.shape
+    y = np.eye(k)[domain]
+    penalty = np.append(np.full(f - 1, ridge), 1e-6)
+    w = np.zeros((f, k))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        scores = x @ w
+        scores -= scores.max(axis=1, keepdims=True)
+        logs = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        return float(-(logs * y).sum() + 0.5 * (penalty[:, None] * w * w).sum()), np.exp(logs)
+
+    before, p = loss(w)
+    for _ in range(50):
+        gradient = x.T @ (p - y) + penalty[:, None] * w
+        if np.abs(gradient).max() < 1e-6 * n:
+            break
+        hessian = np.zeros((k, f, k, f))
+        for i in range(k):
+            for j in range(k):
+                hessian[i, :, j] = (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x + (i == j) * np.diag(penalty)
+        step = np.linalg.lstsq(hessian.reshape(k * f, k * f), gradient.T.reshape(-1), rcond=None)[0].reshape(k, f).T
+        size = 1.0
+        while size > 1e-6:
+            after, moved = loss(w - size * step)
+            if after <= before:
+                break
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, before, p = w - size * step, after, moved
+    return w
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id: str, domain: str, sample: int = SAMPLE) -> Classifier:
-    """Naive Bayes over the features of at most ``sample`` labelled documents.
+    """Logistic regression on the features of at most ``sample`` labelled documents.
 
+    Where a text does not tell its domain, its posterior is the share that each domain has of such texts.
     Labels without a domain or a document are left out; a document labelled twice counts for each.
     Without any labelled document there is one domain, ``all``.
     """
@@ -90,8 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id:
     # At most ``sample`` rows, so they go to the documents; no text is shuffled.
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("t")).join(F.broadcast(chosen), "_id")
     rows = bind(rows, words=words_in(F.col("t")))
-    features = F.concat(F.array_distinct("words"), marks_of(F.col("t"), F.size("words")))
-    rows = stored(rows.select("domain", features.alias("features")))
+    features = F.concat(F.array_distinct("words"), marks_of(F.col("t"), F.col("words")))
+    rows = stored(rows.select("_id", "domain", features.alias("features")))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Classifier(["all"], [0.0], {})
@@ -99,27 +137,31 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label_id:
     held = rows.select("domain", F.explode("features").alias("f")).groupBy("f")
     counts = held.agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
     wide = [F.col(f"n{i}") >= LEAST_SHARE * sizes[d] for i, d in enumerate(domains)]
-    weights, absent = {}, np.zeros(len(domains))
+    size = np.array([sizes[d] for d in domains], float)
+    clear = []
     for row in counts.filter(F.array_contains(F.array(*wide), True)).orderBy("f").collect():
         n = np.array(row[1:], float)
-        size = np.array([sizes[d] for d in domains], float)
         overall = (n.sum() + 1.0) / (total + 2.0)
-        share = (n + 2.0 * overall) / (size + 2.0)
-        error = np.sqrt(overall * (1 - overall) / size)
-        clear = (share - overall > STANDARD_ERRORS * error) & (np.log(share / overall) >= LEAST_RATIO)
-        if clear.any():
-            # What a missing feature says goes into the priors, and a present one takes it back.
-            missing = np.where(clear, np.log((1 - np.minimum(share, 0.99)) / (1 - min(overall, 0.99))), 0.0)
-            weights[row["f"]] = (np.where(clear, np.log(share / overall), 0.0) - missing).tolist()
-            absent += missing
-    return Classifier(domains, [math.log(sizes[d] / total) + float(a) for d, a in zip(domains, absent)], weights)
+        off = np.abs(n / size - overall) / np.sqrt(overall * (1 - overall) / size)
+        if off.max() > STANDARD_ERRORS:
+            clear.append((-off.max(), row["f"]))
+    names = [name for _, name in sorted(clear)[:FEATURES]]
+    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    place = F.transform(F.array_intersect("features", known), lambda x: F.array_position(known, x) - 1)
+    # Many rows of one id count up to the sample's size as well: the driver fits on this many at most.
+    seen = rows.select("domain", place.alias("at"), F.xxhash64(F.col("_id").cast("string")).alias("h")).orderBy("h", "domain", "at").limit(sample).collect()
+    x = np.zeros((len(seen), len(names)), np.int8)
+    for i, r in enumerate(seen):
+        x[i, r["at"]] = 1
+    w = logistic(x, np.array([domains.index(r["domain"]) for r in seen]), len(domains))
+    return Classifier(domains, w[-1].tolist(), dict(zip(names, w[:-1].tolist())))
 
 
 def memberships(docs: DataFrame, model: Classifier, text: str, id_col: str) -> DataFrame:
     """(id, digest, tokens, p) of every row: p holds the posteriors in the order of the model's domains."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text], F.lit("")).alias("t"))
     rows = bind(rows, words=words_in(F.col("t")))
-    p = model.posteriors(F.col("words"), marks_of(F.col("t"), F.size("words")))
+    p = model.posteriors(F.col("words"), marks_of(F.col("t"), F.col("words")))
     return rows.select("id", F.xxhash64("t").alias("digest"), F.size("words").cast("bigint").alias("tokens"), p.alias("p"))
 
 
@@ -181,6 +223,7 @@ def mixed(
     domain: str,
     weights: dict[str, float] | None = None,
     multiples: dict[str, float] | None = None,
+    bounds: tuple[float, float] | None = None,
     text: str = "text",
     id_col: str = "doc_id",
     label_id: str = "doc_id",
@@ -190,8 +233,8 @@ def mixed(
     """(id, digest, tokens, domain, posterior, rate, copies) of every row; domain is the likeliest one.
 
     Targets are the domains' shares of all tokens (``weights``), or multiples of what they are
-    expected to have (``multiples``); a domain not named keeps what it has. With multiples no rate
-    leaves the range from the least to the greatest of them, so that clear documents keep theirs. Null and empty texts have
+    expected to have (``multiples``); a domain not named keeps what it has. No rate leaves ``bounds``;
+    without them rates are at least 0, and with multiples in the range from the least to the greatest of these. Null and empty texts have
     no tokens, the prior as posterior and the rate that this gives. Repeated rows get equal rates;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -205,7 +248,7 @@ def mixed(
         goals = [weights[d] * sum(own.values()) if d in weights else own[d] for d in model.domains]
     else:
         goals = [m * own[d] for m, d in zip(asked, model.domains)]
-    least, most = (0.0, math.inf) if weights else (min(asked), max(asked))
+    least, most = bounds or ((0.0, math.inf) if weights else (min(asked), max(asked)))
     rate = rate_of(fit_rates(rows, goals, least, most), k, least, most)
     names = F.array(*map(F.lit, model.domains))
     likeliest = F.array_position("p", F.array_max("p")).cast("int")
