@@ -21,8 +21,8 @@ from changelens.llm.common import slices, stored
 
 # From a visible character to the end of the line, or of a sentence that a blank follows.
 UNIT = re.compile(r"\S[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*")
-# Words of a run of repeated units from which on it is removed.
-RUN_WORDS = 15
+# Words of a run of consecutive repeated units from which on it is removed; with 1 every repeated unit goes.
+RUN_WORDS = 1
 
 
 def units_of(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -77,6 +77,8 @@ def removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run_wo
     later = repeated.join(first, ["h1", "h2"]).filter(~rank.eqNullSafe(F.col("first")))
     later = later.select("id", "digest", "unit", "start", "end", "words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")).distinct()
     of_doc = W.partitionBy("id", "digest")
+    if run_words <= 1:
+        return later.select(F.col("id").alias(id_col), "digest", "start", "end", "words", "first_id", "first_start")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(of_doc.orderBy("unit")))
     summed = runs.withColumn("run_words", F.sum("words").over(W.partitionBy("id", "digest", "run")))
     return summed.filter(F.col("run_words") >= run_words).select(F.col("id").alias(id_col), "digest", "start", "end", "words", "first_id", "first_start")

@@ -14,6 +14,8 @@ from changelens.operators.barrier import bind
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+# A line in more different documents of one host than this is taken out of them.
+LINE_DOCS = 5
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -79,37 +81,36 @@ def document_rows(docs: DataFrame, text: str, id_col: str, host: str) -> DataFra
     )
 
 
-def frequent_lines(rows: DataFrame, host_share: float, least_docs: int) -> DataFrame:
-    """(host, frequent): each host's line hashes found in more of its different documents than the limit.
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows stored with ``row_id``, a number of their own that stays as it is once written."""
+    return stored(rows.withColumn("row_id", F.monotonically_increasing_id()))
 
-    The limit is ``host_share`` of the host's different texts and never under ``least_docs``, so a
-    host's array has at most 1/host_share times its mean number of lines per document. Exact copies
-    count once. Every count is combined before it is shuffled.
+
+def frequent_lines(rows: DataFrame, line_docs: int) -> DataFrame:
+    """(host, h): the line hashes found in more than ``line_docs`` different documents of a host, whatever the host's size.
+
+    Exact copies count once. Every count is combined before it is shuffled.
     """
     seen = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     docs_of_line = seen.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    docs_of_host = rows.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
-    above = docs_of_line.filter(F.col("docs") > least_docs)
-    limit = F.greatest(F.col("all_docs") * F.lit(host_share), F.lit(float(least_docs)))
-    joined = above.alias("l").join(docs_of_host.alias("d"), F.col("l.host").eqNullSafe(F.col("d.host")))
-    return joined.filter(F.col("docs") > limit).groupBy(F.col("l.host").alias("host")).agg(F.collect_list("h").alias("frequent"))
-
-
-def judged(rows: DataFrame, host_share: float, least_docs: int, least_words: int, least_left: float, repeated_percent: int) -> DataFrame:
-    """Stored document rows with base_failed, n_removed and kept."""
-    frequent = stored(frequent_lines(rows, host_share, least_docs))
-    r, f = rows.alias("r"), frequent.alias("f")
-    joined = r.join(f, F.col("r.host").eqNullSafe(F.col("f.host")), "left").drop(F.col("f.host"))
-    gone = F.aggregate(
-        F.filter("lines", lambda x: F.array_contains("frequent", x["h"])),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc + x["n"],
-    )
+    return docs_of_line.filter(F.col("docs") > line_docs).select("host", "h")
+
+
+def judged(rows: DataFrame, line_docs: int, least_words: int, least_left: float, repeated_percent: int) -> DataFrame:
+    """Stored document rows with base_failed, n_removed, kept, and ``frequent``: the hashes of their own lines that go.
+
+    Lines meet the frequent ones by a join on host and hash, so a host's list is never in one place.
+    Only rows with such a line carry an array, of at most their own lines.
+    """
+    frequent = stored(frequent_lines(rows, line_docs)).alias("f")
+    lines = rows.select("row_id", "host", F.explode("lines").alias("x")).groupBy("row_id", "host", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n")).alias("l")
+    met = lines.join(frequent, F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.h") == F.col("f.h")))
+    gone = stored(met.groupBy("l.row_id").agg(F.sum("n").alias("gone"), F.collect_list("l.h").alias("frequent")))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeated_percent)
-    removed = F.when(F.col("frequent").isNull(), F.lit(0).cast("bigint")).otherwise(gone)
     left = F.col("n_words") - F.col("n_removed")
     kept = ~F.col("base_failed") & (left >= least_words) & (left >= F.col("n_words") * F.lit(least_left))
-    return joined.withColumns({"base_failed": failed, "n_removed": removed}).withColumn("kept", kept)
+    joined = rows.join(gone, "row_id", "left")
+    return joined.withColumns({"base_failed": failed, "n_removed": F.coalesce("gone", F.lit(0).cast("bigint"))}).withColumn("kept", kept)
 
 
 def quality(
@@ -117,8 +118,7 @@ def quality(
     text: str = "text",
     id_col: str = "doc_id",
     host: str = "source",
-    host_share: float = 0.05,
-    least_docs: int = 50,
+    line_docs: int = LINE_DOCS,
     least_words: int = 20,
     least_left: float = 0.2,
     repeated_percent: int = 30,
@@ -130,8 +130,8 @@ def quality(
     A null text counts as empty and fails; rows without a host form one host; repeated rows stay
     and get equal verdicts; an empty table gives an empty result; other columns are ignored.
     """
-    rows = stored(document_rows(docs, text, id_col, host).drop("row"))
-    verdicts = judged(rows, host_share, least_docs, least_words, least_left, repeated_percent)
+    rows = numbered(document_rows(docs, text, id_col, host).drop("row"))
+    verdicts = judged(rows, line_docs, least_words, least_left, repeated_percent)
     return verdicts.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept"
     )
@@ -142,18 +142,17 @@ def kept_documents(
     text: str = "text",
     id_col: str = "doc_id",
     host: str = "source",
-    host_share: float = 0.05,
-    least_docs: int = 50,
+    line_docs: int = LINE_DOCS,
     least_words: int = 20,
     least_left: float = 0.2,
     repeated_percent: int = 30,
 ) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; their texts go without the frequent lines of the host.
 
-    Blank lines stay. The rows are stored once with their measures, so no text is shuffled to meet its verdict.
+    Blank lines stay. The rows are stored once with their measures; they meet what they lose by their number.
     """
-    rows = stored(document_rows(docs, text, id_col, host))
-    kept = judged(rows, host_share, least_docs, least_words, least_left, repeated_percent).filter("kept")
+    rows = numbered(document_rows(docs, text, id_col, host))
+    kept = judged(rows, line_docs, least_words, least_left, repeated_percent).filter("kept")
     held = lambda x: F.array_contains("frequent", F.xxhash64(normalised(x)))
     own = F.col("row").getField(text)
     left = F.array_join(F.filter(F.split(own, "\n"), lambda x: ~held(x)), "\n")

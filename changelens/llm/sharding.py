@@ -75,9 +75,3 @@ def shards(
     start = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
     out = dealt.withColumn("shard", shard.cast("int"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "text_crc32", "shard", (place - start).alias("slot"))
-
-
-def write_shards(docs: DataFrame, dealt: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the rows of ``docs`` to one folder per shard, in slot order, given shards by a unique id."""
-    places = dealt.select(id_col, "shard", "slot")
-    docs.join(places, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from changelens.llm import decontamination, line_dedup, mixing, sharding, simhash
 from changelens.llm.common import word_grams
-from changelens.llm.queries import ORACLES, QUERIES
+from changelens.llm.queries import ORACLES, QUERIES, TARGETS
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain_removals(rows):
+def plain_removals(rows, run_words):
     counts, first = collections.Counter(), {}
     for d, t in sorted(rows):
         for u in line_dedup.units_of(t or ""):
@@ -33,7 +34,7 @@ def plain_removals(rows):
             if u and counts[u[3:]] > 1 and first[u[3:]] != (d, u[0]):
                 run.append(u)
                 continue
-            if sum(x[2] for x in run) >= line_dedup.RUN_WORDS:
+            if sum(x[2] for x in run) >= run_words:
                 out |= {(d, x[0], x[1], x[2], *first[x[3:]]) for x in run}
             run = []
     return out
@@ -44,10 +45,14 @@ def test_units_end_with_lines_and_sentences():
     assert [text[a:b] for a, b, *_ in line_dedup.units_of(text)] == ["One two.", "Three 3.5 e.g.x!", "Four?!", "Five"]
 
 
-def test_removals(corpus, awkward, empty):
-    rows = [(r.doc_id, r.text) for r in corpus.collect()]
-    found = line_dedup.removals(corpus).collect()
-    assert {(r.doc_id, r.start, r.end, r.words, r.first_id, r.first_start) for r in found} == plain_removals(rows)
+def test_removals(spark, corpus, awkward, empty):
+    short = [(1000 + i, f"Short one. {prose(4000 + i, 30)}\nThe end here.") for i in range(5)]
+    rows = [(r.doc_id, r.text) for r in corpus.collect()] + short
+    corpus = corpus.select("doc_id", "text").union(spark.createDataFrame(short, "doc_id bigint, text string"))
+    for run_words in (1, 15):
+        found = line_dedup.removals(corpus, run_words=run_words).collect()
+        made = {(r.doc_id, r.start, r.end, r.words, r.first_id, r.first_start) for r in found}
+        assert made == plain_removals(rows, run_words) and any(r.words < 15 and r.doc_id > 1000 for r in found) == (run_words == 1)
     kept = {r.doc_id: r for r in line_dedup.deduplicated(corpus).collect()}
     for d, t in rows:
         for s in reversed(kept[d].removed):
@@ -267,6 +272,45 @@ def test_rates_meet_the_targets(spark):
     assert sorted(r.doc_id for r in out.collect()) == [i for i in range(300) if i % 6]
 
 
+def test_logistic_regression():
+    """At the fit the gradient is zero, so mean posteriors are label shares, and no other weights do better."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 6)) < 0.3).astype(np.int8)
+    domain = np.where(x[:, 0] & (rng.random(400) < 0.8), 1, np.where(x[:, 1] == 1, 2, 0))
+    w = mixing.logistic(x, domain, 3)
+    one = np.column_stack((x, np.ones(400)))
+    p = np.exp(one @ w)
+    p /= p.sum(axis=1, keepdims=True)
+    assert p.mean(axis=0) == pytest.approx(np.bincount(domain) / 400, abs=1e-4)
+    off = one.T @ (p - np.eye(3)[domain])
+    off[:-1] += mixing.RIDGE * w[:-1]
+    assert np.abs(off).max() < 1e-2
+
+
+def test_posteriors_are_calibrated_and_targets_met_by_true_label(spark):
+    """On sf0.1, learnt from half of the labels: means over the other half are its label shares, and tokens by true label meet the targets."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), mixing.labelled_domains(spark.read.parquet(f"{sf}/labels.parquet")).cache()
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    model = mixing.learn(docs, labels.filter(half == 0), "text", "doc_id", "doc_id", "domain")
+    rows = mixing.memberships(docs, model, "text", "doc_id").join(labels.filter(half == 1), F.col("id") == F.col("doc_id")).collect()
+    for k, name in enumerate(model.domains):
+        assert np.mean([r.p[k] for r in rows]) == pytest.approx(np.mean([r.domain == name for r in rows]), rel=0.1)
+    # The classifier once more, by hand.
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows[:200]:
+        t = texts[r.id]
+        words = [w for w in re.split(r"[\x20\x09-\x0D.,;:!?()<>\"'#*$%&|]+", t.lower()) if w]
+        n, symbols = len(words), sum(c in "#*$%&|<>" for c in t)
+        marked = [symbols * 20 > n, symbols * 2 > n, sum("A" <= c <= "Z" for c in t) * 5 > len(t), n < 20, len(set(words)) * 10 < n * 3]
+        score = np.array(model.priors) + sum(np.array(model.weights.get(f, [0, 0, 0])) for f in set(words) | {m for m, is_so in zip(mixing.MARKS, marked) if is_so})
+        assert r.p == pytest.approx((np.exp(score - score.max()) / np.exp(score - score.max()).sum()).tolist(), abs=1e-9) and r.tokens == n
+    made = mixing.mixed(docs, labels, "domain", weights=TARGETS).withColumnRenamed("domain", "likely").join(labels, "doc_id")
+    tokens = {r.domain: r.n for r in made.groupBy("domain").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    for name, share in TARGETS.items():
+        assert tokens[name] / sum(tokens.values()) == pytest.approx(share, rel=0.2)
+
+
 def test_copies_meet_the_targets(spark):
     rows = spark.range(20_000).selectExpr("id", "id * 7 digest", "id % 90 + 10 tokens", "element_at(array(0.04D, 0.083D, 0.93D, 1.08D), cast(id % 4 + 1 as int)) rate")
     copies = mixing.copies_of(rows["rate"], rows["id"], rows["digest"], "seed")
@@ -340,6 +384,12 @@ def test_same_as_sql(spark, name):
     assert oracle.compare(spark, oracle.connect(SF), QUERIES[name], ORACLES[name], SF) is None
 
 
+def test_quality_rules_remove_lines_at_every_scale(spark):
+    sf = "/root/testdata/sf0.01"
+    assert oracle.compare(spark, oracle.connect(sf), QUERIES["op3_quality_rules"], ORACLES["op3_quality_rules"], sf) is None
+    assert QUERIES["op3_quality_rules"](spark, sf).filter("n_removed > 0").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
