@@ -27,7 +27,7 @@ CACHED_UNITS = 300_000
 CACHED_LENGTH = 64
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character by which a vocabulary file writes each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
@@ -42,7 +42,7 @@ class Merges:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.bytes = np.array([ids[s] for s in _byte_symbols()], np.int64)
+        self.bytes = np.array([ids[s] for s in byte_symbols()], np.int64)
         keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs], np.int64)
         made = np.array([ids[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
