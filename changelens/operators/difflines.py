@@ -12,7 +12,6 @@ from changelens.functions.spans import change_ranges, effective_changes, is_part
 from changelens.functions.text import context_old_line, text_lines
 from changelens.operators.barrier import bind, prefix_max, prefix_sum
 from changelens.operators.entries import category, with_entry_array
-from changelens.operators.scan import BLOCK_ROWS, neighbours
 
 _CHANGES = f"array<{schemas.CHANGE}>"
 
@@ -173,6 +172,14 @@ def row_table(df: DataFrame, keep: Callable[[Column, Column], Column] | None = N
     if keep is not None:
         placed = F.filter(placed, lambda x: keep(x["row"], x["ord"].cast("int")))
     rows = df.select("path", "listed", F.explode(placed).alias("x")).select("path", "listed", "x.ord", "x.row.*")
+    return _with_spans(rows).select(
+        "path", "ord", "line_type", "old_line", "new_line", "content", "old_content", "changes", "old_changes",
+        "category", "is_partial_change", "selectable",
+    )
+
+
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """Exploded rows with their category and the spans that are shown."""
     changed, pair = F.col("line_type") != "context", F.col("line_type") == "modification"
     # The category follows the recorded spans. Where a pair has none, the computed difference is shown.
     old_recorded = F.when(pair, F.col("old_changes")).when(F.col("line_type") == "deletion", F.col("changes"))
@@ -193,10 +200,7 @@ def row_table(df: DataFrame, keep: Callable[[Column, Column], Column] | None = N
         ),
     )
     partial = is_partial_change("old_content", "old_changes") | is_partial_change("content", "changes")
-    return rows.select(
-        "path", "ord", "line_type", "old_line", "new_line", "content", "old_content", "changes", "old_changes",
-        "category", (pair & partial).alias("is_partial_change"), "selectable",
-    )
+    return rows.withColumn("is_partial_change", pair & partial).drop("_r")
 
 
 _CELL = f"struct<line:bigint,content:string,changes:{_CHANGES},line_type:string,category:string>"
@@ -212,21 +216,32 @@ def _cell(line: Column, content: Column, changes: Column, line_type: Column, cat
     ).cast(_CELL)
 
 
-def split_rows(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Side-by-side rows from unified rows.
+def split_places(df: DataFrame) -> DataFrame:
+    """Replace ``rows`` of ``file_rows`` by ``split``: (ord, row, next, right) of each side-by-side row, in the file's row.
 
-    A deletion directly followed by an addition shares its row. Context stands on both sides
-    where its number is above zero, and a row with neither side is a separator. ``ord`` is the
-    unified position of the row's first line: increasing, with a gap where a pair was joined.
+    A deletion directly followed by an addition takes it as ``next``, and the addition has no row
+    of its own. ``right`` is the place of the row whose new line stands on the right.
     """
-    this = F.struct("line_type", "new_line", "content", "changes", "category")
-    # Files listed as a whole were added or removed line by line: nothing to pair there.
-    rows = neighbours(
-        lines.withColumn("_this", this), ["path"], "ord", {"_prev": "line_type"}, {"_next": "_this"}, block_rows
-    )
-    kind = F.col("line_type")
-    rows = rows.filter(~((kind == "addition") & F.coalesce(F.col("_prev") == "deletion", F.lit(False))))
-    paired = (kind == "deletion") & F.coalesce(F.col("_next.line_type") == "addition", F.lit(False))
+
+    def joined(x: Column, i: Column) -> Column:
+        after = F.get("rows", i + 1)
+        pair = (x["line_type"] == "deletion") & F.coalesce(after["line_type"] == "addition", F.lit(False))
+        taken = (x["line_type"] == "addition") & F.coalesce(F.get("rows", i - 1)["line_type"] == "deletion", F.lit(False))
+        return F.struct(
+            i.cast("bigint").alias("ord"), x.alias("row"), F.when(pair, after).alias("next"),
+            F.when(pair, i + 1).otherwise(i).alias("right"), taken.alias("taken"),
+        )
+
+    return bind(df, split=F.filter(F.transform("rows", joined), lambda x: ~x["taken"]))
+
+
+def split_table(df: DataFrame) -> DataFrame:
+    """The side-by-side rows of ``split_places`` one by one, with the columns of ``split_rows``."""
+    rows = df.select("path", "listed", F.explode("split").alias("x"))
+    rows = _with_spans(rows.select("path", "listed", "x.ord", "x.next", "x.row.*"))
+    kind, after = F.col("line_type"), F.col("next")
+    added = category(F.array().cast(_CHANGES), after["changes"])
+    after_category = F.when(F.col("listed"), "semantic").otherwise(added)
 
     left = F.when(
         kind == "context",
@@ -250,11 +265,8 @@ def split_rows(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         kind.isin("modification", "addition"),
         _cell(F.col("new_line"), F.col("content"), F.col("changes"), F.lit("addition"), F.col("category")),
     ).when(
-        paired,
-        _cell(
-            F.col("_next.new_line"), F.col("_next.content"), F.col("_next.changes"),
-            F.lit("addition"), F.col("_next.category"),
-        ),
+        after.isNotNull(),
+        _cell(after["new_line"], after["content"], after["changes"], F.lit("addition"), after_category),
     )
     return rows.select(
         "path",
@@ -266,6 +278,17 @@ def split_rows(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
+def split_rows(files: DataFrame) -> DataFrame:
+    """Side-by-side rows of every file.
+
+    A deletion directly followed by an addition shares its row. Context stands on both sides
+    where its number is above zero, and a row with neither side is a separator. ``ord`` is the
+    unified position of the row's first line: increasing, with a gap where a pair was joined.
+    Rows are paired in the file's row: one scan, no shuffle.
+    """
+    return split_table(split_places(file_rows(files)))
+
+
 def line_offsets(files: DataFrame, side: str = "new") -> DataFrame:
     """Every line with its number and the byte offset at which it starts."""
     lined = bind(files.select("path", f"{side}_content"), lines=text_lines(f"{side}_content"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.operators.barrier import bind, prefix_max
 from changelens.operators.joins import PART_BYTES, ordered_concat
-from changelens.operators.regions import with_hidden
+from changelens.operators.regions import split_with_hidden, with_hidden
 from changelens.operators.scan import BLOCK_ROWS, Fold, running
 
 PAGE_ROWS = 20
@@ -24,6 +24,16 @@ def flag_rows(df: DataFrame) -> DataFrame:
     return with_hidden(df).select("path", F.inline(flags))
 
 
+def split_flag_rows(df: DataFrame) -> DataFrame:
+    """(path, ord, visible, navigable) of the side-by-side rows of ``file_rows`` with its ``regions``."""
+
+    def flags(x: Column, i: Column) -> Column:
+        shown = ~F.get("hidden", i)
+        return F.struct(x["ord"].alias("ord"), shown.alias("visible"), (x["row"]["selectable"] & shown).alias("navigable"))
+
+    return split_with_hidden(df).select("path", F.inline(F.transform("split", flags)))
+
+
 def viewport(rows: DataFrame, path: str, scroll: int, height: int) -> DataFrame:
     """The ``height`` rows of one file that follow the first ``scroll``."""
     return rows.filter(F.col("path") == path).orderBy("ord").offset(scroll).limit(height)

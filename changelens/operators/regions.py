@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.text import column
 from changelens.operators import bitmaps as B
 from changelens.operators.barrier import bind, prefix_sum
-from changelens.operators.difflines import row_table
+from changelens.operators.difflines import row_table, split_places, split_table
 from changelens.operators.entries import is_cosmetic
 from changelens.operators.joins import salted_lookup
 
@@ -67,25 +67,10 @@ def uncollapse_changed(regions: DataFrame, entries: DataFrame) -> DataFrame:
     return seen.withColumn("collapsed", F.col("collapsed") & ~F.col("_hit")).select(*regions.columns)
 
 
-def hidden_lines(regions: DataFrame, side: str) -> DataFrame:
-    """Bitmap of the lines of one side that lie in a collapsed body."""
-    folded = regions.filter(F.col("collapsed") & (F.col("side") == side))
-    return B.range_bitmap(folded, ["path"], F.col("header_end_line") + 1, F.col("end_line"), "hidden")
+def side_flags(df: DataFrame) -> DataFrame:
+    """Add ``in_old`` and ``in_new``: for each of a file's ``rows``, whether its line of that side lies in a collapsed body.
 
-
-def _flagged(rows: DataFrame, regions: DataFrame, old: str, new: str) -> DataFrame:
-    for side, line in (("old", old), ("new", new)):
-        bitmap = hidden_lines(regions, side).withColumnRenamed("hidden", f"hidden_{side}")
-        rows = B.flag_lines(rows, bitmap, ["path"], line, f"hidden_{side}")
-    return rows
-
-
-def with_hidden(df: DataFrame) -> DataFrame:
-    """Add ``hidden``, one flag for each of a file's ``rows``, from its ``regions`` (both arrays).
-
-    A row is hidden whose new line lies in a collapsed body of the new version, or a deletion
-    whose old line lies in one of the old version. The ends of the bodies and the rows, sorted by
-    line, carry how many bodies are open.
+    The ends of the bodies of ``regions`` and the rows, sorted by line, carry how many bodies are open.
     """
     for side in ("old", "new"):
         folded = F.filter("regions", lambda r: r["collapsed"] & (r["side"] == side) & (r["end_line"] > r["header_end_line"]))
@@ -102,12 +87,26 @@ def with_hidden(df: DataFrame) -> DataFrame:
         df = bind(df, _open=F.transform("_events", lambda e: e["n"]))
         df = bind(df, _open=prefix_sum("_open"))
         inside = F.transform("_events", lambda e, k: F.struct(e["i"].alias("i"), (F.get("_open", k) > 0).alias("inside")))
-        df = bind(df, **{f"_{side}": F.array_sort(F.filter(inside, lambda x: x["i"] >= 0))}).drop("_events", "_open")
-    hidden = F.transform(
-        "rows",
-        lambda x, i: F.get("_new", i)["inside"] | (F.get("_old", i)["inside"] & (x["line_type"] == "deletion")),
-    )
-    return bind(df, hidden=hidden).drop("_old", "_new")
+        df = bind(df, _inside=F.array_sort(F.filter(inside, lambda x: x["i"] >= 0))).drop("_events", "_open")
+        df = bind(df, **{f"in_{side}": F.transform("_inside", lambda x: x["inside"])}).drop("_inside")
+    return df
+
+
+def with_hidden(df: DataFrame) -> DataFrame:
+    """Add ``hidden``, one flag for each of a file's ``rows``, from its ``regions`` (both arrays).
+
+    A row is hidden whose new line lies in a collapsed body of the new version, or a deletion
+    whose old line lies in one of the old version.
+    """
+    hidden = F.transform("rows", lambda x, i: F.get("in_new", i) | (F.get("in_old", i) & (x["line_type"] == "deletion")))
+    return bind(side_flags(df), hidden=hidden).drop("in_old", "in_new")
+
+
+def split_with_hidden(df: DataFrame) -> DataFrame:
+    """``split_places`` of a file's ``rows`` with ``hidden`` for each: the line of either side lies in a collapsed body."""
+    df = split_places(side_flags(df))
+    either = F.transform("split", lambda x: F.get("in_old", x["ord"].cast("int")) | F.get("in_new", x["right"]))
+    return bind(df, hidden=either).drop("in_old", "in_new")
 
 
 def visible_lines(df: DataFrame, folded: bool = True, drop_cosmetic: bool = False) -> DataFrame:
@@ -122,14 +121,12 @@ def visible_lines(df: DataFrame, folded: bool = True, drop_cosmetic: bool = Fals
     return rows
 
 
-def visible_split_rows(
-    rows: DataFrame, regions: DataFrame, folded: bool = True, drop_cosmetic: bool = False
-) -> DataFrame:
-    """Side-by-side rows that stay on screen: hidden when either side is, cosmetic when both sides are."""
-    columns = rows.columns
+def visible_split_rows(df: DataFrame, folded: bool = True, drop_cosmetic: bool = False) -> DataFrame:
+    """Side-by-side rows of ``file_rows`` that stay on screen: hidden when either side is, cosmetic when both sides are."""
+    df = split_with_hidden(df) if folded else split_places(df)
     if folded:
-        numbered = rows.withColumn("_l", F.col("left.line")).withColumn("_r", F.col("right.line"))
-        rows = _flagged(numbered, regions, "_l", "_r").filter(~(F.col("hidden_old") | F.col("hidden_new")))
+        df = bind(df, split=F.filter("split", lambda x, i: ~F.get("hidden", i)))
+    rows = split_table(df)
     if drop_cosmetic:
 
         def quiet(side: str) -> Column:
@@ -141,7 +138,7 @@ def visible_split_rows(
 
         change = (F.col("left").isNotNull() | F.col("right").isNotNull()) & ~(unchanged("left") & unchanged("right"))
         rows = rows.filter(~(change & quiet("left") & quiet("right")))
-    return rows.select(*columns)
+    return rows
 
 
 # --- lookups -------------------------------------------------------------------------------------------

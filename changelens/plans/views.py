@@ -12,7 +12,7 @@ from changelens.operators import difflines as D
 from changelens.operators import navigation as N
 from changelens.operators import regions as R
 from changelens.plans.registry import cte, query
-from changelens.plans.revisions import files, line_regions, with_line_regions
+from changelens.plans.revisions import files, with_line_regions
 from changelens.plans.session import numbered_lines
 
 
@@ -81,7 +81,7 @@ from d_split
 
 @query("split_rows", "select * from d_split_rows")
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.split_rows(D.diff_lines(files(spark, sf_dir)))
+    rows = D.split_rows(files(spark, sf_dir))
     return rows.select(
         "path", "ord",
         F.col("left.line").alias("left_line"), F.col("left.content").alias("left_content"),
@@ -159,8 +159,23 @@ where not exists (select 1 from d_regions r where r.path = s.path and r.collapse
 """,
 )
 def visible_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = files(spark, sf_dir)
-    return R.visible_split_rows(D.split_rows(D.diff_lines(pairs)), line_regions(pairs), folded=True, drop_cosmetic=True).select("path", "ord")
+    return R.visible_split_rows(viewed(spark, sf_dir), folded=True, drop_cosmetic=True).select("path", "ord")
+
+
+@query(
+    "split_row_flags",
+    """
+select path, ord, visible, visible and selectable navigable from (
+  select s.*, not exists (select 1 from d_regions r where r.path = s.path and r.collapsed and (
+    (r.side = 'old' and s.left_line > r.header_end_line and s.left_line <= r.end_line)
+    or (r.side = 'new' and s.right_line > r.header_end_line and s.right_line <= r.end_line))) visible
+  from d_split_rows s
+)
+""",
+)
+def split_row_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible and navigable side-by-side rows."""
+    return N.split_flag_rows(viewed(spark, sf_dir))
 
 
 @query(

@@ -129,8 +129,7 @@ def test_split_rows_match_the_loop(spark):
     made = [random_file(rng, i) for i in range(150)]
     frame = spark.createDataFrame([m[0] for m in made], FILES)
     got = {}
-    # Blocks of three rows, so that pairs meet across a block border.
-    for r in D.split_rows(D.diff_lines(frame), block_rows=3).orderBy("path", "ord").collect():
+    for r in D.split_rows(frame).orderBy("path", "ord").collect():
         cells = tuple(None if c is None else (c.line, c.content, c.line_type) for c in (r.left, r.right))
         got.setdefault(r.path, []).append(cells)
     for (path, *_), old, new, chunks in made:
