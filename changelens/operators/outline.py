@@ -89,13 +89,12 @@ def _nesting(braces: Column) -> Column:
     return F.aggregate(F.split(braces, ""), start, step)
 
 
-def _with_code_lines(files: DataFrame, sides: Sequence[str], bodies: bool) -> DataFrame:
-    """(path, side, language, code, and the text's lines with ``bodies``): lines without comments and the inside of strings, with the levels they open and close.
+def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
+    """Replace ``content`` by ``code`` (and the text's ``lines`` with ``bodies``): lines without comments and the inside of strings, with the levels they open and close.
 
     ``closes``/``opens`` are [from, to) level ranges and ``close_end`` is the line on which a
     region closed here ends. Blank lines are left out.
     """
-    df = by_side(files.filter(F.col("language").isin(*FAMILIES)), sides)
     whole_lines = {"lines": text_lines("content")} if bodies else {}
     df = bind(df, tok=tokens("content", "language"), **whole_lines)
 
@@ -164,7 +163,7 @@ def _with_code_lines(files: DataFrame, sides: Sequence[str], bodies: bool) -> Da
     by_indent = F.transform("filled", indent_line)
     by_brace = F.filter(F.transform("text", brace_line), lambda x: x["text"] != "")
     code = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
-    return bind(df, code=code).select("path", "side", "language", "code", *whole_lines)
+    return bind(df, code=code).drop("text", "header", "nest", "depth", "filled")
 
 
 _MARK = (
@@ -196,13 +195,8 @@ def body_of(lines: Column | str, header_end: Column, end: Column) -> Column:
     return F.when(end > header_end, F.concat(piece, F.when(end < F.size(lines), "\n").otherwise(""))).otherwise("")
 
 
-def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new"), bodies: bool = False) -> DataFrame:
-    """Regions of the versions of each file (see schemas.REGIONS), all collapsed.
-
-    Only constructs directly inside other constructs nest, down to three levels, and those on a
-    single line are left out. A file is worked on in its row, so this needs no shuffle. With
-    ``bodies`` there is a column ``body``, the text after the header, cut from the row as well.
-    """
+def _nested(df: DataFrame, bodies: bool = False) -> DataFrame:
+    """Replace ``content`` by ``direct``: the spans of constructs directly inside other constructs (and ``lines`` with ``bodies``)."""
     python = F.col("language") == "python"
 
     def marks_of(x: Column) -> Column:
@@ -225,7 +219,7 @@ def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new"), bodies
             F.transform(_levels(x["close_from"], x["close_to"]), lambda v: _mark(x, v, 2, closes=x["close_end"])),
         )
 
-    df = _with_code_lines(files, sides, bodies)
+    df = _with_code_lines(df, bodies)
     # Sorted by level and then from the last line up, the nearest opening and closing at or below
     # a header are the latest ones before it in the array.
     df = bind(df, marks=F.array_sort(F.flatten(F.transform("code", marks_of)))).drop("code")
@@ -269,6 +263,37 @@ def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new"), bodies
         ),
         lambda v: (v["tie"] == 0) & (v["inside"] == v["span"]["depth"]) & (v["inside"] < MAX_LEVEL),
     )
+    return bind(df, direct=direct).drop("visits", "inside", "spans")
+
+
+def with_regions(files: DataFrame) -> DataFrame:
+    """Add ``regions``, those of both versions as one array, to each file: no version is a row of its own, so nothing meets again."""
+    df = files
+    for side in ("old", "new"):
+        df = _nested(df.withColumn("content", F.coalesce(F.col(f"{side}_content"), F.lit(""))))
+
+        def region(v: Column) -> Column:
+            span = v["span"]
+            return F.struct(
+                F.lit(side).alias("side"),  # noqa: B023
+                *[span[c].alias(c) for c in ("start_line", "end_line", "header_end_line", "node_type", "name")],
+                F.lit(True).alias("collapsed"),
+                (span["depth"] + 1).alias("level"),
+            )
+
+        df = bind(df, **{f"_{side}_regions": F.transform("direct", region)}).drop("direct")
+    return bind(df, regions=F.concat("_old_regions", "_new_regions")).drop("_old_regions", "_new_regions")
+
+
+def find_regions(files: DataFrame, sides: Sequence[str] = ("old", "new"), bodies: bool = False) -> DataFrame:
+    """Regions of the versions of each file (see schemas.REGIONS), all collapsed.
+
+    Only constructs directly inside other constructs nest, down to three levels, and those on a
+    single line are left out. A file is worked on in its row, so this needs no shuffle. With
+    ``bodies`` there is a column ``body``, the text after the header, cut from the row as well.
+    """
+    df = _nested(by_side(files.filter(F.col("language").isin(*FAMILIES)), sides), bodies)
+    direct = F.col("direct")
     if bodies:
 
         def with_body(v: Column) -> Column:

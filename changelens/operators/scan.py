@@ -174,15 +174,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add the place from 1 of every row in the order of all rows.
+def numbered(df: DataFrame, order: Sequence[str], name: str, weight: str | None = None) -> DataFrame:
+    """Add the place from 1 of every row in the order of all rows, or the sum of ``weight`` up to it.
 
     The rows are dealt into ranges and stored, so that the ranges hold still; each is numbered by
     itself, and the sizes of the ranges before it, one row each, are added.
     """
     ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    one = F.col(weight) if weight else F.lit(1)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    sizes = ranged.groupBy("_range").agg(F.sum(one).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(*upto)) - F.col("_n")
+    inside = F.sum(one).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(*upto))
     placed = ranged.withColumn("_in", inside).join(sizes.withColumn("_before", before), "_range")
     return placed.withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_range", "_in", "_n", "_before")

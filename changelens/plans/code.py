@@ -7,9 +7,12 @@ edits others, drops some constructs and moves the odd ones to the front.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from changelens import schemas
 from changelens.functions import similarity
 from changelens.functions.text import text_lines
 from changelens.operators import bitmaps as B
@@ -18,9 +21,11 @@ from changelens.operators import entries as E
 from changelens.operators import moves as M
 from changelens.operators import outline as O
 from changelens.operators import source_code as K
-from changelens.operators.barrier import bind
+from changelens.operators import summary as S
+from changelens.operators.barrier import bind, prefix_sum
 from changelens.operators.scan import whole
-from changelens.plans.registry import cte, query
+from changelens.plans.registry import CTES, cte, query
+from changelens.plans.relations_sql import ALL_COUNTERS
 from changelens.plans.revisions import files, spread_table
 
 LANGUAGES = ("rust", "python", "javascript", "zig")
@@ -53,15 +58,19 @@ def _by_shape(table: dict, language: Column, shape: Column, number: Column) -> C
     return F.transform(value, lambda x: F.replace(x, F.lit("@"), number.cast("string")))
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, language, status, is_binary, old_content, new_content) of the dressed-up documents."""
+def code_files(spark: SparkSession, sf_dir: str, chunks: bool = False) -> DataFrame:
+    """(path, language, status, is_binary, old_content, new_content[, chunks]) of the dressed-up documents.
+
+    The chunks record each line that differs from its counterpart in the moved construct, and each
+    line of a dropped construct; where only a mark was added they call it a comment.
+    """
     docs = spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     k = F.pmod("doc_id", F.lit(len(LANGUAGES))).cast("int")
     docs = docs.withColumn("language", F.get(F.array(*[F.lit(x) for x in LANGUAGES]), k)).withColumn(
         "path",
         F.concat(F.lit("code/"), F.col("doc_id").cast("string"), F.lit("."), F.get(F.array(*[F.lit(x) for x in SUFFIXES]), k)),
     )
-    docs = bind(docs, lines=F.transform(text_lines("text"), lambda c: F.translate(c, '"\\', "")))
+    docs = bind(docs, lines=F.transform(text_lines("text"), lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))))
     count = whole(F.size("lines") - 1, BODY) + 1
     docs = bind(docs, groups=F.sequence(F.lit(0).cast("bigint"), count - 1))
     mark = F.when(F.col("language") == "python", "#").otherwise("//")
@@ -85,16 +94,58 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     odd = F.filter("groups", lambda g: g % 2 == 1)
     even = F.filter("groups", lambda g: (g % 2 == 0) & (g % 5 != 4))
+    docs = bind(
+        docs,
+        old_parts=F.transform("groups", lambda g: construct(g, False)),
+        new_parts=F.transform("groups", lambda g: construct(g, True)),
+        order=F.concat(odd, even),
+    )
+    recorded = []
+    if chunks:
+        docs = bind(
+            docs,
+            old_end=F.transform("old_parts", lambda x: F.size(x).cast("bigint")),
+            new_end=F.transform("order", lambda g: F.size(F.get("new_parts", g.cast("int"))).cast("bigint")),
+        )
+        docs = bind(docs, old_end=prefix_sum("old_end"), new_end=prefix_sum("new_end"))
+        recorded = [F.filter(F.transform("groups", _entries), lambda c: F.size(c) > 0).cast(schemas.CHUNKS).alias("chunks")]
     return docs.select(
         "path",
         "language",
         F.lit("changed").alias("status"),
         F.lit(False).alias("is_binary"),
-        F.array_join(F.flatten(F.transform("groups", lambda g: construct(g, False))), "\n").alias("old_content"),
-        F.array_join(F.flatten(F.transform(F.concat(odd, even), lambda g: construct(g, True))), "\n").alias("new_content"),
+        F.array_join(F.flatten("old_parts"), "\n").alias("old_content"),
+        F.array_join(F.flatten(F.transform("order", lambda g: F.get("new_parts", g.cast("int")))), "\n").alias("new_content"),
+        *recorded,
     )
 
 
+def _entries(g: Column) -> Column:
+    """The entries of construct ``g``: its lines that are gone, or that differ."""
+    old, new = F.get("old_parts", g.cast("int")), F.get("new_parts", g.cast("int"))
+    dropped = (g % 2 == 0) & (g % 5 == 4)
+    # The odd constructs come first; of the even ones before this, each tenth from the fourth on is dropped.
+    place = F.when(g % 2 == 1, whole(g - 1, 2)).otherwise(whole(F.size("groups").cast("bigint"), 2) + whole(g, 2) - whole(g + 5, 10))
+    old_first = F.get("old_end", g.cast("int")) - F.size(old)
+    new_first = F.get("new_end", place.cast("int")) - F.size(new)
+
+    def side(number: Column, text: Column) -> Column:
+        token = F.struct(
+            F.lit(0).alias("start"), F.octet_length(text).cast("int").alias("end"), text.alias("content"),
+            F.when(g % 4 == 3, "comment").otherwise("novel").alias("highlight"),
+        )
+        return F.struct(number.cast("int").alias("line_number"), F.array(token).alias("changes"))
+
+    def entry(c: Column, j: Column) -> Column:
+        other = F.get(new, j)
+        return F.when(
+            dropped | (c != other),
+            F.struct(side(old_first + j, c).alias("lhs"), F.when(~dropped, side(new_first + j, other)).alias("rhs")),
+        )
+
+    return F.array_compact(F.transform(old, entry))
+
+
 def _case(table: dict, part: int) -> str:
     """The n-th fixed line of each shape as a SQL CASE over (language, shape)."""
     rows = []
@@ -130,7 +181,7 @@ union all select side, path, language, g, place, 1, {_case(_OPEN, 1)}, 'open2' f
 union all
 select side, path, language, g, place, 10 + i,
   concat(case when g % 3 = 1 then '        ' else '    ' end, case when side = 'new' and g % 4 = 1 then 'node' else 'item' end, ' = "',
-    translate(l[g * 5 + i], '"\\', ''), case when side = 'new' and g % 4 = 3 and i = 1 then '?' else '' end, '" ',
+    replace(replace(l[g * 5 + i], '\\', '\\\\'), '"', '\\"'), case when side = 'new' and g % 4 = 3 and i = 1 then '?' else '' end, '" ',
     case language when 'python' then '#' else '//' end, ' ', g), 'body'
 from (select *, unnest(generate_series(1, least(5, len(l) - g * 5))) i from k_groups)
 union all select side, path, language, g, place, 20, {_case(_CLOSE, 0)}, 'close' from k_groups
@@ -541,3 +592,32 @@ def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("body"))).alias(f"{side}_body")
     both = bodies.groupBy(*keys, "nth").agg(of("old"), of("new")).filter("old_body is not null and new_body is not null")
     return both.select(*keys, "nth", F.round(similarity.body_similarity("old_body", "new_body"), 6).alias("similarity"))
+
+
+# --- summaries of the code's own constructs ------------------------------------------------------------------
+
+cte(
+    "k_entries",
+    """
+select path, o.line old_line, n.line new_line, case when g % 4 = 3 then 'comment' else 'semantic' end category
+from (select * from k_lines where side = 'old') o left join (select * from k_lines where side = 'new') n using (path, g, seq)
+where n.text is null or o.text <> n.text
+""",
+)
+cte("k_old_top", "select * from k_regions where side = 'old' and level = 1 and name <> ''")
+cte("k_new_top", "select * from k_regions where side = 'new' and level = 1 and name <> ''")
+# The same rules as for the line blocks of the other files, over these regions and entries.
+for _name in ("matched", "changed_lines", "construct_lines", "constructs", "construct_counts", "stats"):
+    cte(f"k_{_name}", re.sub(r"\bd_", "k_", CTES[f"d_{_name}"]))
+
+
+@query("code_summary", "select path, " + ", ".join(ALL_COUNTERS) + " from k_stats")
+def code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of each file of the code, over its own constructs."""
+    return S.file_summary(O.with_regions(code_files(spark, sf_dir, chunks=True)))
+
+
+@query("code_changes", "select * from k_constructs")
+def code_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed constructs of the code with their changed lines and category."""
+    return S.changed_constructs(O.with_regions(code_files(spark, sf_dir, chunks=True)))

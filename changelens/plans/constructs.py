@@ -9,9 +9,10 @@ from changelens.functions import text as X
 from changelens.operators import constructs as C
 from changelens.operators import entries as E
 from changelens.operators import regions as R
+from changelens.operators import summary as S
 from changelens.plans.registry import query
 from changelens.plans.relations_sql import ALL_COUNTERS
-from changelens.plans.revisions import files, line_regions
+from changelens.plans.revisions import files, line_regions, with_line_regions
 
 
 def regions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +20,11 @@ def regions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constructs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = files(spark, sf_dir)
-    lines = E.changed_lines(E.plain_entries(pairs))
-    return C.changed_constructs(line_regions(pairs), lines)
+    return S.changed_constructs(with_line_regions(files(spark, sf_dir)))
 
 
 def stats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = files(spark, sf_dir)
-    return C.file_summary(pairs, line_regions(pairs))[1]
+    return S.file_summary(with_line_regions(files(spark, sf_dir)))
 
 
 _REGION = (
@@ -206,14 +204,49 @@ def summary_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ITEMS = """
+select *, row_number() over (order by path, line_start, change_type, name) - 1 place, row_number() over (partition by path order by line_start, change_type, name) - 1 nth
+from d_constructs where category = 'semantic'
+"""
+
+
+@query("item_count", f"select cast(count(*) as bigint) items, cast(count(distinct path) as bigint) files from ({_ITEMS})")
+def item_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many constructs the overview lists, and in how many files."""
+    rows = S.with_items(with_line_regions(files(spark, sf_dir)))
+    return rows.agg(F.sum(F.size("items")).alias("items"), F.count_if(F.size("items") > 0).alias("files"))
+
+
+@query(
+    "kth_items",
+    f"select cast(place as bigint) place, path, cast(nth as bigint) nth, name, change_type, cast(line_start as bigint) line_start from ({_ITEMS}) where place % 3 = 0",
+)
+def kth_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third item of the overview, found by its place."""
+    rows = S.with_items(with_line_regions(files(spark, sf_dir)))
+    total = rows.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n"))
+    asked = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(3).cast("bigint"))).alias("place"))
+    found = S.items_at(rows, asked)
+    return found.select("place", "path", "nth", "construct.name", "construct.change_type", "construct.line_start")
+
+
+@query(
+    "item_order",
+    f"select path, cast(nth as bigint) nth, name, change_type, cast(line_start as bigint) line_start from ({_ITEMS})",
+)
+def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each listed construct in its file."""
+    rows = S.with_items(with_line_regions(files(spark, sf_dir))).select("path", F.posexplode("items").alias("nth", "c"))
+    return rows.select("path", F.col("nth").cast("bigint").alias("nth"), "c.name", "c.change_type", "c.line_start")
+
+
 @query(
     "files_with_items",
     "select path from d_docs d where exists (select 1 from d_constructs c where c.path = d.path and c.category = 'semantic')",
 )
 def files_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = files(spark, sf_dir)
-    lines = E.changed_lines(E.plain_entries(pairs))
-    return C.files_with_items(pairs.select("path"), C.changed_constructs(line_regions(pairs), lines))
+    items = S.with_items(with_line_regions(files(spark, sf_dir)))
+    return items.filter(F.size("items") > 0).select("path")
 
 
 @query(
