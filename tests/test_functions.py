@@ -140,6 +140,19 @@ def test_subsequence_length_against_table():
         assert Y.subsequence_length(a, b) == lcs(a, b)
 
 
+def test_subsequence_lengths_of_a_batch():
+    """Sizes around the word border, several words with carries, empty and very long texts, all in one batch."""
+    import random
+
+    rnd = random.Random(5)
+    sizes = [0, 1, 5, 63, 64, 65, 127, 128, 129, 200, 400]
+    left = [bytes(rnd.choices(b"abc", k=rnd.choice(sizes))) for _ in range(250)] + [b"a" * 64, b"a" * 130, b"ab" * 900, b""]
+    right = [bytes(rnd.choices(b"abcd", k=rnd.choice(sizes))) for _ in range(250)] + [b"a" * 64, b"a" * 129, b"ba" * 700, b"x"]
+    assert Y.subsequence_lengths(left, right).tolist() == [Y.subsequence_length(a, b) for a, b in zip(left, right)]
+    assert Y.subsequence_lengths(left[:60], right[:60]).tolist() == [lcs(a, b) for a, b in zip(left[:60], right[:60])]
+    assert Y.subsequence_lengths([], []).tolist() == []
+
+
 @pytest.mark.parametrize(
     "a, b, low, high",
     [
