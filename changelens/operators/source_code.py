@@ -17,7 +17,7 @@ from changelens.functions.text import column, equal_ignoring_whitespace, infer_h
 from changelens.operators.barrier import bind, prefix_max, prefix_sum
 from changelens.operators.scan import Fold, running
 
-# Families with their own comment and string syntax. Possessive repeats keep long literals off the stack.
+# Families with their own comment and string syntax. Possessive repeats are loops, so long literals stay off the stack.
 _STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
 _REST = (
     r"[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?"
@@ -26,24 +26,43 @@ _REST = (
     r"|::|[-+*/%=!<>&|^~?.]{1,3}"
     r"|[\s\S]"
 )
-_SLASH = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
+_LINE = r"//[^\n]*+"
+_SLASH = rf"{_LINE}|/\*[\s\S]*?(?:\*/|\z)"
+# Levels to which comments nest in languages where they do; deeper ones are text of the innermost.
+NESTED_COMMENTS = 6
+
+
+def _nested_comment(levels: int) -> str:
+    inner = r"(?:[^*/]++|\*(?!/)|/)*+"
+    for _ in range(levels - 1):
+        inner = rf"(?:[^*/]++|\*(?!/)|/\*{inner}(?:\*/|\z)|/)*+"
+    return rf"/\*{inner}(?:\*/|\z)"
+
+
+_CHARACTER = r"'(?:[^'\\\n]|\\[^'\n]{1,10}|\\')'"
 PATTERNS = {
     "python": rf'#[^\n]*+|"""[\s\S]*?(?:"""|\z)|\'\'\'[\s\S]*?(?:\'\'\'|\z)|{_STRING}'
     rf"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?|{_REST}",
     "script": rf"{_SLASH}|{_STRING}|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?|{_REST}",
-    "brace": rf"{_SLASH}|{_STRING}|`[^`]*+`?|'(?:[^'\\\n]|\\[^'\n]{{1,10}}|\\')'|{_REST}",
+    "brace": rf"{_SLASH}|{_STRING}|`[^`]*+`?|{_CHARACTER}|{_REST}",
+    # A raw string ends at a quote with as many marks as it began with.
+    "rust": rf"{_LINE}|{_nested_comment(NESTED_COMMENTS)}|b?r(#*)\"[\s\S]*?(?:\"\1|\z)|{_STRING}|{_CHARACTER}|{_REST}",
+    "cpp": rf"{_SLASH}|(?:u8|[uUL])?R\"([^()\\\s]{{0,16}})\([\s\S]*?(?:\)\1\"|\z)|{_STRING}|{_CHARACTER}|{_REST}",
+    "java": rf"{_SLASH}|\"\"\"(?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+(?:\"\"\"|\z)|{_STRING}|{_CHARACTER}|{_REST}",
+    # Lines of a string over several lines begin with two backslashes; comments have no end mark.
+    "zig": rf"{_LINE}|\\\\[^\n]*+|{_STRING}|{_CHARACTER}|{_REST}",
 }
 # Family of each language that is read as source.
 FAMILIES = {
     "python": "python",
     "javascript": "script",
     "typescript": "script",
-    "zig": "brace",
-    "rust": "brace",
+    "zig": "zig",
+    "rust": "rust",
     "go": "brace",
     "c": "brace",
-    "cpp": "brace",
-    "java": "brace",
+    "cpp": "cpp",
+    "java": "java",
 }
 # Names of built-in types.
 PRIMITIVES = (
@@ -72,6 +91,10 @@ def tokens(content: Column | str, language: Column | str) -> Column:
         F.when(family("brace"), cut("brace"))
         .when(family("python"), cut("python"))
         .when(family("script"), cut("script"))
+        .when(family("rust"), cut("rust"))
+        .when(family("zig"), cut("zig"))
+        .when(family("cpp"), cut("cpp"))
+        .when(family("java"), cut("java"))
         .otherwise(F.array().cast("array<string>"))
     )
 
@@ -82,11 +105,12 @@ def is_comment(token: Column, language: Column) -> Column:
 
 
 def is_string(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin('"', "'", "`")
+    """A quoted token, a raw string with its prefix, or a line of a string over several lines."""
+    return F.substring(token, 1, 1).isin('"', "'", "`") | token.rlike(r'^(?:b?r#*"|(?:u8|[uUL])?R"|\\\\)')
 
 
 def is_word(token: Column) -> Column:
-    return token.rlike(r"^[\p{L}_]")
+    return token.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$")
 
 
 def is_identifier(token: Column) -> Column:
@@ -147,6 +171,42 @@ def highlight_spans(files: DataFrame, side: str = "new") -> DataFrame:
     return rows.filter("highlight <> 'none'").select("path", "side", "start_byte", "end_byte", "highlight")
 
 
+def with_spans(files: DataFrame, side: str = "new") -> DataFrame:
+    """(path, language, spans): (start_byte, end_byte, highlight) of every token of one version in order, in the file's row."""
+    df = bind(files.select("path", "language", F.col(f"{side}_content").alias("content")), tok=tokens("content", "language")).drop("content")
+    df = bind(df, ends=F.transform("tok", lambda t: F.octet_length(t).cast("bigint")))
+    df = bind(df, ends=prefix_sum("ends"))
+
+    def span(t: Column, i: Column) -> Column:
+        end = F.get("ends", i)
+        return F.struct((end - F.octet_length(t)).alias("start_byte"), end.alias("end_byte"), token_highlight(t, F.col("language")).alias("highlight"))
+
+    return bind(df, spans=F.transform("tok", span)).drop("tok", "ends")
+
+
+def highlights_at(df: DataFrame) -> DataFrame:
+    """(path, byte_at, highlight): the highlight that covers each of a file's ``points``, null where none does.
+
+    Points and starts of ``spans``, sorted together, carry the last span that has started. Spans do
+    not overlap, so it is the only one that can cover the point.
+    """
+
+    def event(at: Column, tie: int, i: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), F.lit(tie).alias("tie"), i.cast("int").alias("i"))
+
+    starts = F.transform("spans", lambda x, i: event(x["start_byte"], 0, i))
+    df = bind(df, _events=F.array_sort(F.concat(starts, F.transform("points", lambda p, i: event(p, 1, i)))))
+    df = bind(df, _last=F.transform("_events", lambda e: F.when(e["tie"] == 0, e["i"]).otherwise(-1)))
+    df = bind(df, _last=prefix_max("_last"))
+
+    def answer(e: Column, k: Column) -> Column:
+        span = F.get("spans", F.get("_last", k))
+        shown = (e["at"] < span["end_byte"]) & (span["highlight"] != "none")
+        return F.when(e["tie"] == 1, F.struct(e["at"].alias("byte_at"), F.when(shown, span["highlight"]).alias("highlight")))
+
+    return df.select("path", F.inline(F.array_compact(F.transform("_events", answer))))
+
+
 # --- identifiers of a short text, in its row ------------------------------------------------------------
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from changelens import schemas
 from changelens.functions import similarity
 from changelens.functions.text import text_lines
-from changelens.operators import bitmaps as B
 from changelens.operators import constructs as C
 from changelens.operators import entries as E
 from changelens.operators import moves as M
@@ -176,16 +175,17 @@ where side = 'old' or g % 2 = 1 or g % 5 <> 4
 cte(
     "k_parts",
     f"""
-select side, path, language, g, place, 0 seq, {_case(_OPEN, 0)} text, 'open' part from k_groups
-union all select side, path, language, g, place, 1, {_case(_OPEN, 1)}, 'open2' from k_groups
+select side, path, language, g, place, 0 seq, {_case(_OPEN, 0)} text, 'open' part, cast(null as varchar) quoted from k_groups
+union all select side, path, language, g, place, 1, {_case(_OPEN, 1)}, 'open2', null from k_groups
 union all
 select side, path, language, g, place, 10 + i,
   concat(case when g % 3 = 1 then '        ' else '    ' end, case when side = 'new' and g % 4 = 1 then 'node' else 'item' end, ' = "',
     replace(replace(l[g * 5 + i], '\\', '\\\\'), '"', '\\"'), case when side = 'new' and g % 4 = 3 and i = 1 then '?' else '' end, '" ',
-    case language when 'python' then '#' else '//' end, ' ', g), 'body'
+    case language when 'python' then '#' else '//' end, ' ', g), 'body',
+  concat('"', replace(replace(l[g * 5 + i], '\\', '\\\\'), '"', '\\"'), case when side = 'new' and g % 4 = 3 and i = 1 then '?' else '' end, '"')
 from (select *, unnest(generate_series(1, least(5, len(l) - g * 5))) i from k_groups)
-union all select side, path, language, g, place, 20, {_case(_CLOSE, 0)}, 'close' from k_groups
-union all select side, path, language, g, place, 21, {_case(_CLOSE, 1)}, 'close2' from k_groups
+union all select side, path, language, g, place, 20, {_case(_CLOSE, 0)}, 'close', null from k_groups
+union all select side, path, language, g, place, 21, {_case(_CLOSE, 1)}, 'close2', null from k_groups
 """,
 )
 cte(
@@ -248,39 +248,49 @@ def find_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tokens -----------------------------------------------------------------------------------------------
 
-_TOKEN = {name: pattern.replace("*+", "*") for name, pattern in K.PATTERNS.items()}
-
-
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
+# Tokens of the parts that the generator put together: its fixed lines are words, blanks, quoted words and single marks, and a
+# body line is indent, name, ` = `, the quoted text and the comment.
+cte(
+    "k_line_tokens",
+    r"""
+select side, path, language, line, list_concat(
+  case when part = 'body' then [case when g % 3 = 1 then '        ' else '    ' end, case when side = 'new' and g % 4 = 1 then 'node' else 'item' end,
+      ' ', '=', ' ', quoted, ' ', concat(case language when 'python' then '#' else '//' end, ' ', g)]
+    else regexp_extract_all(text, '"[^"]*"|[A-Za-z0-9]+|[ ]+|.') end,
+  case when line < max(line) over (partition by side, path) then [chr(10)] else [] end) t
+from k_lines
+""",
+)
 cte(
     "k_tokens",
-    f"""
-select side, path, language, pos, token, sum(strlen(token)) over w end_byte, sum(len(string_split(token, chr(10))) - 1) over w breaks
+    """
+select side, path, language, pos, token, sum(strlen(token)) over w end_byte, sum(case when token = chr(10) then 1 else 0 end) over w breaks
 from (
-  select side, path, language, unnest(t) token, generate_subscripts(t, 1) - 1 pos from (
-    select side, path, language, case when language = 'python' then regexp_extract_all(content, {_sql_text(_TOKEN["python"])})
-      when language = 'javascript' then regexp_extract_all(content, {_sql_text(_TOKEN["script"])})
-      else regexp_extract_all(content, {_sql_text(_TOKEN["brace"])}) end t
-    from k_contents)
+  select side, path, language, token, row_number() over (partition by side, path order by line, i) - 1 pos
+  from (select side, path, language, line, unnest(t) token, generate_subscripts(t, 1) i from k_line_tokens)
 ) window w as (partition by side, path order by pos)
 """,
 )
 
-
-@query(
-    "tokens",
-    """
+_TOKENS_SQL = """
 select path, cast(pos as bigint) pos, token, cast(end_byte - strlen(token) as bigint) start_byte, cast(end_byte as bigint) end_byte,
-  cast(breaks - (len(string_split(token, chr(10))) - 1) + 1 as bigint) line
-from k_tokens where side = 'new'
-""",
-)
+  cast(breaks - case when token = chr(10) then 1 else 0 end + 1 as bigint) line
+from k_tokens where side = '{}'
+"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    return K.token_rows(code_files(spark, sf_dir), side).select("path", "pos", "token", "start_byte", "end_byte", "line")
+
+
+@query("tokens", _TOKENS_SQL.format("new"))
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = K.token_rows(code_files(spark, sf_dir), "new")
-    return rows.select("path", "pos", "token", "start_byte", "end_byte", "line")
+    return _tokens(spark, sf_dir, "new")
+
+
+@query("tokens_old", _TOKENS_SQL.format("old"))
+def tokens_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir, "old")
 
 
 # The generated code is made of few words, so its classes can be listed.
@@ -308,36 +318,48 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.highlight_spans(code_files(spark, sf_dir), "new")
 
 
+@query(
+    "highlight_spans_old",
+    """
+select path, side, cast(start_byte as bigint) start_byte, cast(end_byte as bigint) end_byte, highlight
+from k_spans where highlight is not null and side = 'old'
+""",
+)
+def highlight_spans_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.highlight_spans(code_files(spark, sf_dir), "old")
+
+
 @query(
     "syntax_span_at",
     """
-select p.path, p.byte_at, (select arg_min(s.highlight, s.start_byte) from k_spans s
-  where s.side = 'new' and s.path = p.path and s.highlight is not null and s.start_byte <= p.byte_at and p.byte_at < s.end_byte) highlight
-from (select path, cast(unnest([0, 7, 25, 60, 200]) as bigint) byte_at from k_docs) p
+select path, cast(unnest(list_distinct([start_byte, end_byte - 1])) as bigint) byte_at, highlight from k_spans where side = 'new'
 """,
 )
 def syntax_span_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlight class at chosen bytes of each file."""
-    pairs = code_files(spark, sf_dir)
-    points = pairs.select("path", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (0, 7, 25, 60, 200)])).alias("byte_at"))
-    found = B.best_interval(
-        points, K.highlight_spans(pairs, "new"), ["path"], "byte_at", F.col("start_byte"), F.col("end_byte") - 1,
-        [F.col("start_byte")], ["highlight"], "span",
-    )
-    return found.select("path", "byte_at", "span.highlight")
+    """Highlight class at the first and the last byte of every token of each file."""
+    df = K.with_spans(code_files(spark, sf_dir), "new")
+    ends = F.flatten(F.transform("spans", lambda x: F.array(x["start_byte"], x["end_byte"] - 1)))
+    found = K.highlights_at(bind(df, points=F.array_distinct(ends)))
+    return found.select("path", "byte_at", "highlight")
 
 
 @query(
     "token_change_at",
     """
-select path, cast(pos as bigint) pos, new_line is not null and not bare and strlen(new_text) > 4 changed from d_entries
+select path, pos, byte_at, not bare and byte_at < n changed from (
+  select path, cast(pos as bigint) pos, cast(unnest(list_distinct(list_filter([0, 4, n // 2, n - 1, n], lambda b: b >= 0))) as bigint) byte_at, bare, n
+  from (select path, pos, bare, strlen(new_text) n from d_entries where new_line is not null)
+)
 """,
 )
 def token_change_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a recorded change of the new side cover byte 4."""
-    rows = E.diff_entries(files(spark, sf_dir))
-    covers = F.exists("new_changes", lambda c: (c["start"] <= 4) & (F.lit(4) < c["end"]))
-    return rows.select("path", "pos", covers.alias("changed"))
+    """Does a recorded change of the new side cover a byte: at, within and beyond the ends of every changed line."""
+    rows = E.diff_entries(files(spark, sf_dir)).filter("new_line is not null")
+    n = F.octet_length("new_text")
+    asked = F.array_distinct(F.filter(F.array(F.lit(0), F.lit(4), F.floor(n / 2).cast("int"), n - 1, n), lambda b: b >= 0))
+    rows = rows.select("path", "pos", "new_changes", F.explode(asked).alias("at"))
+    covers = F.exists("new_changes", lambda c: (c["start"] <= F.col("at")) & (F.col("at") < c["end"]))
+    return rows.select("path", "pos", F.col("at").cast("bigint").alias("byte_at"), covers.alias("changed"))
 
 
 # --- identifiers --------------------------------------------------------------------------------------------
@@ -364,23 +386,38 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.identifier_rows(code_files(spark, sf_dir), "old").select("path", "name", "pos")
 
 
+@query("identifiers_new", "select path, name, cast(pos as bigint) pos from k_names where side = 'new'")
+def identifiers_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.identifier_rows(code_files(spark, sf_dir), "new").select("path", "name", "pos")
+
+
+@query("placeholder_ids_old", "select path, name, cast(id as bigint) id from k_ids where side = 'old'")
+def placeholder_ids_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.placeholder_ids(code_files(spark, sf_dir), "old")
+
+
 @query("placeholder_ids", "select path, name, cast(id as bigint) id from k_ids where side = 'new'")
 def placeholder_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.placeholder_ids(code_files(spark, sf_dir), "new")
 
 
-@query(
-    "normalized_files",
-    """
+_NORMALIZED_SQL = """
 select t.path, string_agg(coalesce('_id' || i.id, t.token), '' order by t.pos) normalized
 from k_tokens t left join k_names n using (side, path, pos) left join k_ids i on i.side = n.side and i.path = n.path and i.name = n.name
-where t.side = 'new' group by t.path
-""",
-)
+where t.side = '{}' group by t.path
+"""
+
+
+@query("normalized_files", _NORMALIZED_SQL.format("new"))
 def normalized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.normalized_files(code_files(spark, sf_dir), "new")
 
 
+@query("normalized_files_old", _NORMALIZED_SQL.format("old"))
+def normalized_files_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.normalized_files(code_files(spark, sf_dir), "old")
+
+
 @query(
     "rename_map",
     """
@@ -395,26 +432,32 @@ def rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n, a, b, language): code lines and variants that rename, respace or change them."""
+    """(doc_id, n, a, b): a call with all words of each line as arguments, and variants that rename, respace or change it."""
     docs = spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.posexplode(text_lines("text")).alias("p", "c"))
     n = (F.col("p") + 1).cast("bigint")
     k = F.pmod(F.col("doc_id") + n, F.lit(5))
-    word = F.coalesce(F.nullif(F.lower(F.regexp_extract("c", "[A-Za-z]+", 0)), F.lit("")), F.lit("w"))
-    a = F.concat(F.lit("let v_"), word, F.lit(" = call(v_"), word, F.lit(", other);"))
+    found = F.regexp_extract_all(F.lower("c"), F.lit("[a-z]+"), F.lit(0))
+    docs = bind(docs, words=F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("w"))))
+
+    def call(prefix: str, given: Column, gap: str = " = ") -> Column:
+        return F.concat(F.lit(f"let r{gap}f("), F.array_join(F.transform(given, lambda w: F.concat(F.lit(prefix), w)), ", "), F.lit(");"))
+
+    words = F.col("words")
     b = (
-        F.when(k == 0, F.replace(a, F.lit("v_"), F.lit("u_")))
-        .when(k == 1, F.replace(a, F.lit(" = "), F.lit("  =  ")))
-        .when(k == 2, F.replace(a, F.lit(", other"), F.lit("")))
-        .when(k == 3, F.replace(a, F.lit(", other)"), F.concat(F.lit(", v_"), word, F.lit(")"))))
+        F.when(k == 0, call("u_", words))
+        .when(k == 1, call("v_", words, "  =  "))
+        .when(k == 2, call("v_", F.slice(words, F.lit(1), F.size(words) - 1)))
+        .when(k == 3, call("v_", F.concat(words, F.slice(words, F.lit(1), F.lit(1)))))
         .otherwise("")
     )
-    return docs.select("doc_id", n.alias("n"), a.alias("a"), b.alias("b"), word.alias("word"))
+    return docs.select("doc_id", n.alias("n"), call("v_", words).alias("a"), b.alias("b"))
 
 
 cte(
     "k_pairs",
     """
-select doc_id, n, (doc_id + n) % 5 k, coalesce(nullif(lower(regexp_extract(c, '[A-Za-z]+')), ''), 'w') word from d_lines
+select doc_id, n, k, case when len(w) = 0 then ['w'] else w end words
+from (select doc_id, n, (doc_id + n) % 5 k, regexp_extract_all(lower(c), '[a-z]+') w from d_lines)
 """,
 )
 
@@ -429,7 +472,7 @@ def is_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rename_analysis",
     """
 select doc_id, n, case when k = 0 then 'rename' else 'semantic' end category, cast(1 as double) confidence,
-  case when k = 0 then concat('v_', word) end old_name, case when k = 0 then concat('u_', word) end new_name from k_pairs
+  case when k = 0 then concat('v_', words[1]) end old_name, case when k = 0 then concat('u_', words[1]) end new_name from k_pairs
 """,
 )
 def rename_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +483,8 @@ def rename_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "normalized_lines",
     """
-select doc_id, n, 'let _id0 = _id1(_id0, _id2);' normalized from k_pairs
+select doc_id, n, concat('let _id0 = _id1(', array_to_string(list_transform(words, lambda w: '_id' || (list_position(names, w) + 1)), ', '), ');') normalized
+from (select *, list_filter(words, lambda w, i: list_position(words, w) = i) names from k_pairs)
 """,
 )
 def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
