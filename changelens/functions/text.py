@@ -107,8 +107,12 @@ def language_of(path: Column | str) -> Column:
     return mapped(extension(path), schemas.EXTENSIONS)
 
 
-def is_binary(content: Column | str, sniff_bytes: int = 8192) -> Column:
-    """A NUL byte within the sniff window. Pass the raw BINARY column where one is at hand."""
+# Fixed value: bytes that decide whether a file is binary.
+SNIFF_BYTES = 8192
+
+
+def is_binary(content: Column | str, sniff_bytes: int = SNIFF_BYTES) -> Column:
+    """A NUL byte within the sniff window of a text."""
     head = F.substring(F.to_binary(column(content), F.lit("utf-8")), 1, sniff_bytes)
     return F.contains(head, F.to_binary(F.lit("00"), F.lit("hex")))
 
@@ -177,6 +181,22 @@ def construct_description(change_type: Column | str, name: Column | str, node_ty
     return F.format_string("%s %s (%s)", mapped(change_type, schemas.CHANGE_SYMBOLS), column(name), what)
 
 
+def category_label(category: Column | str) -> Column:
+    """Symbol and name of a change category."""
+    return F.concat_ws(" ", mapped(category, schemas.CATEGORY_SYMBOLS), column(category))
+
+
+def is_identifier_node(node: Column | str) -> Column:
+    """A grammar's node that holds an identifier."""
+    return F.coalesce(column(node).isin(*schemas.IDENTIFIER_NODES), F.lit(False))
+
+
+def is_container_declaration(node: Column | str, children: Column | str) -> Column:
+    """A variable declaration one of whose direct children is a container."""
+    held = F.arrays_overlap(F.coalesce(column(children), F.array().cast("array<string>")), F.array(*map(F.lit, schemas.CONTAINER_NODES)))
+    return F.coalesce((column(node) == "variable_declaration") & held, F.lit(False))
+
+
 def line_change_summary(added: Column | str, deleted: Column | str) -> Column:
     return F.format_string("+%d -%d", column(added), column(deleted))
 

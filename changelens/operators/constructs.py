@@ -178,10 +178,6 @@ def brief_description(stats: DataFrame) -> Column:
     return F.when(text == "", lines).otherwise(text)
 
 
-def in_order(constructs: DataFrame) -> DataFrame:
-    return constructs.orderBy("path", "line_start", "change_type", "name")
-
-
 def summary_items(constructs: DataFrame, show_cosmetic: bool = False) -> DataFrame:
     """Constructs listed in the overview."""
     return constructs if show_cosmetic else constructs.filter(~is_cosmetic("category"))

@@ -36,9 +36,13 @@ def multi_line(regions: DataFrame) -> DataFrame:
     return regions.filter("end_line > start_line")
 
 
-def in_order(regions: DataFrame) -> DataFrame:
-    """Sorted by file, start and level, parents before children."""
-    return regions.orderBy("path", "side", "start_line", "level", "end_line")
+def with_order(df: DataFrame) -> DataFrame:
+    """Add ``ordered``, the file's ``regions`` by version, start and level, parents before children."""
+
+    def placed(r: Column) -> Column:
+        return F.struct(*[r[c].alias(c) for c in ("side", "start_line", "level", "end_line")], r.alias("region"))
+
+    return bind(df, ordered=F.transform(F.array_sort(F.transform("regions", placed)), lambda x: x["region"]))
 
 
 # --- collapse state ----------------------------------------------------------------------------------

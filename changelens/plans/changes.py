@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelens.functions import text as X
 from changelens.operators import entries as E
 from changelens.plans import relations_sql  # noqa: F401  (defines the SQL building blocks)
 from changelens.plans.registry import query
@@ -47,6 +48,15 @@ def classify_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("path", "pos", "category", "same")
 
 
+@query(
+    "category_labels",
+    "select path, cast(pos as bigint) pos, case category when 'comment' then '💬 comment' when 'whitespace' then '⎵ whitespace' else '• semantic' end label from d_entries",
+)
+def category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol and the name that each entry's category is shown with."""
+    return classified(spark, sf_dir).select("path", "pos", X.category_label("category").alias("label"))
+
+
 _LINE_COUNTS = """
 select path,
   cast(count(*) filter (old_line is null) as bigint) lines_added,

@@ -329,6 +329,20 @@ def highlight_spans_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.highlight_spans(code_files(spark, sf_dir), "old")
 
 
+@query(
+    "span_order",
+    """
+select path, cast(row_number() over (partition by path order by start_byte) - 1 as bigint) nth, cast(start_byte as bigint) start_byte, highlight
+from k_spans where highlight is not null and side = 'new'
+""",
+)
+def span_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each highlighted span in its file."""
+    shown = F.filter("spans", lambda x: x["highlight"] != "none")
+    rows = K.with_spans(code_files(spark, sf_dir), "new").select("path", F.posexplode(shown).alias("nth", "x"))
+    return rows.select("path", F.col("nth").cast("bigint").alias("nth"), "x.start_byte", "x.highlight")
+
+
 @query(
     "syntax_span_at",
     """

@@ -38,6 +38,19 @@ def all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions_of(spark, sf_dir)
 
 
+@query(
+    "region_order",
+    """
+select path, side, cast(row_number() over (partition by path order by side, start_line, level, end_line) - 1 as bigint) nth,
+  cast(start_line as bigint) start_line, cast(level as bigint) level from d_regions
+""",
+)
+def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each region in its file."""
+    rows = R.with_order(with_line_regions(files(spark, sf_dir))).select("path", F.posexplode("ordered").alias("nth", "r"))
+    return rows.select("path", "r.side", F.col("nth").cast("bigint").alias("nth"), "r.start_line", "r.level")
+
+
 @query(
     "region_predicates",
     """

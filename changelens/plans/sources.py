@@ -200,6 +200,13 @@ def src_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("src_diff_json_real_path", "select concat('checkout/', path) path, coalesce(language, 'Text') language from d_docs")
+def src_diff_json_real_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records under the path of the checkout instead of the one that the diff tool was given."""
+    records = diff_json.parse_records(diff_records(spark, sf_dir))
+    return diff_json.with_real_path(records, F.concat(F.lit("checkout/"), "path")).select("path", "language")
+
+
 @query(
     "src_diff_json_defaults",
     "select event_id, 'unknown' path, 'Text' \"language\", 'changed' status, cast(0 as bigint) chunks from events",

@@ -367,6 +367,29 @@ def construct_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kind", X.construct_kind("language", "node"))
 
 
+@query(
+    "node_tests",
+    """
+select doc_id, node, node like '%identifier%' identifier, node = 'variable_declaration' and child like '%eclaration' and child <> 'function_declaration' container
+from (select doc_id, (['identifier','variable_declaration','type_identifier','call_expression','shorthand_property_identifier','number'])[doc_id % 6 + 1] node,
+  (['struct_declaration','enum_declaration','function_declaration','string','error_set_declaration'])[doc_id % 5 + 1] child from documents)
+""",
+)
+def node_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that hold an identifier, and declarations that hold a container."""
+
+    def pick(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.pmod("doc_id", F.lit(len(values))).cast("int"))
+
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        pick(["identifier", "variable_declaration", "type_identifier", "call_expression", "shorthand_property_identifier", "number"]).alias("node"),
+        F.array(F.lit("const"), pick(["struct_declaration", "enum_declaration", "function_declaration", "string", "error_set_declaration"])).alias("children"),
+    )
+    tests = {"identifier": X.is_identifier_node("node"), "container": X.is_container_declaration("node", "children")}
+    return rows.withColumns(tests).select("doc_id", "node", "identifier", "container")
+
+
 @query(
     "blend_channel",
     "select doc_id, cast((6 * (n_chars % 256) + 4 * (doc_id % 256)) // 10 as bigint) channel from documents",

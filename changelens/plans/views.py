@@ -11,6 +11,7 @@ from changelens.functions.spans import inline_segments as inline
 from changelens.operators import difflines as D
 from changelens.operators import navigation as N
 from changelens.operators import regions as R
+from changelens.operators.session import side_label
 from changelens.plans.registry import cte, query
 from changelens.plans.revisions import files, with_line_regions
 from changelens.plans.session import numbered_lines
@@ -92,6 +93,20 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "side_labels",
+    """
+select path, ord, case when left_line is not null then 'old' when right_line is not null then 'new' end old_focus,
+  case when right_line is not null then 'new' when left_line is not null then 'old' end new_focus from d_split_rows
+""",
+)
+def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that a comment on a side-by-side row belongs to, by which side has the focus."""
+    left, right = F.col("left.line"), F.col("right.line")
+    labels = {f"{focus}_focus": side_label(right, focus, left) for focus in ("old", "new")}
+    return D.split_rows(files(spark, sf_dir)).withColumns(labels).select("path", "ord", *labels)
+
+
 @query(
     "line_offsets",
     """

@@ -180,6 +180,16 @@ IDENTIFIER_NODES = (
     "package_identifier",
 )
 
+# Node kinds that make a variable declaration a container.
+CONTAINER_NODES = (
+    "struct_declaration",
+    "enum_declaration",
+    "union_declaration",
+    "error_set_declaration",
+    "ContainerDecl",
+    "container_decl",
+)
+
 # Node kinds and words behind a syntax highlight.
 STRING_NODES = (
     "string string_literal interpreted_string_literal raw_string_literal character char_literal rune_literal"

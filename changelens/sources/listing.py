@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens import schemas
-from changelens.functions.text import column, is_binary, mapped, text_lines
+from changelens.functions.text import SNIFF_BYTES, column, is_binary, mapped, text_lines
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +17,20 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files as their bytes: (path, is_binary, valid_utf8, content); binary files have no content, and what is no UTF-8 is replaced.
+
+    Spark reads no row of an empty file.
+    """
+    df = spark.read.format("binaryFile").load(path)
+    text = df["content"].cast("string")
+    binary = F.contains(F.substring(df["content"], 1, SNIFF_BYTES), F.to_binary(F.lit("00"), F.lit("hex")))
+    return df.select(
+        F.regexp_replace("path", "^file:", "").alias("path"), binary.alias("is_binary"), F.is_valid_utf8(text).alias("valid_utf8"),
+        F.when(~binary, F.make_valid_utf8(text)).alias("content"),
+    )
+
+
 def parse_listing(listing: DataFrame, text: str = "text") -> DataFrame:
     """Rows of a name-status listing; the other columns (a mode, say) are kept.
 

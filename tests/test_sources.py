@@ -183,3 +183,16 @@ def test_whitespace_rules(spark):
     )
     for r in frame.select("i", E.whitespace_analysis("old_changes", "new_changes").alias("r")).collect():
         assert (r.r.category, r.r.details) == cases[r.i][2:]
+
+
+def test_files_as_bytes(spark, tmp_path):
+    """Text, invalid UTF-8, a NUL within and beyond the sniffed bytes, and an empty file."""
+    made = {"a.txt": "héllo\nline\n".encode(), "b.bin": b"ab\x00cd", "c.txt": b"x" * 9000 + b"\x00", "d.txt": b"bad \xff\xfe end", "e.txt": b""}
+    for name, raw in made.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in listing.read_files(spark, str(tmp_path)).collect()}
+    assert {n: r.is_binary for n, r in rows.items()} == {"a.txt": False, "b.bin": True, "c.txt": False, "d.txt": False}
+    assert rows["a.txt"].content == "héllo\nline\n" and rows["b.bin"].content is None
+    assert rows["d.txt"].content == made["d.txt"].decode("utf-8", "replace") and not rows["d.txt"].valid_utf8 and rows["a.txt"].valid_utf8
+    whole = {r.path.rsplit("/", 1)[1]: r.content for r in listing.read_text_files(spark, str(tmp_path / "a.txt")).collect()}
+    assert whole == {"a.txt": "héllo\nline\n"}
