@@ -26,6 +26,8 @@ BUCKET = 64
 NEAR = 6
 NEAR_SHINGLE = 5
 NEAR_SKETCH = 28
+# A bucket with more nodes than this is cut further instead of paired.
+NEAR_BUCKET = 1000
 # Free bits and parts of each cut: no more than NEAR parts can differ, so two at least are equal.
 NEAR_CUTS = ((64, 8), (48, 8), (36, 9))
 
@@ -253,10 +255,8 @@ def sketches(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, digest bigint, fp bigint, s1 bigint, s2 bigint")
 
 
-def _alike(a: str, b: str, fp: bool = True) -> Column:
-    sketch = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    near = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= NEAR
-    return (sketch <= NEAR_SKETCH) & near if fp else sketch <= NEAR_SKETCH
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= NEAR
 
 
 def _cut(q: Column, width: int, parts: int) -> Column:
@@ -278,39 +278,43 @@ def _cut(q: Column, width: int, parts: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of the nodes (digest, fp, s1, s2) that are alike, enough of them to connect each group.
+def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
+    """Pairs (a, b) of the nodes (digest, fp, s1, s2) that are near duplicates, enough of them to connect each group.
 
-    Nodes meet in buckets of two equal parts of their fingerprints, pass the chain of budgets over the
-    ring of parts, and are checked. In a bucket of more than ``bucket`` nodes, those alike to its least
-    one are linked to that one only; the others have their free bits cut again. So a large group of
-    near copies is a star in each of its buckets and is never paired out. A pair can be missed where
-    a star takes just one of its two in every bucket that both are in.
+    Nodes meet in buckets of two equal parts of their fingerprints. In each bucket those near its
+    least node are linked to that one. Of the other pairs, those with a node that is not near the
+    least one pass the chain of budgets over the ring of parts and the full Hamming check. In a
+    bucket of more than ``bucket`` nodes the rest have their free bits cut again instead. So a large
+    group of near copies is a star in each of its buckets and is never paired out. Every link is then
+    checked by the sketches. A pair can be missed where its two are on different sides of that cut in
+    every bucket that both are in, or where only fingerprints are near the least node.
     """
-    # Equal fingerprints first: linked to the least text of theirs, or nodes of their own.
-    least = nodes.groupBy("fp").agg(F.min(F.struct("digest", "s1", "s2")).alias("l")).select("fp", "l.*").alias("b")
-    same = nodes.alias("a").join(least, F.col("a.fp") == F.col("b.fp"))
-    same = stored(same.select("a.*", F.col("b.digest").alias("first"), _alike("a", "b").alias("alike")))
-    found = same.filter("alike and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    level = same.filter("not alike or digest = first").select("digest", "fp", "s1", "s2", F.col("fp").alias("q"), F.lit("").alias("at"))
+    # Equal fingerprints first: linked to the least text of theirs; that one stands for them.
+    least = nodes.groupBy("fp").agg(F.min("digest").alias("first"))
+    heads = stored(least.select(F.col("first").alias("digest"), "fp"))
+    found = nodes.select("digest", "fp").join(least, "fp").filter("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    level = heads.select("digest", "fp", F.col("fp").alias("q"), F.lit(0).cast("bigint").alias("at"))
     for width, parts in NEAR_CUTS:
-        keyed = level.select("digest", "fp", "s1", "s2", "q", "at", F.explode(_cut(F.col("q"), width, parts)).alias("k"))
-        keyed = keyed.withColumn("at", F.concat_ws("/", "at", "k.pair", "k.x", "k.y"))
-        sizes = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "fp", "s1", "s2")).alias("l")).filter("n > 1")
-        known = stored(keyed.join(sizes, "at").select("at", "digest", "fp", "s1", "s2", "q", F.col("k.left").alias("left"), "n", "l"))
+        keyed = level.select("digest", "fp", "at", F.explode(_cut(F.col("q"), width, parts)).alias("k"))
+        keyed = keyed.select("digest", "fp", F.xxhash64("at", "k.pair", "k.x", "k.y").alias("at"), F.col("k.left").alias("left"))
+        sizes = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first"), F.min_by("fp", "digest").alias("first_fp"))
+        known = keyed.join(sizes.filter("n > 1"), "at")
+        known = stored(known.select("at", "digest", "fp", "left", "n", "first", _near(F.col("fp"), F.col("first_fp")).alias("near")))
+        found = found.union(known.filter("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b")))
         last = (width, parts) == NEAR_CUTS[-1]
-        small = known if last else known.filter(F.col("n") <= bucket)
-        a, b = small.drop("l").alias("a"), small.drop("l").alias("b")
-        diff = F.col("a.q").bitwiseXOR(F.col("b.q"))
-        near = (F.col("a.at") == F.col("b.at")) & (F.col("a.digest") < F.col("b.digest")) & ring_holds(diff, width, parts) & _alike("a", "b")
-        found = found.union(a.join(b, near).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")))
-        if last:
-            return found.distinct()
-        large = known.filter(F.col("n") > bucket).select(F.struct("digest", "fp", "s1", "s2").alias("a"), F.col("l").alias("b"), "left", "at")
-        large = large.withColumn("alike", _alike("a", "b"))
-        star = large.filter(F.col("alike") & (F.col("a.digest") != F.col("b.digest")))
-        found = found.union(star.select(F.col("b.digest").alias("a"), F.col("a.digest").alias("b")))
-        level = large.filter(~F.col("alike")).select("a.*", F.col("left").alias("q"), "at")
+        small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "digest", "fp", "near")
+        a, b = small.filter("not near").alias("a"), small.alias("b")
+        diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+        other = F.col("b.near") | (F.col("a.digest") < F.col("b.digest"))
+        pair = (F.col("a.at") == F.col("b.at")) & other & ring_holds(diff, *NEAR_CUTS[0]) & (F.bit_count(diff) <= NEAR)
+        found = found.union(a.join(b, pair).select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")))
+        if not last:
+            level = known.filter((F.col("n") > bucket) & ~F.col("near")).select("digest", "fp", F.col("left").alias("q"), "at")
+    pairs = stored(found.distinct())
+    sketch = lambda side: nodes.select(F.col("digest").alias(side), F.col("s1").alias(f"{side}1"), F.col("s2").alias(f"{side}2"))
+    checked = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+    off = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return checked.filter(off <= NEAR_SKETCH).select("a", "b")
 
 
 def ring_holds(diff: Column, width: int, parts: int, distance: int = NEAR) -> Column:

@@ -14,7 +14,7 @@ from llm_texts import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from changelens.llm import decontamination, line_dedup, mixing, sharding, simhash
+from changelens.llm import decontamination, line_dedup, mixing, quality_rules, sharding, simhash
 from changelens.llm.common import word_grams
 from changelens.llm.queries import ORACLES, QUERIES, TARGETS
 
@@ -107,13 +107,82 @@ def test_components(corpus, awkward, empty):
     prints = {r.doc_id: plain_fingerprint(r.text) for r in corpus.collect()}
     assert {d: int(r.fingerprint, 16) for d, r in rows.items()} == prints
     assert {d: r.component_id for d, r in rows.items()} == plain_components(prints)
-    stay = sorted(r.doc_id for r in simhash.one_of_each(corpus).collect())
-    assert stay == sorted(set(plain_components(prints).values()))
     made = simhash.near_duplicates(awkward).collect()
     assert len(made) == awkward.count() and {r.component_id for r in made if r.doc_id in (0, 1, 2)} == {0}
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def plain_groups(texts):
+    """The smallest id that each text reaches over pairs whose words' fingerprints and shingle sketches are near."""
+    ids = sorted(texts)
+    made = np.array([simhash.sketched(texts[i] or "", {}) for i in ids], np.int64).reshape(-1, 3).view(np.uint64)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in range(len(ids)):
+        off = np.bitwise_count(made[k + 1 :] ^ made[k]).astype(int)
+        for j in np.flatnonzero((off[:, 0] <= simhash.NEAR) & (off[:, 1] + off[:, 2] <= simhash.NEAR_SKETCH)) + k + 1:
+            a, b = find(ids[k]), find(ids[j])
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def edited(rnd, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        k = rnd.randrange(len(words))
+        words[k : k + 1] = rnd.choice([[], ["edited"], [words[k], "put"]])
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups(spark, corpus, awkward, empty):
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    groups = plain_groups(texts)
+    assert {r.id: r.component for r in simhash.near_members(corpus).collect()} == groups
+    stay = simhash.one_of_each(corpus)
+    assert stay.columns == corpus.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(groups.values()))
+    made = simhash.near_members(awkward).collect()
+    assert len(made) == awkward.count() and {r.component for r in made if r.id in (0, 1, 2)} == {0}
+    assert simhash.near_members(empty).collect() == [] and simhash.one_of_each(empty).collect() == []
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    """At least nine in ten of the pairs with a Jaccard similarity of 0.8 or more, and no pair of different texts."""
+    rnd, texts, pairs = random.Random(12), {}, []
+    for i in range(150):
+        texts[i] = prose(20_000 + i, rnd.randint(40, 400))
+        for k in (1, 2):
+            copy = edited(rnd, texts[i], rnd.randint(1, max(1, len(texts[i].split()) // 60)))
+            if jaccard(texts[i], copy) >= 0.8:
+                texts[1000 * k + i] = copy
+                pairs.append((i, 1000 * k + i))
+    rows = simhash.near_members(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    component = {r.id: r.component for r in rows}
+    assert len(pairs) > 200 and np.mean([component[a] == component[b] for a, b in pairs]) >= 0.9
+    assert all(component[i] % 1000 == i % 1000 for i in texts)
+
+
+def test_a_large_group_of_near_copies_is_one_group(spark):
+    """More copies than a bucket holds, so that they are linked as stars, beside a second group of the same words in another order."""
+    rnd = random.Random(13)
+    base = prose(31_000, 200)
+    other = base.split()
+    rnd.shuffle(other)
+    texts = {i: edited(rnd, base, 2) for i in range(150)} | {1000 + i: edited(rnd, " ".join(other), 2) for i in range(150)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    groups = collections.Counter(r.component for r in simhash.near_members(frame).collect())
+    assert groups == {0: 150, 1000: 150}
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_links_of_a_dense_cloud(spark, bucket):
     rnd, base, cloud = random.Random(1), random.Random(9).getrandbits(64), set()
@@ -358,22 +427,24 @@ def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "simhash", "decontamination", "mixing", "sharding"]
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    after = docs
-    left = [sorted(texts)]
+    after, left = docs, [{r.doc_id: r.text for r in docs.collect()}]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, after, SF).cache()
         assert after.columns == docs.columns
-        left.append(sorted(r.doc_id for r in after.select("doc_id").collect()))
+        left.append({r.doc_id: r.text for r in after.collect()})
     assert all(set(b) <= set(a) for a, b in zip(left, left[1:]))
-    groups = plain_components({d: plain_fingerprint(texts[d]) for d in left[1]})
-    assert left[2] == sorted(set(groups.values()))
+    # No line is in more documents of a host than the limit here, so texts stay as they are.
+    assert set(left[1]) == {r.doc_id for r in quality_rules.quality(docs).filter("kept").collect()} and all(left[0][d] == t for d, t in left[1].items())
+    assert sorted(left[2]) == sorted(set(plain_groups(left[1]).values()))
     split = lambda t: t.encode().lower().split()
     items = [split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    leaked = [d for d in left[2] if any(len(set(i) & set(split(texts[d]))) >= 0.4 * len(set(i)) and plain_score(i, split(texts[d])) >= 1.2 * len(i) for i in items)]
-    assert left[3] == [d for d in left[2] if d not in leaked]
+    leaked = [d for d, t in left[2].items() if any(len(set(i) & set(split(t))) >= 0.4 * len(set(i)) and plain_score(i, split(t)) >= 1.2 * len(i) for i in items)]
+    assert sorted(left[3]) == [d for d in sorted(left[2]) if d not in leaked]
+    labels = mixing.labelled_domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    rates = mixing.mixed(docs.filter(F.col("doc_id").isin(list(left[3]))), labels, "domain", multiples=corpus_pipeline.MULTIPLES, bounds=corpus_pipeline.BOUNDS)
+    assert sorted(left[4]) == sorted(r.doc_id for r in rates.collect() if r.copies == 1) and all(r.copies <= 1 for r in rates.collect())
     final = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(r.doc_id for r in final) == left[4]
+    assert sorted(r.doc_id for r in final) == sorted(left[4])
     counts = collections.Counter(r.shard for r in final)
     assert max(counts.values()) - min(counts.values()) <= 1
     assert all(sorted(r.slot for r in final if r.shard == s) == list(range(n)) for s, n in counts.items())
