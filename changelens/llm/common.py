@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir; on one machine, where it is unset, one beside the warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        own = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{own}/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/_checkpoints")
     return sc.getCheckpointDir()
 
 

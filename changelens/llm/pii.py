@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from changelens.llm.common import lower_ascii, stored, words_of
 from changelens.operators.barrier import bind, prefix_sum
+from changelens.operators.joins import salted_lookup
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -28,9 +29,9 @@ TERM = r"\p{L}{3,}"
 # A text without this character has no match.
 NEEDS = {"email": "@", "phone": "+", "ip": "."}
 
-# Terms on either side of an entity that count as met with it.
+# Terms on either side of an entity that make its context.
 CONTEXT = 5
-# A term discloses an entity from this share of the entity's information on, met in so many different contexts.
+# A term discloses an entity from this share of the entity's information on; this much evidence is needed.
 DISCLOSURE = 0.8
 LEAST_CONTEXTS = 3
 
@@ -100,33 +101,46 @@ def base_spans(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return rows.select("id", "digest", "spans", F.when(F.size("spans") > 0, terms).alias("terms"))
 
 
-def disclosing_terms(base: DataFrame, base_rows: int, docs: DataFrame, text: str, disclosure: float, least_contexts: int) -> DataFrame:
-    """(kind, value, term) of the terms that disclose an entity.
+def disclosing_terms(base: DataFrame, docs: DataFrame, text: str, disclosure: float, least_contexts: int) -> DataFrame:
+    """(kind, value, term) of the terms that disclose an entity, from the ``base_spans`` of ``docs``.
 
-    p(term, entity) counts the entity's different contexts with the term (copies count once),
-    p(term) and p(entity) the documents with either, over all documents.
+    p(term), p(entity) and p(term, entity) are shares of the different texts that hold the one, the other
+    and both, wherever they stand, so all three are of one distribution and copies count once. What three
+    copies with small changes share is no evidence: an entity needs ``least_contexts`` different contexts,
+    ``CONTEXT`` terms on either side, and a term as many texts with it. An entity of every text has no
+    information to give away.
     """
-    met = base.select("digest", "terms", F.explode("spans").alias("s"))
+    entity = ["kind", "value"]
+    total = float(max(base.select("digest").distinct().count(), 1))
+    found = stored(base.filter(F.size("spans") > 0).select("digest", "spans", "terms").dropDuplicates(["digest"]))
+    met = found.select("terms", F.explode("spans").alias("s"))
     before = F.slice(F.reverse(F.filter("terms", lambda x: x["end"] <= F.col("s.start"))), F.lit(1), F.lit(CONTEXT))
     after = F.slice(F.filter("terms", lambda x: x["start"] >= F.col("s.end")), F.lit(1), F.lit(CONTEXT))
     around = F.transform(F.concat(F.reverse(before), after), lambda x: x["term"])
-    entity = ["kind", "value"]
-    contexts = met.select("s.kind", "s.value", around.alias("around"))
-    contexts = contexts.select(*entity, "around").distinct()
-    together = contexts.select(*entity, F.explode(F.array_distinct("around")).alias("term")).groupBy(*entity, "term").agg(F.count(F.lit(1)).alias("both"))
-    total = float(max(base_rows, 1))
+    contexts = met.select("s.kind", "s.value", F.xxhash64(around).alias("around")).distinct().groupBy(*entity).agg(F.count(F.lit(1)).alias("contexts"))
     distinct_entities = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    of_entity = base.select(F.explode(distinct_entities).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("with_entity"))
-    # mutual >= disclosure * own information, solved for the number of documents with the term.
+    held_entities = found.select("digest", F.explode(distinct_entities).alias("e")).select("digest", "e.kind", "e.value")
+    of_entity = held_entities.groupBy(*entity).agg(F.count(F.lit(1)).alias("with_entity"))
+    # mutual >= disclosure * own information, solved for the number of texts with the term.
     share = F.pow(F.lit(total) / F.col("with_entity"), F.lit(1.0 - disclosure))
-    together = together.filter(F.col("both") >= least_contexts).join(of_entity, entity).filter(F.col("with_entity") < total)
-    together = stored(together.select(*entity, "term", (F.col("both") * share).alias("most")))
-    # A term in more documents than that among those with entities is in more among all: it needs no count over the corpus.
-    near = base.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
-    near = near.join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rare = stored(together.join(near, "term").filter(F.col("n") <= F.col("most")).drop("n"))
-    plain = F.regexp_replace(F.lower(F.coalesce(docs[text], F.lit(""))), r"[^\p{L}]+", " ")
-    held = docs.select(F.explode(F.array_distinct(words_of(plain))).alias("term")).join(rare.select("term").distinct(), "term", "left_semi")
+    of_entity = of_entity.join(contexts.filter(F.col("contexts") >= least_contexts), entity)
+    of_entity = of_entity.filter(F.col("with_entity").between(least_contexts, total - 1))
+    of_entity = stored(of_entity.select(*entity, share.alias("share"), (F.col("with_entity") * share).alias("most")))
+    # A term in more texts than any entity allows, among those with entities alone, discloses none: only the rest are paired.
+    ceiling = of_entity.agg(F.max("most")).first()[0] or 0.0
+    held_terms = found.select("digest", F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
+    near = held_terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least_contexts, ceiling))
+    near = stored(near)
+    # Both lookups are unique by key; a common entity or term is spread by text.
+    left = salted_lookup(held_entities, of_entity.drop("most"), entity, ["digest"], "inner")
+    right = salted_lookup(held_terms, near, ["term"], ["digest"], "inner")
+    both = left.join(right, "digest").groupBy(*entity, "term").agg(F.count(F.lit(1)).alias("both"), F.first("share").alias("share"), F.first("n").alias("n"))
+    most = F.col("both") * F.col("share")
+    rare = stored(both.filter((F.col("both") >= least_contexts) & (F.col("n") <= most)).select(*entity, "term", most.alias("most")))
+    body = F.coalesce(docs[text], F.lit(""))
+    plain = F.lower(F.regexp_replace(body, r"[^\p{L}]+", " "))
+    held = docs.select(F.xxhash64(body).alias("digest"), F.explode(F.array_distinct(words_of(plain))).alias("term"))
+    held = held.join(rare.select("term").distinct(), "term", "left_semi").distinct()
     of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     return rare.join(of_term, "term").filter(F.col("with_term") <= F.col("most")).select(*entity, "term")
 
@@ -142,9 +156,9 @@ def personal_data(
     """
     base = stored(base_spans(docs, text, id_col))
     found = base.filter(F.size("spans") > 0)
-    telling = stored(disclosing_terms(found, base.count(), docs, text, disclosure, least_contexts))
+    telling = stored(disclosing_terms(base, docs, text, disclosure, least_contexts))
     entities = found.select("id", "digest", F.explode("spans").alias("s")).select("id", "digest", "s.kind", "s.value").distinct()
-    of_doc = entities.join(telling, ["kind", "value"]).groupBy("id", "digest").agg(F.collect_set("term").alias("telling"))
+    of_doc = salted_lookup(entities, telling, ["kind", "value"], ["id", "digest"], "inner").groupBy("id", "digest").agg(F.collect_set("term").alias("telling"))
     of_doc = stored(of_doc.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "telling"))
     span = lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("ord"), x["end"].alias("end"), F.lit("term").alias("kind"))
     added = F.transform(F.filter("terms", lambda x: F.array_contains("telling", x["term"])), span)
@@ -162,7 +176,9 @@ def listed(spans: Column) -> Column:
 def sanitised(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each base span of ``text`` generalised to its kind in brackets, and each disclosing term removed.
 
-    Of overlapping spans the one that starts first counts, and of those the first by kind.
+    Of overlapping spans the one that starts first counts, and of those the first by kind. A null or
+    empty text stays as it is; repeated rows all stay, changed alike; an empty table gives an empty
+    result; all columns of ``docs`` are kept, whatever their names.
     """
     spans = personal_data(docs, text, id_col, **options).filter(F.size("all") > 0)
     spans = stored(spans.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("all").alias("_all")).dropDuplicates(["_id", "_digest"]))

@@ -1,6 +1,7 @@
 """Token counts, license scan, quality rules, personal data and language ID against plain loops."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -212,6 +213,69 @@ def test_terms_that_disclose_an_entity_are_marked(spark):
     assert "zorblax" not in pii.sanitised(near).filter("doc_id = 0").first().text
 
 
+def plain_disclosures(texts, disclosure, least):
+    """(kind, value) to its disclosing terms, counted over different texts one by one."""
+    texts = {t or "" for t in texts}
+    spans, terms, contexts = {}, {}, collections.defaultdict(set)
+    for t in texts:
+        found = plain_spans(t)
+        runs = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        terms[t] = {w for _, _, w in runs}
+        free = [r for r in runs if not any(r[0] < s[2] and s[0] < r[1] for s in found)]
+        named = [(s, (s[3], t[s[0] : s[2]].lower() if s[1] < 2 else re.sub("[^0-9]", "", t[s[0] : s[2]]))) for s in found]
+        spans[t] = {e for _, e in named}, {w for _, _, w in free}
+        for s, e in named:
+            before, after = [w for _, end, w in free if end <= s[0]], [w for start, _, w in free if start >= s[2]]
+            contexts[e].add((*before[-pii.CONTEXT :], *after[: pii.CONTEXT]))
+    out = collections.defaultdict(set)
+    for e in contexts:
+        holding = [t for t in texts if e in spans[t][0]]
+        if len(contexts[e]) < least or len(holding) < least or len(holding) == len(texts):
+            continue
+        for w in set().union(*(spans[t][1] for t in holding)):
+            both, alone = sum(w in spans[t][1] for t in holding), sum(w in terms[t] for t in texts)
+            mutual = math.log(both * len(texts) / (alone * len(holding)))
+            if both >= least and mutual >= disclosure * math.log(len(texts) / len(holding)) - 1e-9:
+                out[e].add(w)
+    return out
+
+
+def test_disclosing_terms_equal_a_count_over_all_texts(spark):
+    rnd = random.Random(11)
+    entities = ["bob@x.org", "Ann@y.com", "10.0.0.1", "+33 1 23 45 67 89", "4111 1111 1111 1111"]
+    secrets = [["Zorblax", "quill"], ["marrow"], ["Ünder", "tarn"], ["vesper"], ["opal", "Zorblax"]]
+    common = "the and house river walks under stone green seven paper light".split()
+    texts = []
+    for i in range(400):
+        words = [rnd.choice(common) for _ in range(rnd.randint(3, 25))]
+        if i % 4 == 0:
+            k = rnd.randrange(5)
+            # A secret may stand far from its entity, and now and then where there is none.
+            words = [*rnd.sample(secrets[k], 1), *words, entities[k], *words[:2]]
+        elif i % 29 == 0:
+            words.append(rnd.choice(secrets[rnd.randrange(5)]))
+        texts.append(" ".join(words))
+    texts += texts[:40] + [None, "", "mail once@only.org zyx"] + [f"copy of copy@z.org wisp {'x' * i}" for i in range(2)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for disclosure, least in ((0.8, 3), (0.5, 2)):
+        base = pii.base_spans(frame, "text", "doc_id")
+        rows = pii.disclosing_terms(base, frame, "text", disclosure, least).collect()
+        made = collections.defaultdict(set)
+        for r in rows:
+            made[(r.kind, r.value)].add(r.term)
+        assert made == plain_disclosures(texts, disclosure, least)
+        assert any("zorblax" in terms or "marrow" in terms for terms in made.values())
+
+
+def test_sanitised_keeps_all_rows_and_columns(spark, awkward, empty):
+    made = pii.sanitised(awkward)
+    assert made.columns == awkward.columns and made.count() == awkward.count()
+    assert made.filter("text is null").count() == awkward.filter("text is null").count()
+    assert pii.sanitised(empty).collect() == []
+    repeated = spark.createDataFrame([(1, "to a@b.org"), (1, "to a@b.org"), (None, "")], "doc_id int, text string")
+    assert sorted(r.text for r in pii.sanitised(repeated).collect()) == ["", "to [EMAIL]", "to [EMAIL]"]
+
+
 def test_gradient_is_that_of_the_loss():
     net = language_id.Network(["a", "b", "c"], hidden=4)
     for name in ("ahead", "back"):
