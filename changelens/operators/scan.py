@@ -165,12 +165,15 @@ def neighbours(
 def stored(df: DataFrame) -> DataFrame:
     """A result that is read several times, checkpointed in the session's shared folder.
 
-    Where spark.checkpoint.dir is unset, the folder is one beside the warehouse.
+    On one machine, where spark.checkpoint.dir is unset, the folder is one beside the warehouse.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{own}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(folder or f"{own}/_checkpoints")
     return df.checkpoint()
 
 

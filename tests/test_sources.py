@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -87,6 +88,41 @@ def test_event_log(spark):
     assert rows["unknown"].text.endswith("(unknown)")
     assert rows["silent"].text.endswith("(600 bytes total):\n" + "x" * 500 + "\n...")
     assert rows["short"].text.endswith('(17 bytes total):\n{"type":"status"}')
+    for size in (1, 2, 3):
+        again = event_log.responses(lines, block_lines=size).collect()
+        assert sorted(again, key=str) == sorted(rows.values(), key=str)
+
+
+def test_event_log_in_parts_and_blocks(spark):
+    rnd = random.Random(5)
+    texts = {}
+    for name in ("a", "b", "quiet", "broken"):
+        kinds = {"quiet": "s", "broken": "tse"}.get(name, "ts")
+        texts[name] = [(rnd.choice(kinds), "é" * rnd.randint(0, 9) if kinds != "s" else "z" * rnd.randint(0, 40)) for _ in range(90)]
+    texts["broken"].append(("e", ""))
+    made = {"t": lambda t, k: delta(t), "s": lambda t, k: t, "e": lambda t, k: f'{{"success":false,"error":"at {k}"}}'}
+    lines = {name: [made[kind](t, k) for k, (kind, t) in enumerate(rows)] for name, rows in texts.items()}
+    frame = log(spark, *[(name, "\n".join(rows)) for name, rows in lines.items()])
+    for block_lines in (7, 4096):
+        found = {}
+        for r in event_log.responses(frame, part_bytes=50, block_lines=block_lines).orderBy("part").collect():
+            found.setdefault(r.log, []).append((r.outcome, r.part, r.text))
+        for name in ("a", "b"):
+            assert "".join(t for _, _, t in found[name]) == "".join(t for kind, t in texts[name] if kind == "t")
+            assert [p for _, p, _ in found[name]] == list(range(len(found[name]))) and len(found[name]) > 2
+            assert all(len(t.encode()) <= 68 for _, _, t in found[name])
+        assert found["broken"] == [("error", 0, "The helper returned an error:\nat 90")]
+        raw = "\n".join(lines["quiet"])
+        (outcome, part, text), = found["quiet"]
+        assert (outcome, part) == ("empty", 0) and text.endswith(f"({len(raw)} bytes total):\n{raw[:500]}" + "\n..." * (len(raw) > 500))
+
+
+def test_event_log_reads_its_lines_twice(spark, tmp_path):
+    frame = log(spark, ("a", delta("x"))).select("log", "pos", "line")
+    frame.write.parquet(str(tmp_path / "lines"))
+    made = event_log.responses(spark.read.parquet(str(tmp_path / "lines")))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1
 
 
 DIFF = "diff x\n--- a\n+++ b\n@@ -1,2 +1,6 @@\n one\n+two\n+three\n+four\n+five\n six\n"
