@@ -1,8 +1,8 @@
 """Find the collapsible regions of source files.
 
-Without a grammar, constructs are recognised line by line: comments and strings are blanked, a
-header pattern names the construct, and its body runs from where its nesting level opens to where
-it closes again. Levels come from braces, in Python from indentation. This approximates the
+Without a grammar, constructs are recognised statement by statement: comments and strings are
+blanked, lines inside round or square brackets of an earlier line are joined to it, a header pattern
+names the construct, and its body runs from where its nesting level opens to where it closes again. Levels come from braces, in Python from indentation. This approximates the
 node boundaries of a parser; languages without header patterns have no regions.
 """
 
@@ -68,14 +68,14 @@ HEADERS = {
 
 
 def _headers() -> Column:
-    """For each line of ``text``: struct(kind, name) of a header line, else null."""
+    """For each line of ``joined``: struct(kind, name) of a header, else null."""
     cases = " ".join(
         f"when language = '{lang}' and c rlike r'{pattern}'"
         f" then named_struct('kind', '{kind}', 'name', regexp_extract(c, r'{pattern}', 1))"
         for lang, patterns in HEADERS.items()
         for kind, pattern in patterns
     )
-    return F.expr(f"transform(text, c -> case {cases} end)")
+    return F.expr(f"transform(joined, c -> case {cases} end)")
 
 
 def _nesting(braces: Column) -> Column:
@@ -89,6 +89,55 @@ def _nesting(braces: Column) -> Column:
     return F.aggregate(F.split(braces, ""), start, step)
 
 
+def _with_statements(df: DataFrame) -> DataFrame:
+    """Add, for each line of ``text``: ``goes_on``, whether it continues an earlier line's statement, and ``joined``, a statement on its first line.
+
+    A line goes on where the innermost bracket open at its start is round or square; in Python any
+    bracket will do. Brackets get the level they open; sorted by level and place, the innermost one
+    open at a line's start is the latest opening before it. A text in which every line closes its
+    brackets has nothing to sort.
+    """
+    python = F.col("language") == "python"
+    # Pairs inside a line enclose no line's start; three levels of them go right away.
+    left = F.transform("text", lambda c: F.regexp_replace(c, r"[^()\[\]{}]", ""))
+    for _ in range(3):
+        left = F.transform(left, lambda b: F.regexp_replace(b, r"\(\)|\[\]|\{\}", ""))
+    df = bind(df, brackets=left)
+    reaches = F.exists("brackets", lambda b: b.rlike(r"[(\[]") | (python & F.contains(b, F.lit("{"))))
+    signs = F.split(F.array_join(F.transform("brackets", lambda b: F.concat(F.lit("\n"), b)), ""), "")
+    df = bind(df, sign=F.when(reaches, signs).otherwise(F.array().cast("array<string>"))).drop("brackets")
+    opens = lambda c: c.isin("(", "[", "{")
+    step = F.transform("sign", lambda c: F.when(opens(c), 1).when(c == "\n", 0).otherwise(-1).cast("bigint"))
+    df = bind(df, level=step)
+    df = bind(df, level=prefix_sum("level"))
+    places = F.transform("sign", lambda c, i: F.struct(F.get("level", i).alias("level"), i.alias("at"), c.alias("sign")))
+    df = bind(df, places=F.array_sort(F.filter(places, lambda x: opens(x["sign"]) | (x["sign"] == "\n"))))
+    df = bind(df, opening=F.transform("places", lambda x, i: F.when(opens(x["sign"]), i).otherwise(-1)))
+    df = bind(df, opening=prefix_max("opening"))
+
+    def line_start(x: Column, i: Column) -> Column:
+        around = F.get("places", F.get("opening", i))
+        inside = (around["level"] == x["level"]) & (python | (around["sign"] != "{"))
+        return F.when(x["sign"] == "\n", F.struct(x["at"].alias("at"), F.coalesce(inside, F.lit(False)).alias("inside")))
+
+    starts = F.array_sort(F.array_compact(F.transform("places", line_start)))
+    df = bind(df, goes_on=F.transform(starts, lambda x: x["inside"])).drop("sign", "level", "places", "opening")
+    # From the end: the least line from each one on that begins a statement, negated.
+    df = bind(df, upto=F.reverse(F.transform("goes_on", lambda x, i: -F.when(x, F.size("goes_on")).otherwise(i))))
+    df = bind(df, upto=prefix_max("upto"))
+    df = bind(df, upto=F.transform(F.reverse("upto"), lambda x: -x))
+
+    def joined(c: Column, i: Column) -> Column:
+        several = F.array_join(F.slice("text", i + 1, F.get("upto", i + 1) - i), " ")
+        return F.when(_flag("goes_on", i), "").when(_flag("goes_on", i + 1), several).otherwise(c)
+
+    return bind(df, joined=F.transform("text", joined))
+
+
+def _flag(flags: str, i: Column) -> Column:
+    return F.coalesce(F.get(flags, i), F.lit(False))
+
+
 def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
     """Replace ``content`` by ``code`` (and the text's ``lines`` with ``bodies``): lines without comments and the inside of strings, with the levels they open and close.
 
@@ -104,6 +153,7 @@ def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
         return F.when(is_comment(t, F.col("language")), breaks).when(is_string(t), F.concat(F.lit('"'), breaks)).otherwise(t)
 
     df = bind(df, text=F.split(F.array_join(F.transform("tok", blanked), ""), "\n", -1)).drop("tok", "content")
+    df = _with_statements(df)
     df = bind(df, header=_headers(), nest=F.transform("text", lambda c: _nesting(F.regexp_replace(c, r"[^{}]", ""))))
     df = bind(df, depth=F.transform("nest", lambda n: n["cur"].cast("bigint")))
     df = bind(df, depth=prefix_sum("depth"))
@@ -115,6 +165,7 @@ def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
         return F.struct(
             (i + 1).cast("bigint").alias("line"),
             c.alias("text"),
+            F.get("joined", i).alias("joined"),
             F.get("header", i).alias("header"),
             before.alias("depth"),
             low.alias("close_from"),
@@ -129,18 +180,25 @@ def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
         wide = F.replace(F.regexp_extract(c, r"^[ \t]*", 0), F.lit("\t"), F.lit(" " * INDENT))
         return F.struct(
             (i + 1).cast("bigint").alias("line"),
+            F.when(_flag("goes_on", i + 1), F.get("upto", i + 1)).otherwise(i + 1).cast("bigint").alias("last"),
             c.alias("text"),
+            F.get("joined", i).alias("joined"),
             F.get("header", i).alias("header"),
             whole(F.length(wide), INDENT).alias("depth"),
+            _flag("goes_on", i).alias("goes_on"),
         )
 
-    filled = F.filter(F.transform("text", indented), lambda x: ~F.trim(x["text"], F.lit(" \t\r\f")).isin(""))
+    shown = lambda x: ~x["goes_on"] & ~F.trim(x["text"], F.lit(" \t\r\f")).isin("")
+    filled = F.filter(F.transform("text", indented), shown)
     # A line after the end closes whatever is still open.
     ending = F.struct(
         (F.size("text") + 1).cast("bigint").alias("line"),
+        (F.size("text") + 1).cast("bigint").alias("last"),
         F.lit("").alias("text"),
+        F.lit("").alias("joined"),
         F.get("header", F.lit(-1)).alias("header"),
         F.lit(0).cast("bigint").alias("depth"),
+        F.lit(False).alias("goes_on"),
     )
     df = bind(df, filled=F.concat(filled, F.array(ending)))
 
@@ -150,11 +208,12 @@ def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
         return F.struct(
             x["line"].alias("line"),
             x["text"].alias("text"),
+            x["joined"].alias("joined"),
             x["header"].alias("header"),
             x["depth"].alias("depth"),
             F.least(x["depth"], level).alias("close_from"),
             level.alias("close_to"),
-            F.coalesce(before["line"], F.lit(0).cast("bigint")).alias("close_end"),
+            F.coalesce(before["last"], F.lit(0).cast("bigint")).alias("close_end"),
             F.least(x["depth"], level).alias("open_from"),
             x["depth"].alias("open_to"),
             F.get("filled", i + 1)["line"].alias("next_line"),
@@ -163,7 +222,7 @@ def _with_code_lines(df: DataFrame, bodies: bool) -> DataFrame:
     by_indent = F.transform("filled", indent_line)
     by_brace = F.filter(F.transform("text", brace_line), lambda x: x["text"] != "")
     code = F.when(F.col("language") == "python", by_indent).otherwise(by_brace)
-    return bind(df, code=code).drop("text", "header", "nest", "depth", "filled")
+    return bind(df, code=code).drop("text", "joined", "goes_on", "upto", "header", "nest", "depth", "filled")
 
 
 _MARK = (
@@ -201,10 +260,10 @@ def _nested(df: DataFrame, bodies: bool = False) -> DataFrame:
 
     def marks_of(x: Column) -> Column:
         header = x["header"]
-        braces = F.contains(x["text"], F.lit("{"))
+        braces = F.contains(x["joined"], F.lit("{"))
         # A body that closes on the header's own line, or a declaration without one.
-        complete = (braces & (x["open_from"] == x["open_to"])) | (
-            ~braces & F.regexp_replace(x["text"], r"\s+$", "").endswith(";")
+        complete = (braces & (x["joined"] == x["text"]) & (x["open_from"] == x["open_to"])) | (
+            ~braces & F.regexp_replace(x["joined"], r"\s+$", "").endswith(";")
         )
         is_header = header.isNotNull() & (python | ~complete)
         return F.concat(

@@ -246,6 +246,46 @@ def find_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_regions(code_files(spark, sf_dir)).drop("collapsed")
 
 
+# A header with parameters over two lines: the part takes two lines, and the region's header ends with the second.
+_WIDE = r"(?m)^((?:async def|async function|pub fn) h[0-9]+\(|    g[0-9]+\(a)\)"
+cte(
+    "k_wide",
+    """
+select *, sum(height) over (partition by side, path order by line) last_line from (
+  select *, case when (part = 'open' and g % 3 = 2 and language <> 'zig') or (part = 'open2' and g % 3 = 1 and language = 'javascript')
+    then 2 else 1 end height
+  from k_lines)
+""",
+)
+
+
+@query(
+    "find_regions_wide",
+    f"""
+select {_K_REGION} from (
+  select side, path, min(last_line - height + 1) start_line, max(last_line) end_line, min(last_line) filter (part = 'open') header_end_line,
+    case language || (g % 3) when 'rust1' then 'module' when 'python1' then 'class' when 'javascript1' then 'class' when 'zig1' then 'struct_'
+      when 'zig2' then 'test_decl' else 'function' end node_type,
+    case language || (g % 3) when 'rust1' then concat('m', g) when 'zig1' then concat('M', g) when 'python1' then concat('C', g)
+      when 'javascript1' then concat('C', g) when 'zig2' then '' else concat((['f', '', 'h'])[g % 3 + 1], g) end name,
+    1 level
+  from k_wide group by side, path, language, g
+  union all
+  select side, path, min(last_line - height + 1) filter (part = 'open2'),
+    case when language = 'python' then max(last_line) else max(last_line) filter (part = 'close') end, min(last_line) filter (part = 'open2'),
+    'function', concat('g', g), 2
+  from k_wide where g % 3 = 1 group by side, path, language, g
+)
+""",
+)
+def find_regions_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline where parameters of some headers stand on a line of their own."""
+    wide = {
+        c: F.regexp_replace(c, _WIDE, "$1\n        a=[1], b=(1, 2))") for c in ("old_content", "new_content")
+    }
+    return code_regions(code_files(spark, sf_dir).withColumns(wide)).drop("collapsed")
+
+
 # --- tokens -----------------------------------------------------------------------------------------------
 
 # Tokens of the parts that the generator put together: its fixed lines are words, blanks, quoted words and single marks, and a

@@ -135,6 +135,31 @@ SNIPPETS = {
 }
 
 
+STATEMENTS = {
+    "python": (
+        "def f(\n    a,\n    b=[\n1],\n):\n    x = {\n'k': 1,\n}\n\nclass A(\n    B, C\n):\n    def g(self, a,\n          b):\n"
+        "        return (\na +\n\nb)\n\ny = 1\n",
+        [("f", 1, 8, 5, 1), ("A", 10, 18, 12, 1), ("g", 13, 18, 14, 2)],
+    ),
+    "javascript": (
+        "class Q {\n  run(\n    a,\n    b\n  ) {\n    go(\n      a,\n      b);\n    if (a) {\n      b();\n    }\n  }\n}\n"
+        "describe('x', [1,\n  2], () => {\n  class R {\n    m(a) {\n      n();\n    }\n  }\n});\n",
+        [("Q", 1, 13, 1, 1), ("run", 2, 12, 5, 2)],
+    ),
+    "c": ("int add(int a,\n        int b)\n{\n    call(a,\n         b);\n    if (a) {\n        b();\n    }\n}\nint dec(int a,\n        int b);\n", [("add", 1, 9, 2, 1)]),
+    "rust": ("fn dec(\n    a: u8,\n) -> u8;\nfn long(\n    a: [u8; 2],\n) -> u8 {\n    a\n}\n", [("long", 4, 8, 6, 1)]),
+}
+
+
+def test_outline_of_headers_over_several_lines(spark):
+    frame = spark.createDataFrame([(k, k, "", v[0]) for k, v in STATEMENTS.items()], "path string, language string, old_content string, new_content string")
+    got = {}
+    for r in O.find_regions(frame, ["new"]).orderBy("path", "start_line").collect():
+        got.setdefault(r.path, []).append((r.name, r.start_line, r.end_line, r.header_end_line, r.level))
+    for language, (_, expected) in STATEMENTS.items():
+        assert got.get(language, []) == expected, language
+
+
 def test_outline(spark):
     frame = spark.createDataFrame([(k, k, "", v[0]) for k, v in SNIPPETS.items()], "path string, language string, old_content string, new_content string")
     got = {}
