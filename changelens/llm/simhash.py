@@ -28,6 +28,8 @@ NEAR_SHINGLE = 5
 NEAR_SKETCH = 28
 # A bucket with more nodes than this is cut further instead of paired.
 NEAR_BUCKET = 1000
+# Rounds in which each bucket links one node to its near duplicates, before pairs of different groups are checked.
+NEAR_STARS = 2
 # Free bits and parts of each cut: no more than NEAR parts can differ, so two at least are equal.
 NEAR_CUTS = ((64, 8), (48, 8), (36, 9))
 
@@ -255,10 +257,6 @@ def sketches(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, digest bigint, fp bigint, s1 bigint, s2 bigint")
 
 
-def _near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= NEAR
-
-
 def _cut(q: Column, width: int, parts: int) -> Column:
     """One key for each pair of the ``parts`` of the lowest ``width`` bits, and the bits that are left, lowest and in order."""
     bounds = [width * k // parts for k in range(parts + 1)]
@@ -278,43 +276,62 @@ def _cut(q: Column, width: int, parts: int) -> Column:
     return F.array(*keys)
 
 
+def _alike(a: str, b: str) -> Column:
+    """Whether the nodes ``a`` and ``b`` are near duplicates: by their fingerprints, then by their sketches."""
+    off = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (off("fp") <= NEAR) & (off("s1") + off("s2") <= NEAR_SKETCH)
+
+
+def _buckets(level: DataFrame, width: int, parts: int) -> DataFrame:
+    """``level`` once for each pair of parts of its ``q``: ``at`` names the bucket, ``q`` becomes the bits that are left."""
+    keyed = level.select("at", "node", F.explode(_cut(F.col("q"), width, parts)).alias("k"))
+    return keyed.select(F.xxhash64("at", "k.pair", "k.x", "k.y").alias("at"), "node", F.col("k.left").alias("q"))
+
+
+def _labelled(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``keyed`` with the group of each node, without the buckets whose nodes are all of one group."""
+    named = keyed.join(labels, F.col("node.digest") == F.col("of"), "left").select("at", "node", "q", F.coalesce("label", "node.digest").alias("label"))
+    several = named.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
+    return named.join(several.filter("low <> top.label"), "at")
+
+
 def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
     """Pairs (a, b) of the nodes (digest, fp, s1, s2) that are near duplicates, enough of them to connect each group.
 
-    Nodes meet in buckets of two equal parts of their fingerprints. In each bucket those near its
-    least node are linked to that one. Of the other pairs, those with a node that is not near the
-    least one pass the chain of budgets over the ring of parts and the full Hamming check. In a
-    bucket of more than ``bucket`` nodes the rest have their free bits cut again instead. So a large
-    group of near copies is a star in each of its buckets and is never paired out. Every link is then
-    checked by the sketches. A pair can be missed where its two are on different sides of that cut in
-    every bucket that both are in, or where only fingerprints are near the least node.
+    Nodes meet in buckets of two equal parts of their fingerprints. First each bucket links one
+    node to all that are near duplicates of it, so a large group of near copies becomes a few stars
+    and is never paired out. Pairs inside a group that is known by then add nothing; of the others
+    every one that meets in a bucket is checked, by the chain of budgets over the ring of parts, the
+    Hamming distance and the sketches. A bucket of more than ``bucket`` nodes that still holds
+    several groups has its free bits cut again, so that its nodes meet in smaller buckets: equal
+    parts are bound to exist there too, so no pair is lost.
     """
-    # Equal fingerprints first: linked to the least text of theirs; that one stands for them.
-    least = nodes.groupBy("fp").agg(F.min("digest").alias("first"))
-    heads = stored(least.select(F.col("first").alias("digest"), "fp"))
-    found = nodes.select("digest", "fp").join(least, "fp").filter("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    level = heads.select("digest", "fp", F.col("fp").alias("q"), F.lit(0).cast("bigint").alias("at"))
+    # Equal fingerprints and sketches first: linked to the least text of theirs; that one stands for them.
+    marks = ["fp", "s1", "s2"]
+    least = nodes.groupBy(*marks).agg(F.min("digest").alias("first"))
+    heads = stored(least.select(F.struct(F.col("first").alias("digest"), *marks).alias("node")))
+    found = nodes.join(least, marks).filter("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    level = heads.select(F.lit(0).cast("bigint").alias("at"), "node", F.col("node.fp").alias("q"))
+    keyed = _buckets(level, *NEAR_CUTS[0])
+    # The node with the greatest label is in another group than the one with the least.
+    labels = heads.select(F.col("node.digest").alias("of"), F.col("node.digest").alias("label"))
+    for _ in range(NEAR_STARS):
+        known = _labelled(keyed, labels)
+        star = known.filter((F.col("label") != F.col("top.label")) & _alike("node", "top.node"))
+        ends = (F.least("node.digest", "top.node.digest").alias("a"), F.greatest("node.digest", "top.node.digest").alias("b"))
+        found = stored(found.union(star.select(*ends)).distinct())
+        labels = components(found).select(F.col("fp").alias("of"), F.col("root").alias("label"))
     for width, parts in NEAR_CUTS:
-        keyed = level.select("digest", "fp", "at", F.explode(_cut(F.col("q"), width, parts)).alias("k"))
-        keyed = keyed.select("digest", "fp", F.xxhash64("at", "k.pair", "k.x", "k.y").alias("at"), F.col("k.left").alias("left"))
-        sizes = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first"), F.min_by("fp", "digest").alias("first_fp"))
-        known = keyed.join(sizes.filter("n > 1"), "at")
-        known = stored(known.select("at", "digest", "fp", "left", "n", "first", _near(F.col("fp"), F.col("first_fp")).alias("near")))
-        found = found.union(known.filter("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b")))
         last = (width, parts) == NEAR_CUTS[-1]
-        small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "digest", "fp", "near")
-        a, b = small.filter("not near").alias("a"), small.alias("b")
-        diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-        other = F.col("b.near") | (F.col("a.digest") < F.col("b.digest"))
-        pair = (F.col("a.at") == F.col("b.at")) & other & ring_holds(diff, *NEAR_CUTS[0]) & (F.bit_count(diff) <= NEAR)
-        found = found.union(a.join(b, pair).select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")))
+        known = stored(_labelled(_buckets(level, width, parts), labels).select("at", "node", "q", "label", "n"))
+        small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "node", "label")
+        a, b = small.alias("a"), small.alias("b")
+        diff = F.col("a.node.fp").bitwiseXOR(F.col("b.node.fp"))
+        pair = (F.col("a.at") == F.col("b.at")) & (F.col("a.label") < F.col("b.label")) & ring_holds(diff, *NEAR_CUTS[0]) & _alike("a.node", "b.node")
+        found = found.union(a.join(b, pair).select(F.least("a.node.digest", "b.node.digest").alias("a"), F.greatest("a.node.digest", "b.node.digest").alias("b")))
         if not last:
-            level = known.filter((F.col("n") > bucket) & ~F.col("near")).select("digest", "fp", F.col("left").alias("q"), "at")
-    pairs = stored(found.distinct())
-    sketch = lambda side: nodes.select(F.col("digest").alias(side), F.col("s1").alias(f"{side}1"), F.col("s2").alias(f"{side}2"))
-    checked = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-    off = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return checked.filter(off <= NEAR_SKETCH).select("a", "b")
+            level = known.filter(F.col("n") > bucket).select("at", "node", "q")
+    return found.distinct()
 
 
 def ring_holds(diff: Column, width: int, parts: int, distance: int = NEAR) -> Column:

@@ -183,6 +183,35 @@ def test_a_large_group_of_near_copies_is_one_group(spark):
     assert groups == {0: 150, 1000: 150}
 
 
+@pytest.mark.parametrize("bucket", [16, 1000])
+def test_near_links_connect_what_every_pair_connects(spark, bucket):
+    """Nodes within and around both limits; in buckets of every size the groups are those of all pairs."""
+    rnd, nodes = random.Random(14), {}
+    for k in range(240):
+        if k % 60 == 0:
+            base = [rnd.getrandbits(64) for _ in range(3)]
+        made = [x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, most))) for x, most in zip(base, (5, 13, 13))]
+        nodes[k] = [x - (1 << 64) if x >> 63 else x for x in made]
+    root = {k: k for k in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    made = np.array(list(nodes.values()))
+    for k in nodes:
+        off = np.bitwise_count((made[k + 1 :] ^ made[k]).view(np.uint64)).astype(int)
+        for j in np.flatnonzero((off[:, 0] <= simhash.NEAR) & (off[:, 1] + off[:, 2] <= simhash.NEAR_SKETCH)) + k + 1:
+            a, b = find(k), find(int(j))
+            root[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame([(k, *x) for k, x in nodes.items()], "digest bigint, fp bigint, s1 bigint, s2 bigint")
+    pairs = simhash.near_links(frame, bucket).collect()
+    assert len(pairs) < 20_000 and all(find(p.a) == find(p.b) for p in pairs)
+    groups = {r.fp: r.root for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert {k: groups.get(k, k) for k in nodes} == {k: find(k) for k in nodes} and len(set(groups.values())) >= 4
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_links_of_a_dense_cloud(spark, bucket):
     rnd, base, cloud = random.Random(1), random.Random(9).getrandbits(64), set()
