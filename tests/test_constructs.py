@@ -273,3 +273,11 @@ def test_changed_line_keeps_the_last_category(spark):
         "path string, chunk_idx bigint, entry_idx bigint, new_line bigint, category string",
     )
     assert [tuple(r) for r in E.changed_lines(frame).collect()] == [("a", 3, "semantic")]
+
+
+def test_constructs_of_the_code_are_matched_in_one_pass(spark):
+    """The regions are computed once: one scan, and nothing is shuffled to match them."""
+    from changelens.plans.catalog import QUERIES
+
+    plan = QUERIES["code_constructs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Aggregate" not in plan
