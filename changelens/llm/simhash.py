@@ -30,6 +30,8 @@ NEAR_SKETCH = 28
 NEAR_BUCKET = 1000
 # Rounds in which each bucket links one node to its near duplicates, before pairs of different groups are checked.
 NEAR_STARS = 2
+# Links that a label is carried along after each of these rounds; members of one star are two links apart.
+NEAR_STEPS = 4
 # Free bits and parts of each cut: no more than NEAR parts can differ, so two at least are equal.
 NEAR_CUTS = ((64, 8), (48, 8), (36, 9))
 
@@ -257,23 +259,10 @@ def sketches(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, digest bigint, fp bigint, s1 bigint, s2 bigint")
 
 
-def _cut(q: Column, width: int, parts: int) -> Column:
-    """One key for each pair of the ``parts`` of the lowest ``width`` bits, and the bits that are left, lowest and in order."""
-    bounds = [width * k // parts for k in range(parts + 1)]
-
-    def piece(k: int) -> Column:
-        return segment(q, bounds[k], bounds[k + 1] - bounds[k])
-
-    keys = []
-    for a in range(parts):
-        for b in range(a + 1, parts):
-            left, at = F.lit(0).cast("bigint"), 0
-            for k in range(parts):
-                if k not in (a, b):
-                    left = left.bitwiseOR(F.shiftleft(piece(k), at))
-                    at += bounds[k + 1] - bounds[k]
-            keys.append(F.struct(F.lit(a * parts + b).alias("pair"), piece(a).alias("x"), piece(b).alias("y"), left.alias("left")))
-    return F.array(*keys)
+def _bits(q: Column, first: Column, upto: Column) -> Column:
+    """The bits of ``q`` from ``first`` up to, but without, ``upto``."""
+    ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), upto - first) - 1
+    return F.call_function("shiftrightunsigned", q, first).bitwiseAND(ones)
 
 
 def _alike(a: str, b: str) -> Column:
@@ -283,14 +272,37 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _buckets(level: DataFrame, width: int, parts: int) -> DataFrame:
-    """``level`` once for each pair of parts of its ``q``: ``at`` names the bucket, ``q`` becomes the bits that are left."""
-    keyed = level.select("at", "node", F.explode(_cut(F.col("q"), width, parts)).alias("k"))
-    return keyed.select(F.xxhash64("at", "k.pair", "k.x", "k.y").alias("at"), "node", F.col("k.left").alias("q"))
-
-
-def _labelled(keyed: DataFrame, labels: DataFrame) -> DataFrame:
-    """``keyed`` with the group of each node, without the buckets whose nodes are all of one group."""
-    named = keyed.join(labels, F.col("node.digest") == F.col("of"), "left").select("at", "node", "q", F.coalesce("label", "node.digest").alias("label"))
+    """``level`` once for each pair of the ``parts`` of the lowest ``width`` bits of its ``q``: ``at`` names the bucket, ``q`` becomes the bits that are left, lowest and in order."""
+    bounds = [width * k // parts for k in range(parts + 1)]
+    # The pairs are rows of places, so that one expression serves them all and the plans stay small.
+    pairs = [
+        F.struct(F.lit(a * parts + b).alias("pair"), *[F.lit(at).alias(n) for n, at in zip(("a", "a_end", "b", "b_end"), (*bounds[a : a + 2], *bounds[b : b + 2]))])
+        for a in range(parts)
+        for b in range(a + 1, parts)
+    ]
+    keyed = level.select("at", "node", "q", F.inline(F.array(*pairs)))
+    q, a, a_end, b, b_end = (F.col(c) for c in ("q", "a", "a_end", "b", "b_end"))
+    middle = F.call_function("shiftleft", _bits(q, a_end, b), a)
+    high = F.call_function("shiftleft", _bits(q, b_end, F.lit(width)), a + b - a_end)
+    left = _bits(q, F.lit(0), a).bitwiseOR(middle).bitwiseOR(high)
+    return keyed.select(F.xxhash64("at", "pair", _bits(q, a, a_end), _bits(q, b, b_end)).alias("at"), "node", left.alias("q"))
+
+
+def _near_labels(found: DataFrame, steps: int = NEAR_STEPS) -> DataFrame:
+    """(of, label): the least node within ``steps`` links. Nodes of one label are of one group; a group may have several labels."""
+    both = found.select(F.col("a").alias("of"), F.col("b").alias("to")).union(found.select(F.col("b").alias("of"), F.col("a").alias("to")))
+    labels = both.groupBy("of").agg(F.min("to").alias("least")).select("of", F.least("of", "least").alias("label"))
+    for _ in range(steps - 1):
+        labels = both.join(labels.select(F.col("of").alias("to"), "label"), "to").groupBy("of").agg(F.min("label").alias("label"))
+    return labels
+
+
+def _labelled(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``keyed`` with the label of each node (its own digest without ``labels``), without the buckets whose nodes all have one label."""
+    if labels is None:
+        named = keyed.withColumn("label", F.col("node.digest"))
+    else:
+        named = keyed.join(labels, F.col("node.digest") == F.col("of"), "left").select("at", "node", "q", F.coalesce("label", "node.digest").alias("label"))
     several = named.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
     return named.join(several.filter("low <> top.label"), "at")
 
@@ -300,11 +312,11 @@ def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
 
     Nodes meet in buckets of two equal parts of their fingerprints. First each bucket links one
     node to all that are near duplicates of it, so a large group of near copies becomes a few stars
-    and is never paired out. Pairs inside a group that is known by then add nothing; of the others
-    every one that meets in a bucket is checked, by the chain of budgets over the ring of parts, the
-    Hamming distance and the sketches. A bucket of more than ``bucket`` nodes that still holds
-    several groups has its free bits cut again, so that its nodes meet in smaller buckets: equal
-    parts are bound to exist there too, so no pair is lost.
+    and is never paired out. Pairs that are known to be of one group by then add nothing; of the
+    others every one that meets in a bucket is checked, by the Hamming distance and the sketches. A
+    bucket of more than ``bucket`` nodes that still holds several labels has its free bits cut
+    again, so that its nodes meet in smaller buckets: equal parts are bound to exist there too, so
+    no pair is lost.
     """
     # Equal fingerprints and sketches first: linked to the least text of theirs; that one stands for them.
     marks = ["fp", "s1", "s2"]
@@ -312,40 +324,28 @@ def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
     heads = stored(least.select(F.struct(F.col("first").alias("digest"), *marks).alias("node")))
     found = nodes.join(least, marks).filter("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
     level = heads.select(F.lit(0).cast("bigint").alias("at"), "node", F.col("node.fp").alias("q"))
-    keyed = _buckets(level, *NEAR_CUTS[0])
-    # The node with the greatest label is in another group than the one with the least.
-    labels = heads.select(F.col("node.digest").alias("of"), F.col("node.digest").alias("label"))
+    # The node with the greatest label has another one than the node with the least.
+    labels = None
     for _ in range(NEAR_STARS):
-        known = _labelled(keyed, labels)
+        known = _labelled(_buckets(level, *NEAR_CUTS[0]), labels)
         star = known.filter((F.col("label") != F.col("top.label")) & _alike("node", "top.node"))
         ends = (F.least("node.digest", "top.node.digest").alias("a"), F.greatest("node.digest", "top.node.digest").alias("b"))
         found = stored(found.union(star.select(*ends)).distinct())
-        labels = components(found).select(F.col("fp").alias("of"), F.col("root").alias("label"))
+        labels = stored(_near_labels(found))
     for width, parts in NEAR_CUTS:
         last = (width, parts) == NEAR_CUTS[-1]
         known = stored(_labelled(_buckets(level, width, parts), labels).select("at", "node", "q", "label", "n"))
         small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "node", "label")
         a, b = small.alias("a"), small.alias("b")
-        diff = F.col("a.node.fp").bitwiseXOR(F.col("b.node.fp"))
-        pair = (F.col("a.at") == F.col("b.at")) & (F.col("a.label") < F.col("b.label")) & ring_holds(diff, *NEAR_CUTS[0]) & _alike("a.node", "b.node")
+        pair = (F.col("a.at") == F.col("b.at")) & (F.col("a.label") < F.col("b.label")) & _alike("a.node", "b.node")
         found = found.union(a.join(b, pair).select(F.least("a.node.digest", "b.node.digest").alias("a"), F.greatest("a.node.digest", "b.node.digest").alias("b")))
         if not last:
             level = known.filter(F.col("n") > bucket).select("at", "node", "q")
+            if level.isEmpty():
+                break
     return found.distinct()
 
 
-def ring_holds(diff: Column, width: int, parts: int, distance: int = NEAR) -> Column:
-    """Whether some part of the ring starts a chain whose first two and three parts keep within their proportional budgets."""
-    bounds = [width * k // parts for k in range(parts + 1)]
-    count = [F.bit_count(segment(diff, bounds[k], bounds[k + 1] - bounds[k])) for k in range(parts)]
-    found = F.lit(False)
-    for k in range(parts):
-        one, two = count[k], count[k] + count[(k + 1) % parts]
-        three = two + count[(k + 2) % parts]
-        found = found | ((one <= distance // parts) & (two <= 2 * distance // parts) & (three <= 3 * distance // parts))
-    return found
-
-
 def near_members(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, digest, component) of every row; component is the smallest id of its group of near duplicates.
 

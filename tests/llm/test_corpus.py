@@ -212,6 +212,21 @@ def test_near_links_connect_what_every_pair_connects(spark, bucket):
     assert {k: groups.get(k, k) for k in nodes} == {k: find(k) for k in nodes} and len(set(groups.values())) >= 4
 
 
+def test_near_links_take_few_jobs(spark):
+    """Links along a chain need no loop of jobs before the pairs are checked, and no cut is made where no bucket is large."""
+    nodes = [(k, (1 << 3 * k) - 1, 0, 0) for k in range(20)]
+    frame = spark.createDataFrame(nodes, "digest bigint, fp bigint, s1 bigint, s2 bigint")
+    spark.sparkContext.setJobGroup("near links", "near links")
+    try:
+        pairs = simhash.near_links(frame).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near links")) < 60
+    roots = {r.fp: r.root for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert roots == dict.fromkeys(range(1, 20), 0)
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_links_of_a_dense_cloud(spark, bucket):
     rnd, base, cloud = random.Random(1), random.Random(9).getrandbits(64), set()
