@@ -258,6 +258,23 @@ def test_moves_run_one_python_step(spark):
     assert plan.count("ArrowEvalPython [") == 1
 
 
+def test_only_equal_bodies_are_shuffled_as_digests(spark):
+    """Where a body is so short that only an equal one reaches the threshold, its digest meets the others'; the pairs stay the same."""
+    texts = ["short", "x" * 40, "x" * 39 + "y", "x" * 2000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    made = lambda threshold: [r[0] for r in frame.select(M._comparable(F.col("t"), threshold)).collect()]
+    assert made(0.9) == texts
+    for threshold, digests in ((0.999, 2), (0.999999, 3), (1.0, 3)):
+        got = made(threshold)
+        assert got[0] == "short" and [len(x) for x in got].count(32) == digests and len(set(got)) == 4
+    rng, old, new = random.Random(8), [], []
+    for side in (old, new):
+        for k in range(20):
+            side.append((f"f{rng.randrange(4)}", "function", [rng.choice(["value = compute(input, other, one);", "return register(handler, option, two);"]) + rng.choice(["", "z"])]))
+    got, expected = moved(spark, old, new, threshold=0.999999)
+    assert got == expected and len(got) > 5 and all(g[3] == 1 for g in got)
+
+
 def test_asof_and_ranges(spark):
     rows = spark.createDataFrame(
         [("a", 0, 5), ("a", 1, None), ("a", 2, 6), ("a", 3, 40), ("b", 0, 1)], "path string, ord bigint, new_line bigint"
