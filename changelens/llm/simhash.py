@@ -280,12 +280,12 @@ def _buckets(level: DataFrame, width: int, parts: int) -> DataFrame:
         for a in range(parts)
         for b in range(a + 1, parts)
     ]
-    keyed = level.select("at", "node", "q", F.inline(F.array(*pairs)))
+    keyed = level.select("at", "node", "q", "label", F.inline(F.array(*pairs)))
     q, a, a_end, b, b_end = (F.col(c) for c in ("q", "a", "a_end", "b", "b_end"))
     middle = F.call_function("shiftleft", _bits(q, a_end, b), a)
     high = F.call_function("shiftleft", _bits(q, b_end, F.lit(width)), a + b - a_end)
     left = _bits(q, F.lit(0), a).bitwiseOR(middle).bitwiseOR(high)
-    return keyed.select(F.xxhash64("at", "pair", _bits(q, a, a_end), _bits(q, b, b_end)).alias("at"), "node", left.alias("q"))
+    return keyed.select(F.xxhash64("at", "pair", _bits(q, a, a_end), _bits(q, b, b_end)).alias("at"), "node", left.alias("q"), "label")
 
 
 def _near_labels(found: DataFrame, steps: int = NEAR_STEPS) -> DataFrame:
@@ -297,14 +297,18 @@ def _near_labels(found: DataFrame, steps: int = NEAR_STEPS) -> DataFrame:
     return labels
 
 
-def _labelled(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``keyed`` with the label of each node (its own digest without ``labels``), without the buckets whose nodes all have one label."""
+def _labelled(level: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``level`` with the label of each node, its own digest where it has none. Before nodes are dealt to buckets, so that each is looked up once."""
     if labels is None:
-        named = keyed.withColumn("label", F.col("node.digest"))
-    else:
-        named = keyed.join(labels, F.col("node.digest") == F.col("of"), "left").select("at", "node", "q", F.coalesce("label", "node.digest").alias("label"))
-    several = named.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
-    return named.join(several.filter("low <> top.label"), "at")
+        return level.withColumn("label", F.col("node.digest"))
+    named = level.join(labels.select("of", F.col("label").alias("_label")), F.col("node.digest") == F.col("of"), "left")
+    return named.select("at", "node", "q", F.coalesce("_label", "node.digest").alias("label"))
+
+
+def _several(keyed: DataFrame) -> DataFrame:
+    """``keyed`` without the buckets whose nodes all have one label, with the bucket's size and its node of the greatest label."""
+    several = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top"))
+    return keyed.join(several.filter("low <> top.label"), "at")
 
 
 def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
@@ -327,20 +331,21 @@ def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
     # The node with the greatest label has another one than the node with the least.
     labels = None
     for _ in range(NEAR_STARS):
-        known = _labelled(_buckets(level, *NEAR_CUTS[0]), labels)
+        known = _several(_buckets(_labelled(level, labels), *NEAR_CUTS[0]))
         star = known.filter((F.col("label") != F.col("top.label")) & _alike("node", "top.node"))
         ends = (F.least("node.digest", "top.node.digest").alias("a"), F.greatest("node.digest", "top.node.digest").alias("b"))
         found = stored(found.union(star.select(*ends)).distinct())
         labels = stored(_near_labels(found))
+    level = _labelled(level, labels)
     for width, parts in NEAR_CUTS:
         last = (width, parts) == NEAR_CUTS[-1]
-        known = stored(_labelled(_buckets(level, width, parts), labels).select("at", "node", "q", "label", "n"))
+        known = stored(_several(_buckets(level, width, parts)).select("at", "node", "q", "label", "n"))
         small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "node", "label")
         a, b = small.alias("a"), small.alias("b")
         pair = (F.col("a.at") == F.col("b.at")) & (F.col("a.label") < F.col("b.label")) & _alike("a.node", "b.node")
         found = found.union(a.join(b, pair).select(F.least("a.node.digest", "b.node.digest").alias("a"), F.greatest("a.node.digest", "b.node.digest").alias("b")))
         if not last:
-            level = known.filter(F.col("n") > bucket).select("at", "node", "q")
+            level = known.filter(F.col("n") > bucket).select("at", "node", "q", "label")
             if level.isEmpty():
                 break
     return found.distinct()

@@ -227,6 +227,20 @@ def test_near_links_take_few_jobs(spark):
     assert roots == dict.fromkeys(range(1, 20), 0)
 
 
+def test_labels_are_looked_up_before_nodes_are_dealt_to_buckets(spark):
+    """28 rows a node go through one shuffle only, that of the buckets."""
+    node = "struct<digest:bigint,fp:bigint,s1:bigint,s2:bigint>"
+    level = spark.createDataFrame([(0, (k, k % 4, 0, 0), k % 4) for k in range(8)], f"at bigint, node {node}, q bigint")
+    labels = spark.createDataFrame([(5, 1), (1, 1)], "of bigint, label bigint")
+    keyed = simhash._buckets(simhash._labelled(level, labels), *simhash.NEAR_CUTS[0])
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join LeftOuter")
+    rows = keyed.collect()
+    assert len(rows) == 8 * 28 and {(r.node.digest, r.label) for r in rows} == {(k, 1 if k == 5 else k) for k in range(8)}
+    alike = simhash._several(keyed.filter("node.fp = 1"))
+    assert alike.count() == 0 and simhash._several(keyed.filter("node.fp = 2")).count() > 0
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_links_of_a_dense_cloud(spark, bucket):
     rnd, base, cloud = random.Random(1), random.Random(9).getrandbits(64), set()

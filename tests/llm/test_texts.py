@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_texts import prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from changelens.llm import language_id, license_scan, pii, quality_rules, token_counts
@@ -119,6 +120,34 @@ def test_frequent_lines_are_cut_out_of_kept_documents(spark):
         assert made[i].text == "\n".join(lines) and (i not in two or (len(lines) < len(t.split("\n"))) == (two[i] in often))
 
 
+def test_rows_that_lose_lines_are_told_by_bitmaps(spark):
+    """Only rows that lose lines meet these, so the texts of the others are not shuffled; a bitmap holds 64 rows of a partition."""
+    rows = spark.range(1000).repartition(3).select("id").withColumn("row_id", F.monotonically_increasing_id()).cache()
+    numbers = {r.id: r.row_id for r in rows.collect()}
+    lose = {i for i in numbers if i % 7 == 0 or i > 900 or numbers[i] % 64 == 63}
+    gone = spark.createDataFrame([(numbers[i],) for i in lose], "row_id bigint")
+    told = quality_rules.with_loses(rows, gone)
+    assert told.columns == ["id", "row_id", "loses"]
+    assert {r.id: r.loses for r in told.collect()} == {i: i in lose for i in numbers}
+    assert not any(r.loses for r in quality_rules.with_loses(rows, gone.limit(0)).collect())
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_kept_documents_are_those_of_the_verdict_however_they_join(spark, threshold):
+    texts = [f"{prose(i, 30, 2)}\nHome about contact" if i % 3 else prose(i, 10 + i) for i in range(60)]
+    frame = spark.createDataFrame([(i // 2 * 2, t, "s") for i, t in enumerate(texts + texts[:4] + [None])], "doc_id int, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        kept = quality_rules.kept_documents(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    verdicts = quality_rules.quality(frame).filter("kept").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in verdicts) and len(kept) > 40
+    assert sum(r.n_words for r in verdicts) - sum(r.n_removed for r in verdicts) == sum(len(r.text.split()) for r in kept)
+    assert sum(r.n_removed > 0 for r in verdicts) > 30 and not any("Home about" in r.text for r in kept)
+
+
 def shingles(text):
     words = "".join(c for c in re.sub("[A-Z]", lambda m: m[0].lower(), text) if c not in license_scan.PUNCTUATION).split()
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
