@@ -180,4 +180,5 @@ def kept_documents(
     left = F.array_join(F.filter(F.split(own, "\n"), lambda x: ~held(x)), "\n")
     cleaned = F.when(F.col("n_removed") > 0, left).otherwise(own)
     whole = told.filter(~F.col("loses")).withColumn("gone", F.lit(None).cast("bigint"))
-    return kept(told.filter("loses").join(gone, "row_id"), cleaned).unionByName(kept(whole, own))
+    # Merged at every size: what is shuffled then follows the input from small tables on, and no table of lines goes to every task.
+    return kept(told.filter("loses").join(gone.hint("merge"), "row_id"), cleaned).unionByName(kept(whole, own))

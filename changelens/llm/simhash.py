@@ -28,8 +28,9 @@ NEAR_SHINGLE = 5
 NEAR_SKETCH = 28
 # A bucket with more nodes than this is cut further instead of paired.
 NEAR_BUCKET = 1000
-# Rounds in which each bucket links one node to its near duplicates, before pairs of different groups are checked.
-NEAR_STARS = 2
+# Rounds in which each bucket of these pairs of parts links one node to its near duplicates, before pairs of different groups
+# are checked in all buckets. Pairs of one round are disjoint: nodes with three different bits or fewer meet in one at least.
+NEAR_STARS = (((0, 1), (2, 3), (4, 5), (6, 7)), ((0, 4), (1, 5), (2, 6), (3, 7)))
 # Links that a label is carried along after each of these rounds; members of one star are two links apart.
 NEAR_STEPS = 4
 # Free bits and parts of each cut: no more than NEAR parts can differ, so two at least are equal.
@@ -271,14 +272,15 @@ def _alike(a: str, b: str) -> Column:
     return (off("fp") <= NEAR) & (off("s1") + off("s2") <= NEAR_SKETCH)
 
 
-def _buckets(level: DataFrame, width: int, parts: int) -> DataFrame:
-    """``level`` once for each pair of the ``parts`` of the lowest ``width`` bits of its ``q``: ``at`` names the bucket, ``q`` becomes the bits that are left, lowest and in order."""
+def _buckets(level: DataFrame, width: int, parts: int, only: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """``level`` once for each pair (or each of ``only``) of the ``parts`` of the lowest ``width`` bits of its ``q``: ``at`` names the bucket, ``q`` becomes the bits that are left, lowest and in order."""
     bounds = [width * k // parts for k in range(parts + 1)]
     # The pairs are rows of places, so that one expression serves them all and the plans stay small.
     pairs = [
         F.struct(F.lit(a * parts + b).alias("pair"), *[F.lit(at).alias(n) for n, at in zip(("a", "a_end", "b", "b_end"), (*bounds[a : a + 2], *bounds[b : b + 2]))])
         for a in range(parts)
         for b in range(a + 1, parts)
+        if not only or (a, b) in only
     ]
     keyed = level.select("at", "node", "q", "label", F.inline(F.array(*pairs)))
     q, a, a_end, b, b_end = (F.col(c) for c in ("q", "a", "a_end", "b", "b_end"))
@@ -311,11 +313,17 @@ def _several(keyed: DataFrame) -> DataFrame:
     return keyed.join(several.filter("low <> top.label"), "at")
 
 
+def _sizes(keyed: DataFrame) -> DataFrame:
+    """(at, n): the size of each bucket whose nodes have several labels. No node is shuffled for it."""
+    sizes = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return sizes.filter("low <> high").select("at", "n")
+
+
 def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
     """Pairs (a, b) of the nodes (digest, fp, s1, s2) that are near duplicates, enough of them to connect each group.
 
-    Nodes meet in buckets of two equal parts of their fingerprints. First each bucket links one
-    node to all that are near duplicates of it, so a large group of near copies becomes a few stars
+    Nodes meet in buckets of two equal parts of their fingerprints. First each bucket of a few pairs of
+    parts links one node to all that are near duplicates of it, so a large group of near copies becomes a few stars
     and is never paired out. Pairs that are known to be of one group by then add nothing; of the
     others every one that meets in a bucket is checked, by the Hamming distance and the sketches. A
     bucket of more than ``bucket`` nodes that still holds several labels has its free bits cut
@@ -330,24 +338,27 @@ def near_links(nodes: DataFrame, bucket: int = NEAR_BUCKET) -> DataFrame:
     level = heads.select(F.lit(0).cast("bigint").alias("at"), "node", F.col("node.fp").alias("q"))
     # The node with the greatest label has another one than the node with the least.
     labels = None
-    for _ in range(NEAR_STARS):
-        known = _several(_buckets(_labelled(level, labels), *NEAR_CUTS[0]))
+    for only in NEAR_STARS:
+        known = _several(_buckets(_labelled(level, labels), *NEAR_CUTS[0], only))
         star = known.filter((F.col("label") != F.col("top.label")) & _alike("node", "top.node"))
         ends = (F.least("node.digest", "top.node.digest").alias("a"), F.greatest("node.digest", "top.node.digest").alias("b"))
         found = stored(found.union(star.select(*ends)).distinct())
         labels = stored(_near_labels(found))
-    level = _labelled(level, labels)
+    level = stored(_labelled(level, labels))
     for width, parts in NEAR_CUTS:
         last = (width, parts) == NEAR_CUTS[-1]
-        known = stored(_several(_buckets(level, width, parts)).select("at", "node", "q", "label", "n"))
-        small = (known if last else known.filter(F.col("n") <= bucket)).select("at", "node", "label")
+        keyed = _buckets(level, width, parts)
+        sizes = stored(_sizes(keyed))
+        # Both sides of the pairs read one shuffle of the nodes, which is not stored.
+        small = keyed.join(sizes if last else sizes.filter(F.col("n") <= bucket), "at").select("at", "node", "label")
         a, b = small.alias("a"), small.alias("b")
         pair = (F.col("a.at") == F.col("b.at")) & (F.col("a.label") < F.col("b.label")) & _alike("a.node", "b.node")
         found = found.union(a.join(b, pair).select(F.least("a.node.digest", "b.node.digest").alias("a"), F.greatest("a.node.digest", "b.node.digest").alias("b")))
         if not last:
-            level = known.filter(F.col("n") > bucket).select("at", "node", "q", "label")
-            if level.isEmpty():
+            large = sizes.filter(F.col("n") > bucket)
+            if large.isEmpty():
                 break
+            level = stored(keyed.join(large, "at", "left_semi"))
     return found.distinct()
 
 
