@@ -67,6 +67,56 @@ def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[str
         yield start, [t or "" for t in texts.slice(start).to_pylist()]
 
 
+# Bits of the filters of hashes sent to all tasks; 2 MB whatever the number of hashes, as an exact join follows.
+FILTER_BITS = 24
+FILTER_SHIFTS = (0, 20, 40)
+
+
+def filter_places(gram: Column) -> list[Column]:
+    """The bits that stand for a hash in the filter: three parts of it."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    return [F.shiftrightunsigned(gram, shift).bitwiseAND(mask) for shift in FILTER_SHIFTS]
+
+
+def gram_filter(grams: DataFrame) -> np.ndarray:
+    """Three bits of each hash in a table of fixed size, combined by Spark; at most 2^18 words come back."""
+    places = grams.select(F.explode(F.array(*filter_places(F.col("gram")))).alias("place"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for row in rows.toLocalIterator():
+        bits[row["at"]] = np.uint64(row["bits"] & (2**64 - 1))
+    return bits
+
+
+def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter; a false one is dropped by the join that follows."""
+    ok = np.ones(len(grams), bool)
+    for shift in FILTER_SHIFTS:
+        place = (grams.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        ok &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def without(docs: DataFrame, keys: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and digest are not in ``keys`` (_id, _digest), with all their columns.
+
+    A row whose hash is not in the filter of the keys stays without a join. Only the others, those that
+    go and few more, meet the keys, so no other text is shuffled however many keys there are.
+    """
+    digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    bits = docs.sparkSession.sparkContext.broadcast(gram_filter(keys.select(F.xxhash64("_id", "_digest").alias("gram"))))
+
+    @F.arrow_udf("boolean")
+    def met(hashes: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, hashes.to_numpy(zero_copy_only=False)))
+
+    told = docs.select("*", met(F.xxhash64(docs[id_col], digest)).alias("_met"))
+    some = told.filter("_met")
+    same = some[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(F.coalesce(some[text], F.lit(""))) == keys["_digest"])
+    return told.filter("not _met").union(some.join(keys, same, "left_anti")).drop("_met")
+
+
 # Rolling hash of word sequences, modulo 2^64.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)

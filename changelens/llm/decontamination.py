@@ -13,19 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from changelens.llm.common import slices, stored, word_grams
+from changelens.llm.common import gram_filter, passes, slices, stored, without, word_grams
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Of the score of a whole, unchanged item.
 THRESHOLD = 0.6
-# Bits of the n-gram filter sent to all tasks; 2 MB whatever the number of items, as an exact join follows.
-FILTER_BITS = 24
-FILTER_SHIFTS = (0, 20, 40)
 ALIGNED_ROWS = 256
 
 
@@ -61,32 +58,6 @@ def item_grams(items: DataFrame, text: str, id_col: str, threshold: float = THRE
     return source.mapInArrow(run, f"item {dict(source.dtypes)['item']}, place bigint, gram bigint, width bigint, shared bigint")
 
 
-def filter_places(gram: Column) -> list[Column]:
-    """The bits that stand for a hash in the filter: three parts of it."""
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    return [F.shiftrightunsigned(gram, shift).bitwiseAND(mask) for shift in FILTER_SHIFTS]
-
-
-def gram_filter(grams: DataFrame) -> np.ndarray:
-    """Three bits of each hash in a table of fixed size, combined by Spark; at most 2^18 words come back."""
-    places = grams.select(F.explode(F.array(*filter_places(F.col("gram")))).alias("place"))
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for row in rows.toLocalIterator():
-        bits[row["at"]] = np.uint64(row["bits"] & (2**64 - 1))
-    return bits
-
-
-def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Whether each hash may be in the filter; a false one is dropped by the join that follows."""
-    ok = np.ones(len(grams), bool)
-    for shift in FILTER_SHIFTS:
-        place = (grams.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-        ok &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
 def found_grams(text: str, widths: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the n-grams of a text that pass the filter, for all ``widths``."""
     made = [word_grams(text, width)[0] for width in widths]
@@ -249,5 +220,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", id_co
     """The rows of ``docs`` in which no item was found, with all their columns."""
     bad = contaminated(docs, items, text, id_col, **options)
     bad = stored(bad.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).distinct())
-    same = docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_digest"])
-    return docs.join(bad, same, "left_anti")
+    return without(docs, bad, text, id_col)

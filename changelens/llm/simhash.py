@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import slices, stored, word_grams
+from changelens.llm.common import slices, stored, without, word_grams
 
 SEED = 42
 SHINGLE = 3
@@ -385,5 +385,4 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """
     verdict = near_members(docs, text, id_col)
     gone = stored(verdict.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct())
-    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["_digest"])
-    return docs.join(gone, same, "left_anti")
+    return without(docs, gone, text, id_col)

@@ -14,7 +14,7 @@ from llm_texts import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from changelens.llm import decontamination, line_dedup, mixing, quality_rules, sharding, simhash
+from changelens.llm import common, decontamination, line_dedup, mixing, quality_rules, sharding, simhash
 from changelens.llm.common import word_grams
 from changelens.llm.queries import ORACLES, QUERIES, TARGETS
 
@@ -241,6 +241,50 @@ def test_labels_are_looked_up_before_nodes_are_dealt_to_buckets(spark):
     assert alike.count() == 0 and simhash._several(keyed.filter("node.fp = 2")).count() > 0
 
 
+def shuffled_rows(spark, frame):
+    """(rows of ``frame``, rows that its plan's exchanges wrote)."""
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    nodes, written = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() in ("AdaptiveSparkPlan",):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            written += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return rows, written
+
+
+def test_only_documents_that_may_go_meet_the_keys(spark):
+    """Texts of the others are not shuffled, even where the keys are too many to broadcast; ids may be null or repeat."""
+    texts = [(i % 900 if i % 50 else None, f"text {i % 950}") for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest")
+    keys = docs.filter("doc_id % 9 = 0 or (doc_id is null and text = 'text 50')").select(F.col("doc_id").alias("_id"), digest).distinct().localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, written = shuffled_rows(spark, common.without(docs, keys, "text", "doc_id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    gone = {(r[0], r[1]) for r in docs.join(keys, docs.doc_id.eqNullSafe(keys._id) & (F.xxhash64("text") == keys._digest)).select("doc_id", "text").collect()}
+    assert sorted(map(repr, map(tuple, rows))) == sorted(repr(t) for t in texts if t not in gone) and 100 < 1000 - len(rows) < 130
+    assert written < 2 * 150
+    assert common.without(docs, keys.limit(0), "text", "doc_id").count() == 1000
+
+
+def test_large_buckets_are_not_dealt_as_stars_to_all_pairs(spark):
+    """A round of stars deals a node to four buckets, the pairs of parts being disjoint; all pairs of parts come once, for the check."""
+    level = spark.createDataFrame([(0, (1, 1, 0, 0), 1, 1)], "at bigint, node struct<digest:bigint,fp:bigint,s1:bigint,s2:bigint>, q bigint, label bigint")
+    for only in simhash.NEAR_STARS:
+        assert sorted(x for p in only for x in p) == list(range(8))
+        assert simhash._buckets(level, *simhash.NEAR_CUTS[0], only).count() == 4
+    assert simhash._buckets(level, *simhash.NEAR_CUTS[0]).count() == 28
+
+
 @pytest.mark.parametrize("bucket", [4, 64])
 def test_links_of_a_dense_cloud(spark, bucket):
     rnd, base, cloud = random.Random(1), random.Random(9).getrandbits(64), set()
